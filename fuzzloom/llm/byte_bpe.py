@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from fuzzloom.llm.common import rows_in_slices, written
 
-BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 4096
+BLOCK_CHARS, BLOCK_DOCS = 8_000_000, 8192
 #: Distinct words of a bucket are held in one task at a time; blocks give so many rows each.
 BUCKETS = 64
 _PIECES: dict = {}
@@ -55,6 +55,15 @@ def _unpacked(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as packed byte planes: all low bytes first."""
+    return _packed(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _from_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _joined(parts: list[bytes]) -> bytes:
     """Byte strings with their lengths, packed."""
     return _packed(np.fromiter(map(len, parts), np.uint32, len(parts)).tobytes() + b"".join(parts))
@@ -86,7 +95,12 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, text: str = "text") ->
 
         def flush():
             block = task << 32 | seq
-            words = [w.encode() for w in index]
+            every = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.uint32)
+            order = np.argsort(-np.bincount(every, minlength=len(index)), kind="stable")  # frequent words get small numbers, which pack well
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            first = list(index)
+            words = [first[i].encode() for i in order.tolist()]
             at = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.uint32, len(words))
             order = np.argsort(at, kind="stable")
             ends = np.searchsorted(at[order], np.arange(buckets + 1))
@@ -94,14 +108,14 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, text: str = "text") ->
             for b in range(buckets):
                 own = order[ends[b] : ends[b + 1]]
                 if len(own):
-                    out.append((block, 0, b, None, len(own), _packed(own.astype(np.uint32).tobytes()), _joined([words[i] for i in own.tolist()])))
-            return _batch(out + [(block, 1, None, *r) for r in rows], kind)
+                    out.append((block, 0, b, None, len(own), _planes(own), _joined([words[i] for i in own.tolist()])))
+            return _batch(out + [(block, 1, None, doc_id, n, None, _planes(rank[x])) for doc_id, n, x in rows], kind)
 
         for part in rows_in_slices(batches):
             kind = part.column(0).type
             for doc_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = find(x or "")
-                rows.append((doc_id, len(words), None, _packed(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)).tobytes())))
+                rows.append((doc_id, len(words), np.fromiter(map(index.__getitem__, words), np.uint32, len(words))))
                 chars += len(x or "")
                 if chars >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
                     yield flush()
@@ -160,13 +174,13 @@ def _reassemble(rows: DataFrame, ranks, finish, schema: str) -> DataFrame:
                 if r["block"] != block:
                     block, ids = r["block"], []
                 if r["kind"] == 0:
-                    places = np.frombuffer(_unpacked(r["places"]), np.uint32)
+                    places = _from_planes(r["places"])
                     if (size := int(places.max()) + 1) > len(ids):
                         ids += [b""] * (size - len(ids))
                     for i, x in zip(places.tolist(), _parts(r["payload"], r["n"]), strict=True):
                         ids[i] = x
                 else:
-                    places = np.frombuffer(_unpacked(r["payload"]), np.uint32).tolist()
+                    places = _from_planes(r["payload"]).tolist()
                     out.append(finish(r["doc_id"], b"".join([ids[i] for i in places]), table))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
