@@ -1,11 +1,13 @@
 """Byte-level BPE by a global shuffle of distinct pre-tokens.
 
-Documents are cut into blocks.  One pass over a block's texts gives its distinct
-pre-tokens and, for each document, the positions as indexes into them (an exploded
-(document, position, word) table holds the same, but needs many times the shuffle).  The
-blocks' distinct words meet by word hash, where each distinct word is encoded once; their
-ids go back to the block, and every document is put together again by position.  Ids are
-decoded by the table from id to bytes, which has the vocabulary's fixed size.
+Documents are cut into blocks.  A pass over a block's texts gives its distinct pre-tokens;
+these meet by word hash, where each distinct word is encoded once, and their ids go back
+to the block.  A second pass gives, for each document, its positions as indexes into the
+block's distinct words, and every document is put together again by position.  (An
+exploded (document, position, word) table holds the same, but needs many times the
+shuffle; storing the first pass for the second needs twice the disk.)  A block is named
+by a hash of what it holds, so a pass that would see other blocks fails instead of mixing
+them.  Ids are decoded by the table from id to bytes, which has the vocabulary's size.
 
 Null texts count as empty and have no ids.  Rows are never merged: equal documents and
 equal doc_ids give equal rows each.
@@ -23,13 +25,12 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import rows_in_slices, written
+from fuzzloom.llm.common import rows_in_slices
 
-BLOCK_CHARS, BLOCK_DOCS = 8_000_000, 8192
+BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 4096
 #: Distinct words of a bucket are held in one task at a time; blocks give so many rows each.
 BUCKETS = 64
 _PIECES: dict = {}
@@ -48,7 +49,7 @@ class _Index(dict):
 
 
 def _packed(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=3).compress(x)
 
 
 def _unpacked(x: bytes) -> bytes:
@@ -66,13 +67,14 @@ def _from_planes(x: bytes) -> np.ndarray:
 
 def _joined(parts: list[bytes]) -> bytes:
     """Byte strings with their lengths, packed."""
-    return _packed(np.fromiter(map(len, parts), np.uint32, len(parts)).tobytes() + b"".join(parts))
+    n = _planes(np.fromiter(map(len, parts), np.uint32, len(parts)))
+    return len(n).to_bytes(4, "little") + n + _packed(b"".join(parts))
 
 
-def _parts(x: bytes, n: int) -> list[bytes]:
-    raw = _unpacked(x)
-    ends = np.cumsum(np.frombuffer(raw, np.uint32, n).astype(np.int64)) + 4 * n
-    at = [4 * n, *ends.tolist()]
+def _parts(x: bytes) -> list[bytes]:
+    size = 4 + int.from_bytes(x[:4], "little")
+    raw = _unpacked(x[size:])
+    at = [0, *np.cumsum(_from_planes(x[4:size]).astype(np.int64)).tolist()]
     return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
@@ -86,40 +88,43 @@ def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types.values(), strict=True)], names=list(types))
 
 
-def _blocks(docs: DataFrame, pattern: str, buckets: int, text: str = "text") -> DataFrame:
+def _blocks(docs: DataFrame, pattern: str, buckets: int, pages: bool, text: str = "text") -> DataFrame:
+    """The pages of distinct words, or the documents, of all blocks."""
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        find, task = regex.compile(pattern).findall, TaskContext.get().partitionId()
-        seq, index, rows, chars, kind = 0, _Index(), [], 0, None
+        find, index, rows, chars, kind, name = regex.compile(pattern).findall, _Index(), [], 0, None, xxhash.xxh3_64()
 
         def flush():
-            block = task << 32 | seq
-            every = np.concatenate([r[2] for r in rows]) if rows else np.zeros(0, np.uint32)
+            block = name.intdigest() - (1 << 63)
+            every = np.concatenate([r[2] for r in rows])
             order = np.argsort(-np.bincount(every, minlength=len(index)), kind="stable")  # frequent words get small numbers, which pack well
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            first = list(index)
-            words = [first[i].encode() for i in order.tolist()]
-            at = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.uint32, len(words))
-            order = np.argsort(at, kind="stable")
-            ends = np.searchsorted(at[order], np.arange(buckets + 1))
+            if not pages:
+                rank = np.empty(len(order), np.uint32)
+                rank[order] = np.arange(len(order), dtype=np.uint32)
+                return _batch([(block, 1, None, doc_id, n, None, _planes(rank[x])) for doc_id, n, x in rows], kind)
+            first = [w.encode() for w in index]
+            words = [first[i] for i in order.tolist()]
+            dealt = [[] for _ in range(buckets)]
+            for i, w in enumerate(words):
+                dealt[xxhash.xxh3_64_intdigest(w) % buckets].append(i)
             out = []
-            for b in range(buckets):
-                own = order[ends[b] : ends[b + 1]]
-                if len(own):
-                    out.append((block, 0, b, None, len(own), _planes(own), _joined([words[i] for i in own.tolist()])))
-            return _batch(out + [(block, 1, None, doc_id, n, None, _planes(rank[x])) for doc_id, n, x in rows], kind)
+            for b, own in enumerate(dealt):
+                if own:
+                    own.sort(key=words.__getitem__)
+                    out.append((block, 0, b, None, len(own), _planes(np.array(own, np.uint32)), _joined([words[i] for i in own])))
+            return _batch(out, kind)
 
         for part in rows_in_slices(batches):
             kind = part.column(0).type
             for doc_id, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 words = find(x or "")
                 rows.append((doc_id, len(words), np.fromiter(map(index.__getitem__, words), np.uint32, len(words))))
+                name.update(f"{doc_id} {x}".encode())
                 chars += len(x or "")
                 if chars >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
                     yield flush()
-                    seq, index, rows, chars = seq + 1, _Index(), [], 0
+                    index, rows, chars, name = _Index(), [], 0, xxhash.xxh3_64()
         if rows:
             yield flush()
 
@@ -146,7 +151,7 @@ def _encode_pages(pages: DataFrame, ranks, pattern: str) -> DataFrame:
                 if r["bucket"] != bucket:
                     bucket, known = r["bucket"], {}
                 ids = []
-                for w in _parts(r["payload"], r["n"]):
+                for w in _parts(r["payload"]):
                     if (got := known.get(w)) is None:
                         known[w] = got = np.array(encode(w), np.uint32).tobytes()
                     ids.append(got)
@@ -176,8 +181,8 @@ def _reassemble(rows: DataFrame, ranks, finish, schema: str) -> DataFrame:
                 if r["kind"] == 0:
                     places = _from_planes(r["places"])
                     if (size := int(places.max()) + 1) > len(ids):
-                        ids += [b""] * (size - len(ids))
-                    for i, x in zip(places.tolist(), _parts(r["payload"], r["n"]), strict=True):
+                        ids += [None] * (size - len(ids))
+                    for i, x in zip(places.tolist(), _parts(r["payload"]), strict=True):
                         ids[i] = x
                 else:
                     places = _from_planes(r["payload"]).tolist()
@@ -192,9 +197,8 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, finish, columns: str, b
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # the vocabulary: its size doesn't depend on the documents
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = written(_blocks(docs, pattern, buckets))
-    pages = stored.filter("kind = 0").repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket")
-    back = _encode_pages(pages, ranks, pattern).unionByName(stored.filter("kind = 1"))
+    pages = _blocks(docs, pattern, buckets, True).repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket")
+    back = _encode_pages(pages, ranks, pattern).unionByName(_blocks(docs, pattern, buckets, False))
     by_block = back.repartition(parts, "block").sortWithinPartitions("block", "kind")
     return _reassemble(by_block, ranks, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
 
