@@ -44,11 +44,35 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.secret_scan import secret_spans
+
+    return secret_spans(documents(spark, sf_dir))
+
+
+def op3_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.hash_ring import shard_documents
+
+    return shard_documents(documents(spark, sf_dir))
+
+
+def op8_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.line_windows import dedup_lines
+
+    return dedup_lines(documents(spark, sf_dir))
+
+
+def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.cube_mix import mix_documents
+
+    return mix_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from fuzzloom.llm import rule_ledger
+    from fuzzloom.llm import line_windows, rule_ledger
 
-    return {"op5_rule_ledger": rule_ledger.ORACLE}
+    return {"op5_rule_ledger": rule_ledger.ORACLE, "op8_line_windows": line_windows.ORACLE}
