@@ -31,14 +31,24 @@ from fuzzloom.llm.common import by_slice, rows_in_slices, shared_dir
 _HELD: dict = {}
 
 
-class _Pieces(dict):
-    """Ids of pieces as little-endian bytes; at most LIMIT of them."""
+#: Pieces, and their stems, that a worker remembers at most.
+LIMIT = 400_000
 
-    LIMIT = 300_000
+
+def _stem(piece: str) -> tuple[str, str]:
+    """A piece as a stem whose ids are known alike and a closing mark.
+
+    Letters of Latin blocks are lower-cased by the tokenizer anyway, and a mark after a letter is a token of its own."""
+    core, mark = (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".,;:!?" else (piece, "")
+    if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+        return core.lower(), mark
+    return piece, ""
 
 
 def tokenizer_ids(path: str):
-    """A function from texts to each one's ids as little-endian unsigned 32-bit integers."""
+    """A function from texts to each one's ids as little-endian unsigned 32-bit integers.
+
+    New stems of letters are encoded many at a time: each is one word, whose last token says so."""
     if path in _HELD:
         return _HELD[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,16 +56,41 @@ def tokenizer_ids(path: str):
 
     t = Tokenizer.from_file(path)
     encode = getattr(t, "encode_batch_fast", t.encode_batch)
-    known = _Pieces()
+    closes = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
+    known: dict[str, bytes] = {}
+    stems: dict[str, bytes] = {}
+
+    def one_by_one(new: list[str]) -> None:
+        for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
+            stems[w] = np.array(e.ids, np.uint32).tobytes()
+
+    def learn(new: list[str]) -> None:
+        words, others = [w for w in new if w.isalpha() and max(w) < "\u0250"], [w for w in new if not (w.isalpha() and max(w) < "\u0250")]
+        one_by_one(others)
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(encode([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(closes[ids]) + 1
+            if len(ends) != len(some):
+                one_by_one(some)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            for w, low, high in zip(some, at, at[1:], strict=False):
+                stems[w] = raw[low:high]
 
     def ids(texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > _Pieces.LIMIT:
+        new = {w for words in split for w in words if w not in known}
+        if len(known) + len(new) > LIMIT:
             known.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
+            new = {w for words in split for w in words}
+        parts = {w: _stem(w) for w in new}
+        need = {x for pair in parts.values() for x in pair}
+        if len(stems) + len(need) > LIMIT:
+            stems.clear()
+        learn([w for w in need if w not in stems])
+        for w, (core, mark) in parts.items():
+            known[w] = stems[core] + stems[mark]
         return [b"".join([known[w] for w in words]) for words in split]
 
     _HELD[path] = ids
