@@ -24,6 +24,12 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(documents(spark, sf_dir))
 
 
+def op4_shingle_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.shingle_forest import link_documents
+
+    return link_documents(documents(spark, sf_dir))
+
+
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fuzzloom.llm.rule_ledger import verdicts
 

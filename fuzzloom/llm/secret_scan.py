@@ -44,7 +44,9 @@ def labelled_samples(docs: DataFrame, random_rows: int = RANDOM_ROWS, document_r
     raw = F.base64(F.unhex(digest))
     upper = F.translate(raw, "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ012")
     noise = docs.sparkSession.range(random_rows).select(F.explode(F.array(digest, raw, F.translate(raw, "+/=", "ab"), upper)).alias("word"), F.lit(True).alias("random"))
-    some = docs.filter(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(document_rows)
+    hashes = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"))
+    edge = hashes.orderBy("h").limit(document_rows).agg(F.max("h")).first()[0]
+    some = docs.filter(F.xxhash64("doc_id") <= F.lit(edge).cast("long"))
     words = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])"), F.lit(0)), lambda w: F.length(w) < 24)
     pairs = lambda f: F.transform(words, lambda w: f(F.lower(w)))
     joined = F.flatten(F.array(words, pairs(lambda w: F.concat(w, F.lit("_id"))), pairs(lambda w: F.concat(F.lit("get"), F.initcap(w), F.lit("_"), w)), pairs(lambda w: F.concat(w, F.lit("-"), w, F.lit("/"), w))))

@@ -16,6 +16,7 @@ other in an order given by their text.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,14 +36,22 @@ _HELD: dict = {}
 LIMIT = 400_000
 
 
-def _stem(piece: str) -> tuple[str, str]:
-    """A piece as a stem whose ids are known alike and a closing mark.
+#: Marks around letters are tokens of their own; apostrophes may belong to the letters after them.
+_AROUND = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    Letters of Latin blocks are lower-cased by the tokenizer anyway, and a mark after a letter is a token of its own."""
-    core, mark = (piece[:-1], piece[-1]) if len(piece) > 1 and piece[-1] in ".,;:!?" else (piece, "")
-    if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
-        return core.lower(), mark
-    return piece, ""
+
+def _latin(word: str) -> bool:
+    """Letters that the tokenizer's normal form leaves in place and lower-cases one by one."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250" and "\u0130" not in word)
+
+
+def _parts(piece: str) -> tuple[str, ...]:
+    """A piece as parts whose ids stand side by side."""
+    if _latin(piece):
+        return (piece.lower(),)
+    if "<|" not in piece and (m := _AROUND(piece)) and _latin(m[2]):
+        return m[1], m[2].lower(), m[3]
+    return (piece,)
 
 
 def tokenizer_ids(path: str):
@@ -65,7 +74,7 @@ def tokenizer_ids(path: str):
             stems[w] = np.array(e.ids, np.uint32).tobytes()
 
     def learn(new: list[str]) -> None:
-        words, others = [w for w in new if w.isalpha() and max(w) < "\u0250"], [w for w in new if not (w.isalpha() and max(w) < "\u0250")]
+        words, others = [w for w in new if _latin(w)], [w for w in new if not _latin(w)]
         one_by_one(others)
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
@@ -80,18 +89,18 @@ def tokenizer_ids(path: str):
 
     def ids(texts: list[str]) -> list[bytes]:
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = {w for words in split for w in words if w not in known}
+        every = set().union(*split)
+        new = every.difference(known)
         if len(known) + len(new) > LIMIT:
             known.clear()
-            new = {w for words in split for w in words}
-        parts = {w: _stem(w) for w in new}
-        need = {x for pair in parts.values() for x in pair}
-        if len(stems) + len(need) > LIMIT:
+            new = every
+        if len(stems) > LIMIT:
             stems.clear()
-        learn([w for w in need if w not in stems])
-        for w, (core, mark) in parts.items():
-            known[w] = stems[core] + stems[mark]
-        return [b"".join([known[w] for w in words]) for words in split]
+        parts = list(map(_parts, new))
+        learn(list({x for p in parts for x in p}.difference(stems)))
+        for w, p in zip(new, parts, strict=True):
+            known[w] = stems[p[0]] if len(p) == 1 else stems[p[0]] + stems[p[1]] + stems[p[2]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
     _HELD[path] = ids
     return ids
@@ -110,7 +119,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, e
 
     def run(batches: Iterator[pa.RecordBatch]):
         ids, at, task, end = tokenizer_ids(tokenizer_path), 0, TaskContext.get().partitionId(), np.array([end_id], np.uint32).tobytes()
-        for part in rows_in_slices(batches, 256):
+        for part in rows_in_slices(batches, 1024):
             raw = [x + end for x in ids([x or "" for x in part.column(1).to_pylist()])]
             n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
             ends = np.cumsum(n)
