@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from fuzzloom.llm.common import mixed, rows_in_slices, shingles, written
 
 MARGIN = 0.15
+ROUNDS = 3
 BLOCK = 768  # items of a block in the exact comparison
 _U64 = np.uint64
 
@@ -108,11 +109,14 @@ def groups(signed: DataFrame, threshold: float) -> DataFrame | None:
     """(item, grp) of items that may be linked; signed has (item, keys, sketch), once per item."""
     sketches = signed.select("item", "sketch")
     keys, edges = signed.select(F.explode("keys").alias("key"), "item"), []
-    while True:
+    for last in [False] * ROUNDS + [True]:
         hubs = keys.groupBy("key").agg(F.min("item").alias("hub"), F.max("item").alias("top")).filter("hub <> top").select("key", "hub")
         held = written(keys.join(hubs, "key").filter("item <> hub"))
         if held.isEmpty():
             break
+        if last:
+            edges.append(held.select(F.col("hub").alias("a"), F.col("item").alias("b")))
+            break
         near = written(_nearness(held.select("hub", "item").distinct(), sketches))
         edges.append(near.filter(F.col("near") >= 3 * threshold - 2 - MARGIN).select(F.col("hub").alias("a"), F.col("item").alias("b")))
         far = near.filter(F.col("near") < 2 * threshold - 1 + MARGIN).select("hub", "item")

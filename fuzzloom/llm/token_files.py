@@ -32,8 +32,8 @@ from fuzzloom.llm.common import by_slice, rows_in_slices, shared_dir
 _HELD: dict = {}
 
 
-#: Pieces, and their stems, that a worker remembers at most.
-LIMIT = 400_000
+#: Pieces that a worker holds in each of two generations: what a full one held stays while it is used again.
+LIMIT = 350_000
 
 
 #: Marks around letters are tokens of their own; apostrophes may belong to the letters after them.
@@ -66,12 +66,12 @@ def tokenizer_ids(path: str):
     t = Tokenizer.from_file(path)
     encode = getattr(t, "encode_batch_fast", t.encode_batch)
     closes = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(t.get_vocab_size())])
-    known: dict[str, bytes] = {}
-    stems: dict[str, bytes] = {}
+    young: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
 
     def one_by_one(new: list[str]) -> None:
         for w, e in zip(new, encode(new, add_special_tokens=False), strict=True):
-            stems[w] = np.array(e.ids, np.uint32).tobytes()
+            young[w] = np.array(e.ids, np.uint32).tobytes()
 
     def learn(new: list[str]) -> None:
         words, others = [w for w in new if _latin(w)], [w for w in new if not _latin(w)]
@@ -85,22 +85,31 @@ def tokenizer_ids(path: str):
                 continue
             raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
             for w, low, high in zip(some, at, at[1:], strict=False):
-                stems[w] = raw[low:high]
+                young[w] = raw[low:high]
+
+    def recall(words: set[str]) -> set[str]:
+        """Those that neither generation knows; the others are young now."""
+        words = words.difference(young)
+        again = words.intersection(old)
+        for w in again:
+            young[w] = old[w]
+        return words - again
 
     def ids(texts: list[str]) -> list[bytes]:
+        nonlocal young, old
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        every = set().union(*split)
-        new = every.difference(known)
-        if len(known) + len(new) > LIMIT:
-            known.clear()
-            new = every
-        if len(stems) > LIMIT:
-            stems.clear()
+        new = recall(set().union(*split))
         parts = list(map(_parts, new))
-        learn(list({x for p in parts for x in p}.difference(stems)))
+        learn(list(recall({x for p in parts for x in p})))
         for w, p in zip(new, parts, strict=True):
-            known[w] = stems[p[0]] if len(p) == 1 else stems[p[0]] + stems[p[1]] + stems[p[2]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            if len(p) == 3:
+                young[w] = young[p[0]] + young[p[1]] + young[p[2]]
+            elif p[0] != w:
+                young[w] = young[p[0]]
+        out = [b"".join(map(young.__getitem__, words)) for words in split]
+        if len(young) > LIMIT:
+            young, old = {}, young
+        return out
 
     _HELD[path] = ids
     return ids
