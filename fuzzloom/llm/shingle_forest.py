@@ -54,18 +54,18 @@ def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     found = links(unique, content, threshold, width)
     of = signed.select("doc_id", "tie", "item").join(found, "item", "left").withColumn("root", F.coalesce("root", "item")).join(items.select("item", F.col("rep.doc_id").alias("copy_id")), "item")
     least = of.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return of.join(least, "root").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copy_id", "tie")
+    return of.join(least, "root").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copy_id", "tie", "root")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    return near_documents(docs.select("doc_id", "text")).drop("tie")
+    return near_documents(docs.select("doc_id", "text")).drop("tie", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, all columns, of which each class keeps the one with the least doc_id.
 
     Rows that share this doc_id and text stay together once."""
-    kept = near_documents(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_id")).agg(F.min("tie").alias("_tie"))
+    kept = near_documents(docs.select("doc_id", "text")).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("m")).select(F.col("m.doc_id").alias("_id"), F.col("m.tie").alias("_tie"))
     rows = docs.withColumn("_own", F.xxhash64("text"))
     both = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")), "left_semi")
     return both.dropDuplicates(["doc_id", "_own"]).drop("_own")

@@ -98,7 +98,8 @@ def tokenizer_ids(path: str):
     def ids(texts: list[str]) -> list[bytes]:
         nonlocal young, old
         split = [x.replace("\n", " ").split(" ") for x in texts]
-        new = recall(set().union(*split))
+        every = set().union(*split)
+        new = recall(every)
         parts = list(map(_parts, new))
         learn(list(recall({x for p in parts for x in p})))
         for w, p in zip(new, parts, strict=True):
@@ -106,7 +107,8 @@ def tokenizer_ids(path: str):
                 young[w] = young[p[0]] + young[p[1]] + young[p[2]]
             elif p[0] != w:
                 young[w] = young[p[0]]
-        out = [b"".join(map(young.__getitem__, words)) for words in split]
+        near = {w: young[w] for w in every}  # small enough for the caches
+        out = [b"".join(map(near.__getitem__, words)) for words in split]
         if len(young) > LIMIT:
             young, old = {}, young
         return out
@@ -128,7 +130,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, e
 
     def run(batches: Iterator[pa.RecordBatch]):
         ids, at, task, end = tokenizer_ids(tokenizer_path), 0, TaskContext.get().partitionId(), np.array([end_id], np.uint32).tobytes()
-        for part in rows_in_slices(batches, 1024):
+        for part in rows_in_slices(batches, 384):
             raw = [x + end for x in ids([x or "" for x in part.column(1).to_pylist()])]
             n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
             ends = np.cumsum(n)
