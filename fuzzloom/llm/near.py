@@ -78,18 +78,25 @@ class Signer:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in edges (a, b): the least id that it is linked with.
 
-    Least labels spread along edges and labels jump to their labels' labels; nothing is collected."""
-    both = written(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
-    label = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")))
+    Every id points to its least neighbour and to that one's; edges are contracted to what
+    they point to, and shrink fast, until none is left.  Nothing is collected."""
+    left = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    steps = []
     while True:
-        near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
-        lower = label.join(near, "id", "left").select("id", "root", F.least("root", "m").alias("next"))
-        jump = label.select(F.col("id").alias("next"), F.col("root").alias("jump"))
-        new = written(lower.join(jump, "next", "left").select("id", F.least("next", "jump").alias("root"), (F.least("next", "jump") != F.col("root")).alias("moved")))
-        moved = new.filter("moved").limit(1).count()
-        label = new.select("id", "root")
-        if not moved:
-            return label
+        ends = left.select(F.col("b").alias("id"), "a").unionByName(left.select(F.col("a").alias("id"), "a"))
+        point = ends.groupBy("id").agg(F.min("a").alias("to"))
+        over = point.select(F.col("id").alias("to"), F.col("to").alias("then"))
+        point = written(point.join(over, "to").select("id", F.col("then").alias("to")))
+        steps.append(point)
+        by = lambda k: point.select(F.col("id").alias(k), F.col("to").alias(f"_{k}"))  # noqa: B023, E731
+        moved = left.filter("a <> b").join(by("a"), "a").join(by("b"), "b").filter("_a <> _b")
+        left = written(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        if left.isEmpty():
+            break
+    label = steps[0].withColumnRenamed("to", "root")
+    for later in steps[1:]:
+        label = label.join(later.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    return label
 
 
 def _nearness(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -150,7 +157,7 @@ def jaccards(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
     owner, code = owner[shared], np.unique(code[shared], return_inverse=True)[1]
     n, m = len(left), len(every)
     inter = np.zeros((n, m - n if right is not None else m), np.float64)
-    width = max(1, 8_000_000 // max(m, 1))
+    width = min(max(1, 8_000_000 // max(m, 1)), int(code.max()) + 1 if len(code) else 1)
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
     for at in range(0, int(code[-1]) + 1 if len(code) else 0, width):
