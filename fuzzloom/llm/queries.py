@@ -74,6 +74,12 @@ def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(documents(spark, sf_dir))
 
 
+def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.paragraph_bands import digest
+
+    return digest(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
