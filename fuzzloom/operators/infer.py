@@ -17,8 +17,9 @@ def pair_scores(queries: DataFrame, table: DataFrame, features: list[str]) -> Da
     return queries.select("id", "y").join(d, "id", "left")
 
 
-def log_ratio(d0: Column = F.col("d0"), d1: Column = F.col("d1"), n: int = 1) -> Column:
-    """Guarded log ratio; 0 where nothing was decided."""
+def log_ratio(n: int = 1) -> Column:
+    """Guarded log ratio of d1 and d0; 0 where nothing was decided."""
+    d0, d1 = F.col("d0"), F.col("d1")
     return F.coalesce(F.ln(d1 / F.lit(float(n)) + EPS) - F.ln(d0 / F.lit(float(n)) + EPS), F.lit(0.0))
 
 
