@@ -75,6 +75,16 @@ class Signer:
         return name, key.view(np.int64).tolist(), low.astype(np.uint16).tobytes()
 
 
+    def many(self, windows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and sketches of several sets that stand side by side, from their first places on."""
+        low = np.minimum.reduceat((windows[None, :] * self.a + self.b) >> _U64(32), starts, axis=1).T
+        rows = low.reshape(len(starts), self.trees, self.depth)
+        key = np.tile(self.salt, (len(starts), 1))
+        for k in range(self.depth):
+            key = mixed(key * _U64(0x9E3779B97F4A7C15) + rows[:, :, k])
+        return key.view(np.int64), low.astype(np.uint16)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every id in edges (a, b): the least id that it is linked with.
 

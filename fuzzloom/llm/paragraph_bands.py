@@ -20,6 +20,7 @@ shorter than SHORTEST words are none.  Rows that share doc_id and text are the s
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +60,25 @@ def picked(h: np.ndarray, among: int = AMONG) -> np.ndarray:
     return np.unique(at[among - 1 :])
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
-    """The lines of enough words as (first word, end, shingles)."""
-    out, at = [], 0
+def paragraphs(text: str | None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """The lines of enough words as (first word, end); their shingles side by side; each one's first place."""
+    spans, held, at = [], [], 0
     for line in (text or "").split("\n"):
         h = word_hashes(line)
         if len(h) >= SHORTEST:
-            out.append((at, at + len(h), np.unique(window_hashes(h, WIDTH))))
+            spans.append((at, at + len(h)))
+            held.append(h)
         at += len(h)
-    return out
+    if not held:
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    ends = np.cumsum(sizes)
+    w = window_hashes(np.concatenate(held), WIDTH)
+    inside = np.ones(int(ends[-1]), bool)
+    for k in range(1, WIDTH):
+        inside[ends - k] = False  # these would reach into the next line
+    counts = sizes - WIDTH + 1
+    return spans, w[inside[: len(w)]], np.cumsum(counts) - counts
 
 
 LINE = "doc_id long, tie long, start int, stop int, item binary, keys array<long>, sketch binary"
@@ -82,10 +93,17 @@ def line_items(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
         def f(part):
             out = {k.split()[0]: [] for k in LINE.split(", ")}
             for doc_id, tie, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                for a, b, sets in paragraphs(text):
-                    item, keys, sketch = sign(sets)
-                    for k, v in zip(out, (doc_id, tie, a, b, item, keys, sketch), strict=True):
-                        out[k].append(v)
+                spans, sets, first = paragraphs(text)
+                if not spans:
+                    continue
+                keys, sketch = sign.many(sets, first)
+                out["doc_id"] += [doc_id] * len(spans)
+                out["tie"] += [tie] * len(spans)
+                out["start"] += [x for x, _ in spans]
+                out["stop"] += [x for _, x in spans]
+                out["item"] += [xxhash.xxh3_128_digest(np.unique(x).tobytes()) for x in np.split(sets, first[1:])]
+                out["keys"] += keys.tolist()
+                out["sketch"] += [x.tobytes() for x in sketch]
             return out
 
         return f
@@ -118,7 +136,7 @@ def window_items(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, tie, start, stop, first long, line boolean): all later paragraphs; first is the doc_id that holds the first one."""
     place = F.struct("doc_id", "start", "tie")
-    wins = window_items(docs)
+    wins = written(window_items(docs))
     first = wins.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
     later = wins.join(first, "item").filter(~place.eqNullSafe(F.col("first")))
     same = later.select("doc_id", "tie", "start", (F.col("start") + WINDOW).alias("stop"), F.col("first.doc_id").alias("first"), F.lit(False).alias("line"))
