@@ -85,7 +85,7 @@ def friedman(df: DataFrame, block: str = "block", method: str = "method", value:
     k, n = (df.select(method).distinct().count(), df.select(block).distinct().count())
     if k < 3 or n < 2:
         raise ValueError("it takes three methods and two blocks")
-    sums = [r[0] for r in ranks.groupBy(method).agg(F.sum("rank_avg")).collect()]
+    sums = [r[1] for r in ranks.groupBy(method).agg(F.sum("rank_avg")).collect()]
     ties = ranks.groupBy(block, value).count().agg(F.sum(F.col("count") * F.col("count") * F.col("count") - F.col("count"))).first()[0]
     scale = 1 - ties / (n * k * (k * k - 1))
     if scale <= 0:
