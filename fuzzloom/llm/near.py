@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -179,33 +178,58 @@ def jaccards(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> n
     return inter / np.maximum(a + b - inter, 1)
 
 
-def _compare(threshold: float, width: int):
-    def run(table: pa.Table) -> pa.Table:
-        pdf = table.to_pandas().drop_duplicates("item")
-        sides = [pdf[pdf["side"] == s] for s in (0, 1)]
-        lone = not len(sides[1])
-        left = [shingles(x, width) for x in sides[0]["text"]]
-        near = jaccards(left) if lone else jaccards(left, [shingles(x, width) for x in sides[1]["text"]])
-        hit = near >= threshold - 1e-12
-        if lone:
-            np.fill_diagonal(hit, False)
-        items = pd.concat([sides[0]["item"], sides[1]["item"]]).tolist()
-        links = hit.sum(axis=1).tolist() + ([] if lone else hit.sum(axis=0).tolist())
-        root = list(range(len(items)))
+def _linked(lone: bool, left: dict, right: dict, threshold: float, width: int) -> list[tuple[bytes, bytes, int]]:
+    """(item, a linked item, n_links) of one unit's items with a link: among left if lone, else between left and right (item -> text)."""
+    items = [*left, *right]
+    if len(left) < 2 if lone else not (left and right):
+        return []
+    sets = [shingles(x, width) for x in left.values()], [shingles(x, width) for x in right.values()]
+    if len(items) == 2:  # most units
+        x, y = sets[0] + sets[1]
+        inter = len(np.intersect1d(x, y, assume_unique=True))
+        return [(k, items[0], 1) for k in items] if inter / max(len(x) + len(y) - inter, 1) >= threshold - 1e-12 else []
+    hit = (jaccards(sets[0]) if lone else jaccards(*sets)) >= threshold - 1e-12
+    if lone:
+        np.fill_diagonal(hit, False)
+    count = hit.sum(axis=1).tolist() + ([] if lone else hit.sum(axis=0).tolist())
+    root = list(range(len(items)))
 
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
 
-        for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-            a, b = find(i), find(j if lone else len(left) + j)
-            root[max(a, b)] = min(a, b)
-        own = [i for i, n in enumerate(links) if n]
-        return pa.table({"item": pa.array([items[i] for i in own], pa.binary()), "near": pa.array([items[find(i)] for i in own], pa.binary()), "n_links": pa.array([links[i] for i in own], pa.int64())})
+    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+        a, b = find(i), find(j if lone else len(left) + j)
+        root[max(a, b)] = min(a, b)
+    return [(items[i], items[find(i)], n) for i, n in enumerate(count) if n]
 
-    return run
+
+def _compare(units: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(item, near, n_links) of all units (unit, side, item, text).
+
+    Rows are sorted by unit and read in that order, so a task holds one unit at a time and small ones cost little."""
+
+    def table(rows):
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["item", "near", "n_links"])
+
+    def run(batches):
+        now, sides, out = (b"", 0, 0), ({}, {}), []
+        for part in batches:
+            for grp, i, j, side, item, text in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                if (grp, i, j) != now:
+                    out += _linked(now[1] == now[2], *sides, threshold, width)
+                    now, sides = (grp, i, j), ({}, {})
+                sides[side].setdefault(item, text)
+            if len(out) > 4096:
+                yield table(out)
+                out = []
+        yield table(out + _linked(now[1] == now[2], *sides, threshold, width))
+
+    rows = units.select("unit.grp", "unit.i", "unit.j", "side", "item", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return rows.mapInArrow(run, "item binary, near binary, n_links long")
 
 
 def links(signed: DataFrame, content: Callable[[DataFrame], DataFrame], threshold: float = 0.8, width: int = 5) -> DataFrame:
@@ -217,7 +241,7 @@ def links(signed: DataFrame, content: Callable[[DataFrame], DataFrame], threshol
     if found is None:
         return spark.createDataFrame([], "item binary, root binary, n_links long")
     units = content(blocked(written(found)))
-    exact = written(units.select("unit", "side", "item", "text").groupBy("unit").applyInArrow(_compare(threshold, width), "item binary, near binary, n_links long"))
+    exact = written(_compare(units, threshold, width))
     counted = exact.groupBy("item").agg(F.sum("n_links").alias("n_links"))
     roots = components(exact.select(F.col("item").alias("a"), F.col("near").alias("b")))
     return counted.join(roots.withColumnRenamed("id", "item"), "item").select("item", "root", "n_links")
