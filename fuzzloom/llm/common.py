@@ -91,10 +91,15 @@ _HASHES = WordHashes()
 _C = 0x9E3779B97F4A7C15
 
 
+def hashes(words: Iterable[bytes], n: int) -> np.ndarray:
+    """One 64-bit hash for each of n words."""
+    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """One 64-bit hash for each word of a text."""
     words = (text or "").encode().split()
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    return hashes(words, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

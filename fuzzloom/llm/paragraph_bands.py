@@ -19,12 +19,14 @@ shorter than SHORTEST words are none.  Rows that share doc_id and text are the s
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import by_slice, window_hashes, word_hashes, written
+from fuzzloom.llm.common import by_slice, hashes, window_hashes, written
 from fuzzloom.llm.near import Signer, links
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
@@ -60,87 +62,92 @@ def picked(h: np.ndarray, among: int = AMONG) -> np.ndarray:
     return np.unique(at[among - 1 :])
 
 
-def paragraphs(text: str | None) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """The lines of enough words as (first word, end); their shingles side by side; each one's first place."""
-    spans, held, at = [], [], 0
-    for line in (text or "").split("\n"):
-        h = word_hashes(line)
-        if len(h) >= SHORTEST:
-            spans.append((at, at + len(h)))
-            held.append(h)
-        at += len(h)
-    if not held:
-        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sizes = np.fromiter(map(len, held), np.int64, len(held))
+def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """The hashes of all words; the lines of enough words as (first word, end); their shingles side by side; each one's first place."""
+    lines = [x.split() for x in (text or "").encode().split(b"\n")]
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = hashes(chain.from_iterable(lines), int(sizes.sum()))
     ends = np.cumsum(sizes)
-    w = window_hashes(np.concatenate(held), WIDTH)
-    inside = np.ones(int(ends[-1]), bool)
+    enough = sizes >= SHORTEST
+    if not enough.any():
+        return h, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = np.repeat(enough, sizes)
     for k in range(1, WIDTH):
-        inside[ends - k] = False  # these would reach into the next line
-    counts = sizes - WIDTH + 1
-    return spans, w[inside[: len(w)]], np.cumsum(counts) - counts
+        inside[ends[enough] - k] = False  # these would reach into the next line
+    w = window_hashes(h, WIDTH)
+    counts = sizes[enough] - WIDTH + 1
+    spans = list(zip((ends - sizes)[enough].tolist(), ends[enough].tolist(), strict=True))
+    return h, spans, w[inside[: len(w)]], np.cumsum(counts) - counts
 
 
-LINE = "doc_id long, tie long, start int, stop int, item binary, keys array<long>, sketch binary"
+def names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """128 bits of hash of each set's sorted distinct shingles."""
+    n = len(first)
+    owner = np.repeat(np.arange(n), np.diff(np.append(first, len(sets))))
+    order = np.lexsort((sets, owner))
+    sets, owner = sets[order], owner[order]
+    new = np.ones(len(sets), bool)
+    new[1:] = (sets[1:] != sets[:-1]) | (owner[1:] != owner[:-1])
+    raw, at = sets[new].tobytes(), (8 * np.searchsorted(owner[new], np.arange(n + 1))).tolist()
+    return [xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
-def line_items(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
-    """One row per line that is a paragraph, with item, keys and sketch."""
+DOC, WIN, LINE = 0, 1, 2
+PART = "kind int, doc_id long, tie long, start int, stop int, win long, item binary, keys array<long>, sketch binary"
 
-    def make():
-        sign = Signer(bands, rows)
 
-        def f(part):
-            out = {k.split()[0]: [] for k in LINE.split(", ")}
-            for doc_id, tie, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                spans, sets, first = paragraphs(text)
-                if not spans:
-                    continue
-                keys, sketch = sign.many(sets, first)
-                out["doc_id"] += [doc_id] * len(spans)
-                out["tie"] += [tie] * len(spans)
-                out["start"] += [x for x, _ in spans]
-                out["stop"] += [x for _, x in spans]
-                out["item"] += [xxhash.xxh3_128_digest(np.unique(x).tobytes()) for x in np.split(sets, first[1:])]
-                out["keys"] += keys.tolist()
-                out["sketch"] += [x.tobytes() for x in sketch]
-            return out
+def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
+    """What one reading of the texts gives, told apart by kind.
 
-        return f
+    DOC: each document with its words (start) and paragraphs (stop); WIN: each window's first
+    word and hash (win); LINE: each line that is a paragraph, with item, keys and sketch."""
 
-    return by_slice(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), make, LINE, 128)
+    def make():
+        sign = Signer(bands, rows)
 
+        def f(part):
+            out = {k.split()[0]: [] for k in PART.split(", ")}
 
-def window_items(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, start, item long): the windows of all documents."""
+            def add(**cols):
+                for k, v in cols.items():
+                    out[k] += v
 
-    def make():
-        def f(part):
-            out = {k: [] for k in ("doc_id", "tie", "start", "item")}
             for doc_id, tie, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                h = word_hashes(text)
-                if len(h) >= WINDOW:
-                    w = window_hashes(h, WINDOW)
-                    at = picked(w)
-                    out["start"] += at.tolist()
-                    out["item"] += w[at].view(np.int64).tolist()
-                    out["doc_id"] += [doc_id] * len(at)
-                    out["tie"] += [tie] * len(at)
+                h, spans, sets, first = paragraphs(text)
+                at = picked(w := window_hashes(h, WINDOW)) if len(h) >= WINDOW else np.zeros(0, np.int64)
+                n, m = len(at), len(spans)
+                own = 1 + n + m
+                wins = w[at].view(np.int64).tolist() if n else []
+                keys, sketch = sign.many(sets, first) if m else (np.zeros((0, 0), np.int64), [])
+                add(
+                    kind=[DOC] + [WIN] * n + [LINE] * m,
+                    doc_id=[doc_id] * own,
+                    tie=[tie] * own,
+                    start=[len(h), *at.tolist(), *(x for x, _ in spans)],
+                    stop=[m, *[None] * n, *(x for _, x in spans)],
+                    win=[None, *wins, *[None] * m],
+                    item=[None] * (1 + n) + (names(sets, first) if m else []),
+                    keys=[None] * (1 + n) + keys.tolist(),
+                    sketch=[None] * (1 + n) + [x.tobytes() for x in sketch],
+                )
             return out
 
         return f
 
-    return by_slice(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), make, "doc_id long, tie long, start int, item long", 256)
+    return by_slice(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), make, PART, 128)
+
 
+def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tie, start, stop, first long, line boolean): all later paragraphs; first is the doc_id that holds the first one.
 
-def repeats(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, tie, start, stop, first long, line boolean): all later paragraphs; first is the doc_id that holds the first one."""
+    cut is a written table of the documents' parts, where the caller has one."""
     place = F.struct("doc_id", "start", "tie")
-    wins = written(window_items(docs))
+    cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS))) if cut is None else cut
+    wins = cut.filter(F.col("kind") == WIN).select("doc_id", "tie", "start", F.col("win").alias("item"))
     first = wins.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
     later = wins.join(first, "item").filter(~place.eqNullSafe(F.col("first")))
     same = later.select("doc_id", "tie", "start", (F.col("start") + WINDOW).alias("stop"), F.col("first.doc_id").alias("first"), F.lit(False).alias("line"))
-    lines = written(line_items(docs, tune_bands(threshold, RECALL, ROWS)))
+    lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", "item", "keys", "sketch")
     least = lines.groupBy("item").agg(F.min(place).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     items = written(least)
 
@@ -168,11 +175,10 @@ def line_at(rows: DataFrame) -> DataFrame:
             for start, whole in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
                 at = 0
                 for line in (whole or "").split("\n"):
-                    if at == start and line.split():
-                        n = len(line.encode().split())
-                        if n >= SHORTEST:
-                            break
-                    at += len(line.encode().split())
+                    n = len(line.encode().split())
+                    if at == start and n >= SHORTEST:
+                        break
+                    at += n
                 else:
                     line = ""
                 texts.append(line)
@@ -186,14 +192,14 @@ def line_at(rows: DataFrame) -> DataFrame:
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document, as above."""
     docs = docs.select("doc_id", "text")
-    gone = repeats(docs, threshold)
+    cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS)))
+    gone = repeats(docs, threshold, cut)
     per = gone.groupBy("doc_id", "tie").agg(
         F.count("*").alias("n_removed"),
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"),  # a document's own paragraphs at most
         F.array_sort(F.collect_set("first")).alias("firsts"),
     )
-    rows = docs.withColumn("tie", F.xxhash64("text")).withColumn("text", F.coalesce("text", F.lit("")))
-    sizes = rows.select("doc_id", "tie", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"), F.size(F.filter(F.split("text", "\n"), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= SHORTEST)).cast("long").alias("n_paragraphs"))
+    sizes = cut.filter(F.col("kind") == DOC).select("doc_id", "tie", F.col("start").cast("long").alias("n_words"), F.col("stop").cast("long").alias("n_paragraphs"))
     per = per.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
     both = sizes.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
     kind = "array<struct<start:int,stop:int>>"
