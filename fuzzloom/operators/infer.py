@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.operators.matrices import exploded
+from fuzzloom.operators.matrices import exploded, node_table, node_weights
 
 EPS = 1e-12
 
@@ -78,8 +78,64 @@ def fuzzy_node_scores(memberships: DataFrame, table: DataFrame, features: list[s
     return memberships.select("id").distinct().join(per.groupBy("id").agg(*aggs), "id", "left").na.fill(0.0)
 
 
-def ratio_decision(d0: Column, d1: Column, ratio: float = 9.0) -> Column:
-    return F.when(d0 > ratio * d1, 0).otherwise(1)
+def ratio_decision(d0: Column, d1: Column, ratio: float | Column = 9.0) -> Column:
+    return F.when(d0 > d1 * ratio, 0).otherwise(1)
+
+
+def legacy_table(rules: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """The node table as the legacy form sees it: without entries that only the rule of the greatest id holds.
+
+    Rules of equal levels and label share one value, so which of them is taken last does not matter."""
+    last = rules.agg(F.max("id").alias("last"))
+    cs = rules.groupBy(*features, "y").agg(F.count("*").alias("w"), F.min("id").alias("cell"), F.max("id").alias("top"))
+    seen = exploded(cs, features, k).crossJoin(F.broadcast(last)).groupBy("node", "key", "y").agg(F.sum(F.col("w") - (F.col("top") == F.col("last")).cast("int")).alias("n")).filter("n > 0")
+    return node_table(cs.drop("top"), features, k).join(seen, ["node", "key", "y"], "left_semi")
+
+
+def prior_ratio(rules: DataFrame) -> DataFrame:
+    """One row: ratio, the squared quotient of the labels' counts; null where label 1 has no rule."""
+    n = lambda y: F.count_if(F.col("y") == y).cast("double")
+    return rules.agg(F.pow(F.try_divide(n(0), n(1)), F.lit(2)).alias("ratio"))
+
+
+def legacy_decided(scores: DataFrame, rules: DataFrame) -> DataFrame:
+    """With pred by the fixed ratio and prior_pred by the labels' own."""
+    with_ratio = scores.crossJoin(F.broadcast(prior_ratio(rules)))
+    return with_ratio.withColumns({"pred": ratio_decision(F.col("d0"), F.col("d1")), "prior_pred": ratio_decision(F.col("d0"), F.col("d1"), F.col("ratio"))}).drop("ratio")
+
+
+def calibrated_probabilities(scores: DataFrame, threshold: float, temperature: float = 1.0) -> DataFrame:
+    """p1 by a softmax of log scores, where label 1 loses the threshold; 1/2 where no node was seen."""
+    gap = F.ln(F.col("d1") + EPS) - F.lit(float(threshold)) - F.ln(F.col("d0") + EPS)
+    return scores.withColumn("p1", F.when(F.col("n_seen") == 0, 0.5).otherwise(1 / (1 + F.exp(-gap / F.lit(max(float(temperature), 1e-6))))))
+
+
+def attribution(decided: DataFrame, queries: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(id, cell, v): the share that a cell's rules have in the decision; decided has (id, pred, d0, d1, n_seen) of crisp queries.
+
+    Only rules of the decided label count, at its first least and first greatest node, where
+    unmatched nodes hold 0.  Shares are even over that label's rules if nothing was seen or won."""
+    from math import comb
+
+    k = min(k, len(features))
+    n = comb(len(features), k)
+    asked = exploded(queries.select("id", *features), features, k).join(decided.select("id", "pred"), "id")
+    table = node_table(cs, features, k).withColumnRenamed("y", "pred")
+    hit = asked.join(table, ["node", "key", "pred"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    # A null level leaves nodes out: the first one left out holds 0.
+    ends = hit.groupBy("id").agg(
+        F.min(F.struct("w", "node")).alias("low"),
+        F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("high"),
+        F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.collect_set("node"))).alias("gap"),  # at most n nodes
+    )
+    low = F.when(F.col("gap").isNull() | (F.struct("low.w", "low.node") < F.struct(F.lit(0).cast("long").alias("w"), F.col("gap").alias("node"))), F.col("low.node")).otherwise(F.col("gap"))
+    nodes = ends.select("id", F.explode(F.array(low, F.col("high.node"))).alias("node"))
+    b = node_weights(cs, features, k).join(cs.select("cell", F.col("y").alias("pred"), F.col("w").alias("n")), "cell")
+    parts = asked.join(nodes, ["id", "node"]).join(b, ["node", "key", "pred"]).groupBy("id", "cell").agg(F.sum(F.col("b") * F.col("n")).alias("c"))
+    shares = parts.withColumn("v", F.col("c") / F.sum("c").over(Window.partitionBy("id"))).select("id", "cell", "v")
+    even = cs.select("cell", F.col("y").alias("pred"), (F.col("w") / F.sum("w").over(Window.partitionBy("y"))).alias("v"))
+    rest = decided.select("id", "pred").join(shares.select("id").distinct(), "id", "left_anti").join(even, "pred").select("id", "cell", "v")
+    return shares.unionByName(rest)
 
 
 def top_rules(contributions: DataFrame, k: int = 5) -> DataFrame:

@@ -198,12 +198,38 @@ _NQ = " UNION ALL ".join(f"SELECT id, {i} AS node, concat_ws(chr(1), {', '.join(
 _NODE = _sql("134", "SELECT", "train", SQL_ORDERS, SQL_SPLIT).removesuffix(" SELECT") + f", {_B3}, nw AS (SELECT node, key, y, sum(b * w) AS w FROM b GROUP BY ALL), nq AS ({_NQ}), h AS (SELECT id, nq.node, y, w FROM nq JOIN nw ON nq.node = nw.node AND nq.key = nw.key)"
 
 
-@query(_NODE + ", ds AS (SELECT id, count(DISTINCT node) AS n_seen, " + ", ".join(f"coalesce(max(w) FILTER (WHERE y = {y}), 0) + CASE WHEN count(w) FILTER (WHERE y = {y}) < 4 THEN 0 ELSE min(w) FILTER (WHERE y = {y}) END AS d{y}" for y in (0, 1)) + " FROM h GROUP BY id) SELECT query.id, query.y, CAST(coalesce(d0, 0) AS BIGINT) AS d0, CAST(coalesce(d1, 0) AS BIGINT) AS d1, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen FROM query LEFT JOIN ds ON query.id = ds.id")
+_DS = ", ds AS (SELECT id, count(DISTINCT node) AS n_seen, " + ", ".join(f"coalesce(max(w) FILTER (WHERE y = {y}), 0) + CASE WHEN count(w) FILTER (WHERE y = {y}) < 4 THEN 0 ELSE min(w) FILTER (WHERE y = {y}) END AS d{y}" for y in (0, 1)) + " FROM h GROUP BY id), sc AS (SELECT query.id, query.y, CAST(coalesce(d0, 0) AS BIGINT) AS d0, CAST(coalesce(d1, 0) AS BIGINT) AS d1, CAST(coalesce(n_seen, 0) AS BIGINT) AS n_seen FROM query LEFT JOIN ds ON query.id = ds.id)"
+
+
+@query(_NODE + _DS + " SELECT id, y, d0, d1, n_seen FROM sc")
 def node_decide(spark, d):
     train, asked = _held_out(spark, d)
     return infer.node_scores(asked, matrices.node_table(matrices.cells(train, FEATURES), FEATURES), FEATURES)
 
 
+_NOT_LAST = " UNION ".join(f"SELECT {i} AS node, concat_ws(chr(1), {', '.join(t)}) AS key, y FROM train WHERE id < (SELECT max(id) FROM train)" for i, t in enumerate(combinations(FEATURES, 3)))
+_LEGACY = _NODE.replace("h AS (SELECT id, nq.node, y, w FROM nq JOIN nw ON", f"nl AS ({_NOT_LAST}), lw AS (SELECT nw.* FROM nw JOIN nl ON nw.node = nl.node AND nw.key = nl.key AND nw.y = nl.y), h AS (SELECT id, nq.node, y, w FROM nq JOIN lw nw ON")
+
+
+@query(_LEGACY + _DS + " SELECT id, y, d0, d1, CAST(NOT d0 > 9 * d1 AS INT) AS pred, CAST(NOT d0 > d1 * (SELECT pow(count(*) FILTER (WHERE y = 0) / count(*) FILTER (WHERE y = 1), 2) FROM train) AS INT) AS prior_pred FROM sc")
+def legacy_decide(spark, d):
+    train, asked = _held_out(spark, d)
+    return infer.legacy_decided(infer.node_scores(asked, infer.legacy_table(train, FEATURES), FEATURES), train).drop("n_seen")
+
+
+@query(_NODE + _DS + " SELECT id, y, round(CASE WHEN n_seen = 0 THEN 0.5 ELSE 1 / (1 + exp(-(ln(d1 + 1e-12) - 0.25 - ln(d0 + 1e-12)) / 2)) END, 9) AS p1 FROM sc")
+def node_probability(spark, d):
+    return infer.calibrated_probabilities(node_decide(spark, d), 0.25, 2.0).select("id", "y", F.round("p1", 9).alias("p1"))
+
+
+@query()
+def rule_attribution(spark, d):
+    train, asked = _held_out(spark, d)
+    cs = matrices.cells(train, FEATURES)
+    scores = infer.node_scores(asked, matrices.node_table(cs, FEATURES), FEATURES)
+    return infer.attribution(scores.withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")), asked, cs, FEATURES)
+
+
 @query()
 def node_decide_fuzzy(spark, d):
     train, asked = _held_out(spark, d)

@@ -164,3 +164,42 @@ def test_clustered_greedy(base):
     _, df = base
     got = sampling.greedy_clustered(matrices.cells(df, FS), FS, 0.2, clusters=3).collect()
     assert got and len({r["cell"] for r in got}) == len(got)
+
+
+def test_legacy_and_attribution_against_loops(base):
+    rows, df = base
+    cs = matrices.cells(df, FS)
+    triples, n = list(combinations(range(4), 3)), len(rows)
+    a = [sum(s[1:5] == t[1:5] for s in rows) for t in rows]
+    m = [[sum(s[1 + i] == t[1 + i] and s[5] == t[5] for s in rows) for i in range(4)] for t in rows]
+    b = [[a[r] * min(m[r][i] for i in c) for c in triples] for r in range(n)]
+    same = lambda r, q, c: all(rows[r][1 + i] == rows[q][1 + i] for i in c)
+    legacy = {x["id"]: x for x in infer.legacy_decided(infer.node_scores(df, infer.legacy_table(df, FS), FS), df).collect()}
+    scores = infer.node_scores(df, matrices.node_table(cs, FS), FS).withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")).cache()
+    pred = {x["id"]: x["pred"] for x in scores.collect()}
+    got = {(x["id"], x["cell"]): x["v"] for x in infer.attribution(scores, df, cs, FS).collect()}
+    cell = [min(s[0] for s in rows if s[1:] == t[1:]) for t in rows]
+    ones = sum(t[5] for t in rows)
+    want = {}
+    for q in range(n):
+        held, every = [[0] * 4, [0] * 4], [[0] * 4, [0] * 4]
+        for k, c in enumerate(triples):
+            for r in range(n):
+                if same(r, q, c):
+                    total = sum(b[s][k] for s in range(n) if same(s, r, c) and rows[s][5] == rows[r][5])
+                    every[rows[r][5]][k] = total
+                    if r < n - 1:
+                        held[rows[r][5]][k] = total
+        d0, d1 = (max(x) + min(x) for x in held)
+        assert (legacy[q]["d0"], legacy[q]["d1"]) == (d0, d1)
+        assert legacy[q]["pred"] == int(not d0 > 9 * d1) and legacy[q]["prior_pred"] == int(not d0 > ((n - ones) / ones) ** 2 * d1)
+        v = every[pred[q]]
+        own = [r for r in range(n) if rows[r][5] == pred[q]]
+        part = {r: sum(b[r][k] for k in (v.index(min(v)), v.index(max(v))) if same(r, q, triples[k])) for r in own}
+        for r in own:
+            if part[r]:
+                want[(q, cell[r])] = want.get((q, cell[r]), 0) + part[r] / sum(part.values())
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x]) for x in want)
+    even = scores.limit(1).withColumns({"id": F.lit(999).cast("long"), "n_seen": F.lit(0).cast("long")})
+    nothing = df.limit(1).select(F.lit(999).cast("long").alias("id"), *[F.lit("?").alias(c) for c in FS])
+    assert math.isclose(sum(x["v"] for x in infer.attribution(even, nothing, cs, FS).collect()), 1)
