@@ -159,3 +159,29 @@ def knee(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
 def power_fit(df: DataFrame, x: str = "n", y: str = "s") -> DataFrame:
     """One row (slope, intercept) of a line through the logarithms."""
     return df.agg(F.regr_slope(F.ln(y), F.ln(x)).alias("slope"), F.regr_intercept(F.ln(y), F.ln(x)).alias("intercept"))
+
+
+def knee_on_front(df: DataFrame, cost: str = "cost", benefit: str = "benefit") -> DataFrame:
+    return knee(pareto_front(df, cost, benefit), cost, benefit)
+
+
+def format_p(p):
+    """A p-value as text: below 0.001 in scientific form."""
+    return F.when(F.col(p).isNull() | F.isnan(p), "n/a").when(F.col(p) < 0.001, F.format_string("%.2e", F.col(p).cast("double"))).otherwise(F.format_string("%.4f", F.col(p).cast("double")))
+
+
+def ranking_gaps(df: DataFrame, block: str = "block", method: str = "method", value: str = "v", alpha: float = 0.05) -> DataFrame:
+    """(a, b, gap, differs): pairs of methods by the gap of their mean ranks; the greatest value has rank 1."""
+    ranks = average_ranks(df, [block], value, descending=True)
+    per = ranks.groupBy(method).agg(F.avg("rank_avg").alias("r"), F.count("*").alias("n"))
+    size = per.agg(F.count("*").alias("k"), F.max("n").alias("n")).first()
+    cd = critical_difference(size["n"], size["k"], alpha) if size["k"] > 1 else float("inf")
+    a, b = per.select(F.col(method).alias("a"), F.col("r").alias("ra")), per.select(F.col(method).alias("b"), F.col("r").alias("rb"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.abs(F.col("ra") - F.col("rb")).alias("gap"), (F.abs(F.col("ra") - F.col("rb")) > cd).alias("differs"))
+
+
+def fold_interval(df: DataFrame, by: list[str], value: str = "v", folds: int = 5) -> DataFrame:
+    """Mean, sd and half width of the t interval at 0.95; null unless there are exactly so many folds."""
+    d = df.filter(~F.isnan(value)).groupBy(*by).agg(F.count("*").alias("folds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    half = F.when(F.col("folds") == folds, F.lit(t_quantile(0.975, folds - 1)) * F.col("sd") / F.sqrt(F.lit(float(folds))))
+    return d.withColumn("half", half)

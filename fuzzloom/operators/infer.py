@@ -138,6 +138,32 @@ def attribution(decided: DataFrame, queries: DataFrame, cs: DataFrame, features:
     return shares.unionByName(rest)
 
 
+def with_fallback(scores: DataFrame, rules: DataFrame) -> DataFrame:
+    """With matched and pred: the greater score, ties to label 0; the majority label (ties to the lower) where no node matched."""
+    most = rules.groupBy("y").agg(F.count("*").alias("n")).agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("_m"))
+    x = scores.crossJoin(F.broadcast(most)).withColumn("matched", F.col("n_seen") > 0)
+    return x.withColumn("pred", F.when(F.col("matched"), (F.col("d1") > F.col("d0")).cast("int")).otherwise(F.col("_m"))).drop("_m")
+
+
+def out_of_fold(rules: DataFrame, features: list[str], k: int, k_node: int = 3) -> DataFrame:
+    """(id, y, d0, d1, n_seen, fold): each fold of 0 to k-1 scored by the node table of the others, as one plan."""
+    from functools import reduce
+
+    from fuzzloom.operators.matrices import cells
+
+    parts = []
+    for i in range(k):
+        table = node_table(cells(rules.filter(F.col("fold") != i), features), features, k_node)
+        parts.append(node_scores(rules.filter(F.col("fold") == i), table, features, k_node).withColumn("fold", F.lit(i)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evidence_table(rules: DataFrame, features: list[str]) -> DataFrame:
+    """(attr, level, y, w): sums of support times confidence, the older weights."""
+    x = exploded(rules, features, 1)
+    return x.groupBy(F.col("node").alias("attr"), F.col("key").alias("level"), "y").agg(F.sum(F.col("support") * F.col("confidence")).alias("w"))
+
+
 def top_rules(contributions: DataFrame, k: int = 5) -> DataFrame:
     """The k largest contributions (id, rule, c) of each query; ties to the lower rule."""
     order = Window.partitionBy("id").orderBy(F.desc("c"), "rule")

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.operators.split import allocate
+from fuzzloom.operators.split import allocate, budget
 
 
 def matches(features: list[str], a: str = "l", b: str = "r"):
@@ -120,11 +120,33 @@ def best_subset(cs: DataFrame, features: list[str], m: int) -> DataFrame:
     n = cs.count()
     if n > 18:
         raise ValueError("all subsets are tried for 18 cells at most")
-    from pyspark.sql import Window
-
     at = cs.withColumn("no", F.row_number().over(Window.orderBy("cell")) - 1)
     sim = similarity(cs, features).join(at.select(F.col("cell").alias("j"), "no"), "j").join(cs.select(F.col("cell").alias("i"), "w"), "i")
     subsets = cs.sparkSession.range(1 << n).filter(F.bit_count("id") == m).withColumnRenamed("id", "bits")
     hit = subsets.crossJoin(F.broadcast(sim)).filter(F.expr("(shiftright(bits, cast(no as int)) & 1) = 1"))
     each = hit.groupBy("bits", "i").agg((F.max("m") * F.first("w")).alias("c")).groupBy("bits").agg(F.sum("c").alias("covered"))
     return each.orderBy(F.desc("covered"), "bits").limit(1)
+
+
+def budget_curve(picks: DataFrame, cs: DataFrame, features: list[str], thetas: list[float]) -> DataFrame:
+    """(theta, m, rep): coverage at each budget.  Greedy picks are nested, so one order's running gains serve all budgets."""
+    n = cs.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n")).first()["n"]
+    sizes = cs.sparkSession.createDataFrame([(float(t), budget(t, n)) for t in thetas], "theta double, m int")
+    order = Window.orderBy(F.desc("gain"), "cell")  # no more rows than the greatest budget
+    run = picks.select(F.row_number().over(order).alias("k"), F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("c"))
+    return F.broadcast(sizes).join(run, F.col("k") <= F.col("m"), "left").groupBy("theta", "m").agg((F.coalesce(F.max("c"), F.lit(0)) / F.lit(float(max(n, 1) * len(features)))).alias("rep"))
+
+
+def decomposition(cs: DataFrame, parts: DataFrame, features: list[str], m: int) -> DataFrame:
+    """(part, m, covered, best): greedy and exhaustive coverage of each part (cell, part), for a bound check; at most 100 parts of 18 cells."""
+    from functools import reduce
+
+    sizes = parts.groupBy("part").count().orderBy("part").limit(101).collect()
+    if not 0 < len(sizes) <= 100:
+        raise ValueError("the check takes 1 to 100 parts")
+    out = []
+    for p, size in sizes:
+        own = cs.join(parts.filter(F.col("part") == p).select("cell"), "cell")
+        best = best_subset(own, features, min(m, size)).select(F.col("covered").alias("best"))
+        out.append(greedy(own, features, m).agg(F.sum("gain").alias("covered")).crossJoin(best).select(F.lit(p).alias("part"), F.lit(m).alias("m"), "covered", "best"))
+    return reduce(DataFrame.unionByName, out)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuzzloom.functions import stats
-from fuzzloom.operators import graph, infer, matrices, metrics, prep, sampling, split
+from fuzzloom.operators import embedding, graph, infer, matrices, metrics, prep, sampling, split
+from fuzzloom.operators import triples as kge
 from fuzzloom.plans.fixtures import FEATURES, SQL_DOCS, SQL_ORDERS, SQL_SPLIT, rules_docs, rules_orders, table
+from fuzzloom.sources import synthetic
+from fuzzloom.streaming.score import pair_stream
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -194,6 +197,13 @@ def pair_calibrated(spark, d):
     return metrics.confusion(s.withColumn("pred", (F.col("score") > t).cast("int"))).withColumn("threshold", F.lit(t))
 
 
+@query(_DECIDE + " SELECT id, y, d0, d1, margin, round(score, 6) AS score, pred FROM sc")
+def pair_rows(spark, d):
+    train, asked = _held_out(spark, d)
+    table = matrices.pair_table(matrices.cells(train, FEATURES), FEATURES)
+    return pair_stream(asked.select("id", *FEATURES, "y"), table, FEATURES).drop(*FEATURES).withColumn("score", F.round("score", 6))
+
+
 _NQ = " UNION ALL ".join(f"SELECT id, {i} AS node, concat_ws(chr(1), {', '.join(t)}) AS key FROM query" for i, t in enumerate(combinations(FEATURES, 3)))
 _NODE = _sql("134", "SELECT", "train", SQL_ORDERS, SQL_SPLIT).removesuffix(" SELECT") + f", {_B3}, nw AS (SELECT node, key, y, sum(b * w) AS w FROM b GROUP BY ALL), nq AS ({_NQ}), h AS (SELECT id, nq.node, y, w FROM nq JOIN nw ON nq.node = nw.node AND nq.key = nw.key)"
 
@@ -207,6 +217,16 @@ def node_decide(spark, d):
     return infer.node_scores(asked, matrices.node_table(matrices.cells(train, FEATURES), FEATURES), FEATURES)
 
 
+@query(_NODE + _DS + " SELECT id, y, d0, d1, n_seen, n_seen > 0 AS matched, CAST(CASE WHEN n_seen > 0 THEN d1 > d0 ELSE (SELECT count(*) FILTER (WHERE y = 1) > count(*) FILTER (WHERE y = 0) FROM train) END AS INT) AS pred FROM sc")
+def node_fallback(spark, d):
+    return infer.with_fallback(node_decide(spark, d), _held_out(spark, d)[0])
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({_NODE.replace('fold <> 0', f'fold <> {i}').replace('fold = 0', f'fold = {i}')}{_DS} SELECT id, y, d0, d1, n_seen, {i} AS fold FROM sc)" for i in range(5)))
+def out_of_fold(spark, d):
+    return infer.out_of_fold(split.stratified_folds(rules_orders(spark, d)), FEATURES, 5)
+
+
 _NOT_LAST = " UNION ".join(f"SELECT {i} AS node, concat_ws(chr(1), {', '.join(t)}) AS key, y FROM train WHERE id < (SELECT max(id) FROM train)" for i, t in enumerate(combinations(FEATURES, 3)))
 _LEGACY = _NODE.replace("h AS (SELECT id, nq.node, y, w FROM nq JOIN nw ON", f"nl AS ({_NOT_LAST}), lw AS (SELECT nw.* FROM nw JOIN nl ON nw.node = nl.node AND nw.key = nl.key AND nw.y = nl.y), h AS (SELECT id, nq.node, y, w FROM nq JOIN lw nw ON")
 
@@ -329,6 +349,87 @@ def window_cooccurrence(spark, d):
     return graph.window_pairs(_tokens(spark, d), 1)
 
 
+_HASH = "CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR) || ':{0}'), 1, 8) AS BIGINT)"
+_SYNTHETIC = (
+    "h AS (SELECT range AS id FROM range(2000)), l AS (SELECT id, " + ", ".join(f"['Low', 'Medium', 'High'][{_HASH.format(f)} % 3 + 1] AS {f}" for f in FEATURES) + " FROM h), "
+    "s AS (SELECT *, CAST(CASE WHEN " + _HASH.format("noise") + " % 100 < 15 THEN " + _HASH.format("label") + " % 2 ELSE least(1, floor((" + " + ".join(f"({f} = 'High')::INT" for f in FEATURES) + ") * 2 / 4.0)) END AS INT) AS y FROM l)"
+)
+
+
+@query(f"WITH {_SYNTHETIC} SELECT id, {', '.join(FEATURES)}, y FROM s")
+def synthetic_rules(spark, d):
+    return synthetic.rules(spark, 2000, 4).drop("confidence", "support")
+
+
+@query(f"WITH {SQL_ORDERS} SELECT attr, level, y, round(sum(0.5 * (id % 7) / 4), 6) AS w FROM (" + " UNION ALL ".join(f"SELECT id, {i} AS attr, {c} AS level, y FROM rules" for i, c in enumerate(FEATURES)) + ") GROUP BY ALL")
+def evidence_table(spark, d):
+    r = rules_orders(spark, d).withColumns({"support": (F.col("id") % 7) / 4, "confidence": F.lit(0.5)})
+    return infer.evidence_table(r, FEATURES).withColumn("w", F.round("w", 6))
+
+
+@query()
+def budget_curve(spark, d):
+    cs = _doc_cells(spark, d)
+    thetas = [0.01, 0.02, 0.05, 0.1, 0.2]
+    picks = sampling.greedy(cs, FEATURES, split.budget(thetas[-1], cs.agg(F.sum("w")).first()[0]))
+    return sampling.budget_curve(picks, cs, FEATURES, thetas)
+
+
+def _fitted(spark, d):
+    """A short training on the cells of four folds with a lookup teacher; the fifth is asked."""
+    train, asked = _held_out_docs(spark, d)
+    cs = matrices.cells(train, FEATURES).cache()
+    train = cs.withColumnRenamed("cell", "id")
+    s = embedding.Settings(dim=8, steps=6)
+    g = embedding.rule_graph(cs, FEATURES, s)
+    scores = infer.node_scores(train, matrices.node_table(cs, FEATURES), FEATURES).withColumn("pred", (F.col("d1") > F.col("d0")).cast("int"))
+    told, _ = embedding.taught(embedding.crisp_samples(train, FEATURES), scores, infer.attribution(scores, train, cs, FEATURES))
+    told = told.cache()
+    model = embedding.train(g, told, s)
+    told.unpersist()
+    return model, embedding.crisp_samples(asked, FEATURES)
+
+
+def _held_out_docs(spark, d):
+    s = split.stratified_folds(rules_docs(spark, d))
+    return s.filter("fold <> 0"), s.filter("fold = 0")
+
+
+@query()
+def embedding_decide(spark, d):
+    model, asked = _fitted(spark, d)
+    return embedding.predict(asked, model)
+
+
+@query()
+def embedding_explain(spark, d):
+    model, asked = _fitted(spark, d)
+    return embedding.explain(asked, model)
+
+
+@query()
+def triple_translation(spark, d):
+    t = graph.triples(_tokens(spark, d))
+    return kge.plausibility(t, kge.train_triples(t, "translation", 8, 10), "translation")
+
+
+@query()
+def triple_product(spark, d):
+    t = graph.triples(_tokens(spark, d))
+    return kge.plausibility(t, kge.train_triples(t, "product", 8, 10), "product")
+
+
+@query()
+def rule_neighbours(spark, d):
+    """Each cell by the vote of the five nearest others, by mean vectors of tokens."""
+    cs = _doc_cells(spark, d)
+    t = graph.tokens(cs, FEATURES)
+    v = graph.train_embedding(graph.edge_weights(t), 8, steps=30).withColumnRenamed("token", "name")
+    vectors = kge.mean_vectors(t.select(F.col("cell").alias("id"), "token", F.lit(1.0).alias("mu")), v)
+    base = vectors.join(cs.select(F.col("cell").alias("id"), F.col("y").cast("long").alias("label")), "id")
+    return graph.knn_vote(vectors, base)
+
+
 @query()
 def random_walks(spark, d):
     return graph.random_walks(graph.edge_weights(_tokens(spark, d)), 3, 8)
