@@ -84,6 +84,11 @@ def knn_vote(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     return queries.select("id", "v").mapInArrow(run, "id long, pred long, votes long")
 
 
+def positive_share(votes: DataFrame, k: int = 5) -> DataFrame:
+    """Votes with score, the share of neighbours of label 1, for two labels and k neighbours each."""
+    return votes.withColumn("score", F.when(F.col("pred") == 1, F.col("votes") / k).otherwise(1 - F.col("votes") / k))
+
+
 def edge_loss_and_gradient(z: np.ndarray, c: np.ndarray, a: np.ndarray, negatives: float) -> tuple[float, np.ndarray, np.ndarray]:
     """The weighted skip-gram loss with exact expectation over negatives, and its gradients."""
     total, x = a.sum(), z @ c.T

@@ -31,6 +31,20 @@ def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     return r.agg(F.try_divide(F.sum("u").cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
+def evaluate(scored: DataFrame) -> DataFrame:
+    """One row for (y, pred, score, d0, d1[, n_seen]): accuracy, macro F1, balanced accuracy, AUC, the same decisions by greater score and by ratio, unseen queries."""
+    from fuzzloom.operators.infer import ratio_decision
+
+    x = scored.withColumns({"d0": F.coalesce("d0", F.lit(0)), "d1": F.coalesce("d1", F.lit(0))})
+    plain = x.withColumns({"pred_max": (F.col("d1") > F.col("d0")).cast("int"), "pred_ratio": ratio_decision(F.col("d0"), F.col("d1"))})
+    out = plain.agg(F.count("*").alias("n"), (F.count_if(F.col("n_seen") == 0) if "n_seen" in x.columns else F.count_if((F.col("d0") == 0) & (F.col("d1") == 0))).alias("n_unseen"))
+    for name in ("pred", "pred_max", "pred_ratio"):
+        end = name.removeprefix("pred")
+        acc = confusion(plain, pred=name).select(F.col("accuracy").alias("accuracy" + end))
+        out = out.crossJoin(acc).crossJoin(by_class(plain, pred=name).select(F.col("macro_f1").alias("macro_f1" + end), F.col("bacc").alias("bacc" + end)))  # one row each
+    return out.crossJoin(auc(plain))
+
+
 def log_loss(df: DataFrame, y: str = "y", p: str = "p1") -> DataFrame:
     q = F.least(F.greatest(F.col(p), F.lit(1e-12)), F.lit(1 - 1e-12))
     return df.agg((-F.avg(F.when(F.col(y) == 1, F.ln(q)).otherwise(F.ln(1 - q)))).alias("log_loss"))

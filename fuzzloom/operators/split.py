@@ -83,3 +83,13 @@ def strat_random(df: DataFrame, theta: float, label: str = "y", key: str = "id",
     most = F.create_map(*[x for (v, _), q in zip(strata, quota) for x in (F.lit(v), F.lit(q))])
     order = Window.partitionBy(label).orderBy(shuffled(key, seed), key)
     return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most[F.col(label)]).drop("_n")
+
+
+def train_validation(df: DataFrame, share: float = 0.2, label: str = "y", key: str = "id", seed: int = 42) -> DataFrame:
+    """df with held: true for the first floor(share * n) rows of each label by hash, one at least where a label has two rows."""
+    if not 0 < share < 1:
+        raise ValueError("the share is between 0 and 1")
+    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
+    take = F.when(F.col("_n") < 2, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("_n") * share + 1e-12)))
+    order = F.row_number().over(Window.partitionBy(label).orderBy(shuffled(key, seed), key))
+    return df.withColumn("_k", order).join(F.broadcast(sizes), label).withColumn("held", F.col("_k") <= take).drop("_k", "_n")

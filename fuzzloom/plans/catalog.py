@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fuzzloom.functions import stats
 from fuzzloom.operators import embedding, graph, infer, matrices, metrics, prep, sampling, split
 from fuzzloom.operators import triples as kge
+from fuzzloom.plans import experiments
 from fuzzloom.plans.fixtures import FEATURES, SQL_DOCS, SQL_ORDERS, SQL_SPLIT, rules_docs, rules_orders, table
 from fuzzloom.sources import synthetic
 from fuzzloom.streaming.score import pair_stream
@@ -227,6 +228,30 @@ def out_of_fold(spark, d):
     return infer.out_of_fold(split.stratified_folds(rules_orders(spark, d)), FEATURES, 5)
 
 
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE y = {y} AND {c} = {p}) AS {c}_{y}{p}" for c in ("a", "b") for y in (0, 1) for p in (0, 1))
+_EACH = ", ".join(
+    f"round(({c}_11 + {c}_00) / n, 9) AS accuracy{e}, round(({c}_11 / ({c}_11 + {c}_10) + {c}_00 / ({c}_00 + {c}_01)) / 2, 9) AS bacc{e}, round(({c}_11 * 2 / (2 * {c}_11 + {c}_01 + {c}_10) + {c}_00 * 2 / (2 * {c}_00 + {c}_01 + {c}_10)) / 2, 9) AS macro_f1{e}"
+    for c, e in (("a", ""), ("a", "_max"), ("b", "_ratio"))
+)
+
+
+@query(_NODE + _DS + f", e AS (SELECT y, n_seen, CAST(d1 > d0 AS INT) AS a, CAST(NOT d0 > 9 * d1 AS INT) AS b, round(CASE WHEN n_seen = 0 THEN 0 ELSE ln(d1 + 1e-12) - ln(d0 + 1e-12) END, 9) AS score FROM sc), k AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM e), u AS (SELECT round((sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 9) AS auc FROM k), q AS (SELECT count(*) AS n, count(*) FILTER (WHERE n_seen = 0) AS n_unseen, {_COUNTS} FROM e) SELECT n, n_unseen, {_EACH}, auc FROM q, u")
+def node_evaluate(spark, d):
+    s = node_decide(spark, d).withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")).withColumn("score", F.round(F.when(F.col("n_seen") == 0, 0.0).otherwise(infer.log_ratio()), 9))
+    out = metrics.evaluate(s)
+    return out.withColumns({c: F.round(c, 9) for c, t in out.dtypes if t == "double"})
+
+
+@query(f"WITH {SQL_ORDERS}, r AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS k, count(*) OVER (PARTITION BY y) AS n FROM rules) SELECT id, y, k <= CASE WHEN n < 2 THEN 0 ELSE greatest(1, floor(n * 0.2 + 1e-12)) END AS held FROM r")
+def train_validation(spark, d):
+    return split.train_validation(rules_orders(spark, d)).select("id", "y", "held")
+
+
+@query()
+def compare_budgets(spark, d):
+    return experiments.compare_budgets(*_held_out_docs(spark, d), FEATURES, [0.05, 0.2])
+
+
 _NOT_LAST = " UNION ".join(f"SELECT {i} AS node, concat_ws(chr(1), {', '.join(t)}) AS key, y FROM train WHERE id < (SELECT max(id) FROM train)" for i, t in enumerate(combinations(FEATURES, 3)))
 _LEGACY = _NODE.replace("h AS (SELECT id, nq.node, y, w FROM nq JOIN nw ON", f"nl AS ({_NOT_LAST}), lw AS (SELECT nw.* FROM nw JOIN nl ON nw.node = nl.node AND nw.key = nl.key AND nw.y = nl.y), h AS (SELECT id, nq.node, y, w FROM nq JOIN lw nw ON")
 

@@ -106,3 +106,24 @@ def test_stream_equals_batch(spark, rules, tmp_path):
     got = {r["id"]: (r["d0"], r["d1"], r["pred"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["id"]: (r["d0"], r["d1"], r["pred"]) for r in infer.decided(infer.pair_scores(asked, table, FS)).collect()}
     assert got == want and got[900] == (None, None, 0)
+
+
+def test_compare_budgets(rules):
+    from fuzzloom.plans import experiments
+
+    folded = split.stratified_folds(rules.select("id", *FS, "y"))
+    got = experiments.compare_budgets(folded.filter("fold <> 0"), folded.filter("fold = 0"), FS, [0.02, 0.2, 1.0], ("greedy", "random")).cache()
+    rep = {(r["method"], r["theta"]): r["rep"] for r in got.collect()}
+    assert len(rep) == 6 and all(rep[("greedy", t)] >= rep[("random", t)] for t in (0.02, 0.2, 1.0)) and rep[("random", 1.0)] == 1
+    assert {r["method"] for r in experiments.best_budget(got).collect()} == {"greedy", "random"}
+
+
+def test_train_validation(spark):
+    df = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(100)] + [(200, 2)], "id long, y int")
+    got = split.train_validation(df).groupBy("y").agg(F.count_if("held").alias("n"), F.count("*").alias("all")).collect()
+    assert {r["y"]: (r["n"], r["all"]) for r in got} == {0: (18, 90), 1: (2, 10), 2: (0, 1)}
+
+
+def test_positive_share(spark):
+    df = spark.createDataFrame([(1, 1, 4), (2, 0, 3)], "id long, pred long, votes long")
+    assert [r["score"] for r in graph.positive_share(df).collect()] == [0.8, 0.4]
