@@ -5,7 +5,9 @@ the least word hash of 31 neighbours is, so that any 50 words in a row that two
 share hold a common window wherever they stand.  Paragraphs of equal shingles are one item.
 The lines' bands are tuned to a high recall at the threshold; colliding items are verified
 exactly on their shingles and clustered by components (see ``near``).  A window collides
-only with its equals, whose similarity is 1.
+only with its equals, whose similarity is 1.  A later window is stretched to both sides by the
+words that it shares there with any earlier place of it, up to REACH, where the next window of
+a shared run begins; so the spans hold all of every run of 50 words or more that stands earlier.
 
 The first paragraph of a cluster, by doc_id and place, stays; all later ones are removed,
 and the merged spans of words tell what goes.  Repeats within a document count as well.
@@ -19,20 +21,23 @@ shorter than SHORTEST words are none.  Rows that share doc_id and text are the s
 
 from __future__ import annotations
 
+from array import array
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import by_slice, hashes, window_hashes, written
+from fuzzloom.llm.common import by_slice, hashes, window_hashes, word_hashes, written
 from fuzzloom.llm.near import Signer, links
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
 SHORTEST = 10
 ROWS = 2  # of a band
 WINDOW, AMONG = 20, 31  # any WINDOW + AMONG - 1 shared words hold a common window
+REACH = AMONG - 1  # a shared run goes on at most so far before its next window, or ends
 
 
 def tune_bands(threshold: float, recall: float, rows: int) -> int:
@@ -145,8 +150,7 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None
     cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS))) if cut is None else cut
     wins = cut.filter(F.col("kind") == WIN).select("doc_id", "tie", "start", F.col("win").alias("item"))
     first = wins.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
-    later = wins.join(first, "item").filter(~place.eqNullSafe(F.col("first")))
-    same = later.select("doc_id", "tie", "start", (F.col("start") + WINDOW).alias("stop"), F.col("first.doc_id").alias("first"), F.lit(False).alias("line"))
+    same = stretched(around(docs, wins.join(first.select("item", F.col("first.doc_id").alias("first")), "item")))
     lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", "item", "keys", "sketch")
     least = lines.groupBy("item").agg(F.min(place).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     items = written(least)
@@ -165,6 +169,88 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None
     return near.select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.lit(True).alias("line")).unionByName(same)
 
 
+def around(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """(item, doc_id, start, tie, first, before, after) of windows held (doc_id, tie, start, item, first): 32-bit hashes of the words around, nearest first."""
+    per = held.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "item", "first")).alias("hits"))  # a document's own windows at most
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_own"), F.col("text").alias("whole"))
+    both = per.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_own"))).select("doc_id", "tie", "hits", "whole")
+    schema = "item long, doc_id long, start int, tie long, first long, before binary, after binary"
+
+    def make():
+        def f(part):
+            out = {k.split()[0]: [] for k in schema.split(", ")}
+            for doc_id, tie, hits, whole in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                h = (word_hashes(whole) >> np.uint64(32)).astype(np.uint32)
+                for hit in hits:
+                    at, end = hit["start"], hit["start"] + WINDOW
+                    row = hit["item"], doc_id, at, tie, hit["first"], h[max(at - REACH, 0) : at][::-1].tobytes(), h[end : end + REACH].tobytes()
+                    for col, x in zip(out.values(), row, strict=True):
+                        col.append(x)
+            return out
+
+        return f
+
+    return by_slice(both, make, schema, 128)
+
+
+class Seen:
+    """Runs of words seen so far, as a tree that has nodes only where they part."""
+
+    def __init__(self):
+        self.tree: dict = {}
+
+    def longest(self, run: array) -> int:
+        """How many of its first words an earlier run begins with, too; the run counts as seen from then on."""
+        node = self.tree
+        for d, word in enumerate(run):
+            other = node.get(word)
+            if other is None:
+                node[word] = run
+                return d
+            if isinstance(other, dict):
+                node = other
+                continue
+            m, end = d + 1, min(len(run), len(other))
+            while m < end and run[m] == other[m]:
+                m += 1
+            if m < end:
+                inner = {other[m]: other, run[m]: run}
+                for k in range(m - 1, d, -1):
+                    inner = {run[k]: inner}
+                node[word] = inner
+            elif len(run) > m:
+                node[word] = run
+            return m
+        return len(run)
+
+
+def stretched(rows: DataFrame) -> DataFrame:
+    """(doc_id, tie, start, stop, first, line) of all but the first place of each window, with the words around that an earlier place has too.
+
+    Rows are read in the order of window and place."""
+    names = ["doc_id", "tie", "start", "stop", "first"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+    def run(batches):
+        now, last, seen = None, None, ()
+        for part in batches:
+            out = []
+            for item, doc_id, start, tie, first, *sides in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+                new, place = item != now, (doc_id, start, tie)
+                if not new and place == last:  # a row that comes twice
+                    continue
+                if new:
+                    now, seen = item, (Seen(), Seen())
+                last = place
+                before, after = (s.longest(array("I", x)) for s, x in zip(seen, sides, strict=True))
+                if not new:
+                    out.append((doc_id, tie, start - before, start + WINDOW + after, first))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+
+    sorted_rows = rows.repartition("item").sortWithinPartitions("item", "doc_id", "start", "tie")
+    return sorted_rows.mapInArrow(run, "doc_id long, tie long, start int, stop int, first long").withColumn("line", F.lit(False))
+
+
 def line_at(rows: DataFrame) -> DataFrame:
     """The rows with text: the line of whole that begins at the given word."""
     fields = rows.schema

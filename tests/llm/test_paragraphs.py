@@ -71,6 +71,28 @@ def test_repeats(spark, none):
     assert pb.digest(none).count() == 0
 
 
+def test_whole_runs(spark):
+    r = random.Random(29)
+    line = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    hot, run = line(22), line(51)
+    long = line(40) + hot + line(45)
+    docs = [line(30) + hot + line(40), line(60) + run + line(70), line(90) + long + line(80), line(33) + run + line(44), line(5) + long + line(95), run + line(64)]
+    rows = [(k, " ".join(x)) for k, x in enumerate(docs)]
+    out = {x["doc_id"]: x["spans"] for x in pb.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert (out[0], out[1], out[3], out[4], out[5]) == ("", "", "33:84", "5:112", "0:51")
+
+
+def test_longest_seen():
+    r = random.Random(3)
+    for _ in range(200):
+        seen, runs = pb.Seen(), []
+        for _ in range(30):
+            run = [r.randint(0, 1) for _ in range(r.randint(0, 8))]
+            want = max((next((i for i, (a, b) in enumerate(zip(run, x, strict=False)) if a != b), min(len(run), len(x))) for x in runs), default=0)
+            assert seen.longest(pb.array("I", run)) == want
+            runs.append(run)
+
+
 def test_odd(odd, odd_rows):
     assert pb.digest(odd).count() == len(odd_rows)
 
