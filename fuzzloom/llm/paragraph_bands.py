@@ -14,8 +14,8 @@ and the merged spans of words tell what goes.  Repeats within a document count a
 
 One row per document: doc_id, n_words, n_paragraphs (lines with enough words), n_removed
 (later paragraphs of both cuts), removed_words, spans (of words, end exclusive, comma-joined),
-partners (doc_ids that hold the first paragraphs, itself not counted) and class_id, the
-least doc_id among these and its own.  Null and empty texts have no paragraphs, and lines
+partners (doc_ids that hold the first paragraphs, itself not counted) and class_id, the least
+doc_id of all documents that such links join with it, over any number of steps.  Null and empty texts have no paragraphs, and lines
 shorter than SHORTEST words are none.  Rows that share doc_id and text are the same document.
 """
 
@@ -27,11 +27,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuzzloom.llm.common import by_slice, hashes, window_hashes, word_hashes, written
-from fuzzloom.llm.near import Signer, links
+from fuzzloom.llm.near import Signer, components, links
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
 SHORTEST = 10
@@ -143,14 +143,14 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
 
 
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None = None) -> DataFrame:
-    """(doc_id, tie, start, stop, first long, line boolean): all later paragraphs; first is the doc_id that holds the first one.
+    """(doc_id, tie, start, stop, first long, line boolean, first_tie long): all later paragraphs; first is the doc_id that holds the first one.
 
     cut is a written table of the documents' parts, where the caller has one."""
     place = F.struct("doc_id", "start", "tie")
     cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS))) if cut is None else cut
     wins = cut.filter(F.col("kind") == WIN).select("doc_id", "tie", "start", F.col("win").alias("item"))
     first = wins.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
-    same = stretched(around(docs, wins.join(first.select("item", F.col("first.doc_id").alias("first")), "item")))
+    same = stretched(around(docs, wins.join(first.select("item", F.struct("first.doc_id", "first.tie").alias("first")), "item")))
     lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", "item", "keys", "sketch")
     least = lines.groupBy("item").agg(F.min(place).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     items = written(least)
@@ -166,15 +166,15 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None
     of = written(of.select("doc_id", "tie", "start", "stop", "root"))
     heads = of.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
     near = of.join(heads, "root").filter(~place.eqNullSafe(F.col("first")))
-    return near.select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.lit(True).alias("line")).unionByName(same)
+    return near.select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.lit(True).alias("line"), F.col("first.tie").alias("first_tie")).unionByName(same)
 
 
 def around(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(item, doc_id, start, tie, first, before, after) of windows held (doc_id, tie, start, item, first): 32-bit hashes of the words around, nearest first."""
+    """(item, doc_id, start, tie, first, first_tie, before, after) of windows held (doc_id, tie, start, item, first): 32-bit hashes of the words around, nearest first."""
     per = held.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "item", "first")).alias("hits"))  # a document's own windows at most
     texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_own"), F.col("text").alias("whole"))
     both = per.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_own"))).select("doc_id", "tie", "hits", "whole")
-    schema = "item long, doc_id long, start int, tie long, first long, before binary, after binary"
+    schema = "item long, doc_id long, start int, tie long, first long, first_tie long, before binary, after binary"
 
     def make():
         def f(part):
@@ -183,7 +183,7 @@ def around(docs: DataFrame, held: DataFrame) -> DataFrame:
                 h = (word_hashes(whole) >> np.uint64(32)).astype(np.uint32)
                 for hit in hits:
                     at, end = hit["start"], hit["start"] + WINDOW
-                    row = hit["item"], doc_id, at, tie, hit["first"], h[max(at - REACH, 0) : at][::-1].tobytes(), h[end : end + REACH].tobytes()
+                    row = hit["item"], doc_id, at, tie, hit["first"]["doc_id"], hit["first"]["tie"], h[max(at - REACH, 0) : at][::-1].tobytes(), h[end : end + REACH].tobytes()
                     for col, x in zip(out.values(), row, strict=True):
                         col.append(x)
             return out
@@ -225,17 +225,17 @@ class Seen:
 
 
 def stretched(rows: DataFrame) -> DataFrame:
-    """(doc_id, tie, start, stop, first, line) of all but the first place of each window, with the words around that an earlier place has too.
+    """(doc_id, tie, start, stop, first, first_tie, line) of all but the first place of each window, with the words around that an earlier place has too.
 
     Rows are read in the order of window and place."""
-    names = ["doc_id", "tie", "start", "stop", "first"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["doc_id", "tie", "start", "stop", "first", "first_tie"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches):
         now, last, seen = None, None, ()
         for part in batches:
             out = []
-            for item, doc_id, start, tie, first, *sides in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+            for item, doc_id, start, tie, first, first_tie, *sides in zip(*(part.column(i).to_pylist() for i in range(8)), strict=True):
                 new, place = item != now, (doc_id, start, tie)
                 if not new and place == last:  # a row that comes twice
                     continue
@@ -244,11 +244,11 @@ def stretched(rows: DataFrame) -> DataFrame:
                 last = place
                 before, after = (s.longest(array("I", x)) for s, x in zip(seen, sides, strict=True))
                 if not new:
-                    out.append((doc_id, tie, start - before, start + WINDOW + after, first))
+                    out.append((doc_id, tie, start - before, start + WINDOW + after, first, first_tie))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
     sorted_rows = rows.repartition("item").sortWithinPartitions("item", "doc_id", "start", "tie")
-    return sorted_rows.mapInArrow(run, "doc_id long, tie long, start int, stop int, first long").withColumn("line", F.lit(False))
+    return sorted_rows.mapInArrow(run, "doc_id long, tie long, start int, stop int, first long, first_tie long").withColumn("line", F.lit(False))
 
 
 def line_at(rows: DataFrame) -> DataFrame:
@@ -275,11 +275,18 @@ def line_at(rows: DataFrame) -> DataFrame:
     return by_slice(rows, make, f"unit {fields['unit'].dataType.simpleString()}, side int, item binary, text string", 256)
 
 
+def node(doc_id: str, tie: str) -> Column:
+    """A document as a number: its doc_id, or beyond all of these where it has none."""
+    big = lambda x: F.col(x).cast("decimal(20,0)")
+    return F.coalesce(big(doc_id), F.lit(str(2**64)).cast("decimal(20,0)") + big(tie)).cast("decimal(21,0)")
+
+
 def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document, as above."""
     docs = docs.select("doc_id", "text")
     cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS)))
-    gone = repeats(docs, threshold, cut)
+    gone = written(repeats(docs, threshold, cut))
+    classes = components(gone.select(node("doc_id", "tie").alias("a"), node("first", "first_tie").alias("b")).distinct())
     per = gone.groupBy("doc_id", "tie").agg(
         F.count("*").alias("n_removed"),
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"),  # a document's own paragraphs at most
@@ -288,13 +295,14 @@ def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = cut.filter(F.col("kind") == DOC).select("doc_id", "tie", F.col("start").cast("long").alias("n_words"), F.col("stop").cast("long").alias("n_paragraphs"))
     per = per.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
     both = sizes.join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
+    both = both.withColumn("id", node("doc_id", "tie")).join(classes, "id", "left")
     kind = "array<struct<start:int,stop:int>>"
     touch = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(x)))
     merged = F.aggregate(F.coalesce("cuts", F.array().cast(kind)), F.array().cast(kind), touch)
     out = both.withColumn("merged", merged).withColumn("partners", F.filter(F.coalesce("firsts", F.array().cast("array<bigint>")), lambda x: ~x.eqNullSafe(F.col("doc_id"))))
     return out.select(
         "doc_id",
-        F.least(F.col("doc_id"), F.array_min("partners")).alias("class_id"),
+        F.when(F.col("root") < F.lit(str(2**63)).cast("decimal(21,0)"), F.col("root").cast("long")).otherwise(F.col("doc_id")).alias("class_id"),
         "n_words",
         "n_paragraphs",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

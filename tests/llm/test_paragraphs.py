@@ -82,6 +82,17 @@ def test_whole_runs(spark):
     assert (out[0], out[1], out[3], out[4], out[5]) == ("", "", "33:84", "5:112", "0:51")
 
 
+def test_classes(spark):
+    r = random.Random(31)
+    line = lambda n=30: " ".join(f"w{r.randint(0, 10**9)}" for _ in range(n))
+    a, b, c, d, e, f = (line() for _ in range(6))
+    rows = [(1, f"{a}\n{line()}"), (2, f"{a}\n{b}"), (3, f"{b}\n{c}"), (4, f"{line()}\n{c}"), (5, d), (6, line()), (None, f"{d}\n{e}"), (None, f"{line()}\n{f}"), (7, f"{line()}\n{e}"), (8, f), (9, f)]
+    out = pb.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = {x["doc_id"]: (x["class_id"], x["partners"]) for x in out if x["doc_id"] is not None}
+    assert got == {1: (1, []), 2: (1, [1]), 3: (1, [2]), 4: (1, [3]), 5: (5, []), 6: (6, []), 7: (5, []), 8: (8, []), 9: (8, [8])}
+    assert sorted(x["class_id"] for x in out if x["doc_id"] is None) == [5, 8]
+
+
 def test_longest_seen():
     r = random.Random(3)
     for _ in range(200):
