@@ -1,8 +1,10 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs come in two cuts: the lines of a text, and windows of 20 words that start where
-the least word hash of 31 neighbours is, so that any 50 words in a row that two documents
-share hold a common window wherever they stand.  Paragraphs of equal shingles are one item.
+Paragraphs come in two cuts: the lines of a text, with runs of consecutive lines that are each
+shorter than a window (as in hard-wrapped text) joined into one more, and windows of 20 words
+that start where the least word hash of 31 neighbours is, so that any 50 words in a row that
+two documents share hold a common window wherever they stand.  Paragraphs of equal shingles
+are one item.
 The lines' bands are tuned to a high recall at the threshold; colliding items are verified
 exactly on their shingles and clustered by components (see ``near``).  A window collides
 only with its equals, whose similarity is 1.  A later window is stretched to both sides by the
@@ -12,11 +14,11 @@ a shared run begins; so the spans hold all of every run of 50 words or more that
 The first paragraph of a cluster, by doc_id and place, stays; all later ones are removed,
 and the merged spans of words tell what goes.  Repeats within a document count as well.
 
-One row per document: doc_id, n_words, n_paragraphs (lines with enough words), n_removed
+One row per document: doc_id, n_words, n_paragraphs (lines and joined lines with enough words), n_removed
 (later paragraphs of both cuts), removed_words, spans (of words, end exclusive, comma-joined),
 partners (doc_ids that hold the first paragraphs, itself not counted) and class_id, the least
-doc_id of all documents that such links join with it, over any number of steps.  Null and empty texts have no paragraphs, and lines
-shorter than SHORTEST words are none.  Rows that share doc_id and text are the same document.
+doc_id of all documents that such links join with it, over any number of steps.  Null and
+empty texts have no paragraphs; a line shorter than SHORTEST words is none by itself.  Rows that share doc_id and text are the same document.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from fuzzloom.llm.common import by_slice, hashes, window_hashes, word_hashes, wr
 from fuzzloom.llm.near import Signer, components, links
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
-SHORTEST = 10
+SHORTEST = WIDTH  # words of a line or of joined lines that make a shingle
 ROWS = 2  # of a band
 WINDOW, AMONG = 20, 31  # any WINDOW + AMONG - 1 shared words hold a common window
 REACH = AMONG - 1  # a shared run goes on at most so far before its next window, or ends
@@ -67,22 +69,27 @@ def picked(h: np.ndarray, among: int = AMONG) -> np.ndarray:
     return np.unique(at[among - 1 :])
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """The hashes of all words; the lines of enough words as (first word, end); their shingles side by side; each one's first place."""
+def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+    """The hashes of all words; the lines of enough words and the joined short lines as (first word, end, 1 if joined); their shingles side by side; each one's first place."""
     lines = [x.split() for x in (text or "").encode().split(b"\n")]
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     h = hashes(chain.from_iterable(lines), int(sizes.sum()))
     ends = np.cumsum(sizes)
-    enough = sizes >= SHORTEST
-    if not enough.any():
+    short = np.concatenate([[False], (sizes > 0) & (sizes < WINDOW), [False]])
+    turns = np.flatnonzero(short[1:] != short[:-1])
+    low, high = turns[::2], turns[1::2]  # runs of short lines; an empty line ends one
+    several = high - low > 1
+    start = np.concatenate([ends - sizes, (ends - sizes)[low[several]]])
+    stop = np.concatenate([ends, ends[high[several] - 1]])
+    enough = stop - start >= SHORTEST
+    joined = (np.arange(len(start)) >= len(lines))[enough].astype(np.int64)
+    start, stop = start[enough], stop[enough]
+    if not len(start):
         return h, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    inside = np.repeat(enough, sizes)
-    for k in range(1, WIDTH):
-        inside[ends[enough] - k] = False  # these would reach into the next line
-    w = window_hashes(h, WIDTH)
-    counts = sizes[enough] - WIDTH + 1
-    spans = list(zip((ends - sizes)[enough].tolist(), ends[enough].tolist(), strict=True))
-    return h, spans, w[inside[: len(w)]], np.cumsum(counts) - counts
+    counts = stop - start - WIDTH + 1
+    first = np.cumsum(counts) - counts
+    at = np.arange(int(counts.sum())) + np.repeat(start - first, counts)
+    return h, list(zip(start.tolist(), stop.tolist(), joined.tolist(), strict=True)), window_hashes(h, WIDTH)[at], first
 
 
 def names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -105,7 +112,7 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     """What one reading of the texts gives, told apart by kind.
 
     DOC: each document with its words (start) and paragraphs (stop); WIN: each window's first
-    word and hash (win); LINE: each line that is a paragraph, with item, keys and sketch."""
+    word and hash (win); LINE: each line or joined lines that are a paragraph, with item, keys, sketch and 1 in win if joined."""
 
     def make():
         sign = Signer(bands, rows)
@@ -128,9 +135,9 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
                     kind=[DOC] + [WIN] * n + [LINE] * m,
                     doc_id=[doc_id] * own,
                     tie=[tie] * own,
-                    start=[len(h), *at.tolist(), *(x for x, _ in spans)],
-                    stop=[m, *[None] * n, *(x for _, x in spans)],
-                    win=[None, *wins, *[None] * m],
+                    start=[len(h), *at.tolist(), *(x for x, _, _ in spans)],
+                    stop=[m, *[None] * n, *(x for _, x, _ in spans)],
+                    win=[None, *wins, *(x for _, _, x in spans)],
                     item=[None] * (1 + n) + (names(sets, first) if m else []),
                     keys=[None] * (1 + n) + keys.tolist(),
                     sketch=[None] * (1 + n) + [x.tobytes() for x in sketch],
@@ -143,7 +150,7 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
 
 
 def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None = None) -> DataFrame:
-    """(doc_id, tie, start, stop, first long, line boolean, first_tie long): all later paragraphs; first is the doc_id that holds the first one.
+    """(doc_id, tie, start, stop, first long, line boolean, first_tie long): all later paragraphs; first is the doc_id that holds the first one, line tells single lines.
 
     cut is a written table of the documents' parts, where the caller has one."""
     place = F.struct("doc_id", "start", "tie")
@@ -151,22 +158,24 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None
     wins = cut.filter(F.col("kind") == WIN).select("doc_id", "tie", "start", F.col("win").alias("item"))
     first = wins.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
     same = stretched(around(docs, wins.join(first.select("item", F.struct("first.doc_id", "first.tie").alias("first")), "item")))
-    lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", "item", "keys", "sketch")
-    least = lines.groupBy("item").agg(F.min(place).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", (F.col("win") == 0).alias("alone"), "item", "keys", "sketch")
+    spot = F.struct("doc_id", "start", "tie", "stop")
+    least = lines.groupBy("item").agg(F.min(spot).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     items = written(least)
 
     def content(members: DataFrame) -> DataFrame:
         at = members.join(items.select("item", "rep"), "item")
         texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_own"), F.col("text").alias("whole"))
-        both = at.join(texts, F.col("rep.doc_id").eqNullSafe(F.col("_doc")) & (F.col("rep.tie") == F.col("_own"))).select("unit", "side", "item", "rep.start", "whole")
-        return line_at(both)
+        both = at.join(texts, F.col("rep.doc_id").eqNullSafe(F.col("_doc")) & (F.col("rep.tie") == F.col("_own"))).select("unit", "side", "item", "rep.start", "rep.stop", "whole")
+        return words_at(both)
 
     found = links(items.select("item", "keys", "sketch"), content, threshold, WIDTH).select("item", "root")
-    of = lines.select("doc_id", "tie", "start", "stop", "item").join(found, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    of = written(of.select("doc_id", "tie", "start", "stop", "root"))
-    heads = of.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
-    near = of.join(heads, "root").filter(~place.eqNullSafe(F.col("first")))
-    return near.select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.lit(True).alias("line"), F.col("first.tie").alias("first_tie")).unionByName(same)
+    of = lines.select("doc_id", "tie", "start", "stop", "alone", "item").join(found, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    of = written(of.select("doc_id", "tie", "start", "stop", "alone", "root"))
+    heads = of.groupBy("root").agg(F.min(spot).alias("first"), F.max(spot).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+    near = of.join(heads, "root").filter(~(own & (F.col("start") < F.col("first.stop"))))  # a line and what it is joined into do not repeat each other
+    return near.select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.col("alone").alias("line"), F.col("first.tie").alias("first_tie")).unionByName(same)
 
 
 def around(docs: DataFrame, held: DataFrame) -> DataFrame:
@@ -251,23 +260,15 @@ def stretched(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "doc_id long, tie long, start int, stop int, first long, first_tie long").withColumn("line", F.lit(False))
 
 
-def line_at(rows: DataFrame) -> DataFrame:
-    """The rows with text: the line of whole that begins at the given word."""
+def words_at(rows: DataFrame) -> DataFrame:
+    """The rows with text: the words of whole from start to stop."""
     fields = rows.schema
 
     def make():
         def f(part):
             texts = []
-            for start, whole in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
-                at = 0
-                for line in (whole or "").split("\n"):
-                    n = len(line.encode().split())
-                    if at == start and n >= SHORTEST:
-                        break
-                    at += n
-                else:
-                    line = ""
-                texts.append(line)
+            for start, stop, whole in zip(*(part.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                texts.append(b" ".join((whole or "").encode().split(None, stop)[start:stop]).decode())
             return {"unit": part.column(0), "side": part.column(1), "item": part.column(2), "text": texts}
 
         return f

@@ -93,6 +93,18 @@ def test_classes(spark):
     assert sorted(x["class_id"] for x in out if x["doc_id"] is None) == [5, 8]
 
 
+def test_short_lines(spark):
+    r = random.Random(37)
+    line = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    wrap = lambda x: "\n".join(" ".join(x[i : i + 8]) for i in range(0, len(x), 8))
+    block, few, own = line(60), " ".join(line(6)), " ".join(line(9))
+    near = [*block[:30], "other", *block[31:]]
+    texts = [f"{wrap(block)}\n\n{few}", f"{' '.join(line(30))}\n{wrap(near)}\n\n{' '.join(line(25))}", f"{' '.join(line(25))}\n{few}", f"b\n{own}", f"{own}\nb", f"{' '.join(near)}"]
+    out = {x["doc_id"]: x for x in pb.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [out[k]["spans"] for k in range(6)] == ["", "30:90", "25:31", "", "0:10", "0:60"]
+    assert [out[k]["partners"] for k in range(6)] == [[], [0], [0], [], [3], [0, 1]] and out[3]["n_removed"] == 0
+
+
 def test_longest_seen():
     r = random.Random(3)
     for _ in range(200):
