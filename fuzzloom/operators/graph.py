@@ -51,37 +51,49 @@ def random_walks(edges: DataFrame, walks: int = 10, length: int = 20, seed: int
     return x
 
 
-def knn_vote(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
-    """(id, pred, votes, share): cosine neighbours' vote; queries (id, v) against base (id, v, label) in blocks of a matrix.
+def knn_vote(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 20_000) -> DataFrame:
+    """(id, pred, votes): cosine neighbours' vote; queries (id, v) against base (id, v, label).
 
-    The base is a rule table's vectors: its size is checked before it is broadcast."""
+    Each block of queries meets each block of the base in a task of its own, and the nearest k of
+    all blocks are merged; nothing is collected.  Without neighbours pred is null."""
     import pyarrow as pa
 
-    n = base.count()
-    if n > 200_000:
-        raise ValueError("the base has over 200,000 vectors; compact its cells first")
-    rows = base.orderBy("id").collect()
-    mat = np.array([r["v"] for r in rows], np.float64)
-    held = base.sparkSession.sparkContext.broadcast((mat / np.sqrt((mat**2).sum(axis=1, keepdims=True) + 1e-12), [r["label"] for r in rows], [r["id"] for r in rows]))
-
-    def run(batches):
-        unit, labels, ids = held.value
-        for b in batches:
-            q = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-            q = q / np.sqrt((q**2).sum(axis=1, keepdims=True) + 1e-12)
-            near = np.round(q @ unit.T, 9) if b.num_rows else np.zeros((0, len(ids)))
-            own = b.column(0).to_pylist()
-            out = []
-            for i, row in enumerate(near):
-                top = [j for j in np.lexsort((ids, -row))[: k + 1].tolist() if ids[j] != own[i]][:k]
-                votes: dict = {}
-                for j in top:
-                    votes[labels[j]] = votes.get(labels[j], 0) + 1
-                best = max(votes, key=votes.get)  # a tie goes to the label seen first, which is nearest
-                out.append((own[i], best, votes[best]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()))], names=["id", "pred", "votes"])
-
-    return queries.select("id", "v").mapInArrow(run, "id long, pred long, votes long")
+    dealt = lambda n, size: max(1, -(-n // size))
+    n_base, n_queries = dealt(base.count(), block), dealt(queries.count(), max(1, block // 10))
+    near_type = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("label", pa.int64())]))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.groupBy("id", "v").agg(F.count("*").cast("int").alias("n"))  # a query that comes twice is answered twice
+    left = left.withColumn("qb", F.pmod(F.xxhash64("id", "v"), F.lit(n_queries)).cast("int")).select("id", F.xxhash64("v").alias("key"), "n", "v", "qb", every(n_base).alias("bb"))
+    right = base.select("id", "v", "label", own(n_base).alias("bb"), every(n_queries).alias("qb"))
+
+    def unit(column):
+        m = np.array(column.to_pylist(), np.float64)
+        return m / np.sqrt((m**2).sum(axis=1, keepdims=True) + 1e-12)
+
+    def search(q: pa.Table, b: pa.Table) -> pa.Table:
+        found: list = []
+        if q.num_rows and b.num_rows:
+            m, ids, labels, asked = unit(b.column("v")), b.column("id").to_pylist(), b.column("label").to_pylist(), q.column("id").to_pylist()
+            order = np.array([-1 if x is None else x for x in ids], np.int64)
+            for at in range(0, q.num_rows, 128):
+                for i, row in enumerate(np.round(unit(q.column("v").slice(at, 128)) @ m.T, 9)):
+                    me = asked[at + i]
+                    rest = np.flatnonzero(order != me) if me is not None else np.arange(len(ids))
+                    if len(rest) > k:
+                        rest = rest[row[rest] >= np.partition(row[rest], -k)[-k]]
+                    rest = rest[np.lexsort((order[rest], -row[rest]))[:k]]
+                    found.append([{"d": -float(row[j]), "id": ids[j], "label": labels[j]} for j in rest.tolist()])
+        else:
+            found = [[] for _ in range(q.num_rows)]
+        return pa.table({"id": q.column("id"), "key": q.column("key"), "n": q.column("n"), "near": pa.array(found, near_type)})
+
+    hits = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(search, "id long, key long, n int, near array<struct<d:double,id:long,label:long>>")
+    top = hits.groupBy("id", "key", "n").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("top"))
+    # a tie goes to the label seen first, which is nearest
+    votes = F.transform("top", lambda x, i: F.struct(F.size(F.filter("top", lambda y: y["label"].eqNullSafe(x["label"]))).cast("long").alias("votes"), (-i).alias("at"), x["label"].alias("pred")))
+    best = top.select("id", "n", F.array_max(votes).alias("best"))
+    return best.select("id", F.col("best.pred").alias("pred"), F.coalesce("best.votes", F.lit(0)).cast("long").alias("votes"), F.explode(F.array_repeat(F.lit(0), F.col("n")))).drop("col")
 
 
 def positive_share(votes: DataFrame, k: int = 5) -> DataFrame:

@@ -469,7 +469,7 @@ def train_embedding(spark, d):
 def knn_vote(spark, d):
     e = table(spark, d, "embeddings")
     key, vec = e.columns[0], next(c for c, t in e.dtypes if t.startswith("array"))
-    v = e.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), (F.col(key) % 5).cast("long").alias("label"))
+    v = e.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.col("label").cast("long").alias("label"))
     return graph.knn_vote(v, v)
 
 

@@ -127,3 +127,24 @@ def test_train_validation(spark):
 def test_positive_share(spark):
     df = spark.createDataFrame([(1, 1, 4), (2, 0, 3)], "id long, pred long, votes long")
     assert [r["score"] for r in graph.positive_share(df).collect()] == [0.8, 0.4]
+
+
+def test_knn_vote_in_blocks(spark):
+    import numpy as np
+
+    from fuzzloom.operators import graph
+
+    r = np.random.default_rng(7)
+    vecs = r.integers(-3, 4, (90, 4)).astype(float)
+    rows = [(i, v.tolist(), int(r.integers(0, 3))) for i, v in enumerate(vecs)]
+    base = spark.createDataFrame(rows, "id long, v array<double>, label long")
+    unit = vecs / np.sqrt((vecs**2).sum(axis=1, keepdims=True) + 1e-12)
+    want = []
+    for i in range(90):
+        top = [j for j in np.lexsort((np.arange(90), -np.round(unit @ unit[i], 9))).tolist() if j != i][:5]
+        labels = [rows[j][2] for j in top]
+        pred = max(labels, key=labels.count)
+        want.append((i, pred, labels.count(pred)))
+    got = graph.knn_vote(base, base, 5, 20).collect()
+    assert sorted(tuple(x) for x in got) == want
+    assert [tuple(x) for x in graph.knn_vote(base.limit(1), base.filter("id < 0")).collect()] == [(0, None, 0)]
