@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import by_slice, rows_in_slices, shared_dir
+from fuzzloom.llm.common import by_slice, shared_dir
 
 _HELD: dict = {}
 
@@ -55,7 +56,7 @@ def _parts(piece: str) -> tuple[str, ...]:
 
 
 def tokenizer_ids(path: str):
-    """A function from texts to each one's ids as little-endian unsigned 32-bit integers.
+    """A function from an Arrow column of texts and an end id to all ids side by side and the number of each text's, the end id included.
 
     New stems of letters are encoded many at a time: each is one word, whose last token says so."""
     if path in _HELD:
@@ -87,36 +88,60 @@ def tokenizer_ids(path: str):
             for w, low, high in zip(some, at, at[1:], strict=False):
                 young[w] = raw[low:high]
 
-    def recall(words: set[str]) -> set[str]:
-        """Those that neither generation knows; the others are young now."""
-        words = words.difference(young)
-        again = words.intersection(old)
-        for w in again:
-            young[w] = old[w]
-        return words - again
+    def known(words: list[str]) -> list[bytes | None]:
+        """What either generation knows of them; it is young now."""
+        got = list(map(young.get, words))
+        for i in [i for i, x in enumerate(got) if x is None]:
+            if (x := old.get(words[i])) is not None:
+                got[i] = young[words[i]] = x
+        return got
+
+    def of(words: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
+        got = known(words)
+        new = [i for i, x in enumerate(got) if x is None]
+        parts = [_parts(words[i]) for i in new]
+        stems = list({x for p in parts for x in p})
+        learn([w for w, x in zip(stems, known(stems), strict=True) if x is None])
+        for i, p in zip(new, parts, strict=True):
+            if len(p) == 3:
+                got[i] = young[words[i]] = young[p[0]] + young[p[1]] + young[p[2]]
+            else:
+                got[i] = young[words[i]] = young[p[0]]
+        return got
 
-    def ids(texts: list[str]) -> list[bytes]:
+    def ids(texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         nonlocal young, old
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        every = set().union(*split)
-        new = recall(every)
-        parts = list(map(_parts, new))
-        learn(list(recall({x for p in parts for x in p})))
-        for w, p in zip(new, parts, strict=True):
-            if len(p) == 3:
-                young[w] = young[p[0]] + young[p[1]] + young[p[2]]
-            elif p[0] != w:
-                young[w] = young[p[0]]
-        near = {w: young[w] for w in every}  # small enough for the caches
-        out = [b"".join(map(near.__getitem__, words)) for words in split]
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " "), " ")
+        at = np.asarray(split.offsets)
+        pieces = split.flatten().dictionary_encode()
+        raw = [*of(pieces.dictionary.to_pylist()), np.array([end_id], np.uint32).tobytes()]
+        codes = np.insert(np.asarray(pieces.indices), at[1:] - at[0], len(raw) - 1)  # the end id as a piece of its own
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        first = np.cumsum(sizes) - sizes
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(raw), np.uint32)[np.repeat(first[codes] - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)]
+        last = ends[at[1:] - at[0] + np.arange(len(texts))]
         if len(young) > LIMIT:
             young, old = {}, young
-        return out
+        return flat, np.diff(last, prepend=0)
 
     _HELD[path] = ids
     return ids
 
 
+def _by_size(batches: Iterator[pa.RecordBatch], most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the Arrow batches whose texts (column 1) have at most so many bytes, or one row."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
+        at = 0
+        while at < batch.num_rows:
+            past = int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most, "right"))
+            yield batch.slice(at, max(past - at, 1))
+            at = max(past, at + 1)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, encoding: str = "dictionary", row_group: int = 32 << 20, page: int = 256 << 10, files: int | None = None) -> None:
     """Write (doc_id, n_tokens, file, file_start, tokens) in ascending doc_id order.
 
@@ -129,15 +154,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, e
     types = [("doc_id", None), ("n_tokens", pa.int64()), ("file", pa.int32()), ("file_start", pa.int64()), ("tokens", pa.list_(pa.int32()))]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        ids, at, task, end = tokenizer_ids(tokenizer_path), 0, TaskContext.get().partitionId(), np.array([end_id], np.uint32).tobytes()
-        for part in rows_in_slices(batches, 384):
-            raw = [x + end for x in ids([x or "" for x in part.column(1).to_pylist()])]
-            n = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+        ids, at, task = tokenizer_ids(tokenizer_path), 0, TaskContext.get().partitionId()
+        for part in _by_size(batches):
+            flat, n = ids(part.column(1), end_id)
             ends = np.cumsum(n)
-            flat = pa.array(np.frombuffer(b"".join(raw), np.int32))
-            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
-            cols = [part.column(0), pa.array(n), pa.array(np.full(len(raw), task, np.int32)), pa.array(at + ends - n), tokens]
-            at += int(ends[-1]) if len(raw) else 0
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
+            cols = [part.column(0), pa.array(n), pa.array(np.full(len(n), task, np.int32)), pa.array(at + ends - n), tokens]
+            at += int(ends[-1]) if len(n) else 0
             yield pa.RecordBatch.from_arrays(cols, names=[k for k, _ in types])
 
     ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
