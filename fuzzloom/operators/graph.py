@@ -42,11 +42,12 @@ def random_walks(edges: DataFrame, walks: int = 10, length: int = 20, seed: int
     """(walk, start, path): hash-driven steps to a neighbour; a walk stops where there is none.
 
     The neighbour lists are those of a vocabulary; each step is a join."""
-    near = F.broadcast(edges.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("next")))
+    near = edges.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("next"))
     x = edges.select("u").distinct().withColumn("walk", F.explode(F.sequence(F.lit(1), F.lit(walks)))).select("walk", F.col("u").alias("start"), F.array("u").alias("path"))
     for k in range(length - 1):
         x = x.withColumn("u", F.element_at("path", -1)).join(near, "u", "left")
-        pick = F.element_at("next", (F.pmod(F.xxhash64(F.lit(seed), "walk", "start", F.lit(k)), F.size("next")) + 1).cast("int"))
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("walk").cast("string"), "start", F.lit(str(k))))
+        pick = F.element_at("next", (F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.size("next").cast("long")) + 1).cast("int"))
         x = x.select("walk", "start", F.when(F.col("next").isNull() | (F.size("path") <= k), F.col("path")).otherwise(F.concat("path", F.array(pick))).alias("path"))
     return x
 

@@ -33,18 +33,28 @@ def probabilities(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
     return scores.withColumn("p1", F.coalesce(1 / (1 + F.exp((F.col("d0") - F.col("d1")) / F.lit(temperature))), F.lit(0.5)))
 
 
-def calibrate(scored: DataFrame, criterion: str = "bacc") -> float:
-    """The threshold among 0 and 197 quantiles whose `score > t` is best; the first of the best, to 12 digits."""
+def calibrate(scored: DataFrame, criterion: str = "bacc", zero: bool = True) -> float:
+    """The threshold among 197 quantiles, and with zero 0, whose `score > t` is best; the first of the best, to 12 digits."""
     if criterion not in ("bacc", "acc"):
         raise ValueError(f"unknown criterion {criterion}")
     at = ", ".join(f"{0.01 + 0.98 * i / 196!r}D" for i in range(197))
-    t = scored.agg(F.expr(f"array_union(array(0.0D), percentile(score, array({at})))").alias("t")).select(F.explode("t").alias("t")).distinct()
-    hit = lambda c: F.count_if(c).cast("double")
-    pos, neg = hit(F.col("y") == 1), hit(F.col("y") == 0)
-    tp, tn = hit((F.col("y") == 1) & (F.col("score") > F.col("t"))), hit((F.col("y") == 0) & (F.col("score") <= F.col("t")))
-    value = (tp / pos + tn / neg) / 2 if criterion == "bacc" else (tp + tn) / (pos + neg)
-    best = scored.crossJoin(F.broadcast(t)).groupBy("t").agg(F.round(value, 12).alias("v"), F.min("y").alias("a"), F.max("y").alias("b")).filter("a <> b").orderBy(F.desc("v"), "t").first()
-    return best["t"] if best else 0.0
+    first = "array(0.0D)" if zero else "cast(array() AS array<double>)"
+    ts = scored.agg(F.expr(f"array_sort(array_distinct(concat({first}, percentile(score, array({at})))))").alias("t")).first()["t"] or []
+    # A score is above the first so many thresholds; scores are counted by that number, at most 198.
+    above = F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, ts)) if ts else F.array().cast("array<double>"), lambda t: t < F.col("score"))))
+    counts = {r["above"]: (r["pos"], r["neg"]) for r in scored.groupBy(above.alias("above")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).collect()}
+    pos, neg = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    best, found = None, 0.0
+    if not pos or not neg:
+        return found
+    tp, tn = pos - counts.get(-1, (0, 0))[0], 0
+    for j, t in enumerate(ts):
+        p, n = counts.get(j, (0, 0))
+        tp, tn = tp - p, tn + n
+        value = round((tp / pos + tn / neg) / 2 if criterion == "bacc" else (tp + tn) / (pos + neg), 12)
+        if best is None or value > best:
+            best, found = value, t
+    return found
 
 
 def node_scores(queries: DataFrame, table: DataFrame, features: list[str], k: int = 3) -> DataFrame:
@@ -60,10 +70,9 @@ def node_scores(queries: DataFrame, table: DataFrame, features: list[str], k: in
     return queries.select("id", "y").join(hit.groupBy("id").agg(*aggs), "id", "left").select("id", "y", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("d0", "d1", "n_seen")])
 
 
-def fuzzy_node_scores(memberships: DataFrame, table: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """(id, d0, d1) of queries given as (id, attr, level, mu): nodes weigh by the product of degrees."""
+def fuzzy_nodes(memberships: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(id, node, key, p) of queries given as (id, attr, level, mu): p is the product of degrees."""
     from itertools import combinations
-    from math import comb
 
     k, spark = min(k, len(features)), memberships.sparkSession
     nodes = F.broadcast(spark.createDataFrame([(i, list(t)) for i, t in enumerate(combinations(range(len(features)), k))], "node int, attrs array<int>"))
@@ -72,12 +81,50 @@ def fuzzy_node_scores(memberships: DataFrame, table: DataFrame, features: list[s
     for j in range(k):
         one = m.select("id", F.col("attr").alias("_a"), "level", "mu")
         x = x.withColumn("_a", F.col("attrs")[j]).join(one, ["id", "_a"]).select("id", "node", "attrs", F.concat_ws("\u0001", "key", "level").alias("key"), (F.col("p") * F.col("mu")).alias("p"))
-    per = x.join(table, ["node", "key"]).groupBy("id", "node", "y").agg(F.sum(F.col("p") * F.col("w")).alias("v"))
-    n = comb(len(features), k)
+    return x.drop("attrs")
+
+
+def fuzzy_node_scores(memberships: DataFrame, table: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(id, d0, d1) of queries given as (id, attr, level, mu): nodes weigh by the product of degrees."""
+    from math import comb
+
+    per = fuzzy_nodes(memberships, features, k).join(table, ["node", "key"]).groupBy("id", "node", "y").agg(F.sum(F.col("p") * F.col("w")).alias("v"))
+    n = comb(len(features), min(k, len(features)))
     aggs = [(F.coalesce(F.max(F.when(F.col("y") == y, F.col("v"))), F.lit(0.0)) + F.when(F.count(F.when(F.col("y") == y, F.col("v"))) < n, 0.0).otherwise(F.min(F.when(F.col("y") == y, F.col("v"))))).alias(f"d{y}") for y in (0, 1)]
     return memberships.select("id").distinct().join(per.groupBy("id").agg(*aggs), "id", "left").na.fill(0.0)
 
 
+def sequential_scores(queries: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """As node_scores, but each rule is weighed against each query in every node, as a check of the lookup; its cost is queries x rules x nodes."""
+    from math import comb
+
+    k = min(k, len(features))
+    n = comb(len(features), k)
+    rules = node_weights(cs, features, k).join(cs.select("cell", "y", F.col("w").alias("n")), "cell").select("node", F.col("key").alias("own"), F.col("y").alias("label"), (F.col("b") * F.col("n")).alias("w"))
+    asked = exploded(queries.select("id", *features), features, k)
+    each = asked.join(rules, "node").groupBy("id", "node", "label").agg(F.sum(F.when(F.col("key") == F.col("own"), F.col("w")).otherwise(0)).alias("v"))
+    value = lambda y: F.when((F.col("label") == y) & (F.col("v") > 0), F.col("v"))
+    aggs = [(F.coalesce(F.max(value(y)), F.lit(0)) + F.when(F.count(value(y)) < n, F.lit(0)).otherwise(F.min(value(y)))).cast("long").alias(f"d{y}") for y in (0, 1)]
+    aggs.append(F.countDistinct(F.when(F.col("v") > 0, F.col("node"))).alias("n_seen"))
+    return queries.select("id", "y").join(each.groupBy("id").agg(*aggs), "id", "left").na.fill(0, ["d0", "d1", "n_seen"])
+
+
+DECISIONS = ("argmax", "calibrated", "ratio9")
+
+
+def decide(scores: DataFrame, how: str = "argmax", threshold: float | None = None, fallback: int = 0, ties: int = 0) -> DataFrame:
+    """scores (d0, d1[, n_seen]) with pred: by the greater value (ties as told), by the log ratio against a threshold, or by the fixed ratio.
+
+    Where nothing was seen pred is the fallback.  Calibrated decisions without a threshold are argmax ones."""
+    if how not in DECISIONS:
+        raise ValueError(f"unknown decision {how}")
+    d0, d1 = F.coalesce("d0", F.lit(0)), F.coalesce("d1", F.lit(0))
+    seen = F.col("n_seen") > 0 if "n_seen" in scores.columns else (d0 != 0) | (d1 != 0)
+    greater = (d1 >= d0 if ties else d1 > d0).cast("int")
+    pred = {"argmax": greater, "calibrated": greater if threshold is None else (F.ln(d1 + EPS) - F.ln(d0 + EPS) > F.lit(float(threshold))).cast("int"), "ratio9": ratio_decision(d0, d1)}[how]
+    return scores.withColumn("pred", F.when(seen, pred).otherwise(fallback))
+
+
 def ratio_decision(d0: Column, d1: Column, ratio: float | Column = 9.0) -> Column:
     return F.when(d0 > d1 * ratio, 0).otherwise(1)
 
@@ -111,27 +158,32 @@ def calibrated_probabilities(scores: DataFrame, threshold: float, temperature: f
 
 
 def attribution(decided: DataFrame, queries: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """(id, cell, v): the share that a cell's rules have in the decision; decided has (id, pred, d0, d1, n_seen) of crisp queries.
+    """(id, cell, v): the share that a cell's rules have in the decision; decided has (id, pred, d0, d1, n_seen) of crisp queries."""
+    asked = exploded(queries.select("id", *features), features, min(k, len(features))).withColumn("p", F.lit(1))
+    return _attribution(decided, asked, cs, features, k)
+
 
-    Only rules of the decided label count, at its first least and first greatest node, where
+def fuzzy_attribution(decided: DataFrame, memberships: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """The same of queries given as (id, attr, level, mu); decided has (id, pred)."""
+    return _attribution(decided, fuzzy_nodes(memberships, features, k), cs, features, k)
+
+
+def _attribution(decided: DataFrame, asked: DataFrame, cs: DataFrame, features: list[str], k: int) -> DataFrame:
+    """Only rules of the decided label count, at its first least and first greatest node, where
     unmatched nodes hold 0.  Shares are even over that label's rules if nothing was seen or won."""
     from math import comb
 
     k = min(k, len(features))
-    n = comb(len(features), k)
-    asked = exploded(queries.select("id", *features), features, k).join(decided.select("id", "pred"), "id")
+    asked = asked.join(decided.select("id", "pred"), "id")
     table = node_table(cs, features, k).withColumnRenamed("y", "pred")
-    hit = asked.join(table, ["node", "key", "pred"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
-    # A null level leaves nodes out: the first one left out holds 0.
-    ends = hit.groupBy("id").agg(
-        F.min(F.struct("w", "node")).alias("low"),
-        F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("high"),
-        F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.collect_set("node"))).alias("gap"),  # at most n nodes
-    )
-    low = F.when(F.col("gap").isNull() | (F.struct("low.w", "low.node") < F.struct(F.lit(0).cast("long").alias("w"), F.col("gap").alias("node"))), F.col("low.node")).otherwise(F.col("gap"))
-    nodes = ends.select("id", F.explode(F.array(low, F.col("high.node"))).alias("node"))
+    value = F.coalesce(F.sum(F.col("p") * F.col("w")), F.lit(0))
+    per = asked.join(table, ["node", "key", "pred"], "left").groupBy("id", "node").agg(value.alias("w"))
+    every = asked.select("id").distinct().withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(comb(len(features), k) - 1))))  # nodes that a null level leaves out hold 0
+    hit = every.join(per, ["id", "node"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    ends = hit.groupBy("id").agg(F.min(F.struct("w", "node")).alias("low"), F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("high"))
+    nodes = ends.select("id", F.explode(F.array("low.node", "high.node")).alias("node"))
     b = node_weights(cs, features, k).join(cs.select("cell", F.col("y").alias("pred"), F.col("w").alias("n")), "cell")
-    parts = asked.join(nodes, ["id", "node"]).join(b, ["node", "key", "pred"]).groupBy("id", "cell").agg(F.sum(F.col("b") * F.col("n")).alias("c"))
+    parts = asked.join(nodes, ["id", "node"]).join(b, ["node", "key", "pred"]).groupBy("id", "cell").agg(F.sum(F.col("p") * F.col("b") * F.col("n")).alias("c"))
     shares = parts.withColumn("v", F.col("c") / F.sum("c").over(Window.partitionBy("id"))).select("id", "cell", "v")
     even = cs.select("cell", F.col("y").alias("pred"), (F.col("w") / F.sum("w").over(Window.partitionBy("y"))).alias("v"))
     rest = decided.select("id", "pred").join(shares.select("id").distinct(), "id", "left_anti").join(even, "pred").select("id", "cell", "v")

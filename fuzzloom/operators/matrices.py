@@ -51,6 +51,12 @@ def node_table(cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
     return node_weights(cs, features, k).join(cs.select("cell", "y", F.col("w").alias("n")), "cell").groupBy("node", "key", "y").agg(F.sum(F.col("b") * F.col("n")).alias("w"))
 
 
+def rule_matrix(cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(cell, node, key, y, c): for each cell and node the weights of all rules that agree with it there, by their label y."""
+    table = node_table(cs, features, k).withColumnRenamed("w", "c")
+    return exploded(cs.select("cell", *features), features, min(k, len(features))).select("cell", "node", "key").join(table, ["node", "key"])
+
+
 def pair_sums(cs: DataFrame, features: list[str], scope: str = "global") -> DataFrame:
     """(cell, attr, s): sums of pair agreements: all pairs, those that hold the attribute (adjacent), or those it begins (upper)."""
     if scope not in ("global", "adjacent", "upper"):

@@ -26,11 +26,26 @@ def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
     Equal scores are counted first, so the ranking window has a row for each distinct score."""
     c = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = c.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2.0)).alias("u"))
+    below = running(c, "s", "neg")
+    r = below.select("pos", "neg", (F.col("pos") * (F.col("before") + F.col("neg") / 2.0)).alias("u"))
     return r.agg(F.try_divide(F.sum("u").cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
+def running(df: DataFrame, order: str, value: str, pieces: int = 64) -> DataFrame:
+    """df with before: the sum of value over all rows of a lesser order.
+
+    Rows are dealt by approximate quantiles of order, so that each piece is summed in a task of
+    its own; the sums of the pieces, a row each, tell where a piece begins."""
+    at = ", ".join(f"{(i + 1) / pieces!r}D" for i in range(pieces - 1))
+    cuts = df.agg(F.expr(f"array_sort(array_distinct(approx_percentile({order}, array({at}), 1000)))").alias("_cuts"))
+    x = df.crossJoin(F.broadcast(cuts)).withColumn("_piece", F.size(F.filter("_cuts", lambda t: t < F.col(order)))).drop("_cuts")  # one row
+    first = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece
+    base = x.groupBy("_piece").agg(F.sum(value).alias("_s")).select("_piece", F.coalesce(F.sum("_s").over(first), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_piece").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = F.sum(value).over(Window.partitionBy("_piece", order))
+    return x.withColumn("before", F.sum(value).over(own) - mine).join(F.broadcast(base), "_piece").withColumn("before", F.col("before") + F.col("_base")).drop("_piece", "_base")
+
+
 def evaluate(scored: DataFrame) -> DataFrame:
     """One row for (y, pred, score, d0, d1[, n_seen]): accuracy, macro F1, balanced accuracy, AUC, the same decisions by greater score and by ratio, unseen queries."""
     from fuzzloom.operators.infer import ratio_decision
@@ -66,3 +81,36 @@ def collapse_warnings(df: DataFrame, margin: float = 0.02) -> DataFrame:
     """One row of flags: scores hardly vary, no better than the majority, balanced accuracy near one half."""
     c = confusion(df).crossJoin(df.agg(F.stddev_pop("p1").alias("sd"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("majority")))
     return c.select((F.col("sd") < 0.02).alias("flat"), (F.col("accuracy") <= F.col("majority") + margin).alias("majority_like"), (F.col("bacc") <= 0.52).alias("chance_like"))
+
+
+def record(scored: DataFrame) -> DataFrame:
+    """One row for (y, pred, score[, n_seen]): accuracy, balanced accuracy, F1, AUC, sensitivity, specificity, the rate and number of positive decisions, distinct scores, unseen queries."""
+    c = confusion(scored).select("accuracy", "bacc", F.coalesce("f1", F.lit(0.0)).alias("f1"), "sensitivity", "specificity")
+    seen = F.count_if(F.col("n_seen") == 0) if "n_seen" in scored.columns else F.lit(0).cast("long")
+    more = scored.agg(F.avg("pred").alias("pos_rate"), F.sum("pred").alias("pred_pos"), F.countDistinct("score").alias("n_unique_scores"), seen.alias("n_unseen"))
+    return c.crossJoin(auc(scored)).crossJoin(more)  # one row each
+
+
+def group_means(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Mean and sample standard deviation of each value by group."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *[f(v).alias(f"{v}_{k}") for v in values for k, f in (("mean", F.avg), ("sd", F.stddev_samp))])
+
+
+def series(df: DataFrame, by: list[str], fold: str, value: str) -> DataFrame:
+    """The mean of each fold for each group that is anywhere, null where a group has no row in a fold."""
+    grid = df.select(*by).distinct().crossJoin(F.broadcast(df.select(fold).distinct()))  # folds are few
+    return grid.join(df.groupBy(*by, fold).agg(F.avg(value).alias("mean")), [*by, fold], "left")
+
+
+def speed_up(slow: float, fast: float) -> float | None:
+    """How many times faster; None where nothing was measured."""
+    return slow / fast if fast > 0 else None
+
+
+def per_query_ms(seconds: float, queries: int) -> float | None:
+    return 1000 * seconds / queries if queries else None
+
+
+def first_over(curve: DataFrame, value: str, threshold: float, at: str = "theta") -> DataFrame:
+    """One row: the least budget whose value reaches the threshold, null if none does."""
+    return curve.agg(F.min(F.when(F.col(value) >= threshold - 1e-12, F.col(at))).alias(at))

@@ -108,3 +108,37 @@ def level_codes(rules: DataFrame, features: list[str]) -> DataFrame:
 
     levels = rules.select(F.explode(F.array(*[F.struct(F.lit(i).alias("attr"), F.col(c).alias("level")) for i, c in enumerate(features)])).alias("x")).select("x.*").distinct()
     return levels.withColumn("code", F.row_number().over(Window.partitionBy("attr").orderBy("level")) - 1)
+
+
+def keep_rules(rules: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rules whose id is told."""
+    return rules.join(ids.select(key), key, "left_semi")
+
+
+def thin_rules(rules: DataFrame, share: float, key: str = "id", seed: int = 0) -> DataFrame:
+    """A random share of the rules, rounded up: the first ones by hash."""
+    from fuzzloom.operators.split import budget, numbered
+
+    m = budget(share, rules.count())
+    return numbered(rules, [], key, seed).filter(F.col("_no") < m).drop("_no")
+
+
+def pruned(edges: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The edges (u, v, ...) whose ends both are still among the rules' tokens (token)."""
+    have = tokens.select("token").distinct()
+    return edges.join(have.withColumnRenamed("token", "u"), "u", "left_semi").join(have.withColumnRenamed("token", "v"), "v", "left_semi").select(edges.columns)
+
+
+def one_hot(rules: DataFrame, features: list[str], key: str = "id") -> DataFrame:
+    """(id, attr, level): the long form of one-hot codes; squared distances are twice the number of attributes that differ."""
+    return rules.select(key, F.posexplode(F.array(*features)).alias("attr", "level")).filter("level is not null")
+
+
+def impute_by_class(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """The older form: a missing value becomes the median of the row's own class, or the mean of the class medians.
+
+    It reads labels, so results on held-out rows are too good; for comparisons only."""
+    per = df.groupBy(spec.label).agg(*[F.median(valid(c, spec)).alias(f"_m_{c}") for c in spec.numeric])
+    mean = per.agg(*[F.avg(f"_m_{c}").alias(f"_a_{c}") for c in spec.numeric])
+    out = df.join(F.broadcast(per), spec.label).crossJoin(F.broadcast(mean))  # a row for each class; one row
+    return out.select(*[F.coalesce(valid(c, spec), f"_m_{c}", f"_a_{c}").alias(c) if c in spec.numeric else F.col(c) for c in df.columns])

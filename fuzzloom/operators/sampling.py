@@ -7,12 +7,15 @@ rules there are; equal cells of one label differ in nothing but their number."""
 
 from __future__ import annotations
 
+import heapq
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.operators.split import allocate, budget
+from fuzzloom.operators.split import allocate, budget, largest_remainder
 
 
 def matches(features: list[str], a: str = "l", b: str = "r"):
@@ -26,8 +29,9 @@ def similarity(cs: DataFrame, features: list[str]) -> DataFrame:
 
 def coverage(cs: DataFrame, chosen: DataFrame, features: list[str]) -> DataFrame:
     """(cell, w, cov): the most matches with a chosen cell (column cell) of the same label, 0 without."""
-    near = similarity(cs, features).join(chosen.select(F.col("cell").alias("j")).distinct(), "j").groupBy("i").agg(F.max("m").alias("cov"))
-    return cs.select("cell", "w").join(near.withColumnRenamed("i", "cell"), "cell", "left").na.fill(0, ["cov"])
+    few = cs.join(chosen.select("cell").distinct(), "cell")  # only these meet the cells
+    near = cs.alias("l").join(few.alias("r"), "y").select(F.col("l.cell").alias("cell"), matches(features).alias("m")).groupBy("cell").agg(F.max("m").alias("cov"))
+    return cs.select("cell", "w").join(near, "cell", "left").na.fill(0, ["cov"])
 
 
 def coverage_stats(cov: DataFrame, n_features: int, delta: float = 0.8) -> DataFrame:
@@ -51,49 +55,104 @@ def diversity(cs: DataFrame, features: list[str]) -> DataFrame:
     return s.groupBy("y").agg(F.greatest(1 - F.sum(F.col("m") * pairs) / (F.sum(pairs) * F.lit(float(len(features)))), F.lit(1e-9)).alias("diversity"))
 
 
-def _greedy(features: list[str], m: int, stop: float | None):
+def _greedy(features: list[str], m: int, stop: float | None, mode: str = "mean"):
+    """Lazy greedy choice of cells; a gain is found when it is asked for, so no matrix of all pairs is held."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell").reset_index(drop=True)
-        codes = np.stack([pd.factorize(pdf[c])[0] for c in features], axis=1)
-        sim = (codes[:, None, :] == codes[None, :, :]).sum(axis=2).astype(np.int64)
-        w, cov, out = pdf["w"].to_numpy(np.int64), np.zeros(len(pdf), np.int64), []
-        for rank in range(min(m, len(pdf))):
-            if stop is not None and (cov * w).sum() >= (stop - 1e-12) * len(features) * w.sum():
+        codes = np.stack([pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in features], axis=1)
+        w, cov, out, p = pdf["w"].to_numpy(np.int64), np.zeros(len(pdf), np.int64), [], len(features)
+        alike = lambda i: (codes == codes[i]).sum(axis=1).astype(np.int64)
+        gain = lambda i: int((np.maximum(alike(i) - cov, 0) * w).sum())
+        # Gains only fall as more is covered, so a cell whose old gain is below another's new one need not be looked at.
+        heap = [(-(p * int(w.sum())), i, -1) for i in range(len(pdf))]
+        while heap and len(out) < m:
+            if stop is not None and out and ((cov * w).sum() >= (stop - 1e-12) * p * w.sum() if mode == "mean" else cov.min() >= (stop - 1e-12) * p):
                 break
-            gain = (np.maximum(sim - cov[:, None], 0) * w[:, None]).sum(axis=0)
-            best = int(gain.argmax())
-            if gain[best] == 0:
+            old, i, at = heapq.heappop(heap)
+            if at != len(out):
+                heapq.heappush(heap, (-gain(i), i, len(out)))
+                continue
+            if old == 0:
                 break
-            cov = np.maximum(cov, sim[:, best])
-            out.append((pdf["cell"][best], pdf["y"][best], rank, int(gain[best])))
+            cov = np.maximum(cov, alike(i))
+            out.append((pdf["cell"][i], pdf["y"][i], len(out), -old))
         return pd.DataFrame(out, columns=["cell", "y", "rank", "gain"])
 
     return run
 
 
-def greedy_by_label(cs: DataFrame, features: list[str], m: int, stop: float | None = None) -> DataFrame:
-    """(cell, y, rank, gain): the greedy order within each label, until nothing is gained."""
+def greedy_by_label(cs: DataFrame, features: list[str], m: int, stop: float | None = None, mode: str = "mean") -> DataFrame:
+    """(cell, y, rank, gain): the greedy order within each label, until nothing is gained; stop by mean coverage or, with mode all, by the least."""
     if m < 0 or m != int(m):
         raise ValueError("the budget must be a whole number from 0")
-    return cs.groupBy("y").applyInPandas(_greedy(features, m, stop), "cell long, y int, rank int, gain long")
+    if mode not in ("mean", "all"):
+        raise ValueError(f"unknown mode {mode}")
+    return cs.groupBy("y").applyInPandas(_greedy(features, m, stop, mode), "cell long, y int, rank int, gain long")
+
+
+def greedy(cs: DataFrame, features: list[str], m: int, stop: float | None = None, mode: str = "mean") -> DataFrame:
+    """The global greedy choice of cells that gain: the labels' orders merged by gain, as a rule covers its own label only."""
+    if stop is None:
+        return greedy_by_label(cs, features, m).orderBy(F.desc("gain"), "cell").limit(m)
+    if mode == "all":  # every label's least coverage has to reach it; merged, the last label to do so ends the choice
+        ends = greedy_by_label(cs, features, m, stop, mode)
+        last = ends.groupBy("y").agg(F.max_by(F.struct("gain", (-F.col("cell")).alias("cell")), "rank").alias("e")).agg(F.min("e").alias("e"))
+        every = greedy_by_label(cs, features, m).crossJoin(F.broadcast(last))  # one row
+        return every.filter(F.struct("gain", (-F.col("cell")).alias("cell")) >= F.col("e")).drop("e").orderBy(F.desc("gain"), "cell").limit(m)
+    total = cs.agg(F.sum("w")).first()[0] or 0
+    order = Window.orderBy(F.desc("gain"), "cell")  # cells that gain, as many as the budget at most
+    before = F.coalesce(F.sum("gain").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = greedy_by_label(cs, features, m).orderBy(F.desc("gain"), "cell").limit(m)
+    return every.withColumn("_b", before).filter((F.col("_b") < (stop - 1e-12) * len(features) * total) | (F.col("_b") == 0)).drop("_b")
+
+
+def filled(rules: DataFrame, picks: DataFrame, quota: dict | int) -> DataFrame:
+    """(id, y, rank, gain): the picked cells' first rules, and then others by id, which gain nothing, up to the budget in all or of each label (or other part: column part)."""
+    if isinstance(quota, int):
+        rules, picks, quota = rules.withColumn("part", F.lit(0)), picks.withColumn("part", F.lit(0)), {0: quota}
+    chosen = picks.select(F.col("cell").alias("id"), "part", "rank", "gain")
+    rest = rules.join(chosen.select("id"), "id", "left_anti").select("id", "y", "part")
+    have = {r["part"]: r["n"] for r in chosen.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row for each part
+    own = [rules.join(chosen.drop("part"), "id").select("id", "y", "part", "rank", "gain")]
+    for part, q in quota.items():  # parts are few
+        if (lack := q - have.get(part, 0)) > 0:
+            some = rest.filter(F.col("part") == F.lit(part)).orderBy("id").limit(lack)
+            own.append(some.select("id", "y", "part", F.lit(None).cast("int").alias("rank"), F.lit(0).cast("long").alias("gain")))
+    out = own[0]
+    for x in own[1:]:
+        out = out.unionByName(x)
+    return out
 
 
-def greedy(cs: DataFrame, features: list[str], m: int) -> DataFrame:
-    """The global greedy choice: the labels' orders merged by gain, as a rule covers its own label only."""
-    return greedy_by_label(cs, features, m).orderBy(F.desc("gain"), "cell").limit(m)
+def greedy_rules(rules: DataFrame, cs: DataFrame, features: list[str], m: int) -> DataFrame:
+    """(id, y, rank, gain): the global greedy choice of exactly min(m, all) rules."""
+    return filled(rules, greedy(cs, features, m), m).drop("part")
 
 
-def greedy_stratified(cs: DataFrame, features: list[str], theta: float, method: str = "proportional") -> DataFrame:
-    """Greedy within each label under an exact budget."""
+def stratified_quota(cs: DataFrame, features: list[str], theta: float, method: str = "proportional", exact: bool = True) -> dict:
     strata = sorted((r[0], r[1]) for r in cs.groupBy("y").agg(F.sum("w")).collect())  # one row for each label
     spread = {r["y"]: r["diversity"] for r in diversity(cs, features).collect()} if method == "neyman" else {}
-    quota = allocate([n for _, n in strata], theta, method, diversity=[spread.get(y, 1.0) for y, _ in strata])
-    most = F.create_map(*[x for (y, _), q in zip(strata, quota) for x in (F.lit(y), F.lit(q))])
-    return greedy_by_label(cs, features, max(quota, default=0)).filter(F.col("rank") < most[F.col("y")])
+    quota = allocate([n for _, n in strata], theta, method, exact, [spread.get(y, 1.0) for y, _ in strata])
+    return dict(zip([y for y, _ in strata], quota, strict=True))
+
+
+def greedy_stratified(cs: DataFrame, features: list[str], theta: float, method: str = "proportional", exact: bool = True) -> DataFrame:
+    """Greedy choice of cells within each label under its budget."""
+    quota = stratified_quota(cs, features, theta, method, exact)
+    picks = greedy_by_label(cs, features, max(quota.values(), default=0))
+    most = F.create_map(*[x for y, q in quota.items() for x in (F.lit(y), F.lit(q))]) if quota else F.lit(None).cast("map<int,int>")
+    return picks.filter(F.col("rank") < most[F.col("y")])
 
 
-def greedy_clustered(cs: DataFrame, features: list[str], theta: float, clusters: int = 5, seed: int = 0) -> DataFrame:
-    """Greedy within clusters of each label: k-means on one-hot levels, budgets proportional in two levels."""
+def greedy_stratified_rules(rules: DataFrame, cs: DataFrame, features: list[str], theta: float, method: str = "proportional", exact: bool = True) -> DataFrame:
+    """(id, y, rank, gain): greedy within each label, of exactly its budget."""
+    picks = greedy_stratified(cs, features, theta, method, exact).withColumn("part", F.col("y"))
+    return filled(rules.withColumn("part", F.col("y")), picks, stratified_quota(cs, features, theta, method, exact)).drop("part")
+
+
+def clustered(cs: DataFrame, features: list[str], clusters: int = 5, seed: int = 0) -> DataFrame:
+    """The cells with cluster: k-means on one-hot levels within each label."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
@@ -104,17 +163,46 @@ def greedy_clustered(cs: DataFrame, features: list[str], theta: float, clusters:
         hot = OneHotEncoder(inputCols=[f"_{c}" for c in features], outputCols=[f"__{c}" for c in features], dropLast=False).fit(at).transform(at)
         vec = VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="v").transform(hot)
         part = KMeans(k=clusters, seed=seed, featuresCol="v", predictionCol="cluster", weightCol="w").fit(vec).transform(vec).select(*cs.columns, "cluster")
-        sizes = sorted((r[0], r[1]) for r in part.groupBy("cluster").agg(F.sum("w")).collect())
-        quota = dict(zip([c for c, _ in sizes], allocate([s for _, s in sizes], theta)))
-        def picked(pdf: pd.DataFrame) -> pd.DataFrame:
-            cluster = int(pdf["cluster"].iloc[0])
-            return _greedy(features, quota[cluster], None)(pdf).assign(cluster=cluster)  # noqa: B023  pickled at once
-
-        got = part.groupBy("cluster").applyInPandas(picked, "cell long, y int, rank int, gain long, cluster int")
-        out = got if out is None else out.unionByName(got)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def _part():
+    return F.concat_ws(":", "y", "cluster")
+
+
+def clustered_quota(parts: DataFrame, features: list[str], theta: float, method: str = "proportional") -> dict:
+    """The budget of each part, y:cluster: first of labels, then of a label's clusters by size."""
+    labels, out = stratified_quota(parts, features, theta, method), {}
+    sizes = sorted(((r[0], r[1], r[2]) for r in parts.groupBy("y", "cluster").agg(F.sum("w")).collect()))  # labels x clusters rows
+    for y, q in labels.items():
+        own = [(c, n) for label, c, n in sizes if label == y]
+        out |= {f"{y}:{c}": k for (c, _), k in zip(own, largest_remainder([n for _, n in own], q), strict=True)}
+    return out
+
+
+def greedy_clustered(cs: DataFrame, features: list[str], theta: float, clusters: int = 5, seed: int = 0, parts: DataFrame | None = None) -> DataFrame:
+    """Greedy choice of cells within clusters of each label, under budgets of both levels."""
+    parts = clustered(cs, features, clusters, seed) if parts is None else parts
+    quota = clustered_quota(parts, features, theta)
+
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        cluster = int(pdf["cluster"].iloc[0])
+        return _greedy(features, quota[f"{pdf['y'].iloc[0]}:{cluster}"], None)(pdf).assign(cluster=cluster)
+
+    return parts.groupBy("y", "cluster").applyInPandas(picked, "cell long, y int, rank int, gain long, cluster int")
+
+
+def greedy_clustered_rules(rules: DataFrame, cs: DataFrame, features: list[str], theta: float, clusters: int = 5, seed: int = 0) -> DataFrame:
+    """(id, y, rank, gain): greedy within clusters of each label, of exactly the budget in all."""
+    parts = clustered(cs, features, clusters, seed)
+    picks = greedy_clustered(cs, features, theta, parts=parts).withColumn("part", _part())
+    of = parts.select(*[F.col(c).alias(f"_{c}") for c in (*features, "y")], _part().alias("part"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*features, "y")]
+    with_part = rules.join(of, reduce(lambda a, b: a & b, on)).select(*rules.columns, "part")
+    return filled(with_part, picks, clustered_quota(parts, features, theta)).drop("part")
+
+
 def best_subset(cs: DataFrame, features: list[str], m: int) -> DataFrame:
     """One row: the greatest sum of covered matches over all choices of m of at most 18 cells, and the first such choice as bits."""
     n = cs.count()
@@ -139,8 +227,6 @@ def budget_curve(picks: DataFrame, cs: DataFrame, features: list[str], thetas: l
 
 def decomposition(cs: DataFrame, parts: DataFrame, features: list[str], m: int) -> DataFrame:
     """(part, m, covered, best): greedy and exhaustive coverage of each part (cell, part), for a bound check; at most 100 parts of 18 cells."""
-    from functools import reduce
-
     sizes = parts.groupBy("part").count().orderBy("part").limit(101).collect()
     if not 0 < len(sizes) <= 100:
         raise ValueError("the check takes 1 to 100 parts")

@@ -13,6 +13,7 @@ from fuzzloom.operators import triples as kge
 from fuzzloom.plans import experiments
 from fuzzloom.plans.fixtures import FEATURES, SQL_DOCS, SQL_ORDERS, SQL_SPLIT, rules_docs, rules_orders, table
 from fuzzloom.sources import synthetic
+from fuzzloom.sources.staging import staged
 from fuzzloom.streaming.score import pair_stream
 
 Q: dict = {}
@@ -71,6 +72,10 @@ def fuzzify_cells(spark, d):
     return matrices.cells(rules_orders(spark, d), FEATURES)
 
 
+def _order_cells(spark, d):
+    return staged(matrices.cells(rules_orders(spark, d), FEATURES))
+
+
 @query("SELECT CASE WHEN p_size < 10 THEN 'Small' WHEN p_size < 25 THEN 'Normal' WHEN p_size < 40 THEN 'Large' ELSE 'Huge' END AS size_level, count(*) AS n FROM part GROUP BY ALL")
 def clinical_bins(spark, d):
     bins = ((10, "Small"), (25, "Normal"), (40, "Large"), (None, "Huge"))
@@ -113,12 +118,12 @@ def _sql(ks: str, tail: str, src: str = "rules", rules: str = SQL_ORDERS, more:
 
 @query(_sql("4", "SELECT cell, CAST(n AS BIGINT) AS n FROM a4"))
 def matrix_a4(spark, d):
-    return matrices.agreement(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES, 4).select("cell", "n")
+    return matrices.agreement(_order_cells(spark, d), FEATURES, 4).select("cell", "n")
 
 
 @query(_sql("1", "SELECT cell, CAST(node AS INT) AS attr, CAST(ny AS BIGINT) AS n FROM a1"))
 def matrix_m1(spark, d):
-    return matrices.label_agreement(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES)
+    return matrices.label_agreement(_order_cells(spark, d), FEATURES)
 
 
 _MEMBER = ", ".join(f"({i}, {FEATURES.index(c)})" for i, t in enumerate(combinations(FEATURES, 3)) for c in t)
@@ -127,12 +132,12 @@ _B3 = f"s4 AS (SELECT cell, sum(n) AS total FROM a4 GROUP BY cell), lm AS (SELEC
 
 @query(_sql("134", "SELECT cell, CAST(node AS INT) AS node, CAST(b AS BIGINT) AS b FROM b").replace(" SELECT cell, CAST(node AS INT) AS node, CAST(b", f", {_B3} SELECT cell, CAST(node AS INT) AS node, CAST(b"))
 def matrix_b3(spark, d):
-    return matrices.node_weights(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES).select("cell", "node", "b")
+    return matrices.node_weights(_order_cells(spark, d), FEATURES).select("cell", "node", "b")
 
 
 @query(_sql("134", "SELECT CAST(node AS INT) AS node, key, y, CAST(sum(b * w) AS BIGINT) AS w FROM b GROUP BY node, key, y").replace(" SELECT CAST(node AS INT) AS node, key", f", {_B3} SELECT CAST(node AS INT) AS node, key"))
 def node_weights(spark, d):
-    return matrices.node_table(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES)
+    return matrices.node_table(_order_cells(spark, d), FEATURES)
 
 
 _PAIRS = list(combinations(range(4), 2))
@@ -145,7 +150,7 @@ def _pair_sql(scope: str) -> str:
 
 def _pair_query(scope: str):
     def f(spark, d):
-        return matrices.pair_sums(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES, scope)
+        return matrices.pair_sums(_order_cells(spark, d), FEATURES, scope)
 
     f.__name__ = f"pair_sums_{scope}"
     query(_sql("2", "SELECT").removesuffix(" SELECT") + f", {_pair_sql(scope)} SELECT cell, attr, CAST(s AS BIGINT) AS s FROM ps")(f)
@@ -159,17 +164,21 @@ _W = f"{_pair_sql('global')}, x AS (SELECT a1.cell, a1.node AS attr, a1.key AS l
 
 @query(_sql("12", "SELECT").removesuffix(" SELECT") + f", {_W} SELECT CAST(attr AS INT) AS attr, level, y, w FROM pw")
 def pair_weights(spark, d):
-    return matrices.pair_table(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES)
+    return matrices.pair_table(_order_cells(spark, d), FEATURES)
 
 
 def _held_out(spark, d):
-    s = split.stratified_folds(rules_orders(spark, d))
+    s = staged(split.stratified_folds(rules_orders(spark, d)))
     return s.filter("fold <> 0"), s.filter("fold = 0")
 
 
+def _trained_cells(train):
+    return staged(matrices.cells(train, FEATURES))
+
+
 def _pair_scores(spark, d):
     train, asked = _held_out(spark, d)
-    return infer.decided(infer.pair_scores(asked, matrices.pair_table(matrices.cells(train, FEATURES), FEATURES), FEATURES))
+    return infer.decided(infer.pair_scores(asked, matrices.pair_table(_trained_cells(train), FEATURES), FEATURES))
 
 
 _LONG = " UNION ALL ".join(f"SELECT id, {i} AS attr, {c} AS level FROM query" for i, c in enumerate(FEATURES))
@@ -191,17 +200,29 @@ def pair_auc(spark, d):
     return metrics.auc(_pair_scores(spark, d).withColumn("score", F.round("score", 9))).select(F.round("auc", 6).alias("auc"))
 
 
-@query()
+_QUANTILES = "[" + ", ".join(repr(0.01 + 0.98 * i / 196) for i in range(197)) + "]"
+_RECORD = "tp, fp, tn, fn, round(tp / (tp + fn), 9) AS sensitivity, round(tn / (tn + fp), 9) AS specificity, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 9) AS precision, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS bacc"
+
+
+def _best(src: str, name: str, criterion: str = "bacc", zero: bool = True) -> str:
+    """CTEs: the threshold t of src (y, score) whose decisions are best."""
+    value = "(tp / pos + tn / neg) / 2" if criterion == "bacc" else "(tp + tn) / (pos + neg)"
+    first = "list_prepend(0.0, quantile_cont(score, {q}))" if zero else "quantile_cont(score, {q})"
+    return f"{name}_ts AS (SELECT DISTINCT unnest(" + first.format(q=_QUANTILES) + f") AS t FROM {src}), {name}_v AS (SELECT t, count(*) FILTER (WHERE y = 1 AND score > t) AS tp, count(*) FILTER (WHERE y = 0 AND score <= t) AS tn, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM {src}, {name}_ts GROUP BY t), {name} AS (SELECT t FROM {name}_v ORDER BY round({value}, 12) DESC, t LIMIT 1)"
+
+
+@query(_DECIDE + f", s9 AS (SELECT y, round(score, 9) AS score FROM sc), {_best('s9', 'b')}, k AS (SELECT count(*) FILTER (WHERE y = 1 AND score > t) AS tp, count(*) FILTER (WHERE y = 0 AND score > t) AS fp, count(*) FILTER (WHERE y = 0 AND score <= t) AS tn, count(*) FILTER (WHERE y = 1 AND score <= t) AS fn, round(any_value(t), 6) AS threshold FROM s9, b) SELECT {_RECORD}, threshold FROM k")
 def pair_calibrated(spark, d):
-    s = _pair_scores(spark, d)
+    s = staged(_pair_scores(spark, d).withColumn("score", F.round("score", 9)))
     t = infer.calibrate(s)
-    return metrics.confusion(s.withColumn("pred", (F.col("score") > t).cast("int"))).withColumn("threshold", F.lit(t))
+    out = metrics.confusion(s.withColumn("pred", (F.col("score") > t).cast("int"))).withColumn("threshold", F.round(F.lit(t), 6))
+    return out.withColumns({c: F.round(c, 9) for c in ("sensitivity", "specificity", "precision", "f1", "accuracy", "bacc")})
 
 
 @query(_DECIDE + " SELECT id, y, d0, d1, margin, round(score, 6) AS score, pred FROM sc")
 def pair_rows(spark, d):
     train, asked = _held_out(spark, d)
-    table = matrices.pair_table(matrices.cells(train, FEATURES), FEATURES)
+    table = matrices.pair_table(_trained_cells(train), FEATURES)
     return pair_stream(asked.select("id", *FEATURES, "y"), table, FEATURES).drop(*FEATURES).withColumn("score", F.round("score", 6))
 
 
@@ -215,7 +236,7 @@ _DS = ", ds AS (SELECT id, count(DISTINCT node) AS n_seen, " + ", ".join(f"coale
 @query(_NODE + _DS + " SELECT id, y, d0, d1, n_seen FROM sc")
 def node_decide(spark, d):
     train, asked = _held_out(spark, d)
-    return infer.node_scores(asked, matrices.node_table(matrices.cells(train, FEATURES), FEATURES), FEATURES)
+    return infer.node_scores(asked, matrices.node_table(_trained_cells(train), FEATURES), FEATURES)
 
 
 @query(_NODE + _DS + " SELECT id, y, d0, d1, n_seen, n_seen > 0 AS matched, CAST(CASE WHEN n_seen > 0 THEN d1 > d0 ELSE (SELECT count(*) FILTER (WHERE y = 1) > count(*) FILTER (WHERE y = 0) FROM train) END AS INT) AS pred FROM sc")
@@ -225,7 +246,7 @@ def node_fallback(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT * FROM ({_NODE.replace('fold <> 0', f'fold <> {i}').replace('fold = 0', f'fold = {i}')}{_DS} SELECT id, y, d0, d1, n_seen, {i} AS fold FROM sc)" for i in range(5)))
 def out_of_fold(spark, d):
-    return infer.out_of_fold(split.stratified_folds(rules_orders(spark, d)), FEATURES, 5)
+    return infer.out_of_fold(staged(split.stratified_folds(rules_orders(spark, d))), FEATURES, 5)
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE y = {y} AND {c} = {p}) AS {c}_{y}{p}" for c in ("a", "b") for y in (0, 1) for p in (0, 1))
@@ -267,21 +288,78 @@ def node_probability(spark, d):
     return infer.calibrated_probabilities(node_decide(spark, d), 0.25, 2.0).select("id", "y", F.round("p1", 9).alias("p1"))
 
 
-@query()
+def _share_sql(values: str, weight: str) -> str:
+    """CTEs from values (id, node, key, p of asked queries: nq) and sc (id, pred): the shares v of cells."""
+    return (
+        f", pv AS (SELECT q.id, q.node, coalesce(sum(q.p * nw.w), 0) AS w FROM {values} q JOIN sc ON q.id = sc.id LEFT JOIN nw ON nw.node = q.node AND nw.key = q.key AND nw.y = sc.pred GROUP BY ALL)"
+        ", ends AS (SELECT id, arg_min(node, {'w': w, 'n': node}) AS low, arg_min(node, {'w': -w, 'n': node}) AS high FROM pv GROUP BY id)"
+        ", two AS (SELECT id, low AS node FROM ends UNION ALL SELECT id, high FROM ends)"
+        f", parts AS (SELECT q.id, b.cell, sum(q.p * b.b * b.w) AS c FROM {values} q JOIN sc ON q.id = sc.id JOIN two ON two.id = q.id AND two.node = q.node JOIN b ON b.node = q.node AND b.key = q.key AND b.y = sc.pred GROUP BY ALL)"
+        ", shares AS (SELECT id, cell, c / sum(c) OVER (PARTITION BY id) AS v FROM parts), even AS (SELECT cell, y, w / sum(w) OVER (PARTITION BY y) AS v FROM c)"
+        f" SELECT id, cell, round(v, {weight}) AS v FROM (SELECT id, cell, v FROM shares UNION ALL SELECT sc.id, even.cell, even.v FROM sc JOIN even ON even.y = sc.pred WHERE sc.id NOT IN (SELECT id FROM shares))"
+    )
+
+
+@query(_NODE + _DS.replace("sc AS (", "s0 AS (") + ", sc AS (SELECT id, CAST(d1 > d0 AS INT) AS pred FROM s0), np AS (SELECT *, 1 AS p FROM nq)" + _share_sql("np", "9"))
 def rule_attribution(spark, d):
     train, asked = _held_out(spark, d)
-    cs = matrices.cells(train, FEATURES)
+    cs = _trained_cells(train)
     scores = infer.node_scores(asked, matrices.node_table(cs, FEATURES), FEATURES)
-    return infer.attribution(scores.withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")), asked, cs, FEATURES)
+    out = infer.attribution(scores.withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")), asked, cs, FEATURES)
+    return out.withColumn("v", F.round("v", 9))
 
 
-@query()
-def node_decide_fuzzy(spark, d):
-    train, asked = _held_out(spark, d)
+def _degrees(asked):
+    """0.7 on a row's own level, and for the two fuzzy attributes 0.3 on the next one."""
     long = asked.select("id", F.posexplode(F.array(*FEATURES)).alias("attr", "level"))
     after = F.when(F.col("level") == "Low", "Medium").when(F.col("level") == "Medium", "High").otherwise("Low")
-    m = long.select("id", "attr", "level", F.lit(0.7).alias("mu")).unionByName(long.filter("attr < 2").select("id", "attr", after.alias("level"), F.lit(0.3).alias("mu")))
-    return infer.fuzzy_node_scores(m, matrices.node_table(matrices.cells(train, FEATURES), FEATURES), FEATURES)
+    return long.select("id", "attr", "level", F.lit(0.7).alias("mu")).unionByName(long.filter("attr < 2").select("id", "attr", after.alias("level"), F.lit(0.3).alias("mu")))
+
+
+_NEXT = "CASE level WHEN 'Low' THEN 'Medium' WHEN 'Medium' THEN 'High' ELSE 'Low' END"
+_DEGREES = f", ql AS ({_LONG}), mu AS (SELECT id, attr, level, CAST(0.7 AS DOUBLE) AS mu FROM ql UNION ALL SELECT id, attr, {_NEXT}, CAST(0.3 AS DOUBLE) FROM ql WHERE attr < 2), fq AS (" + " UNION ALL ".join(f"SELECT a.id, {i} AS node, concat_ws(chr(1), a.level, b.level, c.level) AS key, a.mu * b.mu * c.mu AS p FROM mu a JOIN mu b ON a.id = b.id JOIN mu c ON a.id = c.id WHERE a.attr = {t[0]} AND b.attr = {t[1]} AND c.attr = {t[2]}" for i, t in enumerate(combinations(range(4), 3))) + ")"
+_FUZZY = _NODE.removesuffix(_NODE[_NODE.index(", h AS ("):]) + _DEGREES + ", fh AS (SELECT fq.id, fq.node, nw.y, sum(fq.p * nw.w) AS w FROM fq JOIN nw ON fq.node = nw.node AND fq.key = nw.key GROUP BY ALL), fs AS (SELECT id, " + ", ".join(f"coalesce(max(w) FILTER (WHERE y = {y}), 0) + CASE WHEN count(w) FILTER (WHERE y = {y}) < 4 THEN 0 ELSE min(w) FILTER (WHERE y = {y}) END AS d{y}" for y in (0, 1)) + " FROM fh GROUP BY id)"
+
+
+@query(_FUZZY + " SELECT query.id, round(coalesce(d0, 0), 4) AS d0, round(coalesce(d1, 0), 4) AS d1 FROM query LEFT JOIN fs ON query.id = fs.id")
+def node_decide_fuzzy(spark, d):
+    train, asked = _held_out(spark, d)
+    out = infer.fuzzy_node_scores(_degrees(asked), matrices.node_table(_trained_cells(train), FEATURES), FEATURES)
+    return out.withColumns({c: F.round(c, 4) for c in ("d0", "d1")})
+
+
+@query(_FUZZY + ", sc AS (SELECT query.id, CAST(round(coalesce(d1, 0), 4) > round(coalesce(d0, 0), 4) AS INT) AS pred FROM query LEFT JOIN fs ON query.id = fs.id)" + _share_sql("fq", "6"))
+def fuzzy_attribution(spark, d):
+    """Shares of rules in the decisions of queries with degrees."""
+    train, asked = _held_out(spark, d)
+    cs, m = _trained_cells(train), staged(_degrees(asked))
+    scores = infer.fuzzy_node_scores(m, matrices.node_table(cs, FEATURES), FEATURES)
+    told = scores.withColumn("pred", (F.round("d1", 4) > F.round("d0", 4)).cast("int"))
+    return infer.fuzzy_attribution(told, m, cs, FEATURES).withColumn("v", F.round("v", 6))
+
+
+@query(_NODE + _DS + " SELECT id, y, d0, d1, n_seen FROM sc")
+def node_sequential(spark, d):
+    """Every rule against every query; the lookup must agree."""
+    train, asked = _held_out(spark, d)
+    return infer.sequential_scores(asked, _trained_cells(train), FEATURES).select("id", "y", "d0", "d1", "n_seen")
+
+
+@query(_NODE + _DS + ", s AS (SELECT id, y, d0, d1, n_seen, ln(d1 + 1e-12) - ln(d0 + 1e-12) AS r FROM sc) SELECT how, count(*) AS n, CAST(sum(CASE how WHEN 'argmax' THEN (n_seen > 0 AND d1 > d0)::INT WHEN 'calibrated' THEN (n_seen > 0 AND r > 0.25)::INT ELSE (n_seen > 0 AND NOT d0 > 9 * d1)::INT END) AS BIGINT) AS positive FROM s, (VALUES ('argmax'), ('calibrated'), ('ratio9')) AS v(how) GROUP BY how")
+def decisions(spark, d):
+    scores = staged(node_decide(spark, d))
+    out = [infer.decide(scores, how, 0.25).agg(F.count("*").alias("n"), F.sum("pred").alias("positive")).select(F.lit(how).alias("how"), "n", "positive") for how in infer.DECISIONS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(_DECIDE + " SELECT id, round(CASE WHEN d0 IS NULL THEN 0.5 ELSE 1 / (1 + exp((d0 - d1) / CAST(1e8 AS DOUBLE))) END, 9) AS p1 FROM sc")
+def pair_probability(spark, d):
+    return infer.probabilities(_pair_scores(spark, d), 1e8).select("id", F.round("p1", 9).alias("p1"))
+
+
+@query(_sql("134", "SELECT a3.cell").replace(" SELECT a3.cell", "") + f", {_B3}, nw AS (SELECT node, key, y, sum(b * w) AS w FROM b GROUP BY ALL) SELECT t3.cell, CAST(t3.node AS INT) AS node, t3.key, nw.y, CAST(nw.w AS BIGINT) AS c FROM t3 JOIN nw ON t3.node = nw.node AND t3.key = nw.key")
+def matrix_c3(spark, d):
+    return matrices.rule_matrix(_order_cells(spark, d), FEATURES)
 
 
 _DC = _CELLS.format(src="rules")
@@ -289,7 +367,7 @@ _SIM = f"WITH {SQL_DOCS}, {_DC}, sim AS (SELECT l.cell AS i, r.cell AS j, l.y, l
 
 
 def _doc_cells(spark, d):
-    return matrices.cells(rules_docs(spark, d), FEATURES)
+    return staged(matrices.cells(rules_docs(spark, d), FEATURES))
 
 
 @query(_SIM + " SELECT i, j, y, m FROM sim")
@@ -332,11 +410,31 @@ def greedy_global(spark, d):
     return sampling.greedy(_doc_cells(spark, d), FEATURES, 6).select("cell", "y", "gain")
 
 
-@query()
+def _greedy_label_sql(y: int, m: int) -> str:
+    """CTEs of the first m greedy picks of one label, g<y>_<k>."""
+    parts = []
+    for k in range(m):
+        seen = " UNION ALL ".join(f"SELECT cell FROM g{y}_{i}" for i in range(k)) or "SELECT CAST(NULL AS BIGINT) AS cell WHERE false"
+        parts.append(f"u{y}_{k} AS MATERIALIZED (SELECT i AS cell, coalesce(max(m) FILTER (WHERE j IN ({seen})), 0) AS cov FROM sim WHERE y = {y} GROUP BY i), g{y}_{k} AS MATERIALIZED (SELECT j AS cell, {y} AS y, {k} AS rank, CAST(sum(greatest(m - cov, 0) * wi) AS BIGINT) AS gain FROM sim JOIN u{y}_{k} ON sim.i = u{y}_{k}.cell WHERE sim.y = {y} GROUP BY j ORDER BY gain DESC, cell LIMIT 1)")
+    return ", ".join(parts)
+
+
+_MOST = 20  # the budget at the size that the SQL is written for: 0.05 of 399 rules
+_QUOTA = "dv AS (SELECT y, greatest(1 - sum(m * wi * wj) / (sum(wi * wj) * 4.0), 1e-9) AS dv FROM sim GROUP BY y), sz AS (SELECT c.y, sum(w) AS n, sum(w) * any_value(dv) AS wt FROM c JOIN dv ON c.y = dv.y GROUP BY c.y), qt AS (SELECT y, n, ceil(0.05 * sum(n) OVER () - 1e-12) AS m, ceil(0.05 * sum(n) OVER () - 1e-12) * wt / sum(wt) OVER () AS q FROM sz), quota AS (SELECT y, least(floor(q), n) + (row_number() OVER (ORDER BY q - floor(q) DESC, y) <= m - sum(floor(q)) OVER ())::INT AS k FROM qt)"
+
+
+@query(_SIM + ", " + _QUOTA + ", " + ", ".join(_greedy_label_sql(y, _MOST) for y in (0, 1)) + ", picks AS (" + " UNION ALL ".join(f"SELECT * FROM g{y}_{k}" for y in (0, 1) for k in range(_MOST)) + ") SELECT cell, CAST(picks.y AS INT) AS y, CAST(rank AS INT) AS rank, gain FROM picks JOIN quota ON picks.y = quota.y WHERE rank < k AND gain > 0")
 def greedy_stratified(spark, d):
     return sampling.greedy_stratified(_doc_cells(spark, d), FEATURES, 0.05, "neyman")
 
 
+@query(_greedy_sql(80).removesuffix(" " + " UNION ALL ".join(f"SELECT cell, y, gain FROM p{k}" for k in range(80))) + ", won AS (SELECT cell AS id, y, gain FROM (" + " UNION ALL ".join(f"SELECT cell, y, gain FROM p{k}" for k in range(80)) + ") WHERE gain > 0), rest AS (SELECT id, y, CAST(0 AS BIGINT) AS gain FROM rules WHERE id NOT IN (SELECT id FROM won) ORDER BY id LIMIT (SELECT greatest(120 - count(*), 0) FROM won)) SELECT * FROM won UNION ALL SELECT * FROM rest")
+def greedy_rules(spark, d):
+    """A budget above the number of cells: the rules that gain, then others by id."""
+    rules = staged(rules_docs(spark, d))
+    return sampling.greedy_rules(rules, staged(matrices.cells(rules, FEATURES)), FEATURES, 120).select("id", "y", "gain")
+
+
 @query()
 def greedy_clustered(spark, d):
     return sampling.greedy_clustered(_doc_cells(spark, d), FEATURES, 0.05)
@@ -344,6 +442,7 @@ def greedy_clustered(spark, d):
 
 @query(f"WITH {SQL_DOCS}, c0 AS (SELECT f0, f1, f2, f3, y, count(*) AS w, min(id) AS cell FROM rules GROUP BY ALL), c AS (SELECT *, row_number() OVER (ORDER BY cell) - 1 AS no FROM (SELECT * FROM c0 ORDER BY cell LIMIT 10)), sim AS (SELECT l.cell AS i, r.no, l.w, (l.f0 = r.f0)::INT + (l.f1 = r.f1)::INT + (l.f2 = r.f2)::INT + (l.f3 = r.f3)::INT AS m FROM c l JOIN c r ON l.y = r.y), s AS (SELECT range AS bits FROM range(1024) WHERE bit_count(range) = 3), h AS (SELECT bits, i, max(m) * any_value(w) AS v FROM s JOIN sim ON (bits >> no) & 1 = 1 GROUP BY ALL) SELECT bits, CAST(sum(v) AS BIGINT) AS covered FROM h GROUP BY bits ORDER BY covered DESC, bits LIMIT 1")
 def opt_bruteforce(spark, d):
+    """All 2^10 subsets of the ten cells of least id: the exact optimum can only be asked of a bounded number of cells."""
     return sampling.best_subset(_doc_cells(spark, d).orderBy("cell").limit(10), FEATURES, 3)
 
 
@@ -351,7 +450,7 @@ _T = f"WITH {SQL_ORDERS}, {_DC}, t AS (" + " UNION ALL ".join(f"SELECT cell, y,
 
 
 def _tokens(spark, d):
-    return graph.tokens(matrices.cells(rules_orders(spark, d), FEATURES), FEATURES)
+    return graph.tokens(_order_cells(spark, d), FEATURES)
 
 
 @query(_T + " SELECT a.token AS u, b.token AS v, CAST(sum(a.w) AS BIGINT) AS n FROM t a JOIN t b ON a.cell = b.cell AND a.token <> b.token GROUP BY ALL")
@@ -392,31 +491,33 @@ def evidence_table(spark, d):
     return infer.evidence_table(r, FEATURES).withColumn("w", F.round("w", 6))
 
 
-@query()
+_THETAS = (0.01, 0.02, 0.05, 0.1, 0.2)
+
+
+@query(_greedy_sql(80).removesuffix(" " + " UNION ALL ".join(f"SELECT cell, y, gain FROM p{k}" for k in range(80))) + ", picks AS (" + " UNION ALL ".join(f"SELECT {k + 1} AS k, gain FROM p{k}" for k in range(80)) + f"), b AS (SELECT CAST(theta AS DOUBLE) AS theta, CAST(ceil(theta * (SELECT sum(w) FROM c) - 1e-12) AS INT) AS m FROM (VALUES {', '.join(f'({t})' for t in _THETAS)}) AS v(theta)) SELECT theta, m, round(coalesce(sum(gain), 0) / (4.0 * (SELECT sum(w) FROM c)), 9) AS rep FROM b LEFT JOIN picks ON k <= m GROUP BY theta, m")
 def budget_curve(spark, d):
     cs = _doc_cells(spark, d)
-    thetas = [0.01, 0.02, 0.05, 0.1, 0.2]
+    thetas = list(_THETAS)
     picks = sampling.greedy(cs, FEATURES, split.budget(thetas[-1], cs.agg(F.sum("w")).first()[0]))
-    return sampling.budget_curve(picks, cs, FEATURES, thetas)
+    return sampling.budget_curve(picks, cs, FEATURES, thetas).withColumn("rep", F.round("rep", 9))
 
 
 def _fitted(spark, d):
     """A short training on the cells of four folds with a lookup teacher; the fifth is asked."""
     train, asked = _held_out_docs(spark, d)
-    cs = matrices.cells(train, FEATURES).cache()
+    cs = _trained_cells(train)
     train = cs.withColumnRenamed("cell", "id")
     s = embedding.Settings(dim=8, steps=6)
     g = embedding.rule_graph(cs, FEATURES, s)
     scores = infer.node_scores(train, matrices.node_table(cs, FEATURES), FEATURES).withColumn("pred", (F.col("d1") > F.col("d0")).cast("int"))
     told, _ = embedding.taught(embedding.crisp_samples(train, FEATURES), scores, infer.attribution(scores, train, cs, FEATURES))
-    told = told.cache()
+    told = staged(told)
     model = embedding.train(g, told, s)
-    told.unpersist()
     return model, embedding.crisp_samples(asked, FEATURES)
 
 
 def _held_out_docs(spark, d):
-    s = split.stratified_folds(rules_docs(spark, d))
+    s = staged(split.stratified_folds(rules_docs(spark, d)))
     return s.filter("fold <> 0"), s.filter("fold = 0")
 
 
@@ -455,9 +556,17 @@ def rule_neighbours(spark, d):
     return graph.knn_vote(vectors, base)
 
 
-@query()
+def _walk_sql(walks: int, length: int, seed: int = 0) -> str:
+    steps = [f"e AS (SELECT DISTINCT a.token AS u, b.token AS v FROM t a JOIN t b ON a.cell = b.cell AND a.token <> b.token), nx AS (SELECT u, list(v ORDER BY v) AS next FROM e GROUP BY u), w0 AS (SELECT CAST(walk AS INT) AS walk, u AS start, [u] AS path FROM nx, (SELECT unnest(range(1, {walks + 1})) AS walk))"]
+    for k in range(length - 1):
+        at = f"CAST('0x' || substr(md5('{seed}:' || CAST(walk AS VARCHAR) || ':' || start || ':{k}'), 1, 8) AS BIGINT)"
+        steps.append(f"w{k + 1} AS (SELECT walk, start, CASE WHEN next IS NULL OR len(path) <= {k} THEN path ELSE list_append(path, next[{at} % len(next) + 1]) END AS path FROM w{k} LEFT JOIN nx ON nx.u = path[-1])")
+    return _T + ", " + ", ".join(steps) + f" SELECT walk, start, array_to_string(path, ' > ') AS path FROM w{length - 1}"
+
+
+@query(_walk_sql(3, 8))
 def random_walks(spark, d):
-    return graph.random_walks(graph.edge_weights(_tokens(spark, d)), 3, 8)
+    return graph.random_walks(graph.edge_weights(_tokens(spark, d)), 3, 8).withColumn("path", F.array_join("path", " > "))
 
 
 @query()
@@ -465,7 +574,7 @@ def train_embedding(spark, d):
     return graph.train_embedding(graph.edge_weights(_tokens(spark, d)), 8, steps=30)
 
 
-@query()
+@query("WITH e AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(label AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda z: z * z)) + 1e-12)) AS v FROM e), p AS (SELECT a.id, b.id AS other, b.label, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.id <> b.id), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS k FROM p), v AS (SELECT id, label, count(*) AS votes, min(k) AS k FROM n WHERE k <= 5 GROUP BY id, label) SELECT id, arg_max(label, {'v': votes, 'k': -k}) AS pred, max(votes) AS votes FROM v GROUP BY id")
 def knn_vote(spark, d):
     e = table(spark, d, "embeddings")
     key, vec = e.columns[0], next(c for c, t in e.dtypes if t.startswith("array"))
@@ -497,6 +606,187 @@ def cohen_dz(spark, d):
     return stats.cohen_dz(table(spark, d, "orders").select((F.col("o_totalprice").cast("double") - 100000).alias("d"))).select(F.round("dz", 9).alias("dz"))
 
 
-@query()
+@query("WITH p AS (SELECT CAST(p_retailprice AS DOUBLE) AS cost, CAST(p_size AS DOUBLE) AS benefit FROM part), f AS (SELECT a.cost, a.benefit FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cost <= a.cost AND b.benefit >= a.benefit AND (b.cost < a.cost OR b.benefit > a.benefit))), s AS (SELECT *, coalesce((cost - min(cost) OVER ()) / nullif(max(cost) OVER () - min(cost) OVER (), 0), 0) AS x, coalesce((benefit - min(benefit) OVER ()) / nullif(max(benefit) OVER () - min(benefit) OVER (), 0), 0) AS y, count(*) OVER () AS n FROM f), e AS (SELECT arg_min(y, cost) AS y0, arg_max(y, cost) AS y1 FROM s) SELECT cost, benefit FROM s, e ORDER BY round(CASE WHEN n <= 2 THEN y ELSE abs((y1 - y0) * x - y + y0) / sqrt(1 + (y1 - y0) * (y1 - y0)) END, 12) DESC, cost LIMIT 1")
 def knee_point(spark, d):
     return stats.knee(stats.pareto_front(table(spark, d, "part").select(F.col("p_retailprice").cast("double").alias("cost"), F.col("p_size").cast("double").alias("benefit"))), "cost", "benefit")
+
+
+_FOLDED = f"WITH {SQL_ORDERS}, {SQL_SPLIT}"
+
+
+@query(_FOLDED + ", m AS (SELECT f2, fold, avg(y) AS m FROM split GROUP BY ALL) SELECT f2, round(avg(m), 9) AS mean, round(stddev_samp(m), 9) AS sd, count(*) AS folds FROM m GROUP BY f2")
+def fold_summary(spark, d):
+    s = split.stratified_folds(rules_orders(spark, d)).withColumn("v", F.col("y").cast("double"))
+    return metrics.over_folds(s, ["f2"], "v").withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
+
+
+@query(_FOLDED + ", m AS (SELECT f2, fold, avg(y) AS v FROM split GROUP BY ALL) SELECT f2, count(*) AS folds, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(2.7764451052 * stddev_samp(v) / sqrt(5), 8) AS half FROM m GROUP BY f2")
+def fold_intervals(spark, d):
+    s = split.stratified_folds(rules_orders(spark, d)).groupBy("f2", "fold").agg(F.avg("y").alias("v"))
+    return stats.fold_interval(s, ["f2"]).select("f2", "folds", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), F.round("half", 8).alias("half"))
+
+
+@query(_FOLDED + ", g AS (SELECT * FROM (SELECT DISTINCT f1, f2 FROM split), (SELECT DISTINCT fold FROM split)) SELECT g.f1, g.f2, CAST(g.fold AS INT) AS fold, round(avg(y), 9) AS mean FROM g LEFT JOIN split s ON s.f1 = g.f1 AND s.f2 = g.f2 AND s.fold = g.fold GROUP BY ALL")
+def fold_series(spark, d):
+    s = split.stratified_folds(rules_orders(spark, d))
+    return metrics.series(s, ["f1", "f2"], "fold", "y").withColumn("mean", F.round("mean", 9))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 4) AS price_mean, round(stddev_samp(CAST(o_totalprice AS DOUBLE)), 4) AS price_sd FROM orders GROUP BY o_orderpriority")
+def group_means(spark, d):
+    o = table(spark, d, "orders").withColumn("price", F.col("o_totalprice").cast("double"))
+    return metrics.group_means(o, ["o_orderpriority"], ["price"]).withColumns({c: F.round(c, 4) for c in ("price_mean", "price_sd")})
+
+
+_P1 = "p AS (SELECT y, CASE WHEN n_seen = 0 THEN 0.5 ELSE 1 / (1 + exp(-(ln(d1 + 1e-12) - 0.25 - ln(d0 + 1e-12)) / 2)) END AS p1 FROM sc)"
+
+
+@query(_NODE + _DS + f", {_P1} SELECT round(-avg(CASE WHEN y = 1 THEN ln(least(greatest(p1, 1e-12), 1 - 1e-12)) ELSE ln(1 - least(greatest(p1, 1e-12), 1 - 1e-12)) END), 8) AS log_loss FROM p")
+def node_log_loss(spark, d):
+    p = infer.calibrated_probabilities(node_decide(spark, d), 0.25, 2.0)
+    return metrics.log_loss(p).select(F.round("log_loss", 8).alias("log_loss"))
+
+
+@query(_NODE + _DS + f", {_P1}, k AS (SELECT count(*) FILTER (WHERE y = 1 AND p1 > 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p1 > 0.5) AS fp, count(*) FILTER (WHERE y = 0 AND p1 <= 0.5) AS tn, count(*) FILTER (WHERE y = 1 AND p1 <= 0.5) AS fn, stddev_pop(p1) AS sd, greatest(avg(y), 1 - avg(y)) AS most FROM p) SELECT sd < 0.02 AS flat, (tp + tn) / (tp + tn + fp + fn) <= most + 0.02 AS majority_like, (tp / (tp + fn) + tn / (tn + fp)) / 2 <= 0.52 AS chance_like FROM k")
+def collapse_flags(spark, d):
+    p = infer.calibrated_probabilities(node_decide(spark, d), 0.25, 2.0)
+    return metrics.collapse_warnings(p.withColumn("pred", (F.col("p1") > 0.5).cast("int")))
+
+
+@query("WITH a0 AS (SELECT o_custkey AS id, o_orderpriority AS rule, sum(CAST(o_totalprice AS DOUBLE)) AS s FROM orders GROUP BY ALL), b0 AS (SELECT o_custkey AS id, o_orderpriority AS rule, count(*) AS s FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), a AS (SELECT id, rule, s / sum(s) OVER (PARTITION BY id) AS v FROM a0), b AS (SELECT id, rule, s / sum(s) OVER (PARTITION BY id) AS v FROM b0) SELECT id, round(sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) / 2, 8) AS dev FROM a FULL JOIN b USING (id, rule) GROUP BY id")
+def share_agreement(spark, d):
+    """Shares of a customer's priorities by price against those by number of finished orders, as two attributions."""
+    from pyspark.sql import Window
+
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("rule"), F.col("o_totalprice").cast("double").alias("v"), "o_orderstatus")
+    own = Window.partitionBy("id")
+    a = o.groupBy("id", "rule").agg(F.sum("v").alias("s")).select("id", "rule", (F.col("s") / F.sum("s").over(own)).alias("v"))
+    b = o.filter("o_orderstatus = 'F'").groupBy("id", "rule").agg(F.count("*").alias("s")).select("id", "rule", (F.col("s") / F.sum("s").over(own)).alias("v"))
+    return metrics.agreement(a, b).withColumn("dev", F.round("dev", 8))
+
+
+@query("SELECT round(regr_slope(ln(s), ln(n)), 8) AS slope, round(regr_intercept(ln(s), ln(n)), 8) AS intercept FROM (SELECT CAST(p_size AS DOUBLE) AS n, avg(CAST(p_retailprice AS DOUBLE)) AS s FROM part GROUP BY p_size)")
+def power_fit(spark, d):
+    x = table(spark, d, "part").groupBy("p_size").agg(F.avg(F.col("p_retailprice").cast("double")).alias("s")).withColumn("n", F.col("p_size").cast("double"))
+    return stats.power_fit(x).select(F.round("slope", 8).alias("slope"), F.round("intercept", 8).alias("intercept"))
+
+
+def _blocks(spark, d):
+    c = table(spark, d, "customer")
+    return c.groupBy(F.col("c_nationkey").alias("block"), F.col("c_mktsegment").alias("method")).agg(F.round(F.avg(F.col("c_acctbal").cast("double")), 6).alias("v"))
+
+
+_BLOCKS = "WITH b AS (SELECT c_nationkey AS block, c_mktsegment AS method, round(avg(CAST(c_acctbal AS DOUBLE)), 6) AS v FROM customer GROUP BY ALL)"
+
+
+@query(_BLOCKS + ", r AS (SELECT method, avg(rank() OVER (PARTITION BY block ORDER BY v DESC)) OVER (PARTITION BY method) AS x FROM b)".replace("avg(rank() OVER (PARTITION BY block ORDER BY v DESC)) OVER (PARTITION BY method) AS x FROM b", "rank() OVER (PARTITION BY block ORDER BY v DESC) + (count(*) OVER (PARTITION BY block, v) - 1) / 2.0 AS x FROM b") + ", m AS (SELECT method, avg(x) AS r, count(*) AS n FROM r GROUP BY method), s AS (SELECT count(*) AS k, max(n) AS n FROM m) SELECT a.method AS a, b.method AS b, round(abs(a.r - b.r), 9) AS gap, abs(a.r - b.r) > 3.857656 / sqrt(2) * sqrt(k * (k + 1) / (6.0 * s.n)) AS differs FROM m a JOIN m b ON a.method < b.method, s")
+def mean_rank_gaps(spark, d):
+    return stats.ranking_gaps(_blocks(spark, d)).withColumn("gap", F.round("gap", 9))
+
+
+@query(_BLOCKS + ", r AS (SELECT block, method, v, rank() OVER (PARTITION BY block ORDER BY v) + (count(*) OVER (PARTITION BY block, v) - 1) / 2.0 AS x FROM b), z AS (SELECT sum(s * s) AS ss, count(*) AS k, max(n) AS n FROM (SELECT sum(x) AS s, count(*) AS n FROM r GROUP BY method)), q AS (SELECT 12.0 / (n * k * (k + 1)) * ss - 3 * n * (k + 1) AS q FROM z) SELECT round(q, 8) AS statistic, round(exp(-q / 2) * (1 + q / 2), 8) AS p FROM q")
+def friedman_test(spark, d):
+    """Five market segments over nations; the SQL holds for five methods without ties."""
+    q, p = stats.friedman(_blocks(spark, d))
+    return spark.createDataFrame([(round(q, 8), round(p, 8))], "statistic double, p double")
+
+
+@query(f"WITH {SQL_ORDERS}, l AS ({' UNION ALL '.join(f'SELECT DISTINCT {i} AS attr, {c} AS level FROM rules' for i, c in enumerate(FEATURES))}) SELECT attr, level, CAST(row_number() OVER (PARTITION BY attr ORDER BY level) - 1 AS INT) AS code FROM l")
+def level_codes(spark, d):
+    return prep.level_codes(rules_orders(spark, d), FEATURES).select("attr", "level", F.col("code").cast("int").alias("code"))
+
+
+_PART = prep.DatasetSpec(("size", "price", "maker"), "big", (), ("maker",), {"size": ((10, "Small"), (25, "Normal"), (None, "Large"))})
+
+
+@query("WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price, p_brand AS maker, CAST(p_size > 30 AS INT) AS y FROM part), q AS (SELECT quantile_cont(price, [1.0/3, 2.0/3]) AS q FROM p) SELECT p_partkey AS id, CASE WHEN size < 10 THEN 'Small' WHEN size < 25 THEN 'Normal' ELSE 'Large' END AS size, CASE WHEN price <= q[1] THEN 'Low' WHEN price <= q[2] THEN 'Medium' ELSE 'High' END AS price, maker, y FROM p, q")
+def spec_rules(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_brand").alias("maker"), (F.col("p_size") > 30).cast("int").alias("big"))
+    return prep.to_rules(prep.fuzzify_spec(p, prep.fit_cuts(p, ["size", "price"]), _PART), _PART, "p_partkey")
+
+
+@query(f"WITH {_LI}, m AS (SELECT l_label, median(l_quantity) AS mq, median(nullif(l_discount, 0)) AS md FROM li GROUP BY l_label) SELECT l_label, coalesce(nullif(l_discount, 0), md, (SELECT avg(md) FROM m)) AS l_discount, count(*) AS n FROM li JOIN m USING (l_label) GROUP BY ALL")
+def impute_by_class(spark, d):
+    return prep.impute_by_class(_lineitem(spark, d), _DISCOUNT).groupBy("l_label", "l_discount").agg(F.count("*").alias("n"))
+
+
+@query(_T + ", e AS (SELECT a.token AS u, b.token AS v, sum(a.w) AS n FROM t a JOIN t b ON a.cell = b.cell AND a.token <> b.token GROUP BY ALL), s AS (SELECT token, sum(w) AS n FROM t GROUP BY token) SELECT u, v, round(least(e.n / s.n, 1.0), 4) AS mu FROM e JOIN s ON e.u = s.token")
+def token_edges(spark, d):
+    return synthetic.edges(_tokens(spark, d))
+
+
+@query(f"WITH {SQL_ORDERS}, {_DC}, k AS (SELECT *, row_number() OVER (ORDER BY md5('0:' || CAST(id AS VARCHAR)), id) AS r, count(*) OVER () AS n FROM rules) SELECT id, f0, f1, f2, f3, y FROM k WHERE r <= ceil(0.05 * n - 1e-12)")
+def thinned_rules(spark, d):
+    return prep.thin_rules(rules_orders(spark, d), 0.05)
+
+
+@query(_T + " SELECT DISTINCT token, regexp_extract(token, '^(.*)-([^-]*)$', 1) AS attr, regexp_extract(token, '^(.*)-([^-]*)$', 2) AS level FROM t")
+def token_parts(spark, d):
+    from fuzzloom.sources import files
+
+    return _tokens(spark, d).select("token").distinct().select("token", *files.split_token(F.col("token")))
+
+
+_AB = {"a": "f0", "b": "f1"}
+
+
+def _raw_orders(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    return o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("a"), F.col("c_acctbal").cast("double").alias("b"), F.col("o_orderpriority").alias("f2"), F.col("c_mktsegment").alias("f3"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+
+
+_RAW = SQL_ORDERS[: SQL_ORDERS.index("cut AS")].strip().rstrip(",")
+_TER = "CASE WHEN {v} <= {q}[1] THEN 'Low' WHEN {v} <= {q}[2] THEN 'Medium' ELSE 'High' END"
+
+
+def _levels_sql(src: str, cut: str) -> str:
+    return f"SELECT id, {_TER.format(v='a', q='qa')} AS f0, {_TER.format(v='b', q='qb')} AS f1, f2, f3, y FROM {src}, {cut}"
+
+
+def _held_sql(src: str, seed: int, share: float, name: str) -> str:
+    """CTE name: src with held, as the train and validation split marks it."""
+    return f"{name} AS (SELECT * EXCLUDE (k, n), k <= CASE WHEN n < 2 THEN 0 ELSE greatest(1, floor(n * {share} + 1e-12)) END AS held FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('{seed}:' || CAST(id AS VARCHAR)), id) AS k, count(*) OVER (PARTITION BY y) AS n FROM {src}))"
+
+
+_CUT = "{name} AS (SELECT quantile_cont(a, [1.0/3, 2.0/3]) AS qa, quantile_cont(b, [1.0/3, 2.0/3]) AS qb FROM {src})"
+
+
+@query(
+    f"WITH {_RAW}, sp AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5 AS fold FROM raw), tr AS (SELECT * EXCLUDE (fold) FROM sp WHERE fold <> 0), {_held_sql('tr', 1000, 0.2, 'hs')}, own AS (SELECT * FROM hs WHERE NOT held), {_CUT.format(name='ct', src='own')}, ev AS (SELECT id, a, b, f2, f3, y, CASE WHEN held THEN 'val' ELSE 'train' END AS part FROM hs UNION ALL SELECT id, a, b, f2, f3, y, 'test' FROM sp WHERE fold = 0), "
+    "sz AS (SELECT y, count(*) AS n, 500 * count(*) / sum(count(*)) OVER () AS q FROM own GROUP BY y), qt AS (SELECT y, floor(q) + (row_number() OVER (ORDER BY q - floor(q) DESC, y) <= 500 - sum(floor(q)) OVER ())::INT AS k FROM sz), pl AS (SELECT id FROM (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('0:' || CAST(id AS VARCHAR)), id) AS r FROM own) o JOIN qt ON o.y = qt.y WHERE r <= k) "
+    f"SELECT id, {_TER.format(v='a', q='qa')} AS f0, {_TER.format(v='b', q='qb')} AS f1, f2, f3, y, part, id IN (SELECT id FROM pl) AS pool FROM ev, ct"
+)
+def fold_build(spark, d):
+    from fuzzloom.plans import protocols
+
+    s = staged(split.stratified_folds(_raw_orders(spark, d)))
+    return protocols.build_fold(s.filter("fold <> 0").drop("fold"), s.filter("fold = 0").drop("fold"), _AB, FEATURES, 500, 0.2)
+
+
+def _model_sql(own: str, asked: str) -> str:
+    """A subquery (id, y, d0, d1, score) of the pair model of one part, asked of another."""
+    rules = f"{_CUT.format(name='cut', src=own)}, train AS ({_levels_sql(own, 'cut')}), query AS ({_levels_sql(asked, 'cut')})"
+    return _sql("12", "SELECT", "train", rules).removesuffix(" SELECT") + f", {_W}, ql AS ({_LONG}), dd AS (SELECT id, min(w) FILTER (WHERE pw.y = 0) + max(w) FILTER (WHERE pw.y = 0) AS d0, min(w) FILTER (WHERE pw.y = 1) + max(w) FILTER (WHERE pw.y = 1) AS d1 FROM ql JOIN pw ON ql.attr = pw.attr AND ql.level = pw.level GROUP BY id) SELECT query.id, query.y, coalesce(d0, 0) AS d0, coalesce(d1, 0) AS d1, round(ln(coalesce(d1, 0) + 1e-12) - ln(coalesce(d0, 0) + 1e-12), 9) AS score FROM query LEFT JOIN dd ON query.id = dd.id"
+
+
+@query(
+    f"WITH {_RAW}, {_held_sql('raw', 42, 0.3, 'hf')}, tr AS (SELECT * EXCLUDE (held) FROM hf WHERE NOT held), te AS (SELECT * EXCLUDE (held) FROM hf WHERE held), {_held_sql('tr', 43, 0.2, 'hi')}, itr AS (SELECT * EXCLUDE (held) FROM hi WHERE NOT held), iva AS (SELECT * EXCLUDE (held) FROM hi WHERE held), "
+    f"sv AS MATERIALIZED ({_model_sql('itr', 'iva')}), st AS MATERIALIZED ({_model_sql('tr', 'te')}), {_best('sv', 'ba', 'acc', False)}, {_best('sv', 'bb', 'bacc', False)}, "
+    "p AS (SELECT 'argmax' AS rule, y, CAST(d1 >= d0 AS INT) AS pred, CAST(NULL AS DOUBLE) AS t FROM st UNION ALL SELECT 'ratio9', y, CAST(NOT d0 > 9 * d1 AS INT), NULL FROM st UNION ALL SELECT 'calib_acc', y, CAST(score > t AS INT), t FROM st, ba UNION ALL SELECT 'calib_bacc', y, CAST(score > t AS INT), t FROM st, bb), "
+    "rk AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM st), u AS (SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS auc FROM rk), "
+    "k AS (SELECT rule, any_value(t) AS t, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn FROM p GROUP BY rule) "
+    "SELECT rule, round((tp + tn) / (tp + tn + fp + fn), 9) AS acc, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS bacc, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(auc, 9) AS auc, round(tp / (tp + fn), 9) AS sens, round(tn / (tn + fp), 9) AS spec, round((tp + fp) / (tp + tn + fp + fn), 9) AS pos_rate, round(t, 6) AS threshold FROM k, u"
+)
+def published_pair(spark, d):
+    """The 70/30 protocol with pair weights on orders."""
+    from fuzzloom.plans import protocols
+
+    out = protocols.published(_raw_orders(spark, d), _AB, FEATURES)
+    return out.withColumns({c: F.round(c, 6 if c == "threshold" else 9) for c, t in out.dtypes if t == "double"})
+
+
+@query(_NODE + _DS + ", e AS (SELECT y, n_seen, CAST(d1 > d0 AS INT) AS pred, round(CASE WHEN n_seen = 0 THEN 0 ELSE ln(d1 + 1e-12) - ln(d0 + 1e-12) END, 9) AS score FROM sc), rk AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM e), u AS (SELECT (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS auc FROM rk), k AS (SELECT count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(DISTINCT score) AS ns, count(*) FILTER (WHERE n_seen = 0) AS nu FROM e) SELECT round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 9) AS bacc, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1, round(tp / (tp + fn), 9) AS sensitivity, round(tn / (tn + fp), 9) AS specificity, round(auc, 9) AS auc, round((tp + fp) / (tp + tn + fp + fn), 9) AS pos_rate, tp + fp AS pred_pos, ns AS n_unique_scores, nu AS n_unseen FROM k, u")
+def fold_record(spark, d):
+    s = staged(node_decide(spark, d).withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")).withColumn("score", F.round(F.when(F.col("n_seen") == 0, 0.0).otherwise(infer.log_ratio()), 9)))
+    out = metrics.record(s)
+    return out.withColumns({c: F.round(c, 9) for c, t in out.dtypes if t == "double"})

@@ -12,26 +12,32 @@ from pyspark.sql import functions as F
 
 from fuzzloom.functions import stats
 from fuzzloom.operators import infer, matrices, metrics, sampling, split
+from fuzzloom.sources.staging import staged
 
 METHODS = ("greedy", "stratified", "clustered", "random", "strat_random")
 
 
 def sampled(method: str, rules: DataFrame, cs: DataFrame, features: list[str], theta: float, m: int, seed: int = 0) -> DataFrame:
-    """The chosen rules as cells; greedy methods take a rule of each cell, as a second one covers nothing more."""
-    if method in ("random", "strat_random"):
-        rows = split.random_sample(rules, m, seed=seed) if method == "random" else split.strat_random(rules, theta, seed=seed)
-        own, of = matrices.cells(rows, features).drop("cell").alias("l"), cs.alias("r")
-        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*features, "y")]
-        return own.join(of, reduce(lambda a, b: a & b, same)).select("l.*", "r.cell")
-    pick = {"greedy": lambda: sampling.greedy(cs, features, m), "stratified": lambda: sampling.greedy_stratified(cs, features, theta), "clustered": lambda: sampling.greedy_clustered(cs, features, theta)}
+    """The chosen rules as cells, with w of them each: min(m, all) rules by any method."""
+    pick = {
+        "greedy": lambda: sampling.greedy_rules(rules, cs, features, m),
+        "stratified": lambda: sampling.greedy_stratified_rules(rules, cs, features, theta),
+        "clustered": lambda: sampling.greedy_clustered_rules(rules, cs, features, theta),
+        "random": lambda: split.random_sample(rules, m, seed=seed),
+        "strat_random": lambda: split.strat_random(rules, theta, seed=seed),
+    }
     if method not in pick:
         raise ValueError(f"unknown method {method}")
-    return cs.join(pick[method]().select("cell"), "cell").withColumn("w", F.lit(1).cast("long"))
+    rows = rules.join(pick[method]().select("id"), "id", "left_semi")
+    own, of = matrices.cells(rows, features).drop("cell").alias("l"), cs.alias("r")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*features, "y")]
+    return own.join(of, reduce(lambda a, b: a & b, same)).select("l.*", "r.cell")
 
 
 def compare_budgets(rules: DataFrame, asked: DataFrame, features: list[str], thetas: list[float], methods: tuple[str, ...] = METHODS, seed: int = 0) -> DataFrame:
     """(method, theta, m, rep, auc, bacc): coverage of the rules by each sample, and decisions on asked rows by its weights."""
-    cs = matrices.cells(rules, features).cache()
+    rules = staged(rules)
+    cs = staged(matrices.cells(rules, features))
     n, out = rules.count(), []
     for method in methods:
         for theta in thetas:
