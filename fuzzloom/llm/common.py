@@ -11,18 +11,23 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: One word: a run of characters that are not ASCII white space.  bytes.split() splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or the session's checkpoint folder where that is unset.
+
+    Only a local session, whose executors are the driver, gets a new folder of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="fuzzloom-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
@@ -47,6 +52,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows of a table that is read by fewer tasks than the session runs at once are dealt anew; a larger table stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def packed(docs: DataFrame, *beside: str) -> DataFrame:
+    """All columns as one struct, whole, so that their names meet no others, and the named ones beside it."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), *[F.col(quoted(c)) for c in beside])
+
+
 def n_words(text):
     """Number of words of a text column, 0 for null; expression only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -59,12 +80,13 @@ def rows_in_slices(batches: Iterable[pa.RecordBatch], size: int = 512) -> Iterat
             yield batch.slice(at, size)
 
 
-def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, size: int = 512) -> DataFrame:
+def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str | StructType, size: int = 512) -> DataFrame:
     """mapInArrow of a function from a slice of rows to columns.  make() runs once in each task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    schema = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         f = make()

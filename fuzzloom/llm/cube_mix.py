@@ -23,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import n_words, written
+from fuzzloom.llm.common import n_words, packed, written
 
 WEIGHTS = (3, 1, 2)
 BLOCK, FAN = 1024, 512  # documents of a block; blocks whose remainders fly together
+PIECE = 100_000  # equal rows that one task numbers
 EPS = 1e-9
 
 
@@ -90,7 +91,7 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
 
 def _flight(rows: DataFrame, land: bool, seed: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["spread", "size", "tie"], kind="stable")
+        pdf = pdf.sort_values(["spread", "size", "tie", "again"], kind="stable")
         pi = pdf["pi"].tolist()
         fly(pi, pdf["size"].tolist(), random.Random(f"{seed} {pdf['source_no'].iloc[0]} {pdf['block'].iloc[0]} {land}"), land)
         return pdf.assign(pi=pi)
@@ -99,9 +100,9 @@ def _flight(rows: DataFrame, land: bool, seed: int) -> DataFrame:
 
 
 def copies(rows: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
-    """rows (source, size, spread, tie, ...) with source_size, target and copies: 0 up to the cap.
+    """rows (source, size, spread, tie, again, ...) with source_size, target and copies: 0 up to the cap.
 
-    spread is a hash that deals a source's rows to blocks; spread, size and tie order a block."""
+    spread is a hash that deals a source's rows to blocks; spread, size, tie and again order a block."""
     rows = written(rows)
     table = written(targets(rows, share, cap))
     numbered = table.withColumn("source_no", F.xxhash64("source")).withColumnRenamed("source", "s")
@@ -135,7 +136,16 @@ def copies(rows: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 7)
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("doc_id").alias("spread"), F.xxhash64("text").alias("tie"))
+    """(doc_id, source, size, tie, again, spread), one row per document.
+
+    Equal rows are counted on the map side and numbered by again, in pieces, so that they
+    are dealt to blocks like any others."""
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    equal = rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n"))
+    pieces = equal.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
+    dealt = pieces.repartition("doc_id", "tie", "low")
+    every = dealt.withColumn("again", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + PIECE, F.col("n")) - 1)))
+    return every.select("doc_id", "source", "size", "tie", "again", F.xxhash64("doc_id", "tie", "again").alias("spread"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -146,11 +156,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The documents, all columns, each as often as the mix takes it.
 
-    Rows that share doc_id and text are told apart by their number among each other."""
-    among = Window.partitionBy("_id", "_tie").orderBy("_n")
-    taken = copies(sized(docs)).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("copies").alias("_n"))
-    taken = taken.withColumn("_row", F.row_number().over(among)).filter("_n > 0")
-    own = Window.partitionBy("doc_id", "_own").orderBy("_own")
-    rows = docs.withColumn("_own", F.xxhash64("text")).withColumn("_at", F.row_number().over(own))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_tie")) & (F.col("_at") == F.col("_row"))
-    return rows.join(taken, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    Rows that share doc_id, source and text are told apart by their number among each other."""
+    taken = copies(sized(docs)).filter("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("tie").alias("own"), "again", "copies")
+    rows = packed(docs, "doc_id", "source").withColumn("tie", F.xxhash64("whole.text"))
+    among = Window.partitionBy("doc_id", "source", "tie").orderBy("tie")
+    numbered = rows.withColumn("at", F.row_number().over(among) - 1)
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("own")) & (F.col("at") == F.col("again"))
+    return numbered.join(taken, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("whole.*")

@@ -3,12 +3,13 @@
 Each shard owns virtual nodes on a ring of 64-bit hashes; the keys between two nodes form
 an arc and belong to the arc's node.  Shards have capacities: keys above a full shard's
 capacity continue clockwise to the next node whose shard has room.  All that leaves the
-executors is the number of keys of each arc (shards x nodes rows, whatever the input);
-from these the flow of the surplus is planned, as ranges of ranks within arcs, and a key's
+executors is the number of keys of each arc's pieces (shards x nodes x PIECES rows, whatever
+the input); from these the flow of the surplus is planned, as ranges of ranks within arcs, and a key's
 rank within its arc then gives both its shard and its slot.  DataFrame functions only.
 
 Null doc_ids hash like any key.  Null texts have no bytes.  Equal keys are neighbours on
-the ring; rows that tie in doc_id are ranked by their text's checksum and size.
+the ring; rows that tie in doc_id are ranked by their text's checksum and size, and a doc_id with very
+many rows is ranked in pieces by these.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fuzzloom.llm.common import packed
+
 NODES = 128
+PIECES = 16  # of an arc, that are ranked apart: rows of one key go to these by their ties
 _CELLS = 4096  # of the ring, to find an arc by an equi-join
 
 
@@ -96,18 +100,27 @@ def assign(df: DataFrame, key: str, shards: int, nodes: int = NODES, slack: floa
     """The rows with shard and slot, a number within the shard from 0 without gaps.
 
     slack None: loads differ by one at most; else no shard has over (1 + slack) times the mean."""
+    if {"shard", "slot"} & {*df.columns}:
+        raise ValueError("the rows have a column shard or slot already")
     on = ring(shards, nodes)
     owners = [s for _, s in on]
-    placed = with_arc(df, F.col(key), on)
-    counts = {r["arc"]: r["n"] for r in placed.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # a row for each arc
+    piece = F.pmod(F.xxhash64(*[f"tie{i}" for i in range(len(ties))]), F.lit(PIECES)).cast("int") if ties else F.lit(0)
+    rows = packed(df, key, *ties).toDF("whole", "key", *[f"tie{i}" for i in range(len(ties))])
+    placed = with_arc(rows, F.col("key"), on).withColumn("piece", piece)
+    counts, base = {}, []
+    for r in placed.groupBy("arc", "piece").agg(F.count("*").alias("n")).orderBy("arc", "piece").collect():  # at most arcs x PIECES rows
+        base.append([r["arc"], r["piece"], counts.get(r["arc"], 0)])
+        counts[r["arc"]] = counts.get(r["arc"], 0) + r["n"]
     total = sum(counts.values())
     room = exact_capacities(total, shards) if slack is None else loose_capacities(total, shards, slack)
     flow = _table(df.sparkSession, [list(x) for x in plan(counts, owners, room)], "arc int, low bigint, high bigint, shard int, first bigint")
-    order = Window.partitionBy("arc").orderBy("ring_hash", key, *ties)
-    ranked = placed.withColumn("rank", F.row_number().over(order).cast("long") - 1).withColumnRenamed("arc", "own_arc")
+    before = F.broadcast(_table(df.sparkSession, base, "arc int, piece int, base bigint"))
+    order = Window.partitionBy("arc", "piece").orderBy("ring_hash", *rows.columns[1:])
+    numbered = placed.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(before, ["arc", "piece"])
+    ranked = numbered.withColumn("rank", F.col("rank") + F.col("base")).withColumnRenamed("arc", "own_arc")
     hit = (F.col("own_arc") == F.col("arc")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     out = ranked.join(F.broadcast(flow), hit)  # at most arcs x shards rows
-    return out.withColumn("slot", F.col("first") + F.col("rank") - F.col("low")).drop("ring_hash", "own_arc", "arc", "rank", "low", "high", "first")
+    return out.select("whole.*", "shard", (F.col("first") + F.col("rank") - F.col("low")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

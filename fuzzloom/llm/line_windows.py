@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import WORD
+from fuzzloom.llm.common import WORD, packed, written
 
 WIDTH = 3
 
@@ -38,12 +38,34 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("tie"), F.inline(_bound(lines, hashed)))
 
 
+def first_places(all_windows: DataFrame) -> DataFrame:
+    """(h1, h2, first, n) of the windows that have several places, counted on the map side."""
+    place = F.struct("doc_id", "at", "tie")
+    by = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n"))
+    return by.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
+
+
+def later_windows(all_windows: DataFrame) -> DataFrame:
+    """(doc_id, tie, at) of all places but the first of each window.
+
+    Windows that hold over a 4096th of all repeated places, so fewer than 4096 of them, find
+    their first place by a broadcast, and don't meet in one task."""
+    first = written(first_places(all_windows))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * 4096 > total
+    few = F.broadcast(first.filter(hot).select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("first").alias("often")))
+    rare = first.filter(~hot).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("first").alias("seldom"))
+    place = F.struct("doc_id", "at", "tie")
+    near = all_windows.join(few, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left").filter(F.col("often").isNull() | ~place.eqNullSafe(F.col("often")))
+    spread = F.when(F.col("often").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id", "tie", "at"))
+    dealt = near.select("doc_id", "tie", "at", spread.alias("h1"), "h2", F.col("often").isNotNull().alias("known"))
+    both = dealt.join(rare, ~F.col("known") & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left")
+    return both.filter(F.col("known") | (F.col("seldom").isNotNull() & ~place.eqNullSafe(F.col("seldom")))).select("doc_id", "tie", "at")
+
+
 def covered_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, tie, covered): the numbers of the lines that repeat an earlier window."""
-    all_windows = windows(docs, width)
-    place = F.struct("doc_id", "at", "tie")
-    first = all_windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = all_windows.join(first, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    later = later_windows(windows(docs, width))
     cover = later.select("doc_id", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + width - 1)).alias("line"))
     return cover.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("covered"))  # a document's own lines at most
 
@@ -53,20 +75,20 @@ def _kept(lines: Column, covered: Column) -> Column:
     def stay(held):
         worded = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(WORD), i)), lambda i: i.isNotNull())
         gone = _bound(worded, lambda w: F.transform(held, lambda k: w[k.cast("int")]))
-        return _bound(gone, lambda g: F.filter(lines, lambda x, i: ~F.array_contains(g, i)))
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: lines[i])
 
     return _bound(covered, stay)
 
 
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All documents, all columns, with n_lines, n_removed, removed (line numbers, comma-joined) and kept_text."""
-    found = covered_lines(docs, width).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_of"), "covered")
-    rows = docs.withColumn("_tie", F.xxhash64("text"))
-    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_of")), "left")
+    """(whole, n_lines, n_removed, removed, kept_text): each row's columns as one struct, the line numbers removed, comma-joined, and the text left."""
+    found = covered_lines(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("id"), F.col("tie").alias("of"), "covered")
+    rows = packed(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("of")), "left")
     lines = F.split("text", "\n")
     text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(_bound(lines, lambda ls: F.array_join(_kept(ls, F.col("covered")), "\n")))
     return both.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        "whole",
         F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.col("covered").cast("array<string>"), ","), F.lit("")).alias("removed"),
@@ -76,17 +98,17 @@ def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document: what was removed, and the text that stays."""
-    return removals(docs.select("doc_id", "text"), width).drop("text")
+    return removals(docs.select("doc_id", "text"), width).select("whole.doc_id", "n_lines", "n_removed", "removed", "kept_text")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, all columns, with repeated windows taken out of text and n_chars made to fit.
 
     A document that loses all of its lines goes; one that had none stays."""
-    out = removals(docs.withColumnRenamed("n_chars", "_chars") if "n_chars" in docs.columns else docs, width)
-    out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    chars = F.when(F.col("n_removed") == 0, F.col("_chars")).otherwise(F.length("kept_text").cast("long")) if "n_chars" in docs.columns else None
-    return out.select(*[F.col("kept_text").alias("text") if c == "text" else chars.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    out = removals(docs, width).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    old = lambda c: F.col("whole")[c]
+    return out.select(*[(F.when(F.col("n_removed") == 0, old(c)).otherwise(new[c]) if c in new else old(c)).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -2,18 +2,25 @@
 
 An item is a distinct set of word shingles, named by 128 bits of hash; equal sets are one
 item, so copies never meet each other.  Items that share a key form a bucket.  A bucket's
-least item is its hub, and only (hub, item) pairs are made.  Let h be the hub and x, y two
+least item is its hub, and only (hub, item) pairs are looked at.  Let h be the hub and x, y two
 members with J(x, y) >= t.  By the triangle inequality of the Jaccard distance, if
-J(h, x) >= 2t - 1 then J(h, y) >= 3t - 2.  So members as near to the hub as 2t - 1 leave
-the bucket, members as near as 3t - 2 are joined with it into a group, and the others
-elect the next hub, until no bucket holds two.  These nearnesses come from the
-signatures with a margin of several standard errors.  Groups are then compared exactly, all against all, as
-products of incidence blocks; what leaves a block is a row per item.
+J(h, x) >= 2t - 1 then J(h, y) >= 3t - 2.  So members as near to a hub as 2t - 1 leave the
+bucket, members as near as 3t - 2 are joined with it, and the others elect the next hub, until
+the bucket holds one at most.  These nearnesses come from sketches, with a margin of MARGIN
+(four standard errors of 192 values, 2.4 of 64).  A task does this for one bucket at a time
+and tells one row for each item; buckets of over NODE items do the same in rounds over all
+tasks, with twice as many hubs in each.
+
+Items that are joined in any bucket, over any number of steps, are a group.  Groups are
+compared exactly, as products of incidence blocks; what leaves a block is a row per item.  A
+group of over BLOCK items is cut into blocks of neighbours, and two blocks are compared only
+if some bucket has items of both: work grows with buckets, not with the square of a chain of
+them.  Classes are components of verified links only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +31,11 @@ from pyspark.sql import functions as F
 from fuzzloom.llm.common import mixed, rows_in_slices, shingles, written
 
 MARGIN = 0.15
-ROUNDS = 3
 BLOCK = 768  # items of a block in the exact comparison
+NODE = 50_000  # items of a bucket that one task searches
 _U64 = np.uint64
 
 
-def prefix_length(trees: int, longest: int, threshold: float, recall: float) -> int:
-    """The longest prefix at which so many trees find a pair at the threshold with at least that probability."""
-    for d in range(longest, 0, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    raise ValueError("no prefix is short enough for the recall; take more trees")
-
-
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.Generator(np.random.PCG64(20240229))
     draw = r.integers(0, 1 << 63, (2, n), dtype=np.uint64)
@@ -45,43 +44,69 @@ def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def minima(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least 32-bit hash of each function over the shingles, by chunks that stay in cache."""
-    out = np.full(len(a), 0xFFFFFFFF, _U64)
-    for at in range(0, len(sets), 1024):
-        x = sets[None, at : at + 1024] * a
-        x += b
-        x >>= _U64(32)
-        np.minimum(out, x.min(axis=1), out=out)
-    return out
+    out = np.full(a.shape[0], 0xFFFFFFFFFFFFFFFF, _U64)
+    for at in range(0, len(sets), 256):
+        x = sets[at : at + 256, None] * a.T
+        x += b.T
+        np.minimum(out, x.min(axis=0), out=out)
+    return out >> _U64(32)
 
 
 class Signer:
-    """Signatures of shingle sets: an item's name, its keys and a sketch of 16-bit minima."""
+    """MinHash signatures of shingle sets: so many labels a tree, for so many trees, side by side."""
 
     def __init__(self, trees: int, depth: int):
-        self.trees, self.depth = trees, depth
         self.a, self.b = _constants(trees * depth)
-        self.salt = mixed(np.arange(1, trees + 1, dtype=_U64) * _U64(0xA24BAED4963EE407))
-
-    def __call__(self, sets: np.ndarray) -> tuple[bytes, list[int], bytes]:
-        name = xxhash.xxh3_128_digest(sets.tobytes())
-        if not len(sets):
-            return name, [], b""
-        low = minima(sets, self.a, self.b)
-        rows = low.reshape(self.trees, self.depth)
-        key = self.salt.copy()
-        for k in range(self.depth):
-            key = mixed(key * _U64(0x9E3779B97F4A7C15) + rows[:, k])
-        return name, key.view(np.int64).tolist(), low.astype(np.uint16).tobytes()
-
-
-    def many(self, windows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and sketches of several sets that stand side by side, from their first places on."""
-        low = np.minimum.reduceat((windows[None, :] * self.a + self.b) >> _U64(32), starts, axis=1).T
-        rows = low.reshape(len(starts), self.trees, self.depth)
+
+    def __call__(self, sets: np.ndarray) -> tuple[bytes, bytes]:
+        """A set's name and its labels, 16 bits each; none of an empty set."""
+        return xxhash.xxh3_128_digest(sets.tobytes()), minima(sets, self.a, self.b).astype(np.uint16).tobytes() if len(sets) else b""
+
+
+class Bander:
+    """Band keys and sketches of shingle sets: bands of so many rows, and a sketch of 8-bit minima."""
+
+    def __init__(self, bands: int, rows: int, sketch: int):
+        self.bands, self.rows = bands, rows
+        self.a, self.b = _constants(max(sketch, bands * rows))
+        self.salt = mixed(np.arange(1, bands + 1, dtype=_U64) * _U64(0xA24BAED4963EE407))
+
+    def __call__(self, windows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of several sets that stand side by side, from their first places on."""
+        low = np.empty((len(starts), len(self.a)), _U64)
+        for k in range(len(self.a)):  # one function at a time stays in cache
+            low[:, k] = np.minimum.reduceat((windows * self.a[k] + self.b[k]) >> _U64(32), starts)
+        rows = low[:, : self.bands * self.rows].reshape(len(starts), self.bands, self.rows)
         key = np.tile(self.salt, (len(starts), 1))
-        for k in range(self.depth):
+        for k in range(self.rows):
             key = mixed(key * _U64(0x9E3779B97F4A7C15) + rows[:, :, k])
-        return key.view(np.int64), low.astype(np.uint16)
+        return key, low.astype(np.uint8)
+
+
+def neighbours(rows: DataFrame, size: int, prefix: int, order: tuple[str, ...] = ("path", "item")) -> DataFrame:
+    """The rows whose first column of order shares its first prefix bytes with another row's: a binary of size bytes, or a long.
+
+    Rows are sorted over all partitions in the given order, and a task looks from each row to the
+    next one only, so a value that many rows share is spread like any others.  A task's first
+    and last rows stay, too, as their neighbours are elsewhere."""
+    columns = rows.columns
+    first = columns.index(order[0])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, before = None, True
+        for part in batches:
+            part = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+            if not part.num_rows:
+                continue
+            key = part.column(first)
+            raw = np.asarray(key).reshape(-1, 1).view(np.uint8) if pa.types.is_integer(key.type) else np.frombuffer(b"".join(key.to_pylist()), np.uint8).reshape(-1, size)
+            same = np.concatenate([[before], (raw[1:, :prefix] == raw[:-1, :prefix]).all(axis=1)])
+            yield part.slice(0, part.num_rows - 1).filter(pa.array(same[:-1] | same[1:]))
+            held, before = part.slice(part.num_rows - 1), bool(same[-1])
+        if held is not None:
+            yield held
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -108,52 +133,165 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
-def _nearness(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def circles(threshold: float) -> tuple[float, float]:
+    """How near to a hub an item leaves a bucket, and how near it is kept in mind."""
+    return 2 * threshold - 1 + MARGIN, 3 * threshold - 2 - MARGIN
+
+
+def bucket_pairs(raw: np.ndarray, rank: np.ndarray, sketch: np.ndarray, prefixes: list[int], threshold: float, enough: Callable | None) -> list[tuple[int, int, float]]:
+    """(hub, item, near) of one node of a trie, given its items' sorted paths, ranks by name, and sketches.
+
+    Hubs are items of the least rank, so that a group's trees agree on few of them.
+
+    Prefixes are shortened step by step.  A branch is looked at if it has not been before and holds
+    an item that has not enough; enough(nears, of, n, step) tells for n items, after a step, whether they
+    have, from the nearnesses of possible links and the items that these are of."""
+    inner, outer = circles(threshold)
+    n, out, nears, of = len(raw), {}, [], []
+    short = np.ones(n, bool)
+    for step, length in enumerate(prefixes):
+        edge = np.flatnonzero((raw[1:, :length] != raw[:-1, :length]).any(axis=1)) + 1
+        for low, high in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
+            if high - low < 2 or not short[low:high].any() or step and (raw[low, : prefixes[step - 1]] == raw[high - 1, : prefixes[step - 1]]).all():
+                continue
+            rest = low + np.argsort(rank[low:high])
+            while len(rest) > 1:
+                hub, rest = int(rest[0]), rest[1:]
+                near = (sketch[rest] == sketch[hub]).mean(axis=1)
+                for i in np.flatnonzero(near >= outer).tolist():
+                    if (hub, int(rest[i])) not in out:
+                        out[hub, int(rest[i])] = float(near[i])
+                        if near[i] >= threshold - MARGIN:
+                            nears += [near[i]] * 2
+                            of += [hub, int(rest[i])]
+                rest = rest[near < inner]
+        if enough and step < len(prefixes) - 1 and of:
+            short = ~enough(np.array(nears), np.array(of), n, step)
+    return [(*k, v) for k, v in out.items()]
+
+
+def _roots(n: int, pairs: list[tuple[int, int, float]], rank: np.ndarray) -> list[tuple[int, int]]:
+    """(root, member) of all numbers that pairs join, over any number of steps; a root has its part's least rank."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for h, i, _ in pairs:
+        a, b = find(h), find(i)
+        if a != b:
+            root[a if rank[a] > rank[b] else b] = b if rank[a] > rank[b] else a
+    return [(find(i), i) for i in range(n) if find(i) != i]
+
+
+def searched(shared: DataFrame, sketches: DataFrame, prefixes: list[int], threshold: float, wide: type, enough: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) that join the items of each bucket, and the buckets (node, item), of rows shared (path, item); prefixes are lengths, the longest first."""
+    rows = written(shared.withColumn("node", F.substring("path", 1, prefixes[-1])))
+    sizes = written(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+    held = rows.join(sizes, "node").join(sketches, "item").select("node", "path", "item", "sketch", "n")
+
+    def run(batches):
+        now, paths, items, sketch = None, [], [], []
+
+        def table(rows):
+            cols = list(zip(*rows, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["a", "b"])
+
+        def done():
+            raw, held = (np.frombuffer(b"".join(x), t).reshape(len(items), -1) for x, t in ((paths, np.uint8), (sketch, wide)))
+            rank = np.empty(len(items), np.int64)
+            rank[sorted(range(len(items)), key=items.__getitem__)] = np.arange(len(items))
+            return [(items[a], items[b]) for a, b in _roots(len(items), bucket_pairs(raw, rank, held, prefixes, threshold, enough), rank)]
+
+        out = []
+        for part in batches:
+            for node, path, item, s in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                if node != now:
+                    out += done() if items else []
+                    now, paths, items, sketch = node, [], [], []
+                paths.append(path)
+                items.append(item)
+                sketch.append(s)
+            if len(out) > 4096:
+                yield table(out)
+                out = []
+        yield table(out + (done() if items else []))
+
+    small = held.filter(F.col("n") <= NODE).select("node", "path", "item", "sketch").repartition("node").sortWithinPartitions("node", "path", "item")
+    found = small.mapInArrow(run, "a binary, b binary")
+    large = sizes.filter(F.col("n") > NODE)
+    if not large.isEmpty():
+        rounds = gathered(written(rows.join(large, "node").select("node", "item")), sketches, threshold, wide)
+        found = found if rounds is None else found.unionByName(rounds.select(F.col("hub").alias("a"), F.col("item").alias("b")))
+    return written(found.distinct()), rows.select("node", "item")
+
+
+def _nearness(pairs: DataFrame, sketches: DataFrame, wide: type) -> DataFrame:
     """(hub, item, near) by the share of equal sketch values."""
     both = pairs.join(sketches.select(F.col("item"), F.col("sketch").alias("s")), "item").join(sketches.select(F.col("item").alias("hub"), F.col("sketch").alias("t")), "hub")
 
     def run(batches):
         for part in rows_in_slices(batches, 4096):
-            s, t = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(part.num_rows, -1) for i in (2, 3))
+            s, t = (np.frombuffer(b"".join(part.column(i).to_pylist()), wide).reshape(part.num_rows, -1) for i in (2, 3))
             near = (s == t).mean(axis=1) if part.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, pa.float64())], names=["hub", "item", "near"])
 
     return both.select("hub", "item", "s", "t").mapInArrow(run, "hub binary, item binary, near double")
 
 
-def groups(signed: DataFrame, threshold: float) -> DataFrame | None:
-    """(item, grp) of items that may be linked; signed has (item, keys, sketch), once per item."""
-    sketches = signed.select("item", "sketch")
-    keys, edges = signed.select(F.explode("keys").alias("key"), "item"), []
-    for last in [False] * ROUNDS + [True]:
-        hubs = keys.groupBy("key").agg(F.min("item").alias("hub"), F.max("item").alias("top")).filter("hub <> top").select("key", "hub")
-        held = written(keys.join(hubs, "key").filter("item <> hub"))
-        if held.isEmpty():
-            break
-        if last:
-            edges.append(held.select(F.col("hub").alias("a"), F.col("item").alias("b")))
+def gathered(held: DataFrame, sketches: DataFrame, threshold: float, wide: type = np.uint16) -> DataFrame | None:
+    """(hub, item, near) of all buckets held (node, item): each item with the hubs that it may share links with.
+
+    Tables are written between a count and a join by the same key, so that a hot bucket's rows can be split."""
+    out, hubs_each = [], 1
+    inner, outer = circles(threshold)
+    while True:
+        dealt = held.groupBy("node", F.pmod(F.xxhash64("item"), F.lit(hubs_each)).alias("part")).agg(F.min("item").alias("hub"), F.max("item").alias("top"))
+        several = dealt.groupBy("node").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("low"), F.max("top").alias("high"))  # hubs_each at most
+        hubs = written(several.filter("low <> high").select("node", "hubs"))
+        met = written(held.join(hubs, "node").select("node", "item", F.explode("hubs").alias("hub")))
+        if met.isEmpty():
             break
-        near = written(_nearness(held.select("hub", "item").distinct(), sketches))
-        edges.append(near.filter(F.col("near") >= 3 * threshold - 2 - MARGIN).select(F.col("hub").alias("a"), F.col("item").alias("b")))
-        far = near.filter(F.col("near") < 2 * threshold - 1 + MARGIN).select("hub", "item")
-        keys = held.join(far, ["hub", "item"], "left_semi").select("key", "item")
-    if not edges:
+        near = written(_nearness(met.filter("item <> hub").select("hub", "item").distinct(), sketches, wide))
+        out.append(near.filter(F.col("near") >= outer))
+        seen = met.join(near, ["hub", "item"], "left").groupBy("node", "item").agg(F.max(F.when(F.col("item") == F.col("hub"), 1.0).otherwise(F.col("near"))).alias("near"))
+        held = written(seen.filter(F.col("near") < inner).select("node", "item"))
+        hubs_each *= 2
+    if not out:
         return None
-    every = edges[0]
-    for x in edges[1:]:
+    every = out[0]
+    for x in out[1:]:
         every = every.unionByName(x)
-    return components(every).select(F.col("id").alias("item"), F.col("root").alias("grp"))
-
-
-def blocked(members: DataFrame) -> DataFrame:
-    """(item, unit, side): each group as one unit, or a large one as units for all pairs of its blocks."""
-    sizes = members.groupBy("grp").agg(F.count("*").alias("m"))
-    dealt = members.join(sizes, "grp").withColumn("n", F.ceil(F.col("m") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("item"), F.col("n")).cast("int")
-    units = F.when(F.col("n") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"), F.when(own <= k, 0).otherwise(1).alias("side")))
-    )
-    return dealt.select("item", "grp", F.inline(units)).select("item", F.struct("grp", "i", "j").alias("unit"), "side")
+    return every
+
+
+def units(edges: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(item, unit, side): each group as one unit, or a large one as units of the pairs of its blocks that some bucket has both of.
+
+    Blocks hold items that the same least neighbour joins, so that a bucket has few of them."""
+    least = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("owner"))
+    members = written(components(edges).join(least, "id", "left").select(F.col("id").alias("item"), F.col("root").alias("grp"), F.coalesce("owner", "id").alias("owner")))
+    sizes = written(members.groupBy("grp").agg(F.count("*").alias("m")))
+    unit = lambda i, j: F.struct("grp", i.alias("i"), j.alias("j")).alias("unit")
+    zero, side = F.lit(0).cast("long"), lambda k: F.lit(k).alias("side")
+    small = members.join(sizes.filter(F.col("m") <= BLOCK), "grp").select("item", unit(zero, zero), side(0))
+    large = written(members.join(sizes.filter(F.col("m") > BLOCK), "grp"))
+    if large.isEmpty():
+        return small
+    owners = written(large.groupBy("owner").agg(F.count("*").alias("k")))
+    share = lambda n: F.ceil(F.col(n) / (BLOCK / 2))
+    alone = F.xxhash64("owner", F.pmod(F.xxhash64("item"), share("k")))
+    dealt = F.when(F.col("k") > BLOCK / 2, alone).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("owner"), share("m"))))
+    blocks = written(large.join(owners, "owner").select("item", "grp", dealt.alias("block")))
+    met = buckets.join(blocks, "item").groupBy("node", "grp").agg(F.array_sort(F.collect_set("block")).alias("bs")).select("grp", "bs").distinct()
+    pairs = F.flatten(F.transform("bs", lambda a: F.transform(F.filter("bs", lambda b: b >= a), lambda b: F.struct(a.alias("i"), b.alias("j")))))
+    both = written(met.select("grp", F.inline(pairs)).distinct())
+    left = blocks.join(both.withColumn("block", F.col("i")), ["grp", "block"]).select("item", unit(F.col("i"), F.col("j")), side(0))
+    right = blocks.join(both.filter("i <> j").withColumn("block", F.col("j")), ["grp", "block"]).select("item", unit(F.col("i"), F.col("j")), side(1))
+    return small.unionByName(left).unionByName(right)
 
 
 def jaccards(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -206,7 +344,7 @@ def _linked(lone: bool, left: dict, right: dict, threshold: float, width: int) -
     return [(items[i], items[find(i)], n) for i, n in enumerate(count) if n]
 
 
-def _compare(units: DataFrame, threshold: float, width: int) -> DataFrame:
+def _compare(rows: DataFrame, threshold: float, width: int) -> DataFrame:
     """(item, near, n_links) of all units (unit, side, item, text).
 
     Rows are sorted by unit and read in that order, so a task holds one unit at a time and small ones cost little."""
@@ -216,32 +354,33 @@ def _compare(units: DataFrame, threshold: float, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["item", "near", "n_links"])
 
     def run(batches):
-        now, sides, out = (b"", 0, 0), ({}, {}), []
+        now, sides, out = None, ({}, {}), []
+
+        def done():
+            return _linked(now[1] == now[2], *sides, threshold, width) if now else []
+
         for part in batches:
-            for grp, i, j, side, item, text in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
-                if (grp, i, j) != now:
-                    out += _linked(now[1] == now[2], *sides, threshold, width)
-                    now, sides = (grp, i, j), ({}, {})
+            for *unit, side, item, text in zip(*(part.column(i).to_pylist() for i in range(6)), strict=True):
+                if unit != now:
+                    out += done()
+                    now, sides = unit, ({}, {})
                 sides[side].setdefault(item, text)
             if len(out) > 4096:
                 yield table(out)
                 out = []
-        yield table(out + _linked(now[1] == now[2], *sides, threshold, width))
+        yield table(out + done())
 
-    rows = units.select("unit.grp", "unit.i", "unit.j", "side", "item", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return rows.mapInArrow(run, "item binary, near binary, n_links long")
+    ordered = rows.select("unit.grp", "unit.i", "unit.j", "side", "item", "text").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return ordered.mapInArrow(run, "item binary, near binary, n_links long")
 
 
-def links(signed: DataFrame, content: Callable[[DataFrame], DataFrame], threshold: float = 0.8, width: int = 5) -> DataFrame:
+def links(edges: DataFrame, buckets: DataFrame, content: Callable[[DataFrame], DataFrame], threshold: float = 0.8, width: int = 5) -> DataFrame | None:
     """(item, root, n_links) of all items with a link: the least item of its class, and its number of linked items.
 
     content(df with item) gives the same rows with the item's text; a row that comes twice does no harm."""
-    found = groups(signed, threshold)
-    spark = signed.sparkSession
-    if found is None:
-        return spark.createDataFrame([], "item binary, root binary, n_links long")
-    units = content(blocked(written(found)))
-    exact = written(_compare(units, threshold, width))
+    if edges.isEmpty():
+        return None
+    exact = written(_compare(content(written(units(edges, buckets))), threshold, width))
     counted = exact.groupBy("item").agg(F.sum("n_links").alias("n_links"))
     roots = components(exact.select(F.col("item").alias("a"), F.col("near").alias("b")))
     return counted.join(roots.withColumnRenamed("id", "item"), "item").select("item", "root", "n_links")

@@ -1,24 +1,27 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs come in two cuts: the lines of a text, with runs of consecutive lines that are each
-shorter than a window (as in hard-wrapped text) joined into one more, and windows of 20 words
-that start where the least word hash of 31 neighbours is, so that any 50 words in a row that
-two documents share hold a common window wherever they stand.  Paragraphs of equal shingles
-are one item.
-The lines' bands are tuned to a high recall at the threshold; colliding items are verified
-exactly on their shingles and clustered by components (see ``near``).  A window collides
-only with its equals, whose similarity is 1.  A later window is stretched to both sides by the
-words that it shares there with any earlier place of it, up to REACH, where the next window of
-a shared run begins; so the spans hold all of every run of 50 words or more that stands earlier.
+Paragraphs come in two cuts.  Those by layout are the lines of LEAST words or more, and each run of
+consecutive shorter lines (as in hard-wrapped text), joined, if it has as many.  Those by
+content are all runs of PASSAGE words, wherever they begin, so that a passage is found inside
+of any line; their MinHash is the least hash of their windows of WINDOW words, in one band of
+one row, and as neighbours share it, one row stands for many.  Shorter repeats, as of a
+common phrase or a license line, are no paragraphs and stay.
+
+By layout, paragraphs of equal shingles are one item.  The bands are tuned to a high recall at
+the threshold; colliding items are verified exactly on their shingles and clustered by
+components (see ``near``).  By content, paragraphs that collide are verified word by word: a
+later window is stretched to both sides by the words that it shares there with any earlier
+place of it, and goes if PASSAGE words or more are equal.  Equal paragraphs always collide
+there, so the spans hold all of every run of PASSAGE words that stands earlier.
 
 The first paragraph of a cluster, by doc_id and place, stays; all later ones are removed,
 and the merged spans of words tell what goes.  Repeats within a document count as well.
 
-One row per document: doc_id, n_words, n_paragraphs (lines and joined lines with enough words), n_removed
-(later paragraphs of both cuts), removed_words, spans (of words, end exclusive, comma-joined),
-partners (doc_ids that hold the first paragraphs, itself not counted) and class_id, the least
-doc_id of all documents that such links join with it, over any number of steps.  Null and
-empty texts have no paragraphs; a line shorter than SHORTEST words is none by itself.  Rows that share doc_id and text are the same document.
+One row per document: doc_id, n_words, n_paragraphs (by layout), n_removed (merged spans),
+removed_words, spans (of words, end exclusive, comma-joined), partners (doc_ids that hold the first
+paragraph of a cluster by layout, or the first place of a window by content, itself not counted) and class_id, the least doc_id of all documents that such
+links join with it, over any number of steps.  Null and empty texts have no paragraphs.  Rows
+that share doc_id and text are the same document.
 """
 
 from __future__ import annotations
@@ -33,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fuzzloom.llm.common import by_slice, hashes, window_hashes, word_hashes, written
-from fuzzloom.llm.near import Signer, components, links
+from fuzzloom.llm.near import Bander, components, links, neighbours, searched
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
-SHORTEST = WIDTH  # words of a line or of joined lines that make a shingle
-ROWS = 2  # of a band
-WINDOW, AMONG = 20, 31  # any WINDOW + AMONG - 1 shared words hold a common window
+LEAST = 25  # words of a paragraph by layout
+ROWS, SKETCH = 2, 64  # rows of a band; values of a sketch
+PASSAGE, WINDOW = 50, 20  # words of a paragraph by content, and of the windows whose least hash is its MinHash
+AMONG = PASSAGE - WINDOW + 1
 REACH = AMONG - 1  # a shared run goes on at most so far before its next window, or ends
+HOT = 2048  # places of a window that one task compares
 
 
 def tune_bands(threshold: float, recall: float, rows: int) -> int:
@@ -69,27 +74,26 @@ def picked(h: np.ndarray, among: int = AMONG) -> np.ndarray:
     return np.unique(at[among - 1 :])
 
 
-def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
-    """The hashes of all words; the lines of enough words and the joined short lines as (first word, end, 1 if joined); their shingles side by side; each one's first place."""
+def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """The hashes of all words; the paragraphs by layout as (first word, end); their shingles side by side; each one's first place."""
     lines = [x.split() for x in (text or "").encode().split(b"\n")]
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     h = hashes(chain.from_iterable(lines), int(sizes.sum()))
     ends = np.cumsum(sizes)
-    short = np.concatenate([[False], (sizes > 0) & (sizes < WINDOW), [False]])
+    short = np.concatenate([[False], (sizes > 0) & (sizes < LEAST), [False]])
     turns = np.flatnonzero(short[1:] != short[:-1])
-    low, high = turns[::2], turns[1::2]  # runs of short lines; an empty line ends one
+    low, high = turns[::2], turns[1::2]  # runs of shorter lines; an empty line ends one
     several = high - low > 1
     start = np.concatenate([ends - sizes, (ends - sizes)[low[several]]])
     stop = np.concatenate([ends, ends[high[several] - 1]])
-    enough = stop - start >= SHORTEST
-    joined = (np.arange(len(start)) >= len(lines))[enough].astype(np.int64)
+    enough = stop - start >= LEAST
     start, stop = start[enough], stop[enough]
     if not len(start):
         return h, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
     counts = stop - start - WIDTH + 1
     first = np.cumsum(counts) - counts
     at = np.arange(int(counts.sum())) + np.repeat(start - first, counts)
-    return h, list(zip(start.tolist(), stop.tolist(), joined.tolist(), strict=True)), window_hashes(h, WIDTH)[at], first
+    return h, list(zip(start.tolist(), stop.tolist(), strict=True)), window_hashes(h, WIDTH)[at], first
 
 
 def names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -111,37 +115,36 @@ PART = "kind int, doc_id long, tie long, start int, stop int, win long, item bin
 def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     """What one reading of the texts gives, told apart by kind.
 
-    DOC: each document with its words (start) and paragraphs (stop); WIN: each window's first
-    word and hash (win); LINE: each line or joined lines that are a paragraph, with item, keys, sketch and 1 in win if joined."""
+    DOC: each document with its words (start) and paragraphs (stop); WIN: the first word and hash
+    (win) of each window that is a MinHash; LINE: each paragraph by layout, with item, keys and sketch."""
 
     def make():
-        sign = Signer(bands, rows)
+        sign = Bander(bands, rows, SKETCH)
 
         def f(part):
             out = {k.split()[0]: [] for k in PART.split(", ")}
+            lines, sets, firsts, n = [], [], [], 0
 
             def add(**cols):
                 for k, v in cols.items():
                     out[k] += v
 
             for doc_id, tie, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                h, spans, sets, first = paragraphs(text)
+                h, spans, own, first = paragraphs(text)
                 at = picked(w := window_hashes(h, WINDOW)) if len(h) >= WINDOW else np.zeros(0, np.int64)
-                n, m = len(at), len(spans)
-                own = 1 + n + m
-                wins = w[at].view(np.int64).tolist() if n else []
-                keys, sketch = sign.many(sets, first) if m else (np.zeros((0, 0), np.int64), [])
-                add(
-                    kind=[DOC] + [WIN] * n + [LINE] * m,
-                    doc_id=[doc_id] * own,
-                    tie=[tie] * own,
-                    start=[len(h), *at.tolist(), *(x for x, _, _ in spans)],
-                    stop=[m, *[None] * n, *(x for _, x, _ in spans)],
-                    win=[None, *wins, *(x for _, _, x in spans)],
-                    item=[None] * (1 + n) + (names(sets, first) if m else []),
-                    keys=[None] * (1 + n) + keys.tolist(),
-                    sketch=[None] * (1 + n) + [x.tobytes() for x in sketch],
-                )
+                m = 1 + len(at)
+                add(kind=[DOC] + [WIN] * len(at), doc_id=[doc_id] * m, tie=[tie] * m, start=[len(h), *at.tolist()], stop=[len(spans), *[None] * len(at)])
+                add(win=[None, *(w[at].view(np.int64).tolist() if len(at) else [])], item=[None] * m, keys=[None] * m, sketch=[None] * m)
+                lines += [(doc_id, tie, *x) for x in spans]
+                sets.append(own)
+                firsts.append(first + n)
+                n += len(own)
+            if lines:
+                every, first = np.concatenate(sets), np.concatenate(firsts)
+                keys, sketch = sign(every, first)
+                ids, ties, starts, stops = map(list, zip(*lines, strict=True))
+                add(kind=[LINE] * len(lines), doc_id=ids, tie=ties, start=starts, stop=stops, win=[None] * len(lines))
+                add(item=names(every, first), keys=keys.view(np.int64).tolist(), sketch=[x.tobytes() for x in sketch])
             return out
 
         return f
@@ -149,19 +152,12 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
     return by_slice(docs.select("doc_id", F.xxhash64("text").alias("tie"), "text"), make, PART, 128)
 
 
-def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None = None) -> DataFrame:
-    """(doc_id, tie, start, stop, first long, line boolean, first_tie long): all later paragraphs; first is the doc_id that holds the first one, line tells single lines.
-
-    cut is a written table of the documents' parts, where the caller has one."""
-    place = F.struct("doc_id", "start", "tie")
-    cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS))) if cut is None else cut
-    wins = cut.filter(F.col("kind") == WIN).select("doc_id", "tie", "start", F.col("win").alias("item"))
-    first = wins.groupBy("item").agg(F.min(place).alias("first"), F.max(place).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
-    same = stretched(around(docs, wins.join(first.select("item", F.struct("first.doc_id", "first.tie").alias("first")), "item")))
-    lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", (F.col("win") == 0).alias("alone"), "item", "keys", "sketch")
+def by_layout(docs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, tie, start, stop, first, first_tie) of all but the first paragraph by layout of each cluster."""
     spot = F.struct("doc_id", "start", "tie", "stop")
-    least = lines.groupBy("item").agg(F.min(spot).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    items = written(least)
+    lines = cut.filter(F.col("kind") == LINE).select("doc_id", "tie", "start", "stop", "item", "keys", "sketch")
+    items = written(lines.groupBy("item").agg(F.min(spot).alias("rep"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
+    keyed = items.select(F.explode("keys").alias("key"), "item").select(F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("path"), "item")
 
     def content(members: DataFrame) -> DataFrame:
         at = members.join(items.select("item", "rep"), "item")
@@ -169,37 +165,59 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None
         both = at.join(texts, F.col("rep.doc_id").eqNullSafe(F.col("_doc")) & (F.col("rep.tie") == F.col("_own"))).select("unit", "side", "item", "rep.start", "rep.stop", "whole")
         return words_at(both)
 
-    found = links(items.select("item", "keys", "sketch"), content, threshold, WIDTH).select("item", "root")
-    of = lines.select("doc_id", "tie", "start", "stop", "alone", "item").join(found, "item", "left").withColumn("root", F.coalesce("root", "item"))
-    of = written(of.select("doc_id", "tie", "start", "stop", "alone", "root"))
-    heads = of.groupBy("root").agg(F.min(spot).alias("first"), F.max(spot).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top")
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
-    near = of.join(heads, "root").filter(~(own & (F.col("start") < F.col("first.stop"))))  # a line and what it is joined into do not repeat each other
-    return near.select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.col("alone").alias("line"), F.col("first.tie").alias("first_tie")).unionByName(same)
+    of = lines.select("doc_id", "tie", "start", "stop", F.col("item").alias("root"))
+    found = links(*searched(neighbours(keyed, 8, 8), items.select("item", "sketch"), [8], threshold, np.uint8), content, threshold, WIDTH)
+    if found is not None:
+        roots = written(found.select("item", F.col("root").alias("least")))
+        of = written(of.join(roots, F.col("root") == F.col("item"), "left").select("doc_id", "tie", "start", "stop", F.coalesce("least", "root").alias("root")))
+    heads = written(of.groupBy("root").agg(F.min(spot).alias("first"), F.max(spot).alias("top")).filter(~F.col("first").eqNullSafe(F.col("top"))).drop("top"))
+    return of.join(heads, "root").filter(~spot.eqNullSafe(F.col("first"))).select("doc_id", "tie", "start", "stop", F.col("first.doc_id").alias("first"), F.col("first.tie").alias("first_tie"))
+
+
+def by_content(docs: DataFrame, cut: DataFrame) -> DataFrame:
+    """(doc_id, tie, start, stop, first, first_tie) of all later windows, with the words around that an earlier place has too, where these are PASSAGE words or more."""
+    windows = cut.filter(F.col("kind") == WIN).select("win", "doc_id", "tie", "start")
+    shared = neighbours(windows, 8, 8, order=["win", "doc_id", "start", "tie"])
+    found = written(around(docs, shared))
+    counts = written(found.groupBy("item", "check").agg(F.min(F.struct("doc_id", "start", "tie")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    held = written(found.join(counts, ["item", "check"]))
+    out = stretched(held.filter(F.col("n") <= HOT)).unionByName(stretched_hot(held.filter(F.col("n") > HOT)))
+    return out.filter(F.col("stop") - F.col("start") >= PASSAGE)
+
+
+def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tie, start, stop, first, first_tie, line boolean): all later paragraphs; first is the doc_id that holds the first one, line tells those by layout.
+
+    cut is a written table of the documents' parts, where the caller has one."""
+    cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS))) if cut is None else cut
+    return by_layout(docs, cut, threshold).withColumn("line", F.lit(True)).unionByName(by_content(docs, cut).withColumn("line", F.lit(False)))
+
 
+AROUND = "item long, check long, doc_id long, start int, tie long, before binary, after binary"
 
-def around(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(item, doc_id, start, tie, first, first_tie, before, after) of windows held (doc_id, tie, start, item, first): 32-bit hashes of the words around, nearest first."""
-    per = held.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("start", "item", "first")).alias("hits"))  # a document's own windows at most
+
+def around(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Windows (win, doc_id, tie, start) with a second hash of their words and 32-bit hashes of the words around, nearest first."""
+    per = shared.groupBy("doc_id", "tie").agg(F.collect_set("start").alias("hits"))  # a document's own windows at most
     texts = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_own"), F.col("text").alias("whole"))
     both = per.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_own"))).select("doc_id", "tie", "hits", "whole")
-    schema = "item long, doc_id long, start int, tie long, first long, first_tie long, before binary, after binary"
 
     def make():
         def f(part):
-            out = {k.split()[0]: [] for k in schema.split(", ")}
+            out = {k.split()[0]: [] for k in AROUND.split(", ")}
             for doc_id, tie, hits, whole in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                h = (word_hashes(whole) >> np.uint64(32)).astype(np.uint32)
-                for hit in hits:
-                    at, end = hit["start"], hit["start"] + WINDOW
-                    row = hit["item"], doc_id, at, tie, hit["first"]["doc_id"], hit["first"]["tie"], h[max(at - REACH, 0) : at][::-1].tobytes(), h[end : end + REACH].tobytes()
+                h = word_hashes(whole)
+                w, words = window_hashes(h, WINDOW).view(np.int64), (h >> np.uint64(32)).astype(np.uint32)
+                for at in hits:
+                    end = at + WINDOW
+                    row = int(w[at]), xxhash.xxh3_64_intdigest(h[at:end].tobytes()) - (1 << 63), doc_id, at, tie, words[max(at - REACH, 0) : at][::-1].tobytes(), words[end : end + REACH].tobytes()
                     for col, x in zip(out.values(), row, strict=True):
                         col.append(x)
             return out
 
         return f
 
-    return by_slice(both, make, schema, 128)
+    return by_slice(both, make, AROUND, 128)
 
 
 class Seen:
@@ -233,31 +251,45 @@ class Seen:
         return len(run)
 
 
-def stretched(rows: DataFrame) -> DataFrame:
-    """(doc_id, tie, start, stop, first, first_tie, line) of all but the first place of each window, with the words around that an earlier place has too.
+FOUND = ["doc_id", "tie", "start", "stop", "first", "first_tie"]
+
+
+def stretched(held: DataFrame) -> DataFrame:
+    """(doc_id, tie, start, stop, first, first_tie) of all but the first place of each window, with the words around that an earlier place has too.
 
     Rows are read in the order of window and place."""
-    names = ["doc_id", "tie", "start", "stop", "first", "first_tie"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def run(batches):
-        now, last, seen = None, None, ()
+        now, last, first, seen = None, None, (), ()
         for part in batches:
             out = []
-            for item, doc_id, start, tie, first, first_tie, *sides in zip(*(part.column(i).to_pylist() for i in range(8)), strict=True):
-                new, place = item != now, (doc_id, start, tie)
+            for item, check, doc_id, start, tie, *sides in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
+                new, place = (item, check) != now, (doc_id, start, tie)
                 if not new and place == last:  # a row that comes twice
                     continue
-                if new:
-                    now, seen = item, (Seen(), Seen())
                 last = place
+                if new:
+                    now, first, seen = (item, check), (doc_id, tie), (Seen(), Seen())
                 before, after = (s.longest(array("I", x)) for s, x in zip(seen, sides, strict=True))
                 if not new:
-                    out.append((doc_id, tie, start - before, start + WINDOW + after, first, first_tie))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+                    out.append((doc_id, tie, start - before, start + WINDOW + after, *first))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=FOUND)
+
+    ordered = held.select("item", "check", "doc_id", "start", "tie", "before", "after").repartition("item", "check").sortWithinPartitions("item", "check", "doc_id", "start", "tie")
+    return ordered.mapInArrow(run, "doc_id long, tie long, start int, stop int, first long, first_tie long")
 
-    sorted_rows = rows.repartition("item").sortWithinPartitions("item", "doc_id", "start", "tie")
-    return sorted_rows.mapInArrow(run, "doc_id long, tie long, start int, stop int, first long, first_tie long").withColumn("line", F.lit(False))
+
+def stretched_hot(held: DataFrame) -> DataFrame:
+    """The same of windows with very many places, by counts only: a place shares k words on a side with an earlier one if it is not the first to have these k."""
+    place = F.struct("doc_id", "start", "tie")
+    levels = lambda side: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(side) / 4).cast("int"))), lambda d: F.struct(F.lit(side).alias("side"), d.alias("d"), F.xxhash64(F.substring(side, F.lit(1), d * 4)).alias("run")))
+    each = held.select("item", "check", place.alias("place"), F.inline(F.concat(F.filter(levels("before"), lambda x: F.length("before") >= 4), F.filter(levels("after"), lambda x: F.length("after") >= 4))))
+    firsts = each.groupBy("item", "check", "side", "d", "run").agg(F.min("place").alias("place")).groupBy("item", "check", "place").agg(*[F.min(F.when(F.col("side") == k, F.col("d") - 1)).alias(f"own_{k}") for k in ("before", "after")])
+    both = held.withColumn("place", place).join(written(firsts.withColumnsRenamed({"item": "i", "check": "c", "place": "p"})), (F.col("item") == F.col("i")) & (F.col("check") == F.col("c")) & F.col("place").eqNullSafe(F.col("p")), "left")
+    shared = lambda k: F.coalesce(F.col(f"own_{k}"), (F.length(k) / 4).cast("int"))
+    later = both.filter(~F.col("place").eqNullSafe(F.col("first")))
+    return later.select("doc_id", "tie", (F.col("start") - shared("before")).alias("start"), (F.col("start") + WINDOW + shared("after")).alias("stop"), F.col("first.doc_id").alias("first"), F.col("first.tie").alias("first_tie"))
 
 
 def words_at(rows: DataFrame) -> DataFrame:
@@ -289,7 +321,6 @@ def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = written(repeats(docs, threshold, cut))
     classes = components(gone.select(node("doc_id", "tie").alias("a"), node("first", "first_tie").alias("b")).distinct())
     per = gone.groupBy("doc_id", "tie").agg(
-        F.count("*").alias("n_removed"),
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"),  # a document's own paragraphs at most
         F.array_sort(F.collect_set("first")).alias("firsts"),
     )
@@ -306,7 +337,7 @@ def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         F.when(F.col("root") < F.lit(str(2**63)).cast("decimal(21,0)"), F.col("root").cast("long")).otherwise(F.col("doc_id")).alias("class_id"),
         "n_words",
         "n_paragraphs",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.size("merged").cast("long").alias("n_removed"),
         F.aggregate("merged", F.lit(0), lambda a, x: a + x["stop"] - x["start"]).cast("long").alias("removed_words"),
         F.array_join(F.transform("merged", lambda x: F.concat_ws(":", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("spans"),
         "partners",

@@ -16,8 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from fuzzloom.llm.common import by_slice
+from fuzzloom.llm.common import by_slice, packed, quoted
 
 SYMBOLS = "#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -96,19 +97,21 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def evaluate(df: DataFrame, keep: list[str], text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The kept columns, each measurement and failed_bits (long)."""
+    """The kept columns, each measurement and failed_bits (long).  A kept column may not have the name of one of these."""
+    if clash := {*keep} & {*MEASURES, "failed_bits"}:
+        raise ValueError(f"kept columns have names of the ledger: {sorted(clash)}")
+    source = df.select(F.struct(*[F.col(quoted(k)) for k in keep]).alias("whole"), F.col(quoted(text)).alias("text"))
 
     def make():
         def f(batch):
-            found = list(zip(*map(measure, batch.column(len(keep)).to_pylist()), strict=True)) or [()] * len(MEASURES)
-            return {**{f"_k{i}": batch.column(i) for i in range(len(keep))}, **dict(zip(MEASURES, found, strict=True))}
+            found = list(zip(*map(measure, batch.column(1).to_pylist()), strict=True)) or [()] * len(MEASURES)
+            return {"whole": batch.column(0), **dict(zip(MEASURES, found, strict=True))}
 
         return f
 
-    source = df.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keep)], F.col(f"`{text}`").alias("_text"))
-    schema = ", ".join([f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keep)] + [f"{m} long" for m in MEASURES])
+    schema = StructType([source.schema["whole"], *[StructField(m, LongType()) for m in MEASURES]])
     bits = sum((F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")) for r in rules), F.lit(0).cast("long"))
-    return by_slice(source, make, schema, 1024).withColumn("failed_bits", bits).withColumnsRenamed({f"_k{i}": k for i, k in enumerate(keep)})
+    return by_slice(source, make, schema, 1024).withColumn("failed_bits", bits).select(*[F.col("whole")[k].alias(k) for k in keep], *MEASURES, "failed_bits")
 
 
 def passes(policy: str = CURRENT, bits: str = "failed_bits") -> Column:
@@ -144,8 +147,8 @@ def verdicts(df: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 def keep_passing(df: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows, all columns, whose text passes the policy."""
-    rows = evaluate(df.withColumn("_whole", F.struct(*[F.col(f"`{c}`") for c in df.columns])), ["_whole"])
-    return rows.filter(passes("base") & passes(policy)).select("_whole.*")
+    rows = evaluate(packed(df, "text"), ["whole"])
+    return rows.filter(passes("base") & passes(policy)).select("whole.*")
 
 
 ORACLE = r"""

@@ -21,8 +21,9 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from fuzzloom.llm.common import by_slice
+from fuzzloom.llm.common import by_slice, quoted
 
 PACKET, BODY = 188, 184
 PMT_PID, ES_PID, PRIVATE = 0x1000, 0x0100, 0x06
@@ -117,16 +118,32 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _sections(rows: np.ndarray, starts: np.ndarray, pid_rows: np.ndarray):
-    """The sections with a right CRC among packets that begin one."""
-    for i in pid_rows:
+def _sections(rows: np.ndarray, starts: np.ndarray, own: np.ndarray):
+    """The sections with a right CRC in the packets of one table's identifier, in order.
+
+    A section may go on over packets, and others may follow it in the same one.  A lost packet
+    loses the section that it belongs to."""
+    held, last = None, None
+    for i in own:
+        body = rows[i, starts[i] :].tobytes()
+        if not body or last is not None and (rows[i, 3:] == rows[last, 3:]).all():  # nothing, or a packet that is sent twice
+            continue
+        if last is not None and (int(rows[i, 3]) - int(rows[last, 3])) & 15 != 1:
+            held = None
+        last = i
+        pieces = [(False, body)]
         if rows[i, 1] & 0x40:
-            body = rows[i, starts[i] :].tobytes()
-            body = body[1 + body[0] :] if body else b""
-            if len(body) >= 12:
-                size = 3 + (struct.unpack(">H", body[1:3])[0] & 0xFFF)
-                if size <= len(body) and psi_crc(body[:size]) == 0:
-                    yield body[:size]
+            pieces = [(False, body[1 : 1 + body[0]]), (True, body[1 + body[0] :])]
+        for new, data in pieces:
+            held = data if new else None if held is None else held + data
+            while held and held[0] != 0xFF:
+                if len(held) < 3 or len(held) < (size := 3 + (struct.unpack(">H", held[1:3])[0] & 0xFFF)):
+                    break
+                if size >= 12 and psi_crc(held[:size]) == 0:
+                    yield held[:size]
+                held = held[size:]
+            if not held or held[0] == 0xFF:
+                held = None
 
 
 def demux(media: bytes | None) -> dict:
@@ -206,8 +223,11 @@ MEDIA = "n_bytes long, media binary"
 PARSED = "ok boolean, n_packets long, pmt_pid int, streams array<struct<pid:int,kind:int>>, gaps long, repeats long, payload binary, timeline array<struct<pts:long,packet:long,offset:long,random_access:boolean>>"
 
 
-def _with(df: DataFrame, keys: list[str], added: str) -> str:
-    return ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [added])
+def _with(df: DataFrame, keep: list[str], added: str) -> StructType:
+    clash = {*keep} & {x.name for x in _parse_datatype_string(added)}
+    if clash:
+        raise ValueError(f"kept columns have names of the result: {sorted(clash)}")
+    return StructType([df.schema[k] for k in keep] + list(_parse_datatype_string(added)))
 
 
 def store_text(df: DataFrame, key: str = "doc_id", text: str = "text", unit: int = 64) -> DataFrame:
@@ -220,7 +240,7 @@ def store_text(df: DataFrame, key: str = "doc_id", text: str = "text", unit: int
 
         return f
 
-    return by_slice(df.select(key, text), make, _with(df, [key], MEDIA), 256)
+    return by_slice(df.select(quoted(key), quoted(text)), make, _with(df, [key], MEDIA), 256)
 
 
 def parse_media(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
@@ -238,7 +258,7 @@ def parse_media(df: DataFrame, keep: list[str], media: str = "media") -> DataFra
 
         return f
 
-    return by_slice(df.select(*keep, media), make, _with(df, keep, PARSED), 256)
+    return by_slice(df.select(*[quoted(k) for k in keep], quoted(media)), make, _with(df, keep, PARSED), 256)
 
 
 def media_digest(df: DataFrame) -> DataFrame:
@@ -269,7 +289,7 @@ def media_digest(df: DataFrame) -> DataFrame:
             F.concat(F.lit("gaps="), F.col("gaps").cast("string")),
         ).alias("feature"),
         "timeline",
-    ).drop("timeline")
+    )
 
 
 def brute_force(text: str | None) -> dict:

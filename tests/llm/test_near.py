@@ -1,7 +1,7 @@
 """Near-duplicate joins against all pairs by brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -99,9 +99,65 @@ def test_jaccards_exact():
 
 
 def test_prefix_shortens():
-    assert near.prefix_length(24, 8, 0.8, 0.9999) == 5 and near.prefix_length(24, 8, 0.8, 0.5) == 8
+    length = shingle_forest.prefix_length
+    assert length(24, 8, 0.8, 0.9999) == 5 and length(24, 8, 0.8, 0.5) == 8
     with pytest.raises(ValueError):
-        near.prefix_length(2, 8, 0.5, 0.999)
+        length(2, 8, 0.5, 0.999)
+
+
+def test_neighbours(spark):
+    r = random.Random(4)
+    rows = [(bytes(r.randint(0, 2) for _ in range(5)), bytes([k // 256, k % 256])) for k in range(600)] + [(b"hotxx", bytes([9, k])) for k in range(100)]
+    df = spark.createDataFrame(rows, "path binary, item binary").repartition(5)
+    for prefix in (1, 3, 5):
+        count = Counter(p[:prefix] for p, _ in rows)
+        got = [(bytes(x["path"]), bytes(x["item"])) for x in near.neighbours(df, 5, prefix).collect()]
+        want = {x for x in rows if count[x[0][:prefix]] > 1}
+        assert len(got) == len(set(got)) and want <= set(got) and len(set(got) - want) <= 8
+
+
+@pytest.mark.parametrize("node", [50_000, 3])
+def test_hubs_reach_all_links(spark, monkeypatch, node):
+    """Sketches that hold the sets themselves: every link's two items share a hub's two circles."""
+    r = random.Random(6)
+    base = [r.sample(range(64), 32) for _ in range(9)]
+    sketches = {}
+    for k in range(150):
+        bits = np.zeros(64, np.uint8)
+        bits[base[k % 9]] = 1
+        flips = r.sample(range(64), r.randint(0, 6))
+        bits[flips] ^= 1
+        sketches[bytes([k])] = bits
+    signed = spark.createDataFrame([(k, v.tobytes()) for k, v in sketches.items()], "item binary, sketch binary")
+    held = spark.createDataFrame([(b"x", k) for k in sketches], "path binary, item binary")
+    monkeypatch.setattr(near, "NODE", node)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    edges, buckets = near.searched(held, signed, [1], 0.8, np.uint8)
+    done = defaultdict(list)
+    for x in near.units(edges, buckets).collect():
+        done[bytes(x["item"])].append(((bytes(x["unit"]["grp"]), x["unit"]["i"], x["unit"]["j"]), x["side"]))
+    met = lambda x, y: sum(u == v and (i != j or u[1] == u[2]) for u, i in done[x] for v, j in done[y])
+    for x, s in sketches.items():
+        for y, t in sketches.items():
+            if x < y and (s == t).mean() >= 0.8 + 2 * near.MARGIN:
+                assert met(x, y) == 1
+
+
+def test_shortening_stops_per_item():
+    """Items 0 and 1 are alike and have enough at the first step; 2 has no partner and goes on."""
+    raw = np.array([[1, 1, 1], [1, 1, 1], [1, 2, 1], [1, 2, 2]], np.uint8)
+    same, other = np.arange(100), np.arange(100) + 50
+    sketch = np.array([same, same, other, same], np.uint16)
+    steps = []
+
+    def enough(nears, of, n, step):
+        steps.append(step)
+        return np.bincount(of, minlength=n) > 0
+
+    pairs = near.bucket_pairs(raw, np.arange(4), sketch, [3, 2, 1], 0.8, enough)
+    assert pairs == [(0, 1, 1.0), (0, 3, 1.0)] and steps == [0, 1]
+    assert near.bucket_pairs(raw[:2], np.arange(2), sketch[:2], [3, 2, 1], 0.8, lambda *a: np.array([True, True])) == [(0, 1, 1.0)]
+    assert near.bucket_pairs(raw, np.arange(4), sketch, [3, 2, 1], 0.8, lambda *a: np.ones(4, bool)) == [(0, 1, 1.0)]
 
 
 def test_components_chain(spark):
