@@ -6,8 +6,9 @@ to the block.  A second pass gives, for each document, its positions as indexes
 block's distinct words, and every document is put together again by position.  (An
 exploded (document, position, word) table holds the same, but needs many times the
 shuffle; storing the first pass for the second needs twice the disk.)  A block is named
-by a hash of what it holds, so a pass that would see other blocks fails instead of mixing
-them.  Ids are decoded by the table from id to bytes, which has the vocabulary's size.
+by a hash of what it holds in order, so a pass that would see other blocks fails instead of
+mixing them.  Files give their rows in the same order each time; other inputs have to be
+written first.  Ids are decoded by the table from id to bytes, which has the vocabulary's size.
 
 Null texts count as empty and have no ids.  Rows are never merged: equal documents and
 equal doc_ids give equal rows each.
@@ -26,9 +27,8 @@ import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import rows_in_slices
+from fuzzloom.llm.common import rows_in_slices, text_bytes
 
 BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 4096
 #: Distinct words of a bucket are held in one task at a time; blocks give so many rows each.
@@ -161,6 +161,19 @@ def _encode_pages(pages: DataFrame, ranks, pattern: str) -> DataFrame:
     return pages.mapInArrow(run, schema)
 
 
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    """The table from id to bytes, of the vocabulary's size."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        table[i] = token
+    return table
+
+
+def decoded_bytes(ids: list[int], table: list[bytes]) -> bytes:
+    """A document's bytes: its ids looked up in the table, in order."""
+    return b"".join([table[i] for i in ids])
+
+
 def _reassemble(rows: DataFrame, ranks, finish, schema: str) -> DataFrame:
     """Blocks arrive with their id pages first; finish(doc_id, ids as bytes, token bytes by id) gives a document's row."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -169,9 +182,7 @@ def _reassemble(rows: DataFrame, ranks, finish, schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for token, i in ranks.value.items():
-            table[i] = token
+        table = token_bytes(ranks.value)
         block, ids = None, []
         for part in rows_in_slices(batches, 256):
             out = []
@@ -203,9 +214,9 @@ def _run(docs: DataFrame, ranks_path: str, pattern: str, finish, columns: str, b
     return _reassemble(by_block, ranks, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {columns}")
 
 
-def buckets_for(docs_bytes: float | None) -> int:
-    """More buckets where there is more text, so that a bucket's distinct words stay few."""
-    return BUCKETS if not docs_bytes else max(BUCKETS, 1 << math.ceil(math.log2(1 + docs_bytes / 32e6)))
+def buckets_for(text_bytes: int) -> int:
+    """More buckets where there are more distinct words, which grow as a power of 0.6 or so of the text; a block never has over 2048 pages."""
+    return min(2048, max(BUCKETS, 1 << math.ceil(math.log2(16 * (1 + text_bytes / 32e6) ** 0.6))))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, buckets: int = BUCKETS) -> DataFrame:
@@ -225,8 +236,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     key = encoded.schema["doc_id"].dataType.simpleString()
 
     def make():
-        table = {i: token for token, i in ranks.value.items()}
-        return lambda part: {"doc_id": part.column(0), "decoded": [b"".join(map(table.__getitem__, x or ())) for x in part.column(1).to_pylist()]}
+        table = token_bytes(ranks.value)
+        return lambda part: {"doc_id": part.column(0), "decoded": [decoded_bytes(x or [], table) for x in part.column(1).to_pylist()]}
 
     return by_slice(encoded.select("doc_id", "ids"), make, f"doc_id {key}, decoded binary")
 
@@ -236,16 +247,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, buckets: int = BU
 
     def finish(doc_id, raw, table):
         ids = np.frombuffer(raw, np.uint32).tolist()
-        decoded = b"".join([table[i] for i in ids])
-        return doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        return doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded_bytes(ids, table)).hexdigest()
 
     return _run(docs, ranks_path, pattern, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", buckets)
 
 
-def estimated_bytes(docs: DataFrame) -> float:
-    """The plan's estimate of the input's size."""
-    return float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def round_trip_query(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    return round_trip(docs.select("doc_id", F.col("text")), ranks_path, pattern, buckets_for(estimated_bytes(docs)))
+    return round_trip(docs.select("doc_id", "text"), ranks_path, pattern, buckets_for(text_bytes(docs)))

@@ -68,6 +68,11 @@ def packed(docs: DataFrame, *beside: str) -> DataFrame:
     return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), *[F.col(quoted(c)) for c in beside])
 
 
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, by one reading of that column."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def n_words(text):
     """Number of words of a text column, 0 for null; expression only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fuzzloom.llm.common import documents
+from fuzzloom.llm.common import documents, spread
 
 #: Where the public tokenizers' files are; a folder, or None for the installed package.
 TOKENIZERS: str | None = None
@@ -21,19 +21,19 @@ def tokenizer_file(name: str) -> str:
 def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fuzzloom.llm.transport_stream import media_digest
 
-    return media_digest(documents(spark, sf_dir))
+    return media_digest(spread(documents(spark, sf_dir)))
 
 
 def op4_shingle_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fuzzloom.llm.shingle_forest import link_documents
 
-    return link_documents(documents(spark, sf_dir))
+    return link_documents(spread(documents(spark, sf_dir)))
 
 
 def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fuzzloom.llm.rule_ledger import verdicts
 
-    return verdicts(documents(spark, sf_dir))
+    return verdicts(spread(documents(spark, sf_dir)))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fuzzloom.llm.secret_scan import secret_spans
 
-    return secret_spans(documents(spark, sf_dir))
+    return secret_spans(spread(documents(spark, sf_dir)))
 
 
 def op3_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fuzzloom.llm.paragraph_bands import digest
 
-    return digest(documents(spark, sf_dir))
+    return digest(spread(documents(spark, sf_dir)))
 
 
 def queries() -> dict:

@@ -28,8 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import by_slice, shared_dir
+from fuzzloom.llm.common import by_slice, shared_dir, text_bytes
 
+#: Bytes of text of a file, or more where there are fewer files than shuffle partitions.
+FILE_BYTES = 256 << 20
 _HELD: dict = {}
 
 
@@ -149,7 +151,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, e
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding}")
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // FILE_BYTES))
     key = docs.schema["doc_id"].dataType.simpleString()
     types = [("doc_id", None), ("n_tokens", pa.int64()), ("file", pa.int32()), ("file_start", pa.int64()), ("tokens", pa.list_(pa.int32()))]
 
@@ -163,7 +165,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, path: str, e
             at += int(ends[-1]) if len(n) else 0
             yield pa.RecordBatch.from_arrays(cols, names=[k for k, _ in types])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges are cut by the texts' beginnings, too, so that rows of one doc_id may lie in several files, in their order.
+    ordered = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     out = ordered.mapInArrow(run, f"doc_id {key}, n_tokens long, file int, file_start long, tokens array<int>")
     (
         out.write.option("parquet.block.size", row_group)
