@@ -97,7 +97,7 @@ def by_slice(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
         f = make()
         for part in rows_in_slices(batches, size):
             cols = f(part)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], type=x.type) for x in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([cols[x.name] if isinstance(cols[x.name], pa.Array) and cols[x.name].type == x.type else pa.array(cols[x.name], type=x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -44,7 +44,7 @@ ROWS, SKETCH = 2, 64  # rows of a band; values of a sketch
 PASSAGE, WINDOW = 50, 20  # words of a paragraph by content, and of the windows whose least hash is its MinHash
 AMONG = PASSAGE - WINDOW + 1
 REACH = AMONG - 1  # a shared run goes on at most so far before its next window, or ends
-HOT = 2048  # places of a window that one task compares
+HOT = 100_000  # places of a window that one task compares
 
 
 def tune_bands(threshold: float, recall: float, rows: int) -> int:
@@ -122,30 +122,40 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
         sign = Bander(bands, rows, SKETCH)
 
         def f(part):
-            out = {k.split()[0]: [] for k in PART.split(", ")}
-            lines, sets, firsts, n = [], [], [], 0
-
-            def add(**cols):
-                for k, v in cols.items():
-                    out[k] += v
-
-            for doc_id, tie, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                h, spans, own, first = paragraphs(text)
+            ids, ties = part.column(0), np.asarray(part.column(1))
+            words, wins, places, spans, sets, firsts, n = [], [], [], [], [], [], 0
+            for text in part.column(2).to_pylist():
+                h, own, held, first = paragraphs(text)
                 at = picked(w := window_hashes(h, WINDOW)) if len(h) >= WINDOW else np.zeros(0, np.int64)
-                m = 1 + len(at)
-                add(kind=[DOC] + [WIN] * len(at), doc_id=[doc_id] * m, tie=[tie] * m, start=[len(h), *at.tolist()], stop=[len(spans), *[None] * len(at)])
-                add(win=[None, *(w[at].view(np.int64).tolist() if len(at) else [])], item=[None] * m, keys=[None] * m, sketch=[None] * m)
-                lines += [(doc_id, tie, *x) for x in spans]
-                sets.append(own)
+                words.append(len(h))
+                places.append(at)
+                wins.append(w[at].view(np.int64) if len(at) else np.zeros(0, np.int64))
+                spans.append(own)
+                sets.append(held)
                 firsts.append(first + n)
-                n += len(own)
-            if lines:
-                every, first = np.concatenate(sets), np.concatenate(firsts)
-                keys, sketch = sign(every, first)
-                ids, ties, starts, stops = map(list, zip(*lines, strict=True))
-                add(kind=[LINE] * len(lines), doc_id=ids, tie=ties, start=starts, stop=stops, win=[None] * len(lines))
-                add(item=names(every, first), keys=keys.view(np.int64).tolist(), sketch=[x.tobytes() for x in sketch])
-            return out
+                n += len(held)
+            of = np.arange(len(words))  # rows of the slice that each kind's rows are of
+            win_of, line_of = np.repeat(of, list(map(len, places))), np.repeat(of, list(map(len, spans)))
+            every, first = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([*firsts, np.zeros(0, np.int64)])
+            flat = np.array([x for own in spans for x in own], np.int32).reshape(-1, 2)
+            keys, sketch = sign(every, first) if len(first) else (np.zeros((0, 1), np.uint64), np.zeros((0, 1), np.uint8))
+            d, w, m = len(of), len(win_of), len(line_of)
+            at = np.concatenate([of, win_of, line_of])
+            none = lambda k, kind: pa.nulls(k, kind)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel()))
+            start = np.concatenate([words, *places, flat[:, 0]]).astype(np.int32)
+            stop = [pa.array(list(map(len, spans)), pa.int32()), none(w, pa.int32()), pa.array(flat[:, 1])]
+            return {
+                "kind": np.repeat(np.array([DOC, WIN, LINE], np.int32), [d, w, m]),
+                "doc_id": ids.take(pa.array(at)),
+                "tie": ties[at],
+                "start": start,
+                "stop": pa.concat_arrays(stop),
+                "win": pa.concat_arrays([none(d, pa.int64()), pa.array(np.concatenate([*wins, np.zeros(0, np.int64)])), none(m, pa.int64())]),
+                "item": pa.concat_arrays([none(d + w, pa.binary()), pa.array(names(every, first) if m else [], pa.binary())]),
+                "keys": pa.concat_arrays([none(d + w, lists.type), lists]),
+                "sketch": pa.concat_arrays([none(d + w, pa.binary()), pa.array([x.tobytes() for x in sketch[:m]], pa.binary())]),
+            }
 
         return f
 
@@ -179,9 +189,13 @@ def by_content(docs: DataFrame, cut: DataFrame) -> DataFrame:
     windows = cut.filter(F.col("kind") == WIN).select("win", "doc_id", "tie", "start")
     shared = neighbours(windows, 8, 8, order=["win", "doc_id", "start", "tie"])
     found = written(around(docs, shared))
-    counts = written(found.groupBy("item", "check").agg(F.min(F.struct("doc_id", "start", "tie")).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    held = written(found.join(counts, ["item", "check"]))
-    out = stretched(held.filter(F.col("n") <= HOT)).unionByName(stretched_hot(held.filter(F.col("n") > HOT)))
+    counts = found.groupBy("item", "check").agg(F.min(F.struct("doc_id", "start", "tie")).alias("first"), F.count("*").alias("n"))
+    hot = written(counts.filter(F.col("n") > HOT))
+    if hot.isEmpty():
+        out = stretched(found)
+    else:
+        held = found.join(hot, ["item", "check"], "left")
+        out = stretched(held.filter("n IS NULL")).unionByName(stretched_hot(held.filter("n IS NOT NULL")))
     return out.filter(F.col("stop") - F.col("start") >= PASSAGE)
 
 
