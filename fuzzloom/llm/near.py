@@ -282,9 +282,9 @@ def units(edges: DataFrame, buckets: DataFrame) -> DataFrame:
     if large.isEmpty():
         return small
     owners = written(large.groupBy("owner").agg(F.count("*").alias("k")))
-    share = lambda n: F.ceil(F.col(n) / (BLOCK / 2))
+    share = lambda n: F.ceil(F.col(n) / (BLOCK / 3))
     alone = F.xxhash64("owner", F.pmod(F.xxhash64("item"), share("k")))
-    dealt = F.when(F.col("k") > BLOCK / 2, alone).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("owner"), share("m"))))
+    dealt = F.when(F.col("k") > BLOCK / 3, alone).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("owner"), share("m"))))
     blocks = written(large.join(owners, "owner").select("item", "grp", dealt.alias("block")))
     met = buckets.join(blocks, "item").groupBy("node", "grp").agg(F.array_sort(F.collect_set("block")).alias("bs")).select("grp", "bs").distinct()
     pairs = F.flatten(F.transform("bs", lambda a: F.transform(F.filter("bs", lambda b: b >= a), lambda b: F.struct(a.alias("i"), b.alias("j")))))
@@ -330,18 +330,18 @@ def _linked(lone: bool, left: dict, right: dict, threshold: float, width: int) -
     if lone:
         np.fill_diagonal(hit, False)
     count = hit.sum(axis=1).tolist() + ([] if lone else hit.sum(axis=0).tolist())
-    root = list(range(len(items)))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
-        a, b = find(i), find(j if lone else len(left) + j)
-        root[max(a, b)] = min(a, b)
-    return [(items[i], items[find(i)], n) for i, n in enumerate(count) if n]
+    n, every, label = len(left), len(items), np.arange(len(items), dtype=np.int32)
+    while True:  # the least number that links join with an item, without a list of the links
+        if lone:
+            new = np.minimum(label, np.where(hit, label[None, :], every).min(axis=1))
+        else:
+            x, y = label[:n], label[n:]
+            new = np.concatenate([np.minimum(x, np.where(hit, y[None, :], every).min(axis=1)), np.minimum(y, np.where(hit, x[:, None], every).min(axis=0))])
+        new = new[new].astype(np.int32)
+        if (new == label).all():
+            break
+        label = new
+    return [(items[i], items[label[i]], k) for i, k in enumerate(count) if k]
 
 
 def _compare(rows: DataFrame, threshold: float, width: int) -> DataFrame:
