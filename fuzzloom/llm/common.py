@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/fuzzloom-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write a larger table to the shared folder once, and read it from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/fuzzloom-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, path or new_folder(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system that holds a path of the shared folder, and the path there; for tasks that read or write byte ranges."""
+    return pa.fs.FileSystem.from_uri(path)
+
+
+def stored_batches(path: str, columns: list[str], size: int) -> Iterator[pa.RecordBatch]:
+    """A written table's rows, streamed by a task in batches of a few rows; nothing of it is kept."""
+    fs, at = store(path)
+    found = [x.path for x in fs.get_file_info(pa.fs.FileSelector(at)) if x.path.rpartition("/")[2].startswith("part-")]
+    for name in sorted(found):
+        with fs.open_input_file(name) as file:
+            yield from pq.ParquetFile(file).iter_batches(size, columns=columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -80,11 +80,33 @@ def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(spread(documents(spark, sf_dir)))
 
 
+def op11_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.capture_index import capture_digest
+
+    return capture_digest(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.hard_negatives import mine_embeddings
+
+    return mine_embeddings(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fuzzloom.llm.block_max import search
+
+    return search(spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from fuzzloom.llm import line_windows, rule_ledger
+    from fuzzloom.llm import block_max, line_windows, rule_ledger
 
-    return {"op5_rule_ledger": rule_ledger.ORACLE, "op8_line_windows": line_windows.ORACLE}
+    return {
+        "op5_rule_ledger": rule_ledger.ORACLE,
+        "op8_line_windows": line_windows.ORACLE,
+        "op13_block_max": block_max.ORACLE,
+    }
