@@ -103,11 +103,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from fuzzloom.llm import block_max, hard_negatives, line_windows, rule_ledger
+    from fuzzloom.llm import block_max, capture_index, hard_negatives, line_windows, rule_ledger
 
     return {
         "op5_rule_ledger": rule_ledger.ORACLE,
         "op8_line_windows": line_windows.ORACLE,
+        "op11_capture_index": capture_index.ORACLE,
         "op12_hard_negatives": hard_negatives.ORACLE,
         "op13_block_max": block_max.ORACLE,
     }
