@@ -56,7 +56,7 @@ _ODD = re.compile(rb"[\x00-\x20\x7f]")
 
 def escaped(text: str) -> bytes:
     """UTF-8 without white space and control characters, which are percent-encoded."""
-    return _ODD.sub(lambda m: b"%%%02X" % m[0], text.encode())
+    return _ODD.sub(lambda m: b"%%%02X" % m[0][0], text.encode())
 
 
 def surt(url: str | None) -> bytes:
