@@ -83,10 +83,10 @@ def _kept(lines: Column, covered: Column) -> Column:
 def removals(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(whole, n_lines, n_removed, removed, kept_text): each row's columns as one struct, the line numbers removed, comma-joined, and the text left."""
     found = covered_lines(docs.select("doc_id", "text"), width).select(F.col("doc_id").alias("id"), F.col("tie").alias("of"), "covered")
-    rows = packed(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    rows = packed(docs, "doc_id").withColumn("tie", F.xxhash64("whole.text"))  # the text once
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("of")), "left")
-    lines = F.split("text", "\n")
-    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(_bound(lines, lambda ls: F.array_join(_kept(ls, F.col("covered")), "\n")))
+    lines = F.split("whole.text", "\n")
+    text = F.when(F.col("covered").isNull(), F.col("whole.text")).otherwise(_bound(lines, lambda ls: F.array_join(_kept(ls, F.col("covered")), "\n")))
     return both.select(
         "whole",
         F.size(F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.rlike(WORD))).cast("long").alias("n_lines"),
