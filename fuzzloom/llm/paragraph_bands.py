@@ -187,15 +187,15 @@ def by_layout(docs: DataFrame, cut: DataFrame, threshold: float) -> DataFrame:
 def by_content(docs: DataFrame, cut: DataFrame) -> DataFrame:
     """(doc_id, tie, start, stop, first, first_tie) of all later windows, with the words around that an earlier place has too, where these are PASSAGE words or more."""
     windows = cut.filter(F.col("kind") == WIN).select("win", "doc_id", "tie", "start")
-    shared = neighbours(windows, 8, 8, order=["win", "doc_id", "start", "tie"])
-    found = written(around(docs, shared))
-    counts = found.groupBy("item", "check").agg(F.min(F.struct("doc_id", "start", "tie")).alias("first"), F.count("*").alias("n"))
-    hot = written(counts.filter(F.col("n") > HOT))
-    if hot.isEmpty():
-        out = stretched(found)
+    shared = written(neighbours(windows, 8, 8, order=["win", "doc_id", "start", "tie"]))
+    often = written(shared.groupBy("win").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("win"))
+    if often.isEmpty():  # the words around go straight to where windows are compared
+        out = stretched(around(docs, shared))
     else:
+        found = written(around(docs, shared.join(often, "win", "left_semi")))
+        hot = written(found.groupBy("item", "check").agg(F.min(F.struct("doc_id", "start", "tie")).alias("first"), F.count("*").alias("n")).filter(F.col("n") > HOT))
         held = found.join(hot, ["item", "check"], "left")
-        out = stretched(held.filter("n IS NULL")).unionByName(stretched_hot(held.filter("n IS NOT NULL")))
+        out = stretched(around(docs, shared.join(often, "win", "left_anti"))).unionByName(stretched(held.filter("n IS NULL"))).unionByName(stretched_hot(held.filter("n IS NOT NULL")))
     return out.filter(F.col("stop") - F.col("start") >= PASSAGE)
 
 
