@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fuzzloom.operators.clusters import clustered as form_clusters
 from fuzzloom.operators.split import allocate, budget, largest_remainder
+from fuzzloom.sources.staging import staged
 
 
 def matches(features: list[str], a: str = "l", b: str = "r"):
@@ -62,7 +64,8 @@ def _greedy(features: list[str], m: int, stop: float | None, mode: str = "mean")
         pdf = pdf.sort_values("cell").reset_index(drop=True)
         codes = np.stack([pd.factorize(pdf[c], use_na_sentinel=False)[0] for c in features], axis=1)
         w, cov, out, p = pdf["w"].to_numpy(np.int64), np.zeros(len(pdf), np.int64), [], len(features)
-        alike = lambda i: (codes == codes[i]).sum(axis=1).astype(np.int64)
+        label = pdf["y"].to_numpy()
+        alike = lambda i: ((codes == codes[i]).sum(axis=1) * (label == label[i])).astype(np.int64)
         gain = lambda i: int((np.maximum(alike(i) - cov, 0) * w).sum())
         # Gains only fall as more is covered, so a cell whose old gain is below another's new one need not be looked at.
         heap = [(-(p * int(w.sum())), i, -1) for i in range(len(pdf))]
@@ -153,18 +156,7 @@ def greedy_stratified_rules(rules: DataFrame, cs: DataFrame, features: list[str]
 
 def clustered(cs: DataFrame, features: list[str], clusters: int = 5, seed: int = 0) -> DataFrame:
     """The cells with cluster: k-means on one-hot levels within each label."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
-    out = None
-    for y in sorted(r[0] for r in cs.select("y").distinct().collect()):  # a model for each label
-        own = cs.filter(F.col("y") == y)
-        at = StringIndexer(inputCols=features, outputCols=[f"_{c}" for c in features]).fit(own).transform(own)
-        hot = OneHotEncoder(inputCols=[f"_{c}" for c in features], outputCols=[f"__{c}" for c in features], dropLast=False).fit(at).transform(at)
-        vec = VectorAssembler(inputCols=[f"__{c}" for c in features], outputCol="v").transform(hot)
-        part = KMeans(k=clusters, seed=seed, featuresCol="v", predictionCol="cluster", weightCol="w").fit(vec).transform(vec).select(*cs.columns, "cluster")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return form_clusters(cs, features, clusters, ["y"], seed)
 
 
 def _part():
@@ -203,6 +195,54 @@ def greedy_clustered_rules(rules: DataFrame, cs: DataFrame, features: list[str],
     return filled(with_part, picks, clustered_quota(parts, features, theta)).drop("part")
 
 
+DESIGNS, BUDGETS = ("two_stage", "one_stage"), ("exact", "ceil")
+
+
+def cluster_budgets(parts: DataFrame, theta: float, within_label: bool = True, mode: str = "exact") -> dict:
+    """The budget of each part: in whole parts of its own (ceil), or of exactly the budget in all, dealt to labels first where clusters are within labels."""
+    if mode not in BUDGETS:
+        raise ValueError(f"unknown budget mode {mode}")
+    rows = sorted((r["y"] if within_label else None, r["cluster"], r["part"], r["n"]) for r in parts.groupBy(*(["y"] if within_label else []), "cluster", "part").agg(F.sum("w").alias("n")).withColumn("y", F.col("y") if within_label else F.lit(0)).collect()) if not parts.isEmpty() else []  # clusters are few
+    sizes = [n for *_, n in rows]
+    if mode == "ceil":
+        return {part: min(budget(theta, n), n) for _, _, part, n in rows}
+    m = budget(theta, sum(sizes))
+    if not within_label:
+        return dict(zip([r[2] for r in rows], largest_remainder(sizes, m), strict=True))
+    labels = sorted({r[0] for r in rows})
+    out = {}
+    for y, q in zip(labels, largest_remainder([sum(r[3] for r in rows if r[0] == y) for y in labels], m), strict=True):
+        own = [r for r in rows if r[0] == y]
+        out |= dict(zip([r[2] for r in own], largest_remainder([r[3] for r in own], q), strict=True))
+    return out
+
+
+def cluster_select(rules: DataFrame, cs: DataFrame, features: list[str], theta: float, clusters: int = 5, seed: int = 0, design: str = "two_stage", mode: str = "exact", within_label: bool = True) -> DataFrame:
+    """(id, y, part, rank, gain): rules chosen by clusters.
+
+    One stage takes all rules of all clusters; two stages choose greedily within each, under budgets.
+    Clusters are formed within labels, so many in each, or over all rules, so many for each label."""
+    if design not in DESIGNS:
+        raise ValueError(f"unknown design {design}")
+    labels = 1 if within_label else cs.select("y").distinct().count()
+    formed = form_clusters(cs, features, clusters * max(labels, 1), ["y"] if within_label else [], seed)
+    parts = staged(formed.withColumn("part", _part() if within_label else F.col("cluster").cast("string")))
+    of = parts.select(*[F.col(c).alias(f"_{c}") for c in (*features, "y")], "part")
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*features, "y")])
+    with_part = rules.join(of, on).select(*rules.columns, "part")
+    if design == "one_stage":
+        none = with_part if budget(theta, 1) else with_part.limit(0)
+        return none.select("id", "y", "part", F.lit(None).cast("int").alias("rank"), F.lit(0).cast("long").alias("gain"))
+    quota = cluster_budgets(parts, theta, within_label, mode)
+
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = pdf["part"].iloc[0]
+        return _greedy(features, quota[part], None)(pdf).assign(part=part)
+
+    picks = parts.groupBy("part").applyInPandas(picked, "cell long, y int, rank int, gain long, part string")
+    return filled(with_part, picks, quota)
+
+
 def best_subset(cs: DataFrame, features: list[str], m: int) -> DataFrame:
     """One row: the greatest sum of covered matches over all choices of m of at most 18 cells, and the first such choice as bits."""
     n = cs.count()

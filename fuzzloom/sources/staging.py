@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +21,18 @@ def checkpoint_folder(spark: SparkSession) -> None:
     sc.setCheckpointDir(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The table without its lineage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    checkpoint_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/fuzzloom-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The table without its lineage: written once as Parquet, so that readers get the columns they use and Spark knows its size."""
+    path = path or new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
