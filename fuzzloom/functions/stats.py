@@ -4,16 +4,26 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fuzzloom.operators.ordered import before
+from fuzzloom.sources.staging import staged
+
 
 def average_ranks(df: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
-    """rank_avg within by; ties share their mean rank."""
-    order = F.desc(value) if descending else F.asc(value)
-    own = Window.partitionBy(*by)
-    return df.withColumn("rank_avg", F.rank().over(own.orderBy(order)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0))
+    """rank_avg within by; ties share their mean rank.
+
+    Equal values are counted on the map side, and only the distinct ones are put in order, over ranges."""
+    keys = [*by, value]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    ranked = before(counts, by, [F.desc(value) if descending else F.asc(value)], F.col("_n"))
+    rank = (F.coalesce("before", F.lit(0)) + 1 + (F.col("_n") - 1) / F.lit(2.0)).alias("rank_avg")
+    named = ranked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], rank)
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    return df.join(named, on).select(*df.columns, "rank_avg")
 
 
 def wilcoxon_greater(differences: list[float]) -> float:
@@ -39,13 +49,16 @@ def wilcoxon_greater(differences: list[float]) -> float:
 
 
 def holm(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """With p_adj (null for null or NaN p, which are not counted) and reject."""
+    """With p_adj (null for null or NaN p, which are not counted) and reject.
+
+    Equal p-values get one adjusted value, so only the distinct ones are put in order, over ranges."""
     ok = F.col(p).isNotNull() & ~F.isnan(p)
-    own = Window.partitionBy(ok)
-    step = F.least(F.col(p) * (F.count("*").over(own) - F.row_number().over(own.orderBy(p)) + 1), F.lit(1.0))
-    out = df.withColumn("_s", F.when(ok, step))
-    adj = F.when(ok, F.max("_s").over(own.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("p_adj", adj).withColumn("reject", F.coalesce(F.col("p_adj") <= alpha, F.lit(False))).drop("_s")
+    counts = staged(df.filter(ok).groupBy(F.col(p).alias("_p0")).agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("t")).first()["t"]
+    less = before(counts, [], [F.asc("_p0")], F.col("_n"))
+    steps = less.select("_p0", F.least(F.col("_p0") * (F.lit(total) - F.coalesce("before", F.lit(0))), F.lit(1.0)).alias("_s"))
+    top = before(steps, [], [F.asc("_p0")], F.col("_s"), F.max).select("_p0", F.greatest("_s", "before").alias("p_adj"))
+    return df.join(top, F.when(ok, F.col(p)) == F.col("_p0"), "left").drop("_p0").withColumn("reject", F.coalesce(F.col("p_adj") <= alpha, F.lit(False)))
 
 
 def cohen_dz(df: DataFrame, d: str = "d") -> DataFrame:
@@ -127,32 +140,43 @@ def t_quantile(p: float, df: int) -> float:
 
 
 def bootstrap_ci(df: DataFrame, value: str = "v", level: float = 0.95, rounds: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row (low, high): percentiles of resampled means; draws come from hashes."""
-    from pyspark.sql import Window as W
+    """One row (low, high): percentiles of the means of so many resamples of all values that are not null.
+
+    A round's draws are dealt to the partitions by a multinomial of their sizes, which every task
+    draws alike, and by each task among its own values; so a round is a sum of one number a partition."""
+    import numpy as np
+    import pyarrow as pa
 
-    own = df.withColumn("_i", F.row_number().over(W.orderBy(value)) - 1)
-    n = own.count()
-    draws = df.sparkSession.range(rounds).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.lit(n)).alias("_i"))
-    means = draws.join(F.broadcast(own), "_i").groupBy("id").agg(F.avg(value).alias("m"))
+    held = staged(df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.spark_partition_id().alias("p")))
+    sizes = {r["p"]: r["n"] for r in held.groupBy("p").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    parts, n = sorted(sizes), sum(sizes.values())
+    share = [sizes[p] / n for p in parts]
+
+    def sums(key, table):
+        at, own = parts.index(key[0].as_py()), table.column("v").to_numpy()
+        deal, draw = np.random.default_rng(seed), np.random.default_rng([seed, at + 1])
+        out = [own[draw.integers(0, len(own), deal.multinomial(n, share)[at])].sum() for _ in range(rounds)]
+        return pa.table({"round": np.arange(rounds), "s": out})
+
+    means = held.groupBy("p").applyInArrow(sums, "round long, s double").groupBy("round").agg((F.sum("s") / n if n else F.lit(None)).alias("m"))
     return means.agg(*[F.expr(f"percentile(m, {p!r}D)").alias(k) for k, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
 
 
 def pareto_front(df: DataFrame, cost: str = "cost", benefit: str = "benefit") -> DataFrame:
-    """Rows that no other dominates: a sort by cost and a running greatest benefit instead of a self-join."""
+    """Rows that no other dominates: the greatest benefit of each cost, against the running greatest of lesser costs."""
     best = df.groupBy(cost).agg(F.max(benefit).alias("_b"))
-    before = F.max("_b").over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("_m", before).filter(F.col("_m").isNull() | (F.col("_b") > F.col("_m"))).select(cost, F.col("_b").alias(benefit))
+    less = before(best, [], [F.asc(cost)], F.col("_b"), F.max, "_m")
+    front = less.filter(F.col("_m").isNull() | (F.col("_b") > F.col("_m"))).select(cost, F.col("_b").alias(benefit))
     return df.join(front, [cost, benefit], "left_semi").orderBy(cost, benefit)
 
 
 def knee(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """The row farthest from the chord between the ends, after scaling to the unit square; of two rows or fewer the highest."""
-    w = Window.partitionBy(F.lit(0))
-    order = w.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    scale = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)), F.lit(0.0))
-    s = df.withColumns({"_x": scale(x), "_y": scale(y), "_n": F.count("*").over(w)})
-    s = s.withColumns({"_y0": F.first("_y").over(order), "_y1": F.last("_y").over(order)})
-    far = F.when(F.col("_n") <= 2, F.col("_y")).otherwise(F.abs((F.col("_y1") - F.col("_y0")) * F.col("_x") - F.col("_y") + F.col("_y0")) / F.hypot(F.lit(1.0), F.col("_y1") - F.col("_y0")))
+    ends = df.agg(F.count("*").alias("_n"), *[f(c).alias(f"_{n}{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))], F.min_by(y, x).alias("_y0"), F.max_by(y, x).alias("_y1"))
+    scale = lambda v, c: F.coalesce(F.try_divide(v - F.col(f"_lo{c}"), F.col(f"_hi{c}") - F.col(f"_lo{c}")), F.lit(0.0))
+    s = df.crossJoin(F.broadcast(ends))  # one row
+    first, last, at, up = scale(F.col("_y0"), y), scale(F.col("_y1"), y), scale(F.col(x), x), scale(F.col(y), y)
+    far = F.when(F.col("_n") <= 2, up).otherwise(F.abs((last - first) * at - up + first) / F.hypot(F.lit(1.0), last - first))
     return s.withColumn("_d", F.round(far, 12)).orderBy(F.desc("_d"), x).limit(1).select(*df.columns)
 
 
@@ -161,6 +185,12 @@ def power_fit(df: DataFrame, x: str = "n", y: str = "s") -> DataFrame:
     return df.agg(F.regr_slope(F.ln(y), F.ln(x)).alias("slope"), F.regr_intercept(F.ln(y), F.ln(x)).alias("intercept"))
 
 
+def extrapolated(df: DataFrame, at: list[float], x: str = "n", y: str = "s") -> DataFrame:
+    """(n, s): the fitted power law at other sizes; null where there is no fit."""
+    fit = power_fit(df.filter((F.col(x) > 0) & (F.col(y) > 0)), x, y)
+    return fit.select(F.explode(F.array(*[F.lit(float(a)) for a in at])).alias("n"), "slope", "intercept").select("n", F.exp(F.col("intercept") + F.col("slope") * F.ln("n")).alias("s"))
+
+
 def knee_on_front(df: DataFrame, cost: str = "cost", benefit: str = "benefit") -> DataFrame:
     return knee(pareto_front(df, cost, benefit), cost, benefit)
 

@@ -66,7 +66,8 @@ def knn_vote(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 20_00
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.groupBy("id", "v").agg(F.count("*").cast("int").alias("n"))  # a query that comes twice is answered twice
     left = left.withColumn("qb", F.pmod(F.xxhash64("id", "v"), F.lit(n_queries)).cast("int")).select("id", F.xxhash64("v").alias("key"), "n", "v", "qb", every(n_base).alias("bb"))
-    right = base.select("id", "v", "label", own(n_base).alias("bb"), every(n_queries).alias("qb"))
+    fresh = base.select(F.col("id").alias("_i"), F.col("v").alias("_w"), F.col("label").alias("_l")).select(F.col("_i").alias("id"), F.col("_w").alias("v"), F.col("_l").alias("label"))  # queries and base may be one table
+    right = fresh.select("id", "v", "label", own(n_base).alias("bb"), every(n_queries).alias("qb"))
 
     def unit(column):
         m = np.array(column.to_pylist(), np.float64)

@@ -475,14 +475,16 @@ def window_cooccurrence(spark, d):
 
 _HASH = "CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR) || ':{0}'), 1, 8) AS BIGINT)"
 _SYNTHETIC = (
-    "h AS (SELECT range AS id FROM range(2000)), l AS (SELECT id, " + ", ".join(f"['Low', 'Medium', 'High'][{_HASH.format(f)} % 3 + 1] AS {f}" for f in FEATURES) + " FROM h), "
+    "h AS (SELECT doc_id AS id FROM documents), l AS (SELECT id, " + ", ".join(f"['Low', 'Medium', 'High'][{_HASH.format(f)} % 3 + 1] AS {f}" for f in FEATURES) + " FROM h), "
     "s AS (SELECT *, CAST(CASE WHEN " + _HASH.format("noise") + " % 100 < 15 THEN " + _HASH.format("label") + " % 2 ELSE least(1, floor((" + " + ".join(f"({f} = 'High')::INT" for f in FEATURES) + ") * 2 / 4.0)) END AS INT) AS y FROM l)"
 )
 
 
 @query(f"WITH {_SYNTHETIC} SELECT id, {', '.join(FEATURES)}, y FROM s")
 def synthetic_rules(spark, d):
-    return synthetic.rules(spark, 2000, 4).drop("confidence", "support")
+    """A rule for each document, drawn by its doc_id."""
+    ids = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return synthetic.rules(spark, ids, 4).drop("confidence", "support")
 
 
 @query(f"WITH {SQL_ORDERS} SELECT attr, level, y, round(sum(0.5 * (id % 7) / 4), 6) AS w FROM (" + " UNION ALL ".join(f"SELECT id, {i} AS attr, {c} AS level, y FROM rules" for i, c in enumerate(FEATURES)) + ") GROUP BY ALL")
@@ -588,12 +590,15 @@ def avg_ranks(spark, d):
     return stats.average_ranks(o, ["o_orderpriority"], "o_orderdate").select("o_orderpriority", "id", F.col("rank_avg").cast("double").alias("rank_avg"))
 
 
-_VALUES = "(VALUES (1, 0.001D), (2, 0.02D), (3, 0.04D), (4, 0.2D)) AS v(k, p)"
-
-
-@query("WITH v AS (SELECT * FROM (VALUES (1, 0.001), (2, 0.02), (3, 0.04), (4, 0.2)) AS v(k, p)), s AS (SELECT k, p, least(p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1), 1) AS a FROM v) SELECT k, CAST(round(max(a) OVER (ORDER BY p), 9) AS DOUBLE) AS p_adj, max(a) OVER (ORDER BY p) <= 0.05 AS reject FROM s")
+@query("""
+WITH p AS (SELECT p_brand AS k, avg(CASE WHEN p_size <= 2 THEN 1.0 ELSE 0.0 END) AS p FROM part GROUP BY p_brand),
+s AS (SELECT k, p, least(p * (count(*) OVER () - rank() OVER (ORDER BY p) + 1), 1) AS a FROM p)
+SELECT k, CAST(round(max(a) OVER (ORDER BY p), 9) AS DOUBLE) AS p_adj, max(a) OVER (ORDER BY p) <= 0.05 AS reject FROM s
+""")
 def holm(spark, d):
-    return stats.holm(spark.sql(f"SELECT * FROM {_VALUES}")).select("k", F.round("p_adj", 9).alias("p_adj"), "reject")
+    """The share of a brand's parts of size 2 or less, taken for a tail probability, adjusted over all brands."""
+    tail = table(spark, d, "part").groupBy(F.col("p_brand").alias("k")).agg(F.avg(F.when(F.col("p_size") <= 2, 1.0).otherwise(0.0)).alias("p"))
+    return stats.holm(tail).select("k", F.round("p_adj", 9).alias("p_adj"), "reject")
 
 
 @query("WITH p AS (SELECT CAST(p_retailprice AS DOUBLE) AS cost, CAST(p_size AS DOUBLE) AS benefit FROM part) SELECT a.cost, a.benefit FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.cost <= a.cost AND b.benefit >= a.benefit AND (b.cost < a.cost OR b.benefit > a.benefit))")

@@ -27,9 +27,9 @@ def _label(high: Column, n: int, seed: int, classes: int) -> Column:
     return F.when(draw(seed, "noise") % 100 < 15, (draw(seed, "label") % classes).cast("int")).otherwise(hidden)
 
 
-def rules(spark: SparkSession, n: int, attributes: int = 6, classes: int = 2, seed: int = 42) -> DataFrame:
-    """(id, f0.., y, confidence, support): a level for every attribute."""
-    df = spark.range(n)
+def rules(spark: SparkSession, n: int | DataFrame, attributes: int = 6, classes: int = 2, seed: int = 42) -> DataFrame:
+    """(id, f0.., y, confidence, support): a level for every attribute; for so many ids, or for those of a table (id)."""
+    df = spark.range(n) if isinstance(n, int) else n.select("id")
     names = [f"f{i}" for i in range(attributes)]
     df = df.withColumns({c: F.element_at(F.array(*map(F.lit, LEVELS)), (draw(seed, c) % 3 + 1).cast("int")) for c in names})
     high = sum(((F.col(c) == "High").cast("int") for c in names), F.lit(0))
