@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fuzzloom.operators.skipgram import start_vectors
+from fuzzloom.sources.staging import new_path, staged
+
 
 def tokens(cs: DataFrame, features: list[str]) -> DataFrame:
     """(cell, y, w, pos, token): attribute and level."""
@@ -114,27 +117,129 @@ def edge_loss_and_gradient(z: np.ndarray, c: np.ndarray, a: np.ndarray, negative
     return float((a * soft(-x) + noise * soft(x)).sum() / total), g @ c, g.T @ z
 
 
-def train_embedding(edges: DataFrame, dim: int = 16, negatives: float = 1.0, decay: float = 1e-3, steps: int = 60, seed: int = 0) -> DataFrame:
-    """(token, v): gradient descent with step halving on the edges of a vocabulary, which are few; the loss never rises."""
-    rows = edges.collect()
-    names = sorted({r["u"] for r in rows})
-    if not names:
+LOCAL_TOKENS, BLOCK = 2048, 1024
+
+
+def train_embedding(edges: DataFrame, dim: int = 16, negatives: float = 1.0, decay: float = 1e-3, steps: int = 60, seed: int = 0, local: int = LOCAL_TOKENS) -> DataFrame:
+    """(token, v): gradient descent with step halving on all edges; the loss never rises.
+
+    Up to so many tokens are trained in one process; more are a table, whose vectors meet those of all
+    others in blocks, to the same result.  Vectors start from hashes of the tokens."""
+    edges = staged(edges.select("u", "v", F.col("n").cast("double").alias("n")))
+    tokens = staged(edges.select(F.explode(F.array("u", "v")).alias("token")).distinct())
+    if tokens.isEmpty():
         raise ValueError("the graph has no edge")
-    at = {t: i for i, t in enumerate(names)}
-    a = np.zeros((len(names), len(names)))
-    for r in rows:
-        a[at[r["u"]], at[r["v"]]] = r["n"]
-    rng = np.random.default_rng(seed)
-    z, c, rate = rng.normal(0, 0.1, (len(names), dim)), rng.normal(0, 0.1, (len(names), dim)), 1.0
-    value = lambda z, c: edge_loss_and_gradient(z, c, a, negatives)[0] + decay / 2 * ((z**2).sum() + (c**2).sum())
-    best = value(z, c)
+    starts = {k: start_vectors(tokens, dim, 2 * seed + i).withColumnRenamed("v", k) for i, k in enumerate("zc")}
+    nodes = staged(starts["z"].join(starts["c"], "token"))
+    state = _Local(edges, nodes, negatives) if tokens.count() <= local else _Tables(edges, nodes, negatives)
+    best, rate = state.loss(decay), 1.0
     for _ in range(steps):
-        _, gz, gc = edge_loss_and_gradient(z, c, a, negatives)
-        gz, gc = gz + decay * z, gc + decay * c
+        square = state.slope(decay)
         for _ in range(40):
-            new = value(z - rate * gz, c - rate * gc)
-            if new <= best - 1e-4 * rate * ((gz**2).sum() + (gc**2).sum()):
-                z, c, best, rate = z - rate * gz, c - rate * gc, new, rate * 1.5
+            new = state.moved(rate)
+            value = new.loss(decay)
+            if value <= best - 1e-4 * rate * square:
+                state, best, rate = new, value, rate * 1.5
                 break
             rate /= 2
-    return edges.sparkSession.createDataFrame([(t, z[i].tolist()) for t, i in at.items()], "token string, v array<double>")
+    return state.vectors()
+
+
+class _Local:
+    """Vectors of a small vocabulary as arrays."""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame, negatives: float, held: tuple | None = None):
+        self.source, self.negatives, self.grad = (edges, nodes), negatives, None
+        if held is None:
+            rows = nodes.orderBy("token").collect()  # at most LOCAL_TOKENS
+            self.names, at = [r["token"] for r in rows], {r["token"]: i for i, r in enumerate(rows)}
+            self.a = np.zeros((len(rows), len(rows)))
+            for r in edges.collect():
+                self.a[at[r["u"]], at[r["v"]]] += r["n"]
+            held = np.array([r["z"] for r in rows]), np.array([r["c"] for r in rows])
+        self.z, self.c = held
+
+    def loss(self, decay: float) -> float:
+        value = edge_loss_and_gradient(self.z, self.c, self.a, self.negatives)[0]
+        return value + decay / 2 * float((self.z**2).sum() + (self.c**2).sum())
+
+    def slope(self, decay: float) -> float:
+        _, gz, gc = edge_loss_and_gradient(self.z, self.c, self.a, self.negatives)
+        self.grad = gz + decay * self.z, gc + decay * self.c
+        return float((self.grad[0] ** 2).sum() + (self.grad[1] ** 2).sum())
+
+    def moved(self, rate: float) -> _Local:
+        new = object.__new__(_Local)
+        new.names, new.a = self.names, self.a
+        _Local.__init__(new, *self.source, self.negatives, (self.z - rate * self.grad[0], self.c - rate * self.grad[1]))
+        return new
+
+    def vectors(self) -> DataFrame:
+        return self.source[1].sparkSession.createDataFrame([(t, self.z[i].tolist()) for i, t in enumerate(self.names)], "token string, v array<double>")
+
+
+class _Tables:
+    """Vectors as a table by token (token, z, c, m), m the token's edges; the loss and its gradient are jobs."""
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame, negatives: float, total: float | None = None):
+        self.edges, self.negatives, spark = edges, negatives, nodes.sparkSession
+        if total is None:
+            degree = edges.groupBy(F.col("u").alias("token")).agg(F.sum("n").alias("m"))
+            nodes = nodes.join(degree, "token", "left").withColumn("m", F.coalesce("m", F.lit(0.0)))
+            total = edges.agg(F.sum("n")).first()[0]
+        self.total, self.path = total, new_path(spark)
+        self.nodes, self.grad = staged(nodes, self.path), None
+
+    def _met(self, own: str, other: str, gradient: bool) -> DataFrame:
+        """(token, d, loss): each token's sums over all tokens of the expected negatives; a task streams the table by its own rows."""
+        path, scale = self.path, self.negatives / self.total**2
+
+        def run(batches):
+            import pyarrow as pa
+
+            from fuzzloom.sources.staging import stored_batches
+
+            side = lambda part, i: np.array(part.column(i).to_pylist(), float).reshape(part.num_rows, -1)
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK):
+                    part = whole.slice(at, BLOCK)
+                    x, m = side(part, 1), side(part, 2)
+                    d, loss = np.zeros_like(x), np.zeros(len(x))
+                    for block in stored_batches(path, [other, "m"], BLOCK):
+                        y, k = side(block, 0), side(block, 1)
+                        dot, noise = x @ y.T, scale * m * k.T
+                        loss += (noise * np.logaddexp(0, dot)).sum(axis=1)
+                        if gradient:
+                            d += (noise / (1 + np.exp(-dot))) @ y
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(d)), pa.array(loss)], names=["token", "d", "loss"])
+
+        return self.nodes.select("token", own, "m").mapInArrow(run, "token string, d array<double>, loss double")
+
+    def _joined(self) -> DataFrame:
+        of = lambda key, v, name: self.nodes.select(F.col("token").alias(key), F.col(v).alias(name))
+        x = self.edges.join(of("u", "z", "zu"), "u").join(of("v", "c", "cv"), "v")
+        return x.withColumn("x", F.aggregate(F.zip_with("zu", "cv", lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y))
+
+    def loss(self, decay: float) -> float:
+        square = lambda c: F.aggregate(c, F.lit(0.0), lambda s, y: s + y * y)
+        sizes = self.nodes.agg(F.sum(square("z") + square("c"))).first()[0]
+        edge = self._joined().agg(F.sum(F.col("n") * (F.greatest(-F.col("x"), F.lit(0.0)) + F.log1p(F.exp(-F.abs("x")))))).first()[0] / self.total
+        return edge + self._met("z", "c", False).agg(F.sum("loss")).first()[0] + decay / 2 * sizes
+
+    def slope(self, decay: float) -> float:
+        x = self._joined().withColumn("g", -F.col("n") / (1 + F.exp("x")) / self.total)
+        pull = x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(t).alias("token"), F.transform(v, lambda y: y * F.col("g")).alias("d")) for k, t, v in (("z", "u", "cv"), ("c", "v", "zu"))])).alias("s")).select("s.*")
+        for k, other in (("z", "c"), ("c", "z")):
+            pull = pull.unionByName(self._met(k, other, True).select(F.lit(k).alias("k"), "token", "d"))
+            pull = pull.unionByName(self.nodes.select(F.lit(k).alias("k"), "token", F.transform(k, lambda y: y * decay).alias("d")))
+        summed = pull.select("k", "token", F.posexplode("d").alias("i", "y")).groupBy("k", "token", "i").agg(F.sum("y").alias("y"))
+        whole = summed.groupBy("token", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda s: s["y"]).alias("d"))  # dim entries
+        self.grad = staged(whole.groupBy("token").pivot("k", ["z", "c"]).agg(F.first("d")).withColumnsRenamed({"z": "gz", "c": "gc"}))
+        return self.grad.select(F.explode(F.concat("gz", "gc")).alias("y")).agg(F.sum(F.col("y") * F.col("y"))).first()[0]
+
+    def moved(self, rate: float) -> _Tables:
+        step = lambda v, g: F.zip_with(v, g, lambda a, b: a - rate * b).alias(v)
+        return _Tables(self.edges, self.nodes.join(self.grad, "token").select("token", step("z", "gz"), step("c", "gc"), "m"), self.negatives, self.total)
+
+    def vectors(self) -> DataFrame:
+        return self.nodes.select("token", F.col("z").alias("v"))

@@ -31,6 +31,17 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/fuzzloom-{uuid.uuid4().hex}"
 
 
+def stored_batches(path: str, columns: list[str], size: int):
+    """A staged table's rows, streamed by a task in batches of a few rows, so that a task meets all of a table without holding it."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    for name in sorted(x.path for x in store.get_file_info(fs.FileSelector(at)) if x.path.rpartition("/")[2].startswith("part-")):
+        with store.open_input_file(name) as file:
+            yield from pq.ParquetFile(file).iter_batches(size, columns=columns)
+
+
 def staged(df: DataFrame, path: str | None = None) -> DataFrame:
     """The table without its lineage: written once as Parquet, so that readers get the columns they use and Spark knows its size."""
     path = path or new_path(df.sparkSession)
