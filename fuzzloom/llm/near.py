@@ -33,6 +33,7 @@ from fuzzloom.llm.common import mixed, rows_in_slices, shingles, written
 MARGIN = 0.15
 BLOCK = 768  # items of a block in the exact comparison
 NODE = 50_000  # items of a bucket that one task searches
+HUBS = 2_000  # hubs of a branch, before its items are one part
 _U64 = np.uint64
 
 
@@ -138,56 +139,79 @@ def circles(threshold: float) -> tuple[float, float]:
     return 2 * threshold - 1 + MARGIN, 3 * threshold - 2 - MARGIN
 
 
-def bucket_pairs(raw: np.ndarray, rank: np.ndarray, sketch: np.ndarray, prefixes: list[int], threshold: float, enough: Callable | None) -> list[tuple[int, int, float]]:
-    """(hub, item, near) of one node of a trie, given its items' sorted paths, ranks by name, and sketches.
+class Parts:
+    """Numbers that are joined step by step; a part's root has its least rank."""
 
-    Hubs are items of the least rank, so that a group's trees agree on few of them.
+    def __init__(self, rank: np.ndarray):
+        self.rank, self.root = rank, np.arange(len(rank))
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return int(i)
+
+    def join(self, hub: int, others: np.ndarray) -> None:
+        for i in others[self.root[others] != self.root[hub]].tolist():
+            a, b = self.find(hub), self.find(i)
+            if a != b:
+                low, high = (a, b) if self.rank[a] < self.rank[b] else (b, a)
+                self.root[high] = low
+        self.root[others] = self.root[hub] = self.find(hub)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            new = self.root[self.root]
+            if (new == self.root).all():
+                return self.root
+            self.root = new
+
+
+def bucket_roots(raw: np.ndarray, rank: np.ndarray, sketch: np.ndarray, prefixes: list[int], threshold: float, chance: Callable | None = None, recall: float = 1.0) -> np.ndarray:
+    """Each item's root in one node of a trie, given its items' sorted paths, ranks by name, and sketches.
+
+    Hubs are items of the least rank, so that a group's trees agree on few of them.  What is held is a root
+    and, for each step, a weight an item, however many pairs are near.  A bucket's hubs come to an end when those that
+    are left are one part; after HUBS of them, the ones left and what they may be near to are one part as well, which
+    costs comparisons but loses nothing.
 
     Prefixes are shortened step by step.  A branch is looked at if it has not been before and holds
-    an item that has not enough; enough(nears, of, n, step) tells for n items, after a step, whether they
-    have, from the nearnesses of possible links and the items that these are of."""
+    an item that is short of partners: chance(nears) tells for each step how likely possible links of such
+    nearness are found by then, so each stands for 1 / chance partners, of which recall have to be found."""
     inner, outer = circles(threshold)
-    n, out, nears, of = len(raw), {}, [], []
+    n, parts = len(raw), Parts(rank)
+    weight, count = np.zeros((len(prefixes), n)), np.zeros(n)
     short = np.ones(n, bool)
     for step, length in enumerate(prefixes):
         edge = np.flatnonzero((raw[1:, :length] != raw[:-1, :length]).any(axis=1)) + 1
         for low, high in zip([0, *edge.tolist()], [*edge.tolist(), n], strict=True):
             if high - low < 2 or not short[low:high].any() or step and (raw[low, : prefixes[step - 1]] == raw[high - 1, : prefixes[step - 1]]).all():
                 continue
-            rest = low + np.argsort(rank[low:high])
+            rest, hubs = low + np.argsort(rank[low:high]), 0
             while len(rest) > 1:
-                hub, rest = int(rest[0]), rest[1:]
-                near = (sketch[rest] == sketch[hub]).mean(axis=1)
-                for i in np.flatnonzero(near >= outer).tolist():
-                    if (hub, int(rest[i])) not in out:
-                        out[hub, int(rest[i])] = float(near[i])
-                        if near[i] >= threshold - MARGIN:
-                            nears += [near[i]] * 2
-                            of += [hub, int(rest[i])]
+                hub, rest, hubs = int(rest[0]), rest[1:], hubs + 1
+                near = np.concatenate([(sketch[rest[at : at + 8192]] == sketch[hub]).mean(axis=1) for at in range(0, len(rest), 8192)])
+                parts.join(hub, rest[near >= outer])
+                likely = near >= threshold - MARGIN
+                if chance is not None and likely.any():
+                    each = 1 / chance(near[likely])
+                    weight[:, rest[likely]] += each
+                    weight[:, hub] += each.sum(axis=1)
+                    count[rest[likely]] += 1
+                    count[hub] += likely.sum()
                 rest = rest[near < inner]
-        if enough and step < len(prefixes) - 1 and of:
-            short = ~enough(np.array(nears), np.array(of), n, step)
-    return [(*k, v) for k, v in out.items()]
-
-
-def _roots(n: int, pairs: list[tuple[int, int, float]], rank: np.ndarray) -> list[tuple[int, int]]:
-    """(root, member) of all numbers that pairs join, over any number of steps; a root has its part's least rank."""
-    root = list(range(n))
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for h, i, _ in pairs:
-        a, b = find(h), find(i)
-        if a != b:
-            root[a if rank[a] > rank[b] else b] = b if rank[a] > rank[b] else a
-    return [(find(i), i) for i in range(n) if find(i) != i]
+                if hubs >= HUBS:
+                    parts.join(hub, rest)
+                    break
+                if hubs % 8 == 1 and len(rest) > 1 and (parts.roots()[rest] == parts.root[rest[0]]).all():
+                    break
+        if chance is not None and step < len(prefixes) - 1:
+            short = ~((count > 0) & (count >= recall * weight[step]))
+    return parts.roots()
 
 
-def searched(shared: DataFrame, sketches: DataFrame, prefixes: list[int], threshold: float, wide: type, enough: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def searched(shared: DataFrame, sketches: DataFrame, prefixes: list[int], threshold: float, wide: type, chance: Callable | None = None, recall: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) that join the items of each bucket, and the buckets (node, item), of rows shared (path, item); prefixes are lengths, the longest first."""
     rows = written(shared.withColumn("node", F.substring("path", 1, prefixes[-1])))
     sizes = written(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -204,7 +228,8 @@ def searched(shared: DataFrame, sketches: DataFrame, prefixes: list[int], thresh
             raw, held = (np.frombuffer(b"".join(x), t).reshape(len(items), -1) for x, t in ((paths, np.uint8), (sketch, wide)))
             rank = np.empty(len(items), np.int64)
             rank[sorted(range(len(items)), key=items.__getitem__)] = np.arange(len(items))
-            return [(items[a], items[b]) for a, b in _roots(len(items), bucket_pairs(raw, rank, held, prefixes, threshold, enough), rank)]
+            root = bucket_roots(raw, rank, held, prefixes, threshold, chance, recall)
+            return [(items[root[i]], items[i]) for i in np.flatnonzero(root != np.arange(len(items))).tolist()]
 
         out = []
         for part in batches:
@@ -287,8 +312,8 @@ def units(edges: DataFrame, buckets: DataFrame) -> DataFrame:
     dealt = F.when(F.col("k") > BLOCK / 3, alone).otherwise(F.xxhash64("grp", F.pmod(F.xxhash64("owner"), share("m"))))
     blocks = written(large.join(owners, "owner").select("item", "grp", dealt.alias("block")))
     met = buckets.join(blocks, "item").groupBy("node", "grp").agg(F.array_sort(F.collect_set("block")).alias("bs")).select("grp", "bs").distinct()
-    pairs = F.flatten(F.transform("bs", lambda a: F.transform(F.filter("bs", lambda b: b >= a), lambda b: F.struct(a.alias("i"), b.alias("j")))))
-    both = written(met.select("grp", F.inline(pairs)).distinct())
+    firsts = met.select("grp", F.explode("bs").alias("i"), "bs").repartition("grp", "i")  # a row for a block, not for all pairs
+    both = written(firsts.select("grp", "i", F.explode(F.filter("bs", lambda b: b >= F.col("i"))).alias("j")).distinct())
     left = blocks.join(both.withColumn("block", F.col("i")), ["grp", "block"]).select("item", unit(F.col("i"), F.col("j")), side(0))
     right = blocks.join(both.filter("i <> j").withColumn("block", F.col("j")), ["grp", "block"]).select("item", unit(F.col("i"), F.col("j")), side(1))
     return small.unionByName(left).unionByName(right)

@@ -60,12 +60,11 @@ def forest_pairs(signed: DataFrame, trees: int = TREES, longest: int = LONGEST,
     paths = signed.filter(F.length("sketch") > 0).select(F.explode(tree).alias("path"), "item")
     depths = list(range(longest, shortest - 1, -1))
 
-    def enough(nears: np.ndarray, of: np.ndarray, n: int, step: int) -> np.ndarray:
-        weight = np.bincount(of, 1 / (1 - (1 - nears ** depths[step]) ** trees), n)
-        return (weight > 0) & (np.bincount(of, minlength=n) >= recall * weight)
+    def chance(nears: np.ndarray) -> np.ndarray:
+        return np.stack([1 - (1 - nears**d) ** trees for d in depths])
 
     tries = neighbours(paths, 1 + size, 1 + 2 * shortest)
-    return searched(tries, signed.select("item", "sketch"), [1 + 2 * d for d in depths], threshold, np.uint16, enough)
+    return searched(tries, signed.select("item", "sketch"), [1 + 2 * d for d in depths], threshold, np.uint16, chance, recall)
 
 
 def near_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:

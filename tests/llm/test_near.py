@@ -148,16 +148,31 @@ def test_shortening_stops_per_item():
     raw = np.array([[1, 1, 1], [1, 1, 1], [1, 2, 1], [1, 2, 2]], np.uint8)
     same, other = np.arange(100), np.arange(100) + 50
     sketch = np.array([same, same, other, same], np.uint16)
-    steps = []
-
-    def enough(nears, of, n, step):
-        steps.append(step)
-        return np.bincount(of, minlength=n) > 0
-
-    pairs = near.bucket_pairs(raw, np.arange(4), sketch, [3, 2, 1], 0.8, enough)
-    assert pairs == [(0, 1, 1.0), (0, 3, 1.0)] and steps == [0, 1]
-    assert near.bucket_pairs(raw[:2], np.arange(2), sketch[:2], [3, 2, 1], 0.8, lambda *a: np.array([True, True])) == [(0, 1, 1.0)]
-    assert near.bucket_pairs(raw, np.arange(4), sketch, [3, 2, 1], 0.8, lambda *a: np.ones(4, bool)) == [(0, 1, 1.0)]
+    asked = []
+
+    def chance(nears):
+        asked.append(len(nears))
+        return np.ones((3, len(nears)))
+
+    assert near.bucket_roots(raw, np.arange(4), sketch, [3, 2, 1], 0.8, chance, 0.9).tolist() == [0, 0, 2, 0] and asked == [1, 2]
+    assert near.bucket_roots(raw[:2], np.arange(2), sketch[:2], [3, 2, 1], 0.8, chance, 0.9).tolist() == [0, 0] and asked == [1, 2, 1]
+    assert near.bucket_roots(raw, np.arange(4)[::-1].copy(), sketch, [3], 0.8).tolist() == [1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("hubs", [2000, 5])
+def test_hot_bucket_in_bounded_memory(monkeypatch, hubs):
+    """Thousands of items of mutual nearness 0.64 are one part, and no list of their pairs is held."""
+    import tracemalloc
+
+    monkeypatch.setattr(near, "HUBS", hubs)
+    r = np.random.default_rng(4)
+    n, base = 20_000, r.integers(0, 1 << 16, 192)
+    keep = r.random((n, 192)) < 0.8
+    sketch = np.where(keep, base, r.integers(0, 1 << 16, (n, 192))).astype(np.uint16)
+    tracemalloc.start()
+    root = near.bucket_roots(np.zeros((n, 1), np.uint8), r.permutation(n), sketch, [1], 0.8, lambda x: np.ones((1, len(x))), 0.9)
+    assert len(set(root.tolist())) == 1 and tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
 
 
 def test_components_chain(spark):
