@@ -29,10 +29,37 @@ def similarity(cs: DataFrame, features: list[str]) -> DataFrame:
     return cs.alias("l").join(cs.alias("r"), "y").select(F.col("l.cell").alias("i"), F.col("r.cell").alias("j"), "y", matches(features).alias("m"))
 
 
+SEP, MOST_FEATURES = "\u0001", 12
+
+
+def patterns(df: DataFrame, features: list[str]) -> DataFrame:
+    """df with _s, _k and _key: a row for each choice of attributes (_s its number, _k their count) with their levels; a null is a level of its own."""
+    if len(features) > MOST_FEATURES:
+        raise ValueError(f"patterns are made of {MOST_FEATURES} attributes at most")
+    level = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in features]
+    each = [F.struct(F.lit(s).alias("_s"), F.lit(s.bit_count()).alias("_k"), F.concat_ws(SEP, *[x for i, x in enumerate(level) if s >> i & 1]).alias("_key")) for s in range(1, 1 << len(features))]
+    return df.withColumn("_x", F.explode(F.array(*each))).select(*df.columns, "_x.*")
+
+
+def _worth(k, cov):
+    """What a cell that is covered so much adds to a pattern of k attributes, by inclusion and exclusion.
+
+    A cell counts for a candidate once for each v from cov + 1 to their number of matches.  Matches of v or more
+    are a sum over the attributes on which both agree: of (-1)^(k - v) * C(k - 1, v - 1) for each k of them."""
+    from math import comb
+
+    table = [[sum((-1) ** (n - v) * comb(n - 1, v - 1) for v in range(c + 1, n + 1)) for c in range(n + 1)] for n in range(1, MOST_FEATURES + 1)]
+    rows = F.array(*[F.array(*[F.lit(x) for x in row]) for row in table])
+    return F.coalesce(F.get(F.get(rows, k - 1), cov.cast("int")), F.lit(0)).cast("long")
+
+
 def coverage(cs: DataFrame, chosen: DataFrame, features: list[str]) -> DataFrame:
-    """(cell, w, cov): the most matches with a chosen cell (column cell) of the same label, 0 without."""
-    few = cs.join(chosen.select("cell").distinct(), "cell")  # only these meet the cells
-    near = cs.alias("l").join(few.alias("r"), "y").select(F.col("l.cell").alias("cell"), matches(features).alias("m")).groupBy("cell").agg(F.max("m").alias("cov"))
+    """(cell, w, cov): the most matches with a chosen cell (column cell) of the same label, 0 without.
+
+    Cells meet the chosen ones by equal patterns, so no pairs of a label are made."""
+    few = patterns(cs.join(chosen.select("cell").distinct(), "cell").select("y", *features), features).select(F.col("y").alias("_y2"), F.col("_s").alias("_s2"), F.col("_key").alias("_key2")).distinct()
+    met = patterns(cs.select("cell", "y", *features), features).join(few, F.col("y").eqNullSafe(F.col("_y2")) & (F.col("_s") == F.col("_s2")) & (F.col("_key") == F.col("_key2")), "left_semi")
+    near = met.groupBy("cell").agg(F.max("_k").alias("cov"))
     return cs.select("cell", "w").join(near, "cell", "left").na.fill(0, ["cov"])
 
 
@@ -43,18 +70,25 @@ def coverage_stats(cov: DataFrame, n_features: int, delta: float = 0.8) -> DataF
     return cov.agg((F.sum(F.col("cov") * F.col("w")) / (F.sum("w") * F.lit(float(n_features)))).alias("rep"), F.min(c).alias("min_cov"), (F.sum(F.when(at, F.col("w")).otherwise(0)) / F.sum("w")).alias("frac_covered"), F.bool_and(at).alias("full_cover"))
 
 
+def pattern_gains(cs: DataFrame, features: list[str]) -> DataFrame:
+    """(cell, gain) of all cells (cell, y, w, cov, features): counts by pattern, and a sum over a candidate's own patterns."""
+    each = staged(patterns(cs.select("cell", "y", "w", "cov", *features), features))
+    worth = each.groupBy("y", "_s", "_key").agg(F.sum(F.col("w") * _worth(F.col("_k"), F.col("cov"))).alias("g")).withColumnsRenamed({"y": "_y2", "_s": "_s2", "_key": "_key2"})
+    return each.join(worth, F.col("y").eqNullSafe(F.col("_y2")) & (F.col("_s") == F.col("_s2")) & (F.col("_key") == F.col("_key2"))).groupBy("cell").agg(F.sum("g").alias("gain"))
+
+
 def marginal_gains(cs: DataFrame, chosen: DataFrame, features: list[str]) -> DataFrame:
     """(cell, gain): matches that each cell would add, over all rules."""
-    cov = coverage(cs, chosen, features)
-    sim = similarity(cs, features).withColumnsRenamed({"i": "cell", "j": "candidate"})
-    return sim.join(cov, "cell").groupBy(F.col("candidate").alias("cell")).agg(F.sum(F.greatest(F.col("m") - F.col("cov"), F.lit(0)) * F.col("w")).alias("gain"))
+    return pattern_gains(cs.join(coverage(cs, chosen, features).drop("w"), "cell"), features)
 
 
 def diversity(cs: DataFrame, features: list[str]) -> DataFrame:
-    """(y, diversity): 1 less the mean similarity within the label, 1e-9 at least."""
-    s = similarity(cs, features).join(cs.select(F.col("cell").alias("i"), F.col("w").alias("wi")), "i").join(cs.select(F.col("cell").alias("j"), F.col("w").alias("wj")), "j")
-    pairs = F.col("wi") * F.col("wj")
-    return s.groupBy("y").agg(F.greatest(1 - F.sum(F.col("m") * pairs) / (F.sum(pairs) * F.lit(float(len(features)))), F.lit(1e-9)).alias("diversity"))
+    """(y, diversity): 1 less the mean similarity within the label, 1e-9 at least; from the squares of each level's count."""
+    levels = cs.select("y", "w", F.posexplode(F.array(*[F.col(c).cast("string") for c in features])).alias("f", "level"))
+    same = levels.groupBy("y", "f", "level").agg(F.sum("w").alias("n")).groupBy("y").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    size = cs.groupBy("y").agg(F.sum("w").alias("n")).select(F.col("y").alias("_y2"), F.col("n"))
+    joined = same.join(size, F.col("y").eqNullSafe(F.col("_y2")))
+    return joined.select("y", F.greatest(1 - F.col("pairs") / (F.col("n") * F.col("n") * F.lit(float(len(features)))), F.lit(1e-9)).alias("diversity"))
 
 
 def _greedy(features: list[str], m: int, stop: float | None, mode: str = "mean"):
@@ -91,9 +125,46 @@ def greedy_by_label(cs: DataFrame, features: list[str], m: int, stop: float | No
         raise ValueError("the budget must be a whole number from 0")
     if mode not in ("mean", "all"):
         raise ValueError(f"unknown mode {mode}")
+    largest = cs.groupBy("y").count().agg(F.max("count")).first()[0] or 0
+    if largest > LOCAL_CELLS and len(features) <= MOST_FEATURES:
+        return greedy_tables(cs, features, m, stop, mode)
     return cs.groupBy("y").applyInPandas(_greedy(features, m, stop, mode), "cell long, y int, rank int, gain long")
 
 
+LOCAL_CELLS = 100_000  # cells of a label that one task chooses from; of more, the same choice is made by tables
+
+
+def greedy_tables(cs: DataFrame, features: list[str], m: int, stop: float | None = None, mode: str = "mean") -> DataFrame:
+    """greedy_by_label with the gains of all cells in a table.
+
+    A step takes the best cell of each label by one aggregation.  Cells that it covers better than before change
+    what their patterns are worth, and only the gains of cells with such a pattern are updated."""
+    p = len(features)
+    start = cs.select("cell", F.col("y").cast("int").alias("y"), "w", *features).withColumn("cov", F.lit(0))
+    now = staged(start.join(pattern_gains(start, features), "cell"))
+    open_labels, out = staged(now.select(F.col("y").alias("_o")).distinct()), None
+    for k in range(m):
+        best = now.join(open_labels, F.col("y").eqNullSafe(F.col("_o")), "left_semi").groupBy("y").agg(F.max(F.struct("gain", (-F.col("cell")).alias("at"), *features)).alias("b"))
+        if stop is not None and k:
+            reached = F.sum(F.col("cov") * F.col("w")) >= (stop - 1e-12) * p * F.sum("w") if mode == "mean" else F.min("cov") >= (stop - 1e-12) * p
+            left = now.groupBy("y").agg(reached.alias("r")).filter("NOT r").select(F.col("y").alias("_y2"))
+            best = best.join(left, F.col("y").eqNullSafe(F.col("_y2")), "left_semi")
+        picked = staged(best.filter("b.gain > 0").select((-F.col("b.at")).alias("cell"), "y", F.lit(k).alias("rank"), F.col("b.gain").alias("gain"), *[F.col(f"b.{c}").alias(f"_{c}") for c in features]))
+        if picked.isEmpty():
+            break
+        rows = picked.select("cell", "y", "rank", "gain")
+        out = rows if out is None else out.unionByName(rows)
+        open_labels = picked.select(F.col("y").alias("_o"))
+        same = sum((F.col(c).eqNullSafe(F.col(f"_{c}")).cast("int") for c in features), F.lit(0))
+        met = now.join(picked.select(F.col("y").alias("_y2"), *[f"_{c}" for c in features]), F.col("y").eqNullSafe(F.col("_y2")), "left")  # one row a label
+        new = staged(met.withColumn("_new", F.greatest("cov", F.coalesce(same, F.lit(0)))).drop("_y2", *[f"_{c}" for c in features]))
+        changed = patterns(new.filter("_new > cov").select("y", "w", "cov", "_new", *features), features)
+        delta = staged(changed.groupBy("y", "_s", "_key").agg(F.sum(F.col("w") * (_worth(F.col("_k"), F.col("_new")) - _worth(F.col("_k"), F.col("cov")))).alias("_d")).filter("_d <> 0").withColumnsRenamed({"y": "_y2", "_s": "_s2", "_key": "_key2"}))
+        moved = patterns(new.select("cell", "y", *features), features).join(delta, F.col("y").eqNullSafe(F.col("_y2")) & (F.col("_s") == F.col("_s2")) & (F.col("_key") == F.col("_key2"))).groupBy("cell").agg(F.sum("_d").alias("_d"))
+        now = staged(new.join(moved, "cell", "left").select("cell", "y", "w", *features, F.col("_new").alias("cov"), (F.col("gain") + F.coalesce("_d", F.lit(0))).alias("gain")))
+    return out if out is not None else cs.sparkSession.createDataFrame([], "cell long, y int, rank int, gain long")
+
+
 def greedy(cs: DataFrame, features: list[str], m: int, stop: float | None = None, mode: str = "mean") -> DataFrame:
     """The global greedy choice of cells that gain: the labels' orders merged by gain, as a rule covers its own label only."""
     if stop is None:
