@@ -15,6 +15,9 @@ SEP = "\u0001"
 
 
 def cells(rules: DataFrame, features: list[str]) -> DataFrame:
+    """Distinct levels and label; a rule has an attribute at least."""
+    if not features:
+        raise ValueError("a rule needs an attribute at least")
     return rules.groupBy(*features, "y").agg(F.count("*").alias("w"), F.min("id").alias("cell"))
 
 
