@@ -7,7 +7,13 @@ alphabet's size squared and becomes a literal of the scanning expression, which
 whole texts.  DataFrame functions only.
 
 Positions count code points and ends are exclusive.  Null and empty texts have no spans.
-Found tokens that overlap a span of a pattern are not told again.
+A found token that lies within a span of a pattern is not told again; one that reaches beyond it is.
+Spans of a kind never overlap, so there are no ties; rows are scanned on their own, and rows that
+repeat a doc_id or a text get their spans each.
+
+The models are fitted on a bounded sample: random strings, the keys that the plain forms find in the sample's
+documents, and the words of these documents.  The bounds are RANDOM_ROWS strings and DOCUMENT_ROWS
+distinct documents, those of the least hashes of doc_id and text, however often rows repeat.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ _K = len(ALPHABET) + 1  # 0: any other character
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 #: As the plain forms, of which shorter matches are dropped: the rest of a run that is too short holds no other match.
-SHORTEST = 16
+SHORTEST = 8  # below this no ratio can reach LEAST_ALL
 TOKEN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 #: Log-likelihood ratio, natural logarithm: of the whole token, and mean of its transitions.
 LEAST_ALL, LEAST_MEAN = 14.0, 0.55
@@ -37,22 +43,25 @@ def _bound(value: Column, use) -> Column:
 
 
 def labelled_samples(docs: DataFrame, random_rows: int = RANDOM_ROWS, document_rows: int = DOCUMENT_ROWS) -> DataFrame:
-    """(word, random boolean): random strings of the usual alphabets; words of some documents, alone and joined as identifiers, and decimal numbers.
+    """(word, random boolean): random strings of the usual alphabets and keys of known forms; words of some documents, alone and joined as identifiers, and decimal numbers.
 
-    The documents are those with the smallest hashes of their ids, so reruns agree."""
+    The documents are those with the smallest hashes of their ids and texts, so reruns agree."""
     digest = F.sha2(F.concat(F.lit("sample "), F.col("id").cast("string")), 256)
     raw = F.base64(F.unhex(digest))
     upper = F.translate(raw, "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ012")
     noise = docs.sparkSession.range(random_rows).select(F.explode(F.array(digest, raw, F.translate(raw, "+/=", "ab"), upper)).alias("word"), F.lit(True).alias("random"))
-    hashes = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("doc_id").alias("h"))
-    edge = hashes.orderBy("h").limit(document_rows).agg(F.max("h")).first()[0]
-    some = docs.filter(F.xxhash64("doc_id") <= F.lit(edge).cast("long"))
+    key = F.struct(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    held = docs.filter(F.col("text").isNotNull()).select(key.alias("k"), "text")
+    edge = held.select("k").distinct().orderBy("k").limit(document_rows).agg(F.max("k").alias("k")).first()["k"]
+    low = F.struct(*[F.lit(edge[c] if edge else None).cast("long").alias(c) for c in ("h", "t")])
+    some = held.filter(F.col("k") <= low).dropDuplicates(["k"]) if edge else held.limit(0)
     words = F.filter(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])"), F.lit(0)), lambda w: F.length(w) < 24)
     pairs = lambda f: F.transform(words, lambda w: f(F.lower(w)))
     joined = F.flatten(F.array(words, pairs(lambda w: F.concat(w, F.lit("_id"))), pairs(lambda w: F.concat(F.lit("get"), F.initcap(w), F.lit("_"), w)), pairs(lambda w: F.concat(w, F.lit("-"), w, F.lit("/"), w))))
     plain = some.select(F.explode(joined).alias("word"), F.lit(False).alias("random"))
+    known = some.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))).alias("word"), F.lit(True).alias("random"))
     numbers = docs.sparkSession.range(random_rows).select(F.concat(F.abs(F.xxhash64("id")).cast("string"), F.lit("-"), F.lpad(F.pmod("id", F.lit(9999)).cast("string"), 6, "0")).alias("word"), F.lit(False).alias("random"))
-    return noise.unionByName(plain).unionByName(numbers)
+    return noise.unionByName(known).unionByName(plain).unionByName(numbers)
 
 
 def transition_counts(samples: DataFrame) -> DataFrame:
@@ -119,7 +128,7 @@ def scan(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     base = docs.withColumns({"assign": F.filter(matches(t, ASSIGN, "assign"), long_enough), "access": matches(t, ACCESS, "access"), "hex": matches(t, HEX, "hex")})
     suspects = F.exists(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)), lambda w: is_random(w, model))
     held = F.concat("assign", "access", "hex")
-    free = lambda hs: F.filter(F.filter(matches(t, TOKEN, "markov"), lambda s: is_random(s["word"], model)), lambda s: ~F.exists(hs, lambda h: (h["start"] < s["stop"]) & (s["start"] < h["stop"])))
+    free = lambda hs: F.filter(F.filter(matches(t, TOKEN, "markov"), lambda s: is_random(s["word"], model)), lambda s: ~F.exists(hs, lambda h: (h["start"] <= s["start"]) & (s["stop"] <= h["stop"])))
     none = F.array().cast("array<struct<start:int,kind:string,stop:int,word:string>>")
     return base.withColumn("markov", F.when(suspects, _bound(held, free)).otherwise(none))
 
