@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fuzzloom.functions import stats
 from fuzzloom.operators import bounds, clusters, embedding, graph, infer, matrices, metrics, sampling, skipgram, split
-from fuzzloom.plans import states, sweep
+from fuzzloom.plans import analyses, states, sweep
 from fuzzloom.plans.catalog import _doc_cells, _fitted, _tokens, query
 from fuzzloom.plans.fixtures import FEATURES, SQL_DOCS, SQL_ORDERS, rules_docs, table
 from fuzzloom.sources.staging import new_path, staged
@@ -106,7 +106,7 @@ def bound_violations(spark, d):
 def skip_gram(spark, d):
     """Vectors of the orders' levels from walks over their graph."""
     walks = graph.random_walks(graph.edge_weights(_tokens(spark, d)), 3, 8)
-    return skipgram.skip_gram(walks, dim=8, epochs=3)
+    return skipgram.skip_gram(walks, dim=8, epochs=3, rate=0.001)
 
 
 @query(f"""
@@ -167,3 +167,56 @@ def model_restored(spark, d):
     path = new_path(spark)
     states.save(spark, path, model)
     return embedding.predict(asked, states.load(spark, path))
+
+
+def _folded_orders(spark, d):
+    """Orders in five folds, with their total price, the customer's balance and the clerk's number."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    raw = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_totalprice").cast("double").alias("price"), F.col("c_acctbal").cast("double").alias("balance"), (F.col("o_custkey") % 100).cast("double").alias("number"))
+    return staged(split.stratified_folds(raw))
+
+
+_ORDER_LEVELS = {"price": "f0", "balance": "f1", "number": "f2"}
+
+
+@query()
+def ablation(spark, d):
+    """Mean areas under the curve by way to impute, scope, score and sample, over five folds; 0 is a missing number."""
+    return analyses.ablation(_folded_orders(spark, d), _ORDER_LEVELS, 0.1, zero_missing=("number",))
+
+
+@query()
+def factor_effects(spark, d):
+    """The effect of each switch of the ablation."""
+    rows = analyses.factorial(_folded_orders(spark, d), _ORDER_LEVELS, 0.1, scopes=("upper", "global"), methods=("full",), zero_missing=("number",))
+    return analyses.effects(rows, ["impute", "scope", "score"])
+
+
+@query()
+def scope_sensitivity(spark, d):
+    """Areas under the curve and balanced accuracy of three pair scopes, for all rules and three samples of them."""
+    return analyses.scope_sensitivity(_folded_orders(spark, d), _ORDER_LEVELS, 0.1, clusters=3)
+
+
+_FOLD_OF = "(row_number() OVER (PARTITION BY y ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1) % 5"
+
+
+@query(f"""
+WITH raw AS (SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS INT) AS y, CAST(o_totalprice AS DOUBLE) AS price, CAST(c_acctbal AS DOUBLE) AS balance,
+                    nullif(CAST(o_custkey % 100 AS DOUBLE), 0) AS number FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT *, CAST({_FOLD_OF} AS INT) AS own FROM raw),
+x AS (SELECT v.fold, w.impute, f.*, CASE WHEN own = fold THEN 'test' ELSE 'train' END AS part, CASE WHEN impute = 'class' THEN y ELSE -1 END AS grp
+      FROM f, range(5) AS v(fold), (VALUES ('global'), ('class')) AS w(impute)),
+m AS (SELECT fold, impute, grp, median(number) AS v FROM x WHERE part = 'train' GROUP BY ALL),
+i AS (SELECT x.* REPLACE (coalesce(x.number, m.v) AS number) FROM x JOIN m ON x.fold = m.fold AND x.impute = m.impute AND x.grp = m.grp),
+q AS (SELECT fold, impute, quantile_cont(price, [1.0/3, 2.0/3]) AS a, quantile_cont(balance, [1.0/3, 2.0/3]) AS b, quantile_cont(number, [1.0/3, 2.0/3]) AS c FROM i WHERE part = 'train' GROUP BY ALL)
+SELECT CAST(i.fold AS INT) AS fold, i.impute, part, y,
+       {", ".join(f"CASE WHEN {v} <= q.{k}[1] THEN 'Low' WHEN {v} <= q.{k}[2] THEN 'Medium' ELSE 'High' END AS {n}" for v, k, n in (("price", "a", "f0"), ("balance", "b", "f1"), ("number", "c", "f2")))},
+       count(*) AS n
+FROM i JOIN q ON i.fold = q.fold AND i.impute = q.impute GROUP BY ALL
+""")
+def factorial_cells(spark, d):
+    """Rows by levels, of each fold and way to impute, all in one plan."""
+    rows = analyses.settings(_folded_orders(spark, d), _ORDER_LEVELS, zero_missing=("number",))
+    level = [F.element_at(F.split(c, r"\|"), -1).alias(c) for c in _ORDER_LEVELS.values()]
+    return rows.select("fold", "impute", "part", "y", *level).groupBy("fold", "impute", "part", "y", *_ORDER_LEVELS.values()).agg(F.count("*").alias("n"))
