@@ -47,9 +47,31 @@ def new_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/fuzzloom-{uuid.uuid4().hex}"
 
 
+#: Paths that tables were written to, by each done_with() that has not ended.
+_HELD: list[list[str]] = []
+
+
+def done_with(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, written; the tables that it wrote on the way are deleted when that is done."""
+    _HELD.append([])
+    try:
+        out, path = make(), new_folder(spark)
+        out.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for old in _HELD.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(old)
+            at.getFileSystem(conf).delete(at, True)
+    if _HELD:
+        _HELD[-1].append(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
 def written(df: DataFrame, codec: str = "zstd", path: str | None = None) -> DataFrame:
     """Write a larger table to the shared folder once, and read it from there."""
     spark, path = df.sparkSession, path or new_folder(df.sparkSession)
+    if _HELD:
+        _HELD[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

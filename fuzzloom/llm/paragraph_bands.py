@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import by_slice, hashes, window_hashes, word_hashes, written
+from fuzzloom.llm.common import by_slice, done_with, hashes, window_hashes, word_hashes, written
 from fuzzloom.llm.near import Bander, components, links, neighbours, searched
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
@@ -204,7 +204,10 @@ def repeats(docs: DataFrame, threshold: float = THRESHOLD, cut: DataFrame | None
 
     cut is a written table of the documents' parts, where the caller has one."""
     cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS))) if cut is None else cut
-    return by_layout(docs, cut, threshold).withColumn("line", F.lit(True)).unionByName(by_content(docs, cut).withColumn("line", F.lit(False)))
+    spark = docs.sparkSession
+    layout = done_with(spark, lambda: by_layout(docs, cut, threshold))
+    content = done_with(spark, lambda: by_content(docs, cut))
+    return layout.withColumn("line", F.lit(True)).unionByName(content.withColumn("line", F.lit(False)))
 
 
 AROUND = "item long, check long, doc_id long, start int, tie long, before binary, after binary"
@@ -332,7 +335,7 @@ def digest(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document, as above."""
     docs = docs.select("doc_id", "text")
     cut = written(parts(docs, tune_bands(threshold, RECALL, ROWS)))
-    gone = written(repeats(docs, threshold, cut))
+    gone = repeats(docs, threshold, cut)
     classes = components(gone.select(node("doc_id", "tie").alias("a"), node("first", "first_tie").alias("b")).distinct())
     per = gone.groupBy("doc_id", "tie").agg(
         F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("cuts"),  # a document's own paragraphs at most
