@@ -6,12 +6,10 @@ from Parquet.  All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from fuzzloom.llm import byte_bpe, cube_mix, line_windows, rule_ledger, shingle_forest
-from fuzzloom.llm.common import documents, shared_dir
+from fuzzloom.llm.common import documents, done_with
 from fuzzloom.llm.queries import tokenizer_file
 
 
@@ -49,12 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's own tables are deleted when it is written."""
     docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark).rstrip('/')}/fuzzloom-stage-{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+        docs = done_with(spark, lambda: stage(spark, docs, sf_dir)) if k < len(STAGES) - 1 else stage(spark, docs, sf_dir)  # noqa: B023
     return docs
