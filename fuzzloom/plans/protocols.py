@@ -122,6 +122,42 @@ def paired_tests(raw: DataFrame, best: str = "greedy", alpha: float = 0.05) -> D
     return reduce(DataFrame.unionByName, [stats.holm(table.filter(F.col("metric") == m), alpha=alpha) for m in METRICS])
 
 
+#: What the chosen rules are tested against: a metric and another method, or all rules, at whatever budget.
+FAMILIES = (("rep", "random"), ("rep", "strat_random"), ("auc", "random"), ("auc", "strat_random"), ("auc", "full"))
+
+
+def family_tests(raw: DataFrame, methods: tuple[str, ...] = ("greedy", "stratified", "clustered"), families=FAMILIES, alpha: float = 0.05) -> DataFrame:
+    """(metric, baseline, theta, method, mean_gap, half, better, n, dz, p, beaten, p_adj, reject): the methods against each family's baseline over folds.
+
+    raw has (fold, method, theta, seed, rep, auc): a fold's value is the mean over its seeds.  A baseline named full counts at any
+    budget.  beaten is the share of the baseline's seeds that the method is above, fold by fold.  All gaps come from one plan; only
+    tests of a number for each fold are made on the driver.  Holm within a family."""
+    keys = sorted({m for m, _ in families})
+    long = raw.select("fold", "method", "theta", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in keys])).alias("x")).select("fold", "method", "theta", "x.*").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    own = long.filter(F.col("method").isin(*methods)).groupBy("fold", "method", "theta", "metric").agg(F.avg("v").alias("a"))
+    asked = raw.sparkSession.createDataFrame(list(families), "metric string, baseline string")
+    other = long.join(F.broadcast(asked), "metric").filter(F.col("method") == F.col("baseline")).select("metric", "baseline", F.col("fold").alias("_f"), F.col("theta").alias("_t"), "v")  # a row for each family
+    met = own.join(other, "metric").filter((F.col("fold") == F.col("_f")) & ((F.col("baseline") == "full") | (F.col("theta") == F.col("_t"))))
+    by = ["metric", "baseline", "theta", "method"]
+    per = met.groupBy(*by, "fold").agg((F.first("a") - F.avg("v")).alias("d"), F.count_if(F.col("a") > F.col("v")).alias("won"), F.count("*").alias("of"))
+    gathered = per.groupBy(*by).agg(F.collect_list("d").alias("d"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.count_if(F.col("d") > 0).alias("better"), (F.sum("won") / F.sum("of")).alias("beaten"))
+    rows = []
+    for r in gathered.orderBy(*by).collect():  # a number for each fold
+        n, sd = len(r["d"]), r["sd"]
+        half = stats.t_quantile(0.975, n - 1) * sd / n**0.5 if n > 1 else None
+        dz = None if n < 2 else (0.0 if abs(r["mean"]) < 1e-12 else float("inf") * (1 if r["mean"] > 0 else -1)) if sd < 1e-12 else r["mean"] / sd
+        rows.append((*[r[k] for k in by], r["mean"], half, r["better"], n, dz, stats.wilcoxon_greater(r["d"]), r["beaten"] if r["baseline"] != "full" else None))
+    table = raw.sparkSession.createDataFrame(rows, "metric string, baseline string, theta double, method string, mean_gap double, half double, better int, n int, dz double, p double, beaten double")
+    return reduce(DataFrame.unionByName, [stats.holm(table.filter((F.col("metric") == m) & (F.col("baseline") == b)), alpha=alpha) for m, b in families])
+
+
+def method_summary(raw: DataFrame, values: tuple[str, ...] = ("rep", "auc", "bacc")) -> DataFrame:
+    """(method, theta, metric, mean, sd, folds): over folds, of each fold's mean over its seeds."""
+    long = raw.select("fold", "method", "theta", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in values])).alias("x")).select("fold", "method", "theta", "x.*")
+    per = long.groupBy("method", "theta", "metric", "fold").agg(F.avg("v").alias("v"))
+    return per.groupBy("method", "theta", "metric").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("v").alias("folds"))
+
+
 def budget_study(rules: DataFrame, features: list[str], thetas: list[float], seed: int = 42) -> tuple[DataFrame, float, DataFrame]:
     """The greedy curve (theta, m, rep, auc, bacc) on an inner validation part, the budget where coverage bends, and the test row at that budget."""
     outer = staged(split.train_validation(rules, 0.2, seed=seed))
