@@ -177,12 +177,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))  # of _C and of its inverse
+_LONGEST = 1 << 20
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _POWERS
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]))
+        _POWERS = tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_C, pow(_C, -1, 1 << 64)))
+    return _POWERS
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all windows of so many words; of the whole where it is shorter."""
+    """Hashes of all windows of so many words; of the whole where it is shorter.
+
+    A window's value is a polynomial of its words, which wide windows take from running sums."""
     if not len(h):
         return h
     width = min(width, len(h))
     n = len(h) - width + 1
+    if 8 <= width and len(h) <= _LONGEST:
+        up, down = _powers(len(h))
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * down[: len(h)], out=sums[1:])
+        return mixed((sums[width:] - sums[:n]) * up[width - 1 : len(h)] + np.uint64(width))
     acc = np.zeros(n, np.uint64)
     for k in range(width):
         acc = acc * np.uint64(_C) + h[k : n + k]

@@ -75,8 +75,12 @@ class Bander:
     def __call__(self, windows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of several sets that stand side by side, from their first places on."""
         low = np.empty((len(starts), len(self.a)), _U64)
+        held = np.empty_like(windows)
         for k in range(len(self.a)):  # one function at a time stays in cache
-            low[:, k] = np.minimum.reduceat((windows * self.a[k] + self.b[k]) >> _U64(32), starts)
+            np.multiply(windows, self.a[k], out=held)
+            np.add(held, self.b[k], out=held)
+            low[:, k] = np.minimum.reduceat(held, starts)
+        low >>= _U64(32)
         rows = low[:, : self.bands * self.rows].reshape(len(starts), self.bands, self.rows)
         key = np.tile(self.salt, (len(starts), 1))
         for k in range(self.rows):

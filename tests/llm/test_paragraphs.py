@@ -175,3 +175,17 @@ def test_windows_are_shared():
 
 def test_tuning():
     assert pb.tune_bands(0.8, 0.999, 2) == 7 and pb.tune_bands(0.8, 0.999, 3) == 10
+
+
+def test_wide_windows_from_running_sums():
+    """The same values as word by word, at any width and length."""
+    from fuzzloom.llm import common
+
+    r = np.random.default_rng(3)
+    for n in (1, 7, 8, 9, 20, 51, 3000):
+        h = r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(3)
+        for width in (1, 5, 8, 20, 50):
+            w = min(width, n)
+            want = [sum(int(x) * pow(common._C, w - 1 - k, 1 << 64) for k, x in enumerate(h[i : i + w])) + w for i in range(n - w + 1)]
+            got = common.window_hashes(h, width)
+            assert (got == common.mixed(np.array([x % (1 << 64) for x in want], np.uint64))).all()
