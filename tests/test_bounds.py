@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 
 from fuzzloom.operators import bounds, split
+from fuzzloom.sources.staging import staged
 from tests.test_clusters import slow_clusters
 
 FS = ["a", "b", "c"]
@@ -62,12 +63,13 @@ def slow(rows, sizes, ratios, repeats):
 
 
 def test_bound_check(spark, rules):
-    got = {r["subset"]: r.asDict() for r in bounds.bound_check(rules, FS, (6, 9), (0.2, 0.4), 3).collect()}
+    checked = staged(bounds.bound_check(rules, FS, (6, 9), (0.2, 0.4), 3))
+    got = {r["subset"]: r.asDict() for r in checked.collect()}
     want = slow([r.asDict() for r in rules.collect()], (6, 9), (0.2, 0.4), 3)
     assert got.keys() == want.keys()
     for k, row in want.items():
         assert all(math.isclose(got[k][c], v, abs_tol=1e-12) for c, v in row.items()), (k, row, got[k])
-    counted = bounds.violations(bounds.bound_check(rules, FS, (6, 9), (0.2, 0.4), 3)).first().asDict()
+    counted = bounds.violations(checked).first().asDict()
     assert counted.pop("subsets") == 12 and {k for k, v in counted.items() if v} <= {"off_s", "off_c"}
 
 
