@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fuzzloom.functions import stats
 from fuzzloom.operators import bounds, clusters, embedding, graph, infer, matrices, metrics, sampling, skipgram, split
-from fuzzloom.plans import analyses, embedding_studies, protocols, states, sweep
+from fuzzloom.plans import analyses, embedding_studies, states, sweep
 from fuzzloom.plans.catalog import _doc_cells, _fitted, _tokens, query
 from fuzzloom.plans.fixtures import FEATURES, SQL_DOCS, SQL_ORDERS, rules_docs, table
 from fuzzloom.sources.staging import new_path, staged
@@ -228,10 +228,3 @@ def embedding_study(spark, d):
     folded = staged(split.stratified_folds(rules_docs(spark, d), k=2))
     halves = {f"half {k}": folded.withColumn("part", F.when(F.col("fold") == k, "test").otherwise("train")).drop("fold") for k in (0, 1)}
     return embedding_studies.study(spark, new_path(spark), halves, FEATURES, embedding_studies.by_dims((4, 8)), defaults={"steps": 2}).filter("metric NOT IN ('ms', 'train_s')")  # times differ from run to run
-
-
-@query()
-def family_tests(spark, d):
-    """Three samples of the documents' rules against random ones, over three folds at two budgets: gaps, signed ranks, Holm within a family."""
-    raw = staged(protocols.equal_budgets(staged(split.stratified_folds(rules_docs(spark, d), k=3)), FEATURES, [0.1, 0.3]))
-    return protocols.family_tests(raw, families=[f for f in protocols.FAMILIES if f[1] != "full"])
