@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEP = "\u0001"
+EXACT = "decimal(38,0)"  # products of three counts leave 64 bits from some millions of rules on
 
 
 def cells(rules: DataFrame, features: list[str]) -> DataFrame:
@@ -73,10 +74,16 @@ def pair_sums(cs: DataFrame, features: list[str], scope: str = "global") -> Data
 
 
 def pair_table(cs: DataFrame, features: list[str], scope: str = "global") -> DataFrame:
-    """(attr, level, y, w): sum of pair sums of a level times its rules with the label; every label has an entry."""
+    """(attr, level, y, w): sum of pair sums of a level times its rules with the label, as decimals; every label has an entry."""
     s = pair_sums(cs, features, scope)
     x = exploded(cs, features, 1).select("cell", F.col("node").alias("attr"), F.col("key").alias("level"), "y", "w").join(s, ["cell", "attr"])
-    total = x.groupBy("attr", "level").agg(F.sum(F.col("s") * F.col("w")).alias("s"))
+    total = x.groupBy("attr", "level").agg(F.sum(F.col("s").cast(EXACT) * F.col("w")).cast(EXACT).alias("s"))
     have = x.groupBy("attr", "level", "y").agg(F.sum("w").alias("n"))
     grid = total.crossJoin(F.broadcast(cs.select("y").distinct()))  # labels are few
-    return grid.join(have, ["attr", "level", "y"], "left").select("attr", "level", "y", (F.col("s") * F.coalesce("n", F.lit(0))).alias("w"))
+    return grid.join(have, ["attr", "level", "y"], "left").select("attr", "level", "y", (F.col("s") * F.coalesce("n", F.lit(0))).cast(EXACT).alias("w"))
+
+
+def narrowed(table: DataFrame, column: str = "w") -> DataFrame:
+    """The table with a column of decimals as 64-bit numbers if the sum of any two is one; else as it is.  The table is read twice."""
+    most = table.agg(F.max(F.abs(column))).first()[0] or 0
+    return table if 2 * most >= 1 << 63 else table.withColumn(column, F.col(column).cast("long"))
