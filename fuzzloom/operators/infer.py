@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuzzloom.operators.matrices import exploded, node_table, node_weights
+from fuzzloom.sources.staging import staged
 
 EPS = 1e-12
 
 
+def kinds(queries: DataFrame, features: list[str], k: int) -> tuple[DataFrame, list[str]]:
+    """The distinct levels of queries with node and key, and the names of their columns.  Queries of equal levels have equal scores."""
+    names = [f"_k{i}" for i in range(len(features))]
+    return exploded(queries.select(*[F.col(c).alias(n) for c, n in zip(features, names, strict=True)]).distinct(), names, k), names
+
+
+def told(queries: DataFrame, scores: DataFrame, features: list[str], names: list[str]) -> DataFrame:
+    """(id, y) of queries with the scores of their levels, null where there are none; staged, so that few are sent to the queries."""
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(features, names, strict=True)])
+    return queries.select("id", "y", *features).join(staged(scores), same, "left").select("id", "y", *[c for c in scores.columns if c not in names])
+
+
 def pair_scores(queries: DataFrame, table: DataFrame, features: list[str]) -> DataFrame:
     """(id, d0, d1): least plus greatest weight over the levels that the table knows; null where it knows none."""
-    long = exploded(queries.select("id", *features), features, 1).select("id", F.col("node").alias("attr"), F.col("key").alias("level"))
-    d = long.join(table, ["attr", "level"]).groupBy("id").agg(*[(F.min(F.when(F.col("y") == k, F.col("w"))) + F.max(F.when(F.col("y") == k, F.col("w")))).alias(f"d{k}") for k in (0, 1)])
-    return queries.select("id", "y").join(d, "id", "left")
+    each, names = kinds(queries, features, 1)
+    long = each.withColumnsRenamed({"node": "attr", "key": "level"})
+    d = long.join(table, ["attr", "level"]).groupBy(*names).agg(*[(F.min(F.when(F.col("y") == k, F.col("w"))) + F.max(F.when(F.col("y") == k, F.col("w")))).alias(f"d{k}") for k in (0, 1)])
+    return told(queries, d, features, names)
 
 
 def log_ratio(n: int = 1) -> Column:
@@ -62,12 +78,13 @@ def node_scores(queries: DataFrame, table: DataFrame, features: list[str], k: in
     from math import comb
 
     n = comb(len(features), min(k, len(features)))
-    hit = exploded(queries.select("id", *features), features, min(k, len(features))).join(table, ["node", "key"])
+    each, names = kinds(queries, features, min(k, len(features)))
+    hit = each.join(table, ["node", "key"])
     aggs = [F.countDistinct("node").alias("n_seen")]
     for y in (0, 1):
         v = F.when(F.col("y") == y, F.col("w"))
         aggs.append((F.coalesce(F.max(v), F.lit(0)) + F.when(F.count(v) < n, F.lit(0)).otherwise(F.min(v))).alias(f"d{y}"))
-    return queries.select("id", "y").join(hit.groupBy("id").agg(*aggs), "id", "left").select("id", "y", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("d0", "d1", "n_seen")])
+    return told(queries, hit.groupBy(*names).agg(*aggs), features, names).select("id", "y", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("d0", "d1", "n_seen")])
 
 
 def fuzzy_nodes(memberships: DataFrame, features: list[str], k: int = 3) -> DataFrame:
@@ -95,18 +112,20 @@ def fuzzy_node_scores(memberships: DataFrame, table: DataFrame, features: list[s
 
 
 def sequential_scores(queries: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """As node_scores, but each rule is weighed against each query in every node, as a check of the lookup; its cost is queries x rules x nodes."""
+    """As node_scores, but each rule is weighed against each query in every node, as a check of the lookup.
+
+    Equal rules are weighed once with their number, and equal queries once: its cost is distinct queries x cells x nodes."""
     from math import comb
 
     k = min(k, len(features))
     n = comb(len(features), k)
     rules = node_weights(cs, features, k).join(cs.select("cell", "y", F.col("w").alias("n")), "cell").select("node", F.col("key").alias("own"), F.col("y").alias("label"), (F.col("b") * F.col("n")).alias("w"))
-    asked = exploded(queries.select("id", *features), features, k)
-    each = asked.join(rules, "node").groupBy("id", "node", "label").agg(F.sum(F.when(F.col("key") == F.col("own"), F.col("w")).otherwise(0)).alias("v"))
+    asked, names = kinds(queries, features, k)
+    each = asked.join(rules, "node").groupBy(*names, "node", "label").agg(F.sum(F.when(F.col("key") == F.col("own"), F.col("w")).otherwise(0)).alias("v"))
     value = lambda y: F.when((F.col("label") == y) & (F.col("v") > 0), F.col("v"))
     aggs = [(F.coalesce(F.max(value(y)), F.lit(0)) + F.when(F.count(value(y)) < n, F.lit(0)).otherwise(F.min(value(y)))).cast("long").alias(f"d{y}") for y in (0, 1)]
     aggs.append(F.countDistinct(F.when(F.col("v") > 0, F.col("node"))).alias("n_seen"))
-    return queries.select("id", "y").join(each.groupBy("id").agg(*aggs), "id", "left").na.fill(0, ["d0", "d1", "n_seen"])
+    return told(queries, each.groupBy(*names).agg(*aggs), features, names).na.fill(0, ["d0", "d1", "n_seen"])
 
 
 DECISIONS = ("argmax", "calibrated", "ratio9")
@@ -198,14 +217,13 @@ def with_fallback(scores: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def out_of_fold(rules: DataFrame, features: list[str], k: int, k_node: int = 3) -> DataFrame:
-    """(id, y, d0, d1, n_seen, fold): each fold of 0 to k-1 scored by the node table of the others, as one plan."""
-    from functools import reduce
-
-    from fuzzloom.operators.matrices import cells
+    """(id, y, d0, d1, n_seen, fold): each fold of 0 to k-1 scored by the node table of the others.
 
-    parts = []
+    Rules are read once for the cells of all folds."""
+    by_fold, parts = staged(rules.groupBy(*features, "y", "fold").agg(F.count("*").alias("w"), F.min("id").alias("cell"))), []
     for i in range(k):
-        table = node_table(cells(rules.filter(F.col("fold") != i), features), features, k_node)
+        cs = by_fold.filter(F.col("fold") != i).groupBy(*features, "y").agg(F.sum("w").alias("w"), F.min("cell").alias("cell"))
+        table = node_table(staged(cs), features, k_node)
         parts.append(node_scores(rules.filter(F.col("fold") == i), table, features, k_node).withColumn("fold", F.lit(i)))
     return reduce(DataFrame.unionByName, parts)
 

@@ -24,3 +24,16 @@ def test_pair_weights_beyond_64_bits(spark):
 def test_small_pair_weights_stay_long(spark):
     table = matrices.narrowed(matrices.pair_table(weighted(spark, 3), FS))
     assert dict(table.dtypes)["w"] == "bigint" and table.filter("attr = 0 AND y = 1").first()["w"] == 54
+
+
+def test_equal_queries_are_weighed_once(spark):
+    """A lookup's rows before the queries are told depend on their distinct levels, not on their number; nulls and levels never seen count too."""
+    table = matrices.node_table(weighted(spark, 3), FS)
+    rows = [(i, *("ab", "ac", "a?", "??")[i % 4], i % 2) for i in range(400)] + [(400, "a", None, 0)]
+    asked = spark.createDataFrame(rows, "id long, f0 string, f1 string, y int")
+    each, _ = infer.kinds(asked, FS, 2)
+    assert each.count() == 4
+    got = {r["id"]: (r["d0"], r["d1"], r["n_seen"]) for r in infer.node_scores(asked, table, FS).collect()}
+    assert len(got) == 401 and {got[i] for i in range(0, 400, 4)} == {got[0]} and got[0][0] > 0 and got[3] == got[400] == (0, 0, 0)
+    slow = infer.sequential_scores(asked, weighted(spark, 3), FS).collect()
+    assert {r["id"]: (r["d0"], r["d1"], r["n_seen"]) for r in slow} == got
