@@ -32,13 +32,21 @@ def settings(folded: DataFrame, numeric: dict[str, str], ways: tuple[str, ...] =
     base = staged(folded.select("id", "y", F.col("fold").alias("of"), *[v.alias(c) for c, v in value.items()]))
     folds = sorted(r[0] for r in base.select("of").distinct().collect())  # folds are few
     each = F.array(*[F.struct(F.concat(F.lit(f"{f}/{w}")).alias("cfg"), F.lit(f).alias("fold"), F.lit(w).alias("impute")) for f in folds for w in ways])
-    x = base.withColumn("_c", F.explode(each)).select("*", "_c.*").drop("_c").withColumn("part", F.when(F.col("of") == F.col("fold"), "test").otherwise("train")).drop("of")
+    under = lambda df: df.withColumn("_c", F.explode(each)).select("*", "_c.*").drop("_c").withColumn("part", F.when(F.col("of") == F.col("fold"), "test").otherwise("train")).drop("of")
     group = F.when(F.col("impute") == "class", F.col("y")).otherwise(F.lit(-1))
-    medians = staged(x.filter("part = 'train'").groupBy("cfg", group.alias("_y")).agg(*[F.median(c).alias(f"_m_{c}") for c in numeric]))
-    whole = staged(x.join(medians.withColumnRenamed("cfg", "_cfg"), (F.col("cfg") == F.col("_cfg")) & (group == F.col("_y"))).withColumns({c: F.coalesce(c, f"_m_{c}") for c in numeric}).select(*x.columns))
-    cuts = staged(whole.filter("part = 'train'").groupBy(F.col("cfg").alias("_cfg")).agg(*[F.expr(f"percentile(`{c}`, array({at[0]!r}D, {at[1]!r}D))").alias(f"_q_{c}") for c in numeric]))
-    level = lambda c: F.when(F.col(c) <= F.col(f"_q_{c}")[0], LEVELS[0]).when(F.col(c) <= F.col(f"_q_{c}")[1], LEVELS[1]).otherwise(LEVELS[2])
-    return whole.join(cuts, F.col("cfg") == F.col("_cfg")).select("cfg", "fold", "impute", "part", "id", "y", *[F.concat_ws("|", "cfg", level(c)).alias(n) for c, n in numeric.items()])
+    long = base.select("of", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("_n"), F.col(c).alias("_v")) for c in numeric])).alias("_x")).select("of", "y", "_x.*")
+    # Settings meet each value of a fold and label once, with its count; rows meet the settings only when levels are told.
+    train = under(staged(long.groupBy("of", "y", "_n", "_v").agg(F.count("*").alias("_f")))).filter("part = 'train'").withColumn("_g", group)
+    wide = lambda v, name: [F.max(F.when(F.col("_n") == c, F.col(v))).alias(f"{name}{c}") for c in numeric]
+    medians = staged(train.filter("_g IS NOT NULL").groupBy(F.col("cfg").alias("_cfg"), F.col("_g").alias("_y"), F.col("_n").alias("_of")).agg(F.expr("percentile(_v, 0.5D, _f)").alias("_m")))
+    filled = train.join(F.broadcast(medians), (F.col("cfg") == F.col("_cfg")) & (F.col("_g") == F.col("_y")) & (F.col("_n") == F.col("_of"))).withColumn("_v", F.coalesce("_v", "_m"))  # a row for each setting, label and column
+    quantiles = filled.groupBy("cfg", "_n").agg(F.expr(f"percentile(_v, array({at[0]!r}D, {at[1]!r}D), _f)").alias("_q"))
+    cuts = staged(quantiles.groupBy(F.col("cfg").alias("_of")).agg(*wide("_q", "_q_")))
+    least = staged(medians.withColumnRenamed("_of", "_n").groupBy("_cfg", "_y").agg(*wide("_m", "_m_")))
+    whole = under(base).join(F.broadcast(least), (F.col("cfg") == F.col("_cfg")) & (group == F.col("_y"))).join(F.broadcast(cuts), F.col("cfg") == F.col("_of"))
+    value = {c: F.coalesce(c, f"_m_{c}") for c in numeric}
+    level = lambda c: F.when(value[c] <= F.col(f"_q_{c}")[0], LEVELS[0]).when(value[c] <= F.col(f"_q_{c}")[1], LEVELS[1]).otherwise(LEVELS[2])
+    return whole.select("cfg", "fold", "impute", "part", "id", "y", *[F.concat_ws("|", "cfg", level(c)).alias(n) for c, n in numeric.items()])
 
 
 def chosen(train: DataFrame, features: list[str], theta: float, method: str, clusters: int = 5, seed: int = 0) -> DataFrame:
@@ -71,30 +79,35 @@ def chosen(train: DataFrame, features: list[str], theta: float, method: str, clu
 
 
 def auc_by(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, auc): Mann-Whitney with average ranks in each group, of (y, score); null for one class."""
-    c = df.groupBy(*by, F.col("score").alias("s")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    """(by, auc): Mann-Whitney with average ranks in each group, of (y, score), and n of them if there is such a column; null for one class."""
+    n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n") if "n" in df.columns else 1).otherwise(0))
+    c = df.groupBy(*by, F.col("score").alias("s")).agg(n(1).alias("pos"), n(0).alias("neg"))
     below = before(c, by, [F.asc("s")], F.col("neg"))
     u = F.sum(F.col("pos") * (F.coalesce("before", F.lit(0)) + F.col("neg") / 2.0))
     return below.groupBy(*by).agg(F.try_divide(u.cast("double"), (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
 
 
 def factorial(folded: DataFrame, numeric: dict[str, str], theta: float = 0.3, ways: tuple[str, ...] = IMPUTE, scopes: tuple[str, ...] = SCOPES, methods: tuple[str, ...] = ("full", "greedy"), clusters: int = 5, **how) -> DataFrame:
-    """(fold, impute, scope, method, score, auc, bacc, n_unique): scores of test rows by pair weights of the chosen train rows, under all settings."""
+    """(fold, impute, scope, method, score, auc, bacc, n_unique): scores of test rows by pair weights of the chosen train rows, under all settings.
+
+    Test rows of a setting that are equal in label and levels have equal scores; they go on as one with their number n."""
     features = list(numeric.values())
     rows = staged(settings(folded, numeric, ways, **how))
-    asked = rows.filter("part = 'test'").withColumn("id", F.concat_ws("|", "cfg", F.col("id").cast("string")))
+    asked = rows.filter("part = 'test'").groupBy("cfg", "fold", "impute", *features, "y").agg(F.min("id").cast("string").alias("id"), F.count("*").alias("n"))
+    asked = staged(asked.withColumn("id", F.concat_ws("|", "cfg", "id")))
     out = None
     for method in methods:
-        held = staged(chosen(rows.filter("part = 'train'"), features, theta, method, clusters).withColumn("id", F.xxhash64("cfg", "id")))
+        held = chosen(rows.filter("part = 'train'"), features, theta, method, clusters).withColumn("id", F.xxhash64("cfg", "id"))
         cells = staged(matrices.cells(held, features))
         for scope in scopes:
             s = infer.probabilities(infer.decided(infer.pair_scores(asked, matrices.pair_table(cells, features, scope), features)))
             one = s.select("id", "y", "pred", F.lit(method).alias("method"), F.lit(scope).alias("scope"), F.col("p1").alias("softmax"), F.col("score").alias("margin"))
             out = one if out is None else out.unionByName(one)
-    scored = staged(out.join(asked.select("id", "fold", "impute"), "id"))
+    scored = staged(out.join(asked.select("id", "fold", "impute", "n"), "id"))
     by = ["fold", "impute", "scope", "method", "score_name"]
-    long = scored.select("fold", "impute", "scope", "method", "y", "pred", F.explode(F.array(*[F.struct(F.lit(k).alias("score_name"), F.round(k, 12).alias("score")) for k in SCORES])).alias("s")).select("fold", "impute", "scope", "method", "y", "pred", "s.*")
-    share = lambda y: F.try_divide(F.count_if((F.col("y") == y) & (F.col("pred") == y)), F.count_if(F.col("y") == y))
+    long = scored.select("fold", "impute", "scope", "method", "y", "pred", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("score_name"), F.round(k, 12).alias("score")) for k in SCORES])).alias("s")).select("fold", "impute", "scope", "method", "y", "pred", "n", "s.*")
+    count = lambda told: F.sum(F.when(told, F.col("n")).otherwise(0))
+    share = lambda y: F.try_divide(count((F.col("y") == y) & (F.col("pred") == y)), count(F.col("y") == y))
     rest = long.groupBy(*by).agg(((share(0) + share(1)) / 2).alias("bacc"), F.count_distinct("score").alias("n_unique"))
     return auc_by(long, by).join(rest, by).withColumnRenamed("score_name", "score").select("fold", "impute", "scope", "method", "score", "auc", "bacc", "n_unique")
 

@@ -219,7 +219,8 @@ def factorial_cells(spark, d):
     """Rows by levels, of each fold and way to impute, all in one plan."""
     rows = analyses.settings(_folded_orders(spark, d), _ORDER_LEVELS, zero_missing=("number",))
     level = [F.element_at(F.split(c, r"\|"), -1).alias(c) for c in _ORDER_LEVELS.values()]
-    return rows.select("fold", "impute", "part", "y", *level).groupBy("fold", "impute", "part", "y", *_ORDER_LEVELS.values()).agg(F.count("*").alias("n"))
+    counted = rows.groupBy("fold", "impute", "part", "y", *_ORDER_LEVELS.values()).agg(F.count("*").alias("n"))
+    return counted.select("fold", "impute", "part", "y", *level, "n")
 
 
 @query()

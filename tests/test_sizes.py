@@ -1,6 +1,8 @@
 """Cases that only larger tables would meet, made small."""
 
 from fuzzloom.operators import infer, matrices
+from fuzzloom.plans import analyses
+from fuzzloom.sources.staging import staged
 from fuzzloom.streaming.score import pair_stream
 
 FS = ["f0", "f1"]
@@ -37,3 +39,18 @@ def test_equal_queries_are_weighed_once(spark):
     assert len(got) == 401 and {got[i] for i in range(0, 400, 4)} == {got[0]} and got[0][0] > 0 and got[3] == got[400] == (0, 0, 0)
     slow = infer.sequential_scores(asked, weighted(spark, 3), FS).collect()
     assert {r["id"]: (r["d0"], r["d1"], r["n_seen"]) for r in slow} == got
+
+
+def test_settings_write_no_row_for_each_setting(spark, monkeypatch):
+    """Rows meet folds and ways to impute only on the way out; what is written before has a row for each row or value at most."""
+    sizes = []
+
+    def spy(df, *path):
+        out = staged(df, *path)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(analyses, "staged", spy)
+    folded = spark.createDataFrame([(i, i % 2, i % 3, float(i % 5) if i % 4 else None) for i in range(60)], "id long, y int, fold int, a double")
+    assert analyses.settings(folded, {"a": "f0"}).count() == 360
+    assert max(sizes) == 60
