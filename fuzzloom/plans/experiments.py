@@ -1,7 +1,7 @@
 """Comparisons of sampling methods at equal budgets, and the budget where the curve bends.
 
-Methods and budgets are columns of one plan, not a loop of jobs; only greedy orders, which
-later budgets share, are found before it."""
+Each method and budget is a few jobs over the tables; their rows are written one by one, as a
+plan of all of them outgrows the driver."""
 
 from __future__ import annotations
 
@@ -42,11 +42,12 @@ def compare_budgets(rules: DataFrame, asked: DataFrame, features: list[str], the
     for method in methods:
         for theta in thetas:
             m = split.budget(theta, n)
-            chosen = sampled(method, rules, cs, features, theta, m, seed)
+            chosen = staged(sampled(method, rules, cs, features, theta, m, seed))
             rep = sampling.coverage_stats(sampling.coverage(cs, chosen, features), len(features)).select("rep")
-            scored = infer.decided(infer.pair_scores(asked, matrices.pair_table(chosen, features), features)).withColumn("score", F.round("score", 9))
+            scored = staged(infer.decided(infer.pair_scores(asked, matrices.pair_table(chosen, features), features)).withColumn("score", F.round("score", 9)).select("y", "score", "pred"))
             row = rep.crossJoin(metrics.auc(scored)).crossJoin(metrics.confusion(scored).select("bacc"))  # one row each
-            out.append(row.select(F.lit(method).alias("method"), F.lit(theta).alias("theta"), F.lit(m).alias("m"), "rep", "auc", "bacc"))
+            # Written as it is found: the driver then plans one of them at a time.
+            out.append(staged(row.select(F.lit(method).alias("method"), F.lit(theta).alias("theta"), F.lit(m).alias("m"), "rep", "auc", "bacc")))
     return reduce(DataFrame.unionByName, out)
 
 
