@@ -181,7 +181,8 @@ _POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))  # of _C and of its inv
 _LONGEST = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of a constant, and of its inverse."""
     global _POWERS
     if len(_POWERS[0]) < n:
         size = max(n, 2 * len(_POWERS[0]))
@@ -198,7 +199,7 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     width = min(width, len(h))
     n = len(h) - width + 1
     if 8 <= width and len(h) <= _LONGEST:
-        up, down = _powers(len(h))
+        up, down = powers(len(h))
         sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * down[: len(h)], out=sums[1:])
         return mixed((sums[width:] - sums[:n]) * up[width - 1 : len(h)] + np.uint64(width))

@@ -27,15 +27,15 @@ that share doc_id and text are the same document.
 from __future__ import annotations
 
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fuzzloom.llm.common import by_slice, done_with, hashes, window_hashes, word_hashes, written
+from fuzzloom.llm.common import by_slice, done_with, mixed, powers, window_hashes, written
 from fuzzloom.llm.near import Bander, components, links, neighbours, searched
 
 THRESHOLD, WIDTH, RECALL = 0.8, 5, 0.999
@@ -55,30 +55,80 @@ def tune_bands(threshold: float, recall: float, rows: int) -> int:
     return bands
 
 
-def picked(h: np.ndarray, among: int = AMONG) -> np.ndarray:
-    """Places of the least hash in each run of so many (the rightmost of equals)."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    if len(h) <= among:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
-    low = h.copy()
-    at = np.arange(len(h))
+def of_runs(least: np.ufunc, h: np.ndarray, among: int) -> np.ndarray:
+    """The least (or greatest) value of each run of so many, by doubling."""
     reach = 1
-    while reach < among:  # doubling: least of the last 2, 4, 8, ... hashes
+    while reach < among:
         step = min(reach, among - reach)
-        new, old = low[step:], low[:-step]
-        keep = new <= old
-        at = np.concatenate([at[:step], np.where(keep, at[step:], at[:-step])])
-        low = np.concatenate([low[:step], np.where(keep, new, old)])
+        h = least(h[step:], h[:-step])
         reach += step
-    return np.unique(at[among - 1 :])
-
-
-def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """The hashes of all words; the paragraphs by layout as (first word, end); their shingles side by side; each one's first place."""
-    lines = [x.split() for x in (text or "").encode().split(b"\n")]
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = hashes(chain.from_iterable(lines), int(sizes.sum()))
+    return h
+
+
+def picked(h: np.ndarray, among: int = AMONG, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """Places of the least hash in each run of so many (the rightmost of equals), or in all where they are fewer; low and high tell where texts that stand side by side begin and end."""
+    low, high = (np.array([0]), np.array([len(h)])) if low is None else (low, high)
+    size = high - low
+    few = (size > 0) & (size <= among)
+    at = np.array([y - 1 - int(np.argmin(h[x:y][::-1])) for x, y in zip(low[few].tolist(), high[few].tolist(), strict=True)], np.int64)
+    if not (size > among).any():
+        return at
+    inside = np.zeros(len(h) + 1, np.int64)
+    inside[low[size > among]] += 1
+    inside[high[size > among] - among + 1] -= 1
+    least = np.where(np.cumsum(inside)[: len(h) - among + 1] > 0, of_runs(np.minimum, h, among), 0)  # of the runs inside of a text
+    none = np.zeros(among - 1, h.dtype)
+    more = np.flatnonzero(h == of_runs(np.maximum, np.concatenate([none, least, none]), among))  # the least of some run that holds it
+    near = np.flatnonzero((h[more[1:]] == h[more[:-1]]) & (np.diff(more) < among))
+    if len(near):  # equals that runs share: a run counts for its last one
+        first, then = more[near].tolist(), more[near + 1].tolist()
+        alone = [bool((least[max(x - among + 1, 0) : max(y - among + 1, 0)] == h[x]).any()) for x, y in zip(first, then, strict=True)]
+        more = np.delete(more, near[~np.array(alone)])
+    return np.sort(np.concatenate([at, more]))
+
+
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LONG, _PIECE = 64, 1 << 16  # bytes of a word that is hashed by itself, and of a text that is hashed at once
+
+
+def split_words(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes.  bytes.split() splits alike."""
+    space = np.ones(len(b) + 2, bool)
+    space[1:-1] = _SPACE.take(b)
+    turns = np.flatnonzero(space[1:] != space[:-1])
+    return turns[::2], turns[1::2]
+
+
+def hashed(b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each word: a polynomial of its bytes and its length, from running sums; long words by themselves."""
+    up, down = powers(_PIECE + _LONG)
+    size = end - begin
+    out = size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    cuts = np.searchsorted(begin, np.arange(0, len(b) + _PIECE, _PIECE)).tolist()
+    for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = b[k * _PIECE : (k + 1) * _PIECE + _LONG]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * down[: len(part)], out=sums[1:])
+        at = begin[x:y] - k * _PIECE
+        out[x:y] += (sums[at + np.minimum(size[x:y], _LONG)] - sums[at]) * up[at]
+    out = mixed(out)
+    for k in np.flatnonzero(size > _LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(b[begin[k] : end[k]].tobytes())
+    return out
+
+
+def side_by_side(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words of several texts, the first word of each and the end, and the words of each line.  An empty line stands between two texts."""
+    raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
+    b = np.frombuffer(b"\n\n".join(raw), np.uint8)
+    begin, end = split_words(b)
+    heads = np.searchsorted(begin, np.cumsum([0, *[len(x) + 2 for x in raw]]))
+    sizes = np.diff(np.concatenate([[0], np.searchsorted(begin, np.flatnonzero(b == 10)), [len(begin)]]))
+    return hashed(b, begin, end), heads, sizes
+
+
+def paragraphs(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first word and end of each paragraph by layout, from the hashes of all words and the words of each line; their shingles side by side; each one's first place."""
     ends = np.cumsum(sizes)
     short = np.concatenate([[False], (sizes > 0) & (sizes < LEAST), [False]])
     turns = np.flatnonzero(short[1:] != short[:-1])
@@ -89,19 +139,21 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, list[tuple[int, int]], np.
     enough = stop - start >= LEAST
     start, stop = start[enough], stop[enough]
     if not len(start):
-        return h, [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return start, stop, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     counts = stop - start - WIDTH + 1
     first = np.cumsum(counts) - counts
     at = np.arange(int(counts.sum())) + np.repeat(start - first, counts)
-    return h, list(zip(start.tolist(), stop.tolist(), strict=True)), window_hashes(h, WIDTH)[at], first
+    return start, stop, window_hashes(h, WIDTH)[at], first
 
 
 def names(sets: np.ndarray, first: np.ndarray) -> list[bytes]:
     """128 bits of hash of each set's sorted distinct shingles."""
     n = len(first)
-    owner = np.repeat(np.arange(n), np.diff(np.append(first, len(sets))))
-    order = np.lexsort((sets, owner))
-    sets, owner = sets[order], owner[order]
+    ends = np.append(first, len(sets))
+    owner = np.repeat(np.arange(n), np.diff(ends))
+    sets, cuts = sets.copy(), ends.tolist()
+    for x, y in zip(cuts, cuts[1:], strict=False):
+        sets[x:y].sort()
     new = np.ones(len(sets), bool)
     new[1:] = (sets[1:] != sets[:-1]) | (owner[1:] != owner[:-1])
     raw, at = sets[new].tobytes(), (8 * np.searchsorted(owner[new], np.arange(n + 1))).tolist()
@@ -123,38 +175,32 @@ def parts(docs: DataFrame, bands: int, rows: int = ROWS) -> DataFrame:
 
         def f(part):
             ids, ties = part.column(0), np.asarray(part.column(1))
-            words, wins, places, spans, sets, firsts, n = [], [], [], [], [], [], 0
-            for text in part.column(2).to_pylist():
-                h, own, held, first = paragraphs(text)
-                at = picked(w := window_hashes(h, WINDOW)) if len(h) >= WINDOW else np.zeros(0, np.int64)
-                words.append(len(h))
-                places.append(at)
-                wins.append(w[at].view(np.int64) if len(at) else np.zeros(0, np.int64))
-                spans.append(own)
-                sets.append(held)
-                firsts.append(first + n)
-                n += len(held)
-            of = np.arange(len(words))  # rows of the slice that each kind's rows are of
-            win_of, line_of = np.repeat(of, list(map(len, places))), np.repeat(of, list(map(len, spans)))
-            every, first = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([*firsts, np.zeros(0, np.int64)])
-            flat = np.array([x for own in spans for x in own], np.int32).reshape(-1, 2)
+            h, heads, sizes = side_by_side(part.column(2))
+            at, w = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            if len(h) >= WINDOW:
+                w = window_hashes(h, WINDOW)
+                at = picked(w, AMONG, heads[:-1], np.maximum(heads[1:] - WINDOW + 1, heads[:-1]))
+            start, stop, every, first = paragraphs(h, sizes)
+            of = np.arange(part.num_rows)  # rows of the slice that each kind's rows are of
+            win_of, line_of = (np.searchsorted(heads, x, "right") - 1 for x in (at, start))
+            words, spans = np.diff(heads), np.bincount(line_of, minlength=len(of))
             keys, sketch = sign(every, first) if len(first) else (np.zeros((0, 1), np.uint64), np.zeros((0, 1), np.uint8))
-            d, w, m = len(of), len(win_of), len(line_of)
-            at = np.concatenate([of, win_of, line_of])
+            d, m, n = len(of), len(win_of), len(line_of)
+            rows = np.concatenate([of, win_of, line_of])
             none = lambda k, kind: pa.nulls(k, kind)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel()))
-            start = np.concatenate([words, *places, flat[:, 0]]).astype(np.int32)
-            stop = [pa.array(list(map(len, spans)), pa.int32()), none(w, pa.int32()), pa.array(flat[:, 1])]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.view(np.int64).ravel()))
+            began = np.concatenate([words, at - heads[win_of], start - heads[line_of]]).astype(np.int32)
+            ended = [pa.array(spans.astype(np.int32)), none(m, pa.int32()), pa.array((stop - heads[line_of]).astype(np.int32))]
             return {
-                "kind": np.repeat(np.array([DOC, WIN, LINE], np.int32), [d, w, m]),
-                "doc_id": ids.take(pa.array(at)),
-                "tie": ties[at],
-                "start": start,
-                "stop": pa.concat_arrays(stop),
-                "win": pa.concat_arrays([none(d, pa.int64()), pa.array(np.concatenate([*wins, np.zeros(0, np.int64)])), none(m, pa.int64())]),
-                "item": pa.concat_arrays([none(d + w, pa.binary()), pa.array(names(every, first) if m else [], pa.binary())]),
-                "keys": pa.concat_arrays([none(d + w, lists.type), lists]),
-                "sketch": pa.concat_arrays([none(d + w, pa.binary()), pa.array([x.tobytes() for x in sketch[:m]], pa.binary())]),
+                "kind": np.repeat(np.array([DOC, WIN, LINE], np.int32), [d, m, n]),
+                "doc_id": ids.take(pa.array(rows)),
+                "tie": ties[rows],
+                "start": began,
+                "stop": pa.concat_arrays(ended),
+                "win": pa.concat_arrays([none(d, pa.int64()), pa.array(w[at].view(np.int64)), none(n, pa.int64())]),
+                "item": pa.concat_arrays([none(d + m, pa.binary()), pa.array(names(every, first) if n else [], pa.binary())]),
+                "keys": pa.concat_arrays([none(d + m, lists.type), lists]),
+                "sketch": pa.concat_arrays([none(d + m, pa.binary()), pa.array([x.tobytes() for x in sketch[:n]], pa.binary())]),
             }
 
         return f
@@ -221,15 +267,23 @@ def around(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
     def make():
         def f(part):
-            out = {k.split()[0]: [] for k in AROUND.split(", ")}
-            for doc_id, tie, hits, whole in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                h = word_hashes(whole)
-                w, words = window_hashes(h, WINDOW).view(np.int64), (h >> np.uint64(32)).astype(np.uint32)
-                for at in hits:
-                    end = at + WINDOW
-                    row = int(w[at]), xxhash.xxh3_64_intdigest(h[at:end].tobytes()) - (1 << 63), doc_id, at, tie, words[max(at - REACH, 0) : at][::-1].tobytes(), words[end : end + REACH].tobytes()
-                    for col, x in zip(out.values(), row, strict=True):
-                        col.append(x)
+            h, heads, _ = side_by_side(part.column(3))
+            of = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(2)), 0))
+            places = np.asarray(part.column(2).flatten())
+            at = heads[of] + places
+            words = (h >> np.uint64(32)).astype(np.uint32)
+            n, whole, ahead, back = len(h), h.tobytes(), words.tobytes(), words[::-1].tobytes()
+            low, high = np.maximum(at - REACH, heads[of]), np.minimum(at + WINDOW + REACH, heads[of + 1])
+            cut = list(zip(at.tolist(), low.tolist(), high.tolist(), strict=True))
+            out = {
+                "item": window_hashes(h, WINDOW).view(np.int64)[at] if len(at) else at,
+                "check": [xxhash.xxh3_64_intdigest(whole[8 * x : 8 * (x + WINDOW)]) - (1 << 63) for x, _, _ in cut],
+                "doc_id": part.column(0).take(pa.array(of)),
+                "start": places,
+                "tie": part.column(1).take(pa.array(of)),
+                "before": [back[4 * (n - x) : 4 * (n - y)] for x, y, _ in cut],
+                "after": [ahead[4 * (x + WINDOW) : 4 * y] for x, _, y in cut],
+            }
             return out
 
         return f

@@ -189,3 +189,27 @@ def test_wide_windows_from_running_sums():
             want = [sum(int(x) * pow(common._C, w - 1 - k, 1 << 64) for k, x in enumerate(h[i : i + w])) + w for i in range(n - w + 1)]
             got = common.window_hashes(h, width)
             assert (got == common.mixed(np.array([x % (1 << 64) for x in want], np.uint64))).all()
+
+
+def test_texts_side_by_side():
+    """Many texts are read at once: each word's hash is its own, wherever it stands, and lines and windows end with their text."""
+    import pyarrow as pa
+
+    r = random.Random(37)
+    word = lambda: "".join(r.choice("abé\x00\x1c　") for _ in range(r.choice([1, 2, 3, 63, 64, 65, 70])))
+    texts = [None, "", " ", "\n", "\n\na", "a\x0bb\x0cc\rd\n" + "x" * 300, "ab " * 50_000, "z" * 70_000 + " y", *["".join(word() + r.choice([" ", "\t", "\n", "\n\n "]) for _ in range(r.randint(0, 90))) for _ in range(200)], None]
+    h, heads, sizes = pb.side_by_side(pa.array(texts, pa.string()))
+    seen, words = {}, [(x or "").encode().split() for x in texts]
+    assert np.diff(heads).tolist() == list(map(len, words)) and sizes.sum() == len(h) and len(sizes) == sum((x or "").count("\n") + 1 for x in texts) + len(texts) - 1
+    assert all(seen.setdefault(w, x) == x for w, x in zip([w for ws in words for w in ws], h.tolist(), strict=True)) and len(set(seen.values())) == len(seen)
+    start, stop, sets, first = pb.paragraphs(h, sizes)
+    of = np.searchsorted(heads, start, "right") - 1
+    got = sorted(zip(of.tolist(), (start - heads[of]).tolist(), (stop - heads[of]).tolist(), strict=True))
+    assert got == sorted((k, a, b) for k, x in enumerate(texts) for a, b, p in layout(x) if b - a >= pb.LEAST)
+    at = r.choices(range(4), k=len(h))  # many equals
+    w, low, high = np.array(at, np.uint64) + np.uint64(1), heads[:-1], np.maximum(heads[1:] - 19, heads[:-1])
+    want = set()
+    for x, y in zip(low.tolist(), high.tolist(), strict=True):
+        for run in range(x, max(y - pb.AMONG, x) + 1) if y > x else ():
+            want.add(max(range(run, min(run + pb.AMONG, y)), key=lambda k: (-at[k], k)))
+    assert pb.picked(w, pb.AMONG, low, high).tolist() == sorted(want)
