@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,43 +56,96 @@ def random_walks(edges: DataFrame, walks: int = 10, length: int = 20, seed: int
     return x
 
 
-def knn_vote(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 20_000) -> DataFrame:
+def unit_vectors(column) -> np.ndarray:
+    """The vectors of an Arrow list column, at length 1."""
+    if column.null_count or len(np.unique(np.asarray(pc.list_value_length(column)))) > 1:
+        raise ValueError("vectors of one length are needed")
+    m = np.concatenate([np.asarray(x.flatten(), np.float64) for x in column.chunks]).reshape(len(column), -1)
+    return m / np.sqrt((m**2).sum(axis=1, keepdims=True) + 1e-12)
+
+
+def nearest(asked: np.ndarray, mine: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int, many: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place in base, score) of the k greatest products of unit vectors, rounded to 9 digits, ties to the lower id; mine are the queries' ids (a base row of that id is left out), and ids ascend.
+
+    Products in single precision bound the k-th best from below, by the greatest of some groups of the base;
+    only what they leave within their error of it is weighed in double precision."""
+    n, error = len(base), 2 * ((base.shape[1] + 4) * 2.0**-23 + 1e-9)
+    width = max(1, n // 512)
+    groups = -(-n // width)
+    low = np.zeros((groups * width, base.shape[1]), np.float32)
+    low[:n] = base
+    begin, end = np.searchsorted(ids, mine, "left"), np.searchsorted(ids, mine, "right")
+    out: list[tuple] = []
+    for at in range(0, len(asked), 128):
+        q = asked[at : at + 128]
+        s = q.astype(np.float32) @ low.T
+        s[:, n:] = -np.inf
+        for i in np.flatnonzero(begin[at : at + 128] < end[at : at + 128]).tolist():
+            s[i, begin[at + i] : end[at + i]] = -np.inf
+        parts = s.reshape(len(q), groups, width)
+        most = parts.max(axis=2)
+        least = np.partition(most, -k, axis=1)[:, -k, None] - np.float32(error) if groups > k else np.full((len(q), 1), -np.inf, np.float32)
+        i, g = np.nonzero((most >= least) & (most > -np.inf))
+        rest = parts[i, g]
+        r, j = np.nonzero((rest >= least[i]) & (rest > -np.inf))
+        i, j = i[r], g[r] * width + j
+        for x, y in _slices(i, len(q), many):  # near copies leave many
+            d = np.round(np.einsum("ij,ij->i", q[i[x:y]], base[j[x:y]]), 9)
+            order = np.lexsort((j[x:y], -d, i[x:y]))
+            of = i[x:y][order]
+            first = np.searchsorted(of, of)
+            order = order[np.arange(len(of)) - first < k]
+            out.append((i[x:y][order] + at, j[x:y][order], d[order]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _slices(i: np.ndarray, n: int, many: int):
+    """(from, to) of whole queries' rows, of at most so many rows where a query has not more."""
+    ends, x = np.searchsorted(i, np.arange(n), "right").tolist(), 0
+    for y, then in zip(ends, [*ends[1:], None], strict=True):
+        if y > x and (then is None or then - x > many):
+            yield x, y
+            x = y
+
+
+def lowest(base: DataFrame, k: int) -> DataFrame:
+    """Of rows (id, v, label) with one vector the 2k of the lowest ids, k of an id at most, so that k have another id than a query's.
+
+    Tasks leave out the others before rows are dealt by vector, so a vector that many rows share is spread."""
+    own = lambda by, n: F.row_number().over(Window.partitionBy(*by).orderBy("id", "label")) <= n
+    return base.withColumn("_k", own(["v", "id"], k)).filter("_k").withColumn("_k", own(["v"], 2 * k)).filter("_k").drop("_k")
+
+
+def knn_vote(queries: DataFrame, base: DataFrame, k: int = 5, block: int = 40_000) -> DataFrame:
     """(id, pred, votes): cosine neighbours' vote; queries (id, v) against base (id, v, label).
 
-    Each block of queries meets each block of the base in a task of its own, and the nearest k of
+    Of rows with one vector those of the lowest ids are met, as many as can be among the nearest.  Each
+    block of queries meets each block of the base in a task of its own, and the nearest k of
     all blocks are merged; nothing is collected.  Without neighbours pred is null."""
     import pyarrow as pa
 
     dealt = lambda n, size: max(1, -(-n // size))
-    n_base, n_queries = dealt(base.count(), block), dealt(queries.count(), max(1, block // 10))
+    fresh = base.select(F.col("id").alias("_i"), F.col("v").alias("_w"), F.col("label").alias("_l")).select(F.col("_i").alias("id"), F.col("_w").alias("v"), F.col("_l").alias("label"))  # queries and base may be one table
+    fresh = staged(lowest(fresh, k))
+    n_base, n_queries = dealt(fresh.count(), block), dealt(queries.count(), max(1, block // 2))
     near_type = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("label", pa.int64())]))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.groupBy("id", "v").agg(F.count("*").cast("int").alias("n"))  # a query that comes twice is answered twice
     left = left.withColumn("qb", F.pmod(F.xxhash64("id", "v"), F.lit(n_queries)).cast("int")).select("id", F.xxhash64("v").alias("key"), "n", "v", "qb", every(n_base).alias("bb"))
-    fresh = base.select(F.col("id").alias("_i"), F.col("v").alias("_w"), F.col("label").alias("_l")).select(F.col("_i").alias("id"), F.col("_w").alias("v"), F.col("_l").alias("label"))  # queries and base may be one table
-    right = fresh.select("id", "v", "label", own(n_base).alias("bb"), every(n_queries).alias("qb"))
-
-    def unit(column):
-        m = np.array(column.to_pylist(), np.float64)
-        return m / np.sqrt((m**2).sum(axis=1, keepdims=True) + 1e-12)
+    right = fresh.select("id", "v", "label", F.pmod(F.xxhash64("id"), F.lit(n_base)).cast("int").alias("bb"), every(n_queries).alias("qb"))
 
     def search(q: pa.Table, b: pa.Table) -> pa.Table:
-        found: list = []
+        counts, found = np.zeros(q.num_rows, np.int64), pa.array([], near_type.value_type)
         if q.num_rows and b.num_rows:
-            m, ids, labels, asked = unit(b.column("v")), b.column("id").to_pylist(), b.column("label").to_pylist(), q.column("id").to_pylist()
-            order = np.array([-1 if x is None else x for x in ids], np.int64)
-            for at in range(0, q.num_rows, 128):
-                for i, row in enumerate(np.round(unit(q.column("v").slice(at, 128)) @ m.T, 9)):
-                    me = asked[at + i]
-                    rest = np.flatnonzero(order != me) if me is not None else np.arange(len(ids))
-                    if len(rest) > k:
-                        rest = rest[row[rest] >= np.partition(row[rest], -k)[-k]]
-                    rest = rest[np.lexsort((order[rest], -row[rest]))[:k]]
-                    found.append([{"d": -float(row[j]), "id": ids[j], "label": labels[j]} for j in rest.tolist()])
-        else:
-            found = [[] for _ in range(q.num_rows)]
-        return pa.table({"id": q.column("id"), "key": q.column("key"), "n": q.column("n"), "near": pa.array(found, near_type)})
+            none = np.iinfo(np.int64).min
+            b = b.set_column(0, "id", pc.fill_null(b.column("id"), none)).sort_by("id") if b.column("id").null_count else b.sort_by("id")
+            ids, mine = np.asarray(b.column("id")), np.asarray(pc.fill_null(q.column("id"), none + 1))
+            i, j, d = nearest(unit_vectors(q.column("v")), mine, unit_vectors(b.column("v")), ids, k)
+            hit = pa.array(ids[j], mask=ids[j] == none)
+            found = pa.StructArray.from_arrays([pa.array(-d), hit, b.column("label").combine_chunks().take(pa.array(j))], fields=list(near_type.value_type))
+            counts = np.bincount(i, minlength=q.num_rows)
+        near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), found)
+        return pa.table({"id": q.column("id"), "key": q.column("key"), "n": q.column("n"), "near": near})
 
     hits = left.groupBy("qb", "bb").cogroup(right.groupBy("qb", "bb")).applyInArrow(search, "id long, key long, n int, near array<struct<d:double,id:long,label:long>>")
     top = hits.groupBy("id", "key", "n").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("top"))

@@ -148,3 +148,36 @@ def test_knn_vote_in_blocks(spark):
     got = graph.knn_vote(base, base, 5, 20).collect()
     assert sorted(tuple(x) for x in got) == want
     assert [tuple(x) for x in graph.knn_vote(base.limit(1), base.filter("id < 0")).collect()] == [(0, None, 0)]
+
+
+def test_nearest_of_near_copies():
+    """Single precision tells none of these apart; what it leaves is weighed in double precision, a bounded part at a time."""
+    import numpy as np
+
+    from fuzzloom.operators import graph
+
+    r = np.random.default_rng(11)
+    unit = lambda m: m / np.sqrt((m**2).sum(axis=1, keepdims=True) + 1e-12)
+    for b in (r.normal(size=(3000, 8)), r.normal(size=(1, 8)) + 1e-8 * r.normal(size=(700, 8)), r.integers(-1, 2, (900, 3)).astype(float), r.normal(size=(3, 4))):
+        b, ids, mine = unit(b), np.sort(r.integers(0, 2000, len(b))), r.integers(0, 2000, 150)
+        q = b[r.integers(0, len(b), 150)]
+        want = []
+        for i in range(150):
+            d = np.round((q[i] * b).sum(axis=1), 9)
+            want += [(i, j) for j in np.lexsort((np.arange(len(b)), -d)).tolist() if ids[j] != mine[i]][:5]
+        i, j, _ = graph.nearest(q, mine, b, ids, 5, many=1000)
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_knn_vote_of_copies(spark):
+    from fuzzloom.operators import graph
+
+    rows = [(i, [1.0, 0.0], i % 3) for i in range(400)] + [(5, [1.0, 0.0], 2)] * 9 + [(900, [0.0, 1.0], 7), (None, [0.0, 1.0], 8)]
+    base = spark.createDataFrame(rows, "id long, v array<double>, label long")
+    asked = spark.createDataFrame([(0, [2.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (900, [0.0, 3.0]), (None, [0.0, 1.0])], "id long, v array<double>")
+    got = sorted((tuple(x) for x in graph.knn_vote(asked, base, 5, 100).collect()), key=str)
+    # of the query 0 (1, 2, 3, 4, 5), of 5 (0, 1, 2, 3, 4), of 900 (null, 0, 1, 2, 3), of null (null, 900, 0, 1, 2)
+    assert got == sorted([(0, 1, 2), (5, 0, 2), (5, 0, 2), (900, 0, 2), (None, 8, 1)], key=str)
+    assert "WindowGroupLimit" in graph.lowest(base, 5)._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="vectors of one length"):
+        graph.knn_vote(asked, base.unionByName(spark.createDataFrame([(1000, [1.0], 1)], base.schema))).collect()
