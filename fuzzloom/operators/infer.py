@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,10 +106,13 @@ def fuzzy_node_scores(memberships: DataFrame, table: DataFrame, features: list[s
     """(id, d0, d1) of queries given as (id, attr, level, mu): nodes weigh by the product of degrees."""
     from math import comb
 
-    per = fuzzy_nodes(memberships, features, k).join(table, ["node", "key"]).groupBy("id", "node", "y").agg(F.sum(F.col("p") * F.col("w")).alias("v"))
+    each = staged(degrees(memberships))
+    cases = staged(each.groupBy("held").agg(F.min("id").alias("id")))  # queries of equal degrees have equal scores
+    per = fuzzy_nodes(cases.select("id", F.inline("held")), features, k).join(table, ["node", "key"]).groupBy("id", "node", "y").agg(F.sum(F.col("p") * F.col("w")).alias("v"))
     n = comb(len(features), min(k, len(features)))
     aggs = [(F.coalesce(F.max(F.when(F.col("y") == y, F.col("v"))), F.lit(0.0)) + F.when(F.count(F.when(F.col("y") == y, F.col("v"))) < n, 0.0).otherwise(F.min(F.when(F.col("y") == y, F.col("v"))))).alias(f"d{y}") for y in (0, 1)]
-    return memberships.select("id").distinct().join(per.groupBy("id").agg(*aggs), "id", "left").na.fill(0.0)
+    scores = staged(cases.join(per.groupBy("id").agg(*aggs), "id").drop("id"))
+    return each.join(scores, "held", "left").select("id", "d0", "d1").na.fill(0.0, ["d0", "d1"])
 
 
 def sequential_scores(queries: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
@@ -178,13 +182,32 @@ def calibrated_probabilities(scores: DataFrame, threshold: float, temperature: f
 
 def attribution(decided: DataFrame, queries: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
     """(id, cell, v): the share that a cell's rules have in the decision; decided has (id, pred, d0, d1, n_seen) of crisp queries."""
-    asked = exploded(queries.select("id", *features), features, min(k, len(features))).withColumn("p", F.lit(1))
-    return _attribution(decided, asked, cs, features, k)
+    names = [f"_k{i}" for i in range(len(features))]
+    levels = queries.select("id", *[F.col(c).alias(n) for c, n in zip(features, names, strict=True)])
+    nodes = lambda cases: exploded(cases.select("id", *names), names, min(k, len(features))).select("id", "node", "key", F.lit(1).alias("p"))
+    return _by_case(decided, levels, names, nodes, cs, features, k)
+
+
+def degrees(memberships: DataFrame) -> DataFrame:
+    """(id, held): all degrees above 0 of each query as one sorted value, null where the id is; a query has as many as levels at most."""
+    one = F.when(F.col("id").isNotNull() & (F.col("mu") > 0), F.struct("attr", "level", "mu"))
+    return memberships.groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("held"))
 
 
 def fuzzy_attribution(decided: DataFrame, memberships: DataFrame, cs: DataFrame, features: list[str], k: int = 3) -> DataFrame:
     """The same of queries given as (id, attr, level, mu); decided has (id, pred)."""
-    return _attribution(decided, fuzzy_nodes(memberships, features, k), cs, features, k)
+    nodes = lambda cases: fuzzy_nodes(cases.select("id", F.inline("held")), features, k)
+    return _by_case(decided, degrees(memberships), ["held"], nodes, cs, features, k)
+
+
+def _by_case(decided: DataFrame, asked: DataFrame, names: list[str], nodes: Callable[[DataFrame], DataFrame], cs: DataFrame, features: list[str], k: int) -> DataFrame:
+    """Queries of equal levels or degrees (columns names) and decision have equal shares: the first of them is attributed, and all are told."""
+    each = staged(decided.select("id", "pred").join(asked, "id", "left"))
+    cases = staged(each.groupBy(*names, "pred").agg(F.min("id").alias("id")))
+    shares = staged(_attribution(cases.select("id", "pred"), nodes(cases), cs, features, k))
+    first = cases.select(F.col("id").alias("_case"), *[F.col(c).alias(f"_{c}") for c in [*names, "pred"]])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*names, "pred"]])
+    return each.join(first, same).select("id", "_case").join(shares.withColumnRenamed("id", "_case"), "_case").select("id", "cell", "v")
 
 
 def _attribution(decided: DataFrame, asked: DataFrame, cs: DataFrame, features: list[str], k: int) -> DataFrame:

@@ -211,3 +211,22 @@ def test_rule_filters(spark, rules):
     assert x.count() == 240
     assert metrics.first_over(spark.createDataFrame([(0.1, 0.5), (0.2, 0.8), (0.3, 0.9)], "theta double, rep double"), "rep", 0.8).first()["theta"] == 0.2
     assert metrics.speed_up(4.0, 2.0) == 2 and metrics.speed_up(1.0, 0.0) is None and metrics.per_query_ms(2.0, 4) == 500
+
+
+def test_equal_queries_are_attributed_once(spark, rules, monkeypatch):
+    """Of 40 times as many queries, each shares what its like has; the nodes of a kind are made once."""
+    cs = staged(matrices.cells(rules.filter("id < 45"), FS))
+    few = rules.filter("id >= 45").select("id", *FS).unionByName(spark.createDataFrame([(99, "?", None, "?", "?")], "id long, f0 string, f1 string, f2 string, f3 string"))
+    many = few.crossJoin(spark.range(40).withColumnRenamed("id", "r")).withColumn("of", F.col("id")).withColumn("id", F.col("id") + 1000 * F.col("r"))
+    degrees = lambda q: q.select("id", F.posexplode(F.array(*FS)).alias("attr", "level")).filter("level IS NOT NULL").select("id", "attr", "level", F.lit(0.7).alias("mu")).unionByName(q.select("id", F.lit(0).alias("attr"), F.lit("L").alias("level"), F.lit(0.2).alias("mu")))
+    table, own, met = matrices.node_table(cs, FS), infer._attribution, []
+    monkeypatch.setattr(infer, "_attribution", lambda decided, *a: met.append(decided.count()) or own(decided, *a))
+    told = lambda q: staged(infer.fuzzy_node_scores(degrees(q), table, FS).withColumn("pred", (F.col("d1") > F.col("d0")).cast("int")))
+    shares = lambda df: {(r["id"], r["cell"]): round(r["v"], 9) for r in df.collect()}
+    one, all_ = told(few), told(many)
+    assert {(r["id"] % 1000, r["d0"], r["d1"]) for r in all_.collect()} == {tuple(r)[:3] for r in one.collect()} and all_.count() == 40 * one.count()
+    for f, shape in ((infer.fuzzy_attribution, degrees), (infer.attribution, lambda q: q.select("id", *FS))):
+        want = shares(own(one, infer.fuzzy_nodes(degrees(few), FS) if shape is degrees else matrices.exploded(few, FS, 3).withColumn("p", F.lit(1)), cs, FS, 3))
+        got = shares(f(all_, shape(many), cs, FS))
+        assert got == {(i + 1000 * r, c): v for (i, c), v in want.items() for r in range(40)}
+    assert len(met) == 2 and max(met) <= few.count()
