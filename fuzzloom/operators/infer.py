@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fuzzloom.operators.matrices import exploded, node_table, node_weights
+from fuzzloom.operators.ordered import fitted
 from fuzzloom.sources.staging import staged
 
 EPS = 1e-12
@@ -50,16 +51,15 @@ def probabilities(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
     return scores.withColumn("p1", F.coalesce(1 / (1 + F.exp((F.col("d0") - F.col("d1")) / F.lit(temperature))), F.lit(0.5)))
 
 
-def calibrate(scored: DataFrame, criterion: str = "bacc", zero: bool = True) -> float:
-    """The threshold among 197 quantiles, and with zero 0, whose `score > t` is best; the first of the best, to 12 digits."""
+def calibrate(scored: DataFrame, criterion: str = "bacc", zero: bool = True, weight: str | None = None) -> float:
+    """The threshold among 197 quantiles, and with zero 0, whose `score > t` is best; the first of the best, to 12 digits.  With a weight a row counts so many times."""
     if criterion not in ("bacc", "acc"):
         raise ValueError(f"unknown criterion {criterion}")
-    at = ", ".join(f"{0.01 + 0.98 * i / 196!r}D" for i in range(197))
-    first = "array(0.0D)" if zero else "cast(array() AS array<double>)"
-    ts = scored.agg(F.expr(f"array_sort(array_distinct(concat({first}, percentile(score, array({at})))))").alias("t")).first()["t"] or []
+    cuts = fitted(scored, ["score"], [0.01 + 0.98 * i / 196 for i in range(197)], weight=weight)["score"]
+    ts = [] if cuts is None else sorted({0.0, *cuts} if zero else set(cuts))
     # A score is above the first so many thresholds; scores are counted by that number, at most 198.
     above = F.when(F.col("score").isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, ts)) if ts else F.array().cast("array<double>"), lambda t: t < F.col("score"))))
-    counts = {r["above"]: (r["pos"], r["neg"]) for r in scored.groupBy(above.alias("above")).agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).collect()}
+    counts = {r["above"]: (r["pos"], r["neg"]) for r in scored.groupBy(above.alias("above")).agg(*[F.sum(F.when(F.col("y") == y, F.col(weight) if weight else 1).otherwise(0)).alias(k) for y, k in ((1, "pos"), (0, "neg"))]).collect()}
     pos, neg = (sum(c[i] for c in counts.values()) for i in (0, 1))
     best, found = None, 0.0
     if not pos or not neg:

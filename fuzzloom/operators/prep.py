@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fuzzloom.operators.ordered import fitted
+
 LEVELS = ("Low", "Medium", "High")
 
 
@@ -56,10 +58,10 @@ def conflicts(df: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 def fit_medians(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """One row of medians of the valid values; labels are never read."""
-    out = df.agg(*[F.median(valid(c, spec)).alias(c) for c in spec.numeric])
-    if none := [c for c, v in (out.first() or {}).asDict().items() if v is None]:
+    got = fitted(df.select(*[valid(c, spec).alias(c) for c in spec.numeric]), spec.numeric, [0.5])
+    if none := [c for c, v in got.items() if v is None]:
         raise ValueError(f"no valid value in {none}")
-    return out
+    return df.sparkSession.createDataFrame([tuple(got[c][0] for c in spec.numeric)], ", ".join(f"`{c}` double" for c in spec.numeric))
 
 
 def impute(df: DataFrame, medians: DataFrame, spec: DatasetSpec) -> DataFrame:
@@ -70,7 +72,8 @@ def impute(df: DataFrame, medians: DataFrame, spec: DatasetSpec) -> DataFrame:
 
 def fit_cuts(df: DataFrame, columns: list[str], at: tuple[float, ...] = (1 / 3, 2 / 3)) -> DataFrame:
     """One row of exact quantiles with linear interpolation, an array for each column."""
-    return df.agg(*[F.expr(f"percentile(`{c}`, array({', '.join(f'{p!r}D' for p in at)}))").alias(c) for c in columns])
+    got = fitted(df, columns, list(at))
+    return df.sparkSession.createDataFrame([tuple(got[c] for c in columns)], ", ".join(f"`{c}` array<double>" for c in columns))
 
 
 def by_cuts(value: Column, cuts: list[float]) -> Column:

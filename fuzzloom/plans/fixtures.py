@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fuzzloom.operators import prep
+from fuzzloom.sources.staging import staged
 
 FEATURES = ["f0", "f1", "f2", "f3"]
 
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def rules_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    raw = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("a"), F.col("c_acctbal").cast("double").alias("b"), F.col("o_orderpriority").alias("f2"), F.col("c_mktsegment").alias("f3"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+    raw = staged(o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("a"), F.col("c_acctbal").cast("double").alias("b"), F.col("o_orderpriority").alias("f2"), F.col("c_mktsegment").alias("f3"), (F.col("o_orderstatus") == "F").cast("int").alias("y")))
     fuzzy = prep.fuzzify(raw, prep.fit_cuts(raw, ["a", "b"]), {"a": "f0", "b": "f1"})
     return fuzzy.select("id", *FEATURES, "y")
 

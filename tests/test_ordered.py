@@ -79,3 +79,15 @@ def test_power_law_goes_on(spark):
     df = spark.createDataFrame([(float(n), 3.0 * n**1.5) for n in (1, 2, 5, 10)] + [(0.0, 1.0)], "n double, s double")
     got = {x["n"]: x["s"] for x in stats.extrapolated(df, [100.0, 1000.0]).collect()}
     assert math.isclose(got[100.0], 3000.0) and math.isclose(got[1000.0], 3 * 1000**1.5)
+
+
+def test_quantiles_by_pieces(spark):
+    """Values of a few pieces are put in order, to the same quantiles as of all values at once."""
+    from fuzzloom.operators.ordered import fitted
+
+    r = random.Random(11)
+    rows = [(None if i % 9 == 0 else r.gauss(0, 1), float(r.randint(0, 3)), None) for i in range(500)] + [(float("inf"), 7.0, None), (-0.0, -1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").cache()
+    at = [0.0, 0.01, 1 / 3, 0.5, 2 / 3, 0.977, 1.0]
+    assert fitted(df, ["a", "b", "c"], at, few=0, pieces=7) == fitted(df, ["a", "b", "c"], at)
+    assert fitted(df, ["a", "c"], at, few=0, pieces=1)["c"] is None
