@@ -35,14 +35,16 @@ def build_fold(train: DataFrame, test: DataFrame, numeric: dict[str, str], featu
 
 
 def _scores(variant: str, train: DataFrame, asked: DataFrame, features: list[str]) -> DataFrame:
+    """(id, y, d0, d1, score, n): queries of equal levels and label have equal scores and go on as one with their number n."""
     cs = staged(matrices.cells(train, features))
+    asked = staged(asked.groupBy(*features, "y").agg(F.min("id").alias("id"), F.count("*").alias("n")))
     if variant == "pair":
         out = infer.pair_scores(asked, matrices.pair_table(cs, features), features)
     elif variant == "orig":
         out = infer.node_scores(asked, matrices.node_table(cs, features), features)
     else:
         raise ValueError(f"unknown variant {variant}")
-    out = out.withColumns({d: F.coalesce(d, F.lit(0)) for d in ("d0", "d1")})
+    out = out.withColumns({d: F.coalesce(d, F.lit(0)) for d in ("d0", "d1")}).join(asked.select("id", "n"), "id")
     return staged(out.withColumn("score", F.round(infer.log_ratio(), 9)))
 
 
@@ -50,7 +52,7 @@ def published(raw: DataFrame, numeric: dict[str, str], features: list[str], vari
     """(rule, acc, bacc, f1, auc, sens, spec, pos_rate, threshold) of a 70/30 split by label, for four decision rules.
 
     Thresholds come from a fifth of the training part, by models of the rest.  Ties of argmax go to label 1."""
-    halves = staged(split.train_validation(raw, 0.3, seed=seed))
+    halves = staged(split.train_validation(staged(raw), 0.3, seed=seed))
     train, test = halves.filter("NOT held").drop("held"), halves.filter("held").drop("held")
     inner = staged(split.train_validation(train, 0.2, seed=seed + 1))
 
@@ -59,14 +61,14 @@ def published(raw: DataFrame, numeric: dict[str, str], features: list[str], vari
         return (prep.fuzzify(x, cuts, numeric).select("id", *features, "y") for x in (own, other))
 
     held = _scores(variant, *levels(inner.filter("NOT held").drop("held"), inner.filter("held").drop("held")), features)
-    at = {"calib_acc": infer.calibrate(held, "acc", zero=False), "calib_bacc": infer.calibrate(held, "bacc", zero=False)}
+    at = {"calib_acc": infer.calibrate(held, "acc", zero=False, weight="n"), "calib_bacc": infer.calibrate(held, "bacc", zero=False, weight="n")}
     s, out = _scores(variant, *levels(train, test), features), []
     for rule in ("argmax", "ratio9", *at):
         if rule in at:
             done = s.withColumn("pred", (F.col("score") > at[rule]).cast("int"))
         else:
             done = s.withColumn("pred", (F.col("d1") >= F.col("d0")).cast("int") if rule == "argmax" else infer.ratio_decision(F.col("d0"), F.col("d1")))
-        r = metrics.record(done)
+        r = metrics.record(done, weight="n")
         out.append(r.select(F.lit(rule).alias("rule"), F.col("accuracy").alias("acc"), "bacc", "f1", "auc", F.col("sensitivity").alias("sens"), F.col("specificity").alias("spec"), "pos_rate", F.lit(at.get(rule)).cast("double").alias("threshold")))
     return reduce(DataFrame.unionByName, out)
 
