@@ -172,7 +172,7 @@ def model_restored(spark, d):
 def _folded_orders(spark, d):
     """Orders in five folds, with their total price, the customer's balance and the clerk's number."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    raw = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_totalprice").cast("double").alias("price"), F.col("c_acctbal").cast("double").alias("balance"), (F.col("o_custkey") % 100).cast("double").alias("number"))
+    raw = staged(o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), F.col("o_totalprice").cast("double").alias("price"), F.col("c_acctbal").cast("double").alias("balance"), (F.col("o_custkey") % 100).cast("double").alias("number")))
     return staged(split.stratified_folds(raw))
 
 
@@ -217,9 +217,8 @@ FROM i JOIN q ON i.fold = q.fold AND i.impute = q.impute GROUP BY ALL
 """)
 def factorial_cells(spark, d):
     """Rows by levels, of each fold and way to impute, all in one plan."""
-    rows = analyses.settings(_folded_orders(spark, d), _ORDER_LEVELS, zero_missing=("number",))
+    counted, _ = analyses.counted_settings(_folded_orders(spark, d), _ORDER_LEVELS, zero_missing=("number",))
     level = [F.element_at(F.split(c, r"\|"), -1).alias(c) for c in _ORDER_LEVELS.values()]
-    counted = rows.groupBy("fold", "impute", "part", "y", *_ORDER_LEVELS.values()).agg(F.count("*").alias("n"))
     return counted.select("fold", "impute", "part", "y", *level, "n")
 
 

@@ -65,3 +65,16 @@ def test_effects(spark):
     rows = spark.createDataFrame([("p", "s", 1.0), ("p", "t", 3.0), ("q", "s", 2.0), ("q", "t", 8.0), ("q", "t", None)], "a string, b string, auc double")
     got = {(r["factor"], r["level"]): (r["mean"], r["effect"], r["n"]) for r in analyses.effects(rows, ["a", "b"]).collect()}
     assert got == {("a", "p"): (2.0, -3.0, 2), ("a", "q"): (5.0, 3.0, 2), ("b", "s"): (1.5, -4.0, 2), ("b", "t"): (5.5, 4.0, 2)}
+
+
+def test_counts_give_the_chosen_cells(folded):
+    """Counts by pieces of ids lead to the cells of the rows that are chosen one by one."""
+    rows = analyses.settings(folded, NUMERIC, zero_missing=("b",)).cache()
+    counts, told = analyses.counted_settings(folded, NUMERIC, zero_missing=("b",), by_id=True)
+    key = ["cfg", *FS, "y"]
+    each = lambda df, n: {tuple(r[c] for c in key): r["n"] for r in df.groupBy(*key).agg(n.alias("n")).collect()}
+    for part in ("train", "test"):
+        assert each(counts.filter(F.col("part") == part), F.sum("n")) == each(rows.filter(F.col("part") == part), F.count("*"))
+    for theta, method in ((0.1, "full"), (0.02, "greedy"), (0.4, "greedy"), (1.0, "greedy"), (0.3, "stratified"), (0.45, "clustered")):
+        got = analyses.chosen_cells(counts.filter("part = 'train'"), told, FS, theta, method, 2)
+        assert each(got, F.sum("w")) == each(analyses.chosen(rows.filter("part = 'train'"), FS, theta, method, 2), F.count("*"))
