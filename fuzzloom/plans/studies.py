@@ -188,8 +188,8 @@ def ablation(spark, d):
 @query()
 def factor_effects(spark, d):
     """The effect of each switch of the ablation."""
-    rows = analyses.factorial(_folded_orders(spark, d), _ORDER_LEVELS, 0.1, scopes=("upper", "global"), methods=("full",), zero_missing=("number",))
-    return analyses.effects(rows, ["impute", "scope", "score"])
+    rows = analyses.factorial(_folded_orders(spark, d), _ORDER_LEVELS, 0.1, scopes=("upper", "global"), zero_missing=("number",))
+    return analyses.effects(rows, ["method", "impute", "scope", "score"])
 
 
 @query()
